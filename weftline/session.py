@@ -21,6 +21,7 @@ def local_session(cores: str | int | None = None, app: str = "weftline", **conf:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", n if n.isdigit() else "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
     for k, v in conf.items():
