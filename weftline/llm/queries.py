@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import binary_ids, packing
+from . import binary_ids, exact_topk, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,3 +41,39 @@ def op4_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as Elias-Fano segments in doc_id order and read back."""
     segments = binary_ids.write_segments(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return binary_ids.read_documents(segments, with_ids=False)
+
+
+@query(
+    "op1_exact_topk",
+    """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+      FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+)
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows by integer inner product of every row whose vec_id is divisible by 50."""
+    corpus = table(spark, sf_dir, "embeddings")
+    return exact_topk.top_k(corpus, corpus.filter("vec_id % 50 = 0"))
+
+
+@query(
+    "op10_mixing",
+    r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix') AS h FROM documents),
+    s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM d GROUP BY source),
+    s1 AS (SELECT *, CASE idx % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * source_size AS cap FROM s0),
+    s2 AS (SELECT *, (sum(source_size) OVER () - sum(cap) OVER p + cap) / CAST(sum(w) OVER () - sum(w) OVER p + w AS DOUBLE) AS lam,
+        source_size / CAST(w AS DOUBLE) AS ratio FROM s1 WINDOW p AS (ORDER BY source_size / CAST(w AS DOUBLE), idx ROWS UNBOUNDED PRECEDING)),
+    s3 AS (SELECT *, least(CAST(cap AS DOUBLE), w * (SELECT arg_min(lam, (ratio, idx)) FROM s2 WHERE lam * w <= cap)) AS target FROM s2),
+    s AS (SELECT source, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target) AS BIGINT) // source_size END AS passes,
+        CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target) AS BIGINT) % source_size END AS rest FROM s3),
+    p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS pos FROM d)
+    SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(passes * size + greatest(0, least(pos + size, rest) - pos) AS BIGINT) AS taken
+    FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source""",
+)
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of all documents takes of each."""
+    _, rows = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
