@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, exact_topk, mixing, packing
+from . import binary_ids, exact_topk, matroska, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,3 +77,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of all documents takes of each."""
     _, rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+@query("op3_matroska")
+def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored as 8-bit samples in a Matroska file, read back through the packet table."""
+    return matroska.read_media(matroska.text_media(table(spark, sf_dir, "documents")))
