@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, exact_topk, matroska, mixing, packing
+from . import binary_ids, exact_topk, licences, matroska, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,3 +83,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored as 8-bit samples in a Matroska file, read back through the packet table."""
     return matroska.read_media(matroska.text_media(table(spark, sf_dir, "documents")))
+
+
+@query("op8_licences")
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License words and labels of every whole text."""
+    return licences.labelled(licences.scan(table(spark, sf_dir, "documents")))
