@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, exact_topk, licences, matroska, mixing, packing
+from . import binary_ids, exact_topk, licences, matroska, mixing, packing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,3 +89,13 @@ def op3_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License words and labels of every whole text."""
     return licences.labelled(licences.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: base spans by count and hash, and all spans."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id", *map(n, pii.BASE), F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans")
+    )
