@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, exact_topk, licences, matroska, mixing, packing, pii
+from . import binary_ids, exact_topk, language, licences, matroska, mixing, packing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,3 +99,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *map(n, pii.BASE), F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans")
     )
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from two of three folds."""
+    docs = table(spark, sf_dir, "documents")
+    tables = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
+    found = language.predict(docs, tables, with_spans=False)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
