@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import struct
 
 #: Chunks as the byte-level vocabulary's own split leaves them: a word takes one blank before it.
 BYTE_CHUNKS = r" ?\S+|\s+(?!\S)|\s+"
@@ -25,7 +24,7 @@ LONGEST_CACHED = 48
 class ChunkEncoder:
     """Encodes texts with one tokenizer file; at most ``cache_entries`` chunks are kept."""
 
-    def __init__(self, path: str, chunks: str, cache_entries: int = 700_000):
+    def __init__(self, path: str, chunks: str, cache_entries: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -37,7 +36,7 @@ class ChunkEncoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, as bytes."""
@@ -47,33 +46,18 @@ class ChunkEncoder:
                 out += self._encode([text])
                 continue
             chunks = self.find(text)
-            known = self.known
-            new = [c for c in set(chunks) if c not in known]
-            if new:
-                if len(known) + len(new) > self.most:
-                    known.clear()
-                    new = list(set(chunks))
-                short = [c for c in new if len(c) <= LONGEST_CACHED]
-                known.update(zip(short, self._encode(short)))
-                if len(short) < len(new):
-                    long = [c for c in new if len(c) > LONGEST_CACHED]
-                    both = _Both(known, dict(zip(long, self._encode(long))))
-                    out.append(b"".join(map(both.get, chunks)))
-                    continue
-            out.append(b"".join(map(known.__getitem__, chunks)))
+            ids = list(map(self.known.get, chunks))
+            if None in ids:
+                new = list({c for c, x in zip(chunks, ids) if x is None})
+                found = dict(zip(new, self._encode(new)))
+                if len(self.known) + len(found) > self.most:
+                    self.known.clear()
+                self.known.update((c, x) for c, x in found.items() if len(c) <= LONGEST_CACHED)
+                ids = [found[c] if x is None else x for c, x in zip(chunks, ids)]
+            out.append(b"".join(ids))
         return out
 
 
-class _Both:
-    """Lookup in the cache, then among a text's long chunks."""
-
-    def __init__(self, known: dict, own: dict):
-        self.known, self.own = known, own
-
-    def get(self, key: str) -> bytes:
-        return self.known[key] if key in self.known else self.own[key]
-
-
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 
 
