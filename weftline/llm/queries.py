@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, exact_topk, language, licences, matroska, mixing, packing, pii
+from . import binary_ids, exact_topk, language, licences, matroska, mixing, near_dups, packing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,3 +108,9 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = language.fit(docs.filter(~language.held_out(F.col("doc_id"))))
     found = language.predict(docs, tables, with_spans=False)
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_near_dups")
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: five-word k-mers, similarity 0.8."""
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
