@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, exact_topk, language, licences, matroska, mixing, near_dups, packing, pii
+from . import binary_ids, exact_topk, language, licences, matroska, mixing, near_dups, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -114,3 +114,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document: five-word k-mers, similarity 0.8."""
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(quality.graded(docs, table(spark, sf_dir, "labels")), grades=3)
+    return quality.score(docs, model, tail=2).withColumn("keep", F.col("tail_prob") >= quality.KEEP)
