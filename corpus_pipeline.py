@@ -1,14 +1,54 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: documents to packed training sequences.
+
+Quality classifier, near duplicates, personal data, source mix, packing: each
+stage works on all that its predecessor kept. Rows that repeat a doc_id are one
+document from the second stage on; a null text counts as an empty one, which has
+no words for the mix to take.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftline.llm import mixing, near_dups, packing, pii, quality
 from weftline.llm.common import shared_dir
 
-STAGES: list = []
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the highest grade is not too low; the model is fitted on their ratings."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(quality.graded(docs, labels), grades=3)
+    scored = quality.score(docs, model, tail=2, keep=True)
+    return scored.filter(F.col("tail_prob") >= quality.KEEP).select(*docs.columns)
+
+
+def near_dups_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_dups.deduplicated(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences with their ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality_stage), ("near_dups", near_dups_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+#: SQL expresses neither the classifier nor the alignment nor the tokenizer.
 ORACLE_SQL: str | None = None
 
 

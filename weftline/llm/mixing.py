@@ -125,3 +125,16 @@ def mix(
     rows = rows.select("doc_id", "idx", "size", "taken").unionByName(placed.filter("size = 0").select("doc_id", "idx", "size", F.lit(None).cast("long").alias("taken")))
     rows = rows.join(sources, "idx").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return schedule, rows
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs, each as often as the mix takes it, in whole documents: taken / size, rounded.
+
+    Only the documents at the end of a source's last pass are taken in part. Rows
+    that repeat an id are taken equally often.
+    """
+    _, rows = mix(docs, id_col=id_col, **options)
+    times = rows.groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("x"))
+    times = times.select(F.col("doc_id").alias("_id"), F.round("x").cast("int").alias("_times")).filter("_times > 0")
+    out = docs.join(times, F.col(id_col).eqNullSafe(F.col("_id")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -214,3 +214,9 @@ def near_duplicates(
     of_text = found.select("doc_id", "a", "b").join(named.select("a", "b", "class_id"), ["a", "b"]).join(sizes, "class_id").select("doc_id", "class_id", "class_size")
     rest = docs.filter(F.col(id_col).isNull() | F.col(text_col).isNull()).select(F.col(id_col).cast("long").alias("doc_id")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return of_text.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One document of each class, its least doc_id; rows with a null doc_id stay, of rows that repeat one a single row stays."""
+    kept = near_duplicates(docs, id_col=id_col, **options).filter("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
