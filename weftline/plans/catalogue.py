@@ -1,28 +1,113 @@
-"""The registered queries of the library's own operators, with their SQL."""
+"""The registered queries of the library's own operators, with their SQL.
+
+In a query's text, {table} is a table of the folder: a source for the engine, a
+view for DuckDB.
+"""
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as fn
+from ..operators import access, checks, etl, hl7, relational
+from ..sources import files, html
+from ..streaming import windows
+from .engine import Engine
+from .jobs import layers
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
 def query(name: str, sql: str | None = None):
-    """Register a query, and its SQL if there is one."""
+    """Register a query built from operators, and its SQL if there is one."""
 
     def put(f):
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[name] = re.sub(r"\{(\w+)\}", r"\1", sql)
         return f
 
     return put
 
 
+def text(name: str, spark_sql: str, oracle: str | None = None) -> None:
+    """Register a query of the engine; its SQL is the same text unless given."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return Engine(spark).query(re.sub(r"\{(\w+)\}", lambda m: f"read_file('{d}/{m[1]}.parquet')", spark_sql))
+
+    query(name, oracle or spark_sql)(run)
+
+
+# --- scans and projection
+
+text("scan_file", "SELECT n_nationkey, n_name, n_regionkey FROM {nation}")
+text("project_alias", "SELECT p_partkey AS id, p_name AS label, p_retailprice * 2 AS twice FROM {part}")
+text("qualified_star", "SELECT r.* FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey")
+text("dual_constant", "SELECT 1 AS one, 'x' AS letter")
+text("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM {orders}")
+
+
+@query("service_scan", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0")
+def service_scan(spark: SparkSession, d: str) -> DataFrame:
+    e = Engine(spark)
+    e.services.register("crm", lambda t: table(spark, d, t))
+    return e.query("SELECT c_custkey, c_name FROM read_service('crm.customer') WHERE c_acctbal > 0")
+
+
+# --- predicates
+
+text("filter_compare", "SELECT l_orderkey, l_linenumber, l_quantity FROM {lineitem} WHERE l_quantity >= 45 AND l_discount < 0.03")
+text("filter_and_or_not", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE (l_returnflag = 'R' OR l_linestatus = 'O') AND NOT l_quantity > 10")
+text("filter_between", "SELECT p_partkey, p_size FROM {part} WHERE p_size BETWEEN 10 AND 15")
+text("filter_in_list", "SELECT p_partkey, p_brand FROM {part} WHERE p_size IN (1, 7, 23)")
+text("filter_not_in", "SELECT p_partkey FROM {part} WHERE p_size NOT IN (1, 7, 23)")
+text("filter_like", "SELECT p_partkey, p_name FROM {part} WHERE p_name LIKE '%e%' AND p_name NOT LIKE 'a%'")
+text("filter_is_null", "SELECT c.c_custkey FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey IS NULL")
+
+
+@query("filter_ilike_prefix", "SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%re%'")
+def filter_ilike_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").filter(fn.ilike_text("p_name", "RE")).select("p_partkey")
+
+
+@query("filter_string_numeric_coercion", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) > 50")
+def filter_string_numeric_coercion(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "events").withColumn("k", fn.json_extract("props", "k"))
+    return df.filter(fn.compare(df, "k", ">", F.lit(50))).select("event_id", "k")
+
+
+# --- arithmetic and conditions
+
+text("arith_revenue", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge FROM {lineitem}")
+text("div_by_zero_null", "SELECT p_partkey, try_divide(p_retailprice, p_size - 10) AS x FROM {part}", "SELECT p_partkey, p_retailprice / nullif(p_size - 10, 0) AS x FROM {part}")
+text("case_bucket", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS bucket FROM {part}")
+text("if_function", "SELECT o_orderkey, if(o_totalprice > 100000, 'big', 'rest') AS kind FROM {orders}", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'rest' END AS kind FROM {orders}")
+text("unary_minus", "SELECT c_custkey, -c_acctbal AS debt FROM {customer}")
+text("concat_operator", "SELECT n_nationkey, n_name || '-' || CAST(n_regionkey AS STRING) AS tag FROM {nation}", "SELECT n_nationkey, n_name || '-' || CAST(n_regionkey AS VARCHAR) AS tag FROM {nation}")
+
+# --- joins
+
+text("join_inner", "SELECT o.o_orderkey, c.c_name FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 200000")
+text("join_left", "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' GROUP BY c.c_custkey")
+text("join_right", "SELECT c.c_custkey, o.o_orderkey FROM {orders} o RIGHT JOIN {customer} c ON o.o_custkey = c.c_custkey AND o.o_totalprice > 250000")
+text("join_full", "SELECT n.n_name, s.s_name FROM {nation} n FULL JOIN {supplier} s ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000")
+text("join_cross", "SELECT n_name, r_name FROM {nation} CROSS JOIN {region}")
+text("exists_correlated", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
+text("semi_in_subquery", "SELECT p_partkey FROM {part} WHERE p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity = 50)")
+
+
 @query(
     "join_multiway",
     """SELECT r_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue
@@ -30,12 +115,519 @@ def query(name: str, sql: str | None = None):
     JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY r_name""",
 )
 def join_multiway(spark: SparkSession, d: str) -> DataFrame:
-    t = {n: spark.read.parquet(f"{d}/{n}.parquet") for n in ("region", "nation", "customer", "orders")}
-    return (
-        t["orders"].filter("o_totalprice > 1000")
-        .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
-        .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-        .groupBy("r_name")
-        .agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+    t = {n: table(spark, d, n) for n in ("region", "nation", "customer", "orders")}
+    # orders meet customers' nations only; names join the few sums
+    by_nation = t["orders"].filter("o_totalprice > 1000").join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s"))
+    named = by_nation.join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    return named.groupBy("r_name").agg(F.sum("n").alias("n_orders"), F.round(F.sum("s"), 2).alias("revenue"))
+
+
+@query("join_natural", "SELECT l.k, l.a, r.b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) l JOIN (SELECT s_nationkey AS k, s_name AS b FROM supplier) r ON l.k = r.k")
+def join_natural(spark: SparkSession, d: str) -> DataFrame:
+    left = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("a"))
+    return relational.natural_join(left, table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_name").alias("b"))).select("k", "a", "b")
+
+
+@query(
+    "join_theta",
+    "SELECT p_partkey, b.low FROM part JOIN (SELECT CAST(100 * i AS DOUBLE) AS low, CAST(100 * i + 60 AS DOUBLE) AS high FROM range(0, 30) t(i)) b ON p_retailprice >= b.low AND p_retailprice < b.high",
+)
+def join_theta(spark: SparkSession, d: str) -> DataFrame:
+    bands = spark.range(30).select((F.col("id") * 100).cast("double").alias("low"), (F.col("id") * 100 + 60).cast("double").alias("high"))
+    return relational.band_join(table(spark, d, "part"), bands, "p_retailprice", "low", "high", 100.0).select("p_partkey", "low")
+
+
+@query("anti_not_in", "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)")
+def anti_not_in(spark: SparkSession, d: str) -> DataFrame:
+    return relational.not_in(table(spark, d, "supplier"), "s_suppkey", table(spark, d, "lineitem").filter("l_quantity > 49").select("l_suppkey")).select("s_suppkey")
+
+
+@query("lateral_unnest", "SELECT p_partkey, w AS word FROM part, unnest(string_split(p_name, ' ')) t(w)")
+def lateral_unnest(spark: SparkSession, d: str) -> DataFrame:
+    return relational.unnest(table(spark, d, "part"), F.split("p_name", " "), "w").select("p_partkey", F.col("`w.value`").alias("word"))
+
+
+@query("lateral_unnest_left_filtered", "SELECT p_partkey, w AS word FROM part LEFT JOIN LATERAL (SELECT w FROM unnest(string_split(p_name, ' ')) t(w) WHERE w LIKE 'b%') ON true")
+def lateral_unnest_left_filtered(spark: SparkSession, d: str) -> DataFrame:
+    out = relational.unnest(table(spark, d, "part"), F.split("p_name", " "), "w", outer=True, on=lambda x: x.startswith("b"))
+    return out.select("p_partkey", F.col("`w.value`").alias("word"))
+
+
+# --- aggregation
+
+
+@query("agg_global", "SELECT count(*) AS n, round(sum(l_quantity), 2) AS q, round(avg(l_discount), 6) AS d, min(l_tax) AS lo, max(l_tax) AS hi FROM lineitem")
+def agg_global(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").agg(
+        fn.count_rows().alias("n"), F.round(fn.sum_numeric("l_quantity"), 2).alias("q"), F.round(fn.avg_numeric("l_discount"), 6).alias("d"), fn.min_numeric("l_tax").alias("lo"), fn.max_numeric("l_tax").alias("hi")
     )
+
+
+text(
+    "agg_group",
+    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
+    round(avg(l_quantity), 6) AS avg_qty, count(*) AS n FROM {lineitem} WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus""",
+)
+text("agg_having_alias", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING n > 12")
+text("agg_having_call", "SELECT o_custkey, round(max(o_totalprice), 2) AS top FROM {orders} GROUP BY o_custkey HAVING count(*) > 10 AND sum(o_totalprice) > 1500000")
+text("agg_count_rows_vs_distinct", "SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM {orders} GROUP BY o_orderstatus")
+text("agg_on_expression", "SELECT l_returnflag, round(sum(l_quantity) + 1, 2) AS s, round(sum(l_extendedprice) / sum(l_quantity), 6) AS r FROM {lineitem} GROUP BY l_returnflag")
+text("group_by_expression", "SELECT year(o_orderdate) AS y, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM {orders} GROUP BY year(o_orderdate)")
+
+
+@query("agg_diff", "SELECT p_brand, round(max(p_retailprice) - min(p_retailprice), 6) AS spread FROM part GROUP BY p_brand")
+def agg_diff(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").groupBy("p_brand").agg(F.round(fn.diff("p_retailprice"), 6).alias("spread"))
+
+
+@query("agg_first_last", "SELECT n_regionkey, arg_min(n_name, n_name) AS f, arg_max(n_name, n_name) AS l FROM nation GROUP BY n_regionkey")
+def agg_first_last(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "nation").select("n_name", "n_regionkey")
+    return df.groupBy("n_regionkey").agg(fn.first_by_text(df, "n_name").alias("f"), fn.last_by_text(df, "n_name").alias("l"))
+
+
+@query("agg_min_max_numeric", "SELECT event_type, min(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS lo, max(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS hi FROM events GROUP BY event_type")
+def agg_min_max_numeric(spark: SparkSession, d: str) -> DataFrame:
+    k = fn.json_extract("props", "k")
+    return table(spark, d, "events").groupBy("event_type").agg(fn.min_numeric(k).alias("lo"), fn.max_numeric(k).alias("hi"))
+
+
+# --- windows
+
+text("win_count_partition", "SELECT n_nationkey, count(*) OVER (PARTITION BY n_regionkey) AS n FROM {nation}")
+text("win_row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM {orders}")
+text("win_rank", "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM {part}")
+text("win_dense_rank", "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM {part}")
+text("win_sum_running", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS s FROM {orders}")
+text("win_lag_lead", "SELECT event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS after FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+
+# --- order, limits, set operations
+
+text("order_multi_dir", "SELECT p_brand, p_size, p_partkey FROM {part} ORDER BY p_brand, p_size DESC, p_partkey")
+text("limit_offset", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
+text("limit_all", "SELECT r_name FROM {region} ORDER BY r_name LIMIT ALL", "SELECT r_name FROM {region}")
+text("topk_customers", "SELECT c_custkey, round(sum(o_totalprice), 2) AS spent FROM {customer} JOIN {orders} ON o_custkey = c_custkey GROUP BY c_custkey ORDER BY spent DESC, c_custkey LIMIT 20")
+text("union_all", "SELECT n_regionkey AS k FROM {nation} UNION ALL SELECT r_regionkey FROM {region}")
+text("union_distinct", "SELECT n_regionkey AS k FROM {nation} UNION SELECT r_regionkey FROM {region}")
+text("intersect", "SELECT c_nationkey AS k FROM {customer} WHERE c_acctbal < 0 INTERSECT SELECT s_nationkey FROM {supplier}")
+text("except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}")
+text("set_chain", "SELECT n_nationkey AS k FROM {nation} UNION SELECT r_regionkey FROM {region} UNION SELECT s_nationkey + 100 FROM {supplier}")
+
+
+@query("limit_comma", "SELECT p_partkey FROM part ORDER BY p_partkey LIMIT 7 OFFSET 3")
+def limit_comma(spark: SparkSession, d: str) -> DataFrame:
+    return relational.limit_rows(table(spark, d, "part").select("p_partkey").orderBy("p_partkey"), 7, 3)
+
+
+@query("union_by_name", "SELECT n_name AS name, n_nationkey AS key, NULL AS extra FROM nation UNION SELECT r_name, r_regionkey, 'r' FROM region")
+def union_by_name(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"))
+    return relational.union_by_name(a, table(spark, d, "region").select(F.lit("r").alias("extra"), F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")))
+
+
+@query("intersect_bag", "SELECT s_nationkey AS k FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < 0)")
+def intersect_bag(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_nationkey").alias("k"))
+    return relational.intersect_rows(a, table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), bag=True)
+
+
+@query("except_bag", "SELECT c_nationkey AS k FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)")
+def except_bag(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"))
+    return relational.except_rows(a, table(spark, d, "supplier").filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("k")), bag=True)
+
+
+# --- subqueries
+
+text("cte_single", "WITH big AS (SELECT o_custkey, o_totalprice FROM {orders} WHERE o_totalprice > 200000) SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey")
+text("cte_multi_union", "WITH a AS (SELECT n_name AS x FROM {nation} UNION SELECT r_name FROM {region}), b AS (SELECT x FROM a WHERE x LIKE 'A%') SELECT x FROM b UNION SELECT s_name FROM {supplier}")
+text("derived_join", "SELECT s.o_custkey, s.n, c.c_name FROM (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) s JOIN {customer} c ON c.c_custkey = s.o_custkey WHERE s.n > 8")
+text("scalar_subquery", "SELECT p_partkey FROM {part} WHERE p_retailprice > (SELECT avg(p_retailprice) FROM {part})")
+text("scalar_correlated", "SELECT c_custkey, (SELECT max(o_totalprice) FROM {orders} o WHERE o.o_custkey = c.c_custkey) AS top FROM {customer} c")
+
+# --- functions
+
+text("fn_upper_lower", "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l FROM {part}")
+text("fn_round", "SELECT p_partkey, round(p_retailprice, 1) AS r FROM {part}", "SELECT p_partkey, round(p_retailprice, 1) AS r FROM {part}")
+
+
+@query("fn_substr", "SELECT p_partkey, substr(p_name, 2, 4) AS a, '' AS b FROM part")
+def fn_substr(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", fn.substr_text("p_name", 2, 4).alias("a"), fn.substr_text("p_name", 0, 4).alias("b"))
+
+
+@query("fn_length_bytes", "SELECT doc_id, CAST(strlen(text) AS INTEGER) AS n FROM documents")
+def fn_length_bytes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", fn.length_bytes("text").alias("n"))
+
+
+@query("fn_concat", "SELECT c_custkey, concat(c_name, '/', c_mktsegment) AS t FROM customer")
+def fn_concat(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", fn.concat_text("c_name", F.lit("/"), F.lit(None), "c_mktsegment").alias("t"))
+
+
+@query("fn_coalesce_empty", "SELECT doc_id, coalesce(nullif(CASE WHEN lang = 'en' THEN '' ELSE lang END, ''), source) AS x FROM documents")
+def fn_coalesce_empty(spark: SparkSession, d: str) -> DataFrame:
+    lang = F.when(F.col("lang") == "en", "").otherwise(F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", fn.coalesce_text(lang, "source").alias("x"))
+
+
+@query("fn_year_month", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m FROM orders")
+def fn_year_month(spark: SparkSession, d: str) -> DataFrame:
+    t = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, d, "orders").select("o_orderkey", fn.year_of(t).alias("y"), fn.month_of(t).alias("m"))
+
+
+@query("fn_datediff", "SELECT o_orderkey, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS days FROM orders")
+def fn_datediff(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", fn.date_minus(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("1995-01-01")).alias("days"))
+
+
+@query("fn_to_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS t FROM orders")
+def fn_to_date(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", fn.to_date_text(F.date_format("o_orderdate", "dd/MM/yyyy"), "DD/MM/YYYY").alias("t"))
+
+
+@query("date_minus_date", "SELECT l_orderkey, l_linenumber, CAST(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS INTEGER) AS wait FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def date_minus_date(spark: SparkSession, d: str) -> DataFrame:
+    both = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.select("l_orderkey", "l_linenumber", F.datediff("l_shipdate", "o_orderdate").alias("wait"))
+
+
+@query("fn_to_number", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS x FROM events")
+def fn_to_number(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", fn.to_number(fn.json_extract("props", "k")).alias("x"))
+
+
+@query("cast_function", "SELECT c_custkey, CAST(trunc(c_acctbal) AS INTEGER) AS i, CAST(c_nationkey AS VARCHAR) AS s FROM customer")
+def cast_function(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", fn.cast_to("c_acctbal", "integer").alias("i"), fn.cast_to("c_nationkey", "text").alias("s"))
+
+
+text("cast_operator", "SELECT p_partkey, p_size::double / 2 AS half, p_size::string AS s FROM {part}", "SELECT p_partkey, p_size::DOUBLE / 2 AS half, p_size::VARCHAR AS s FROM {part}")
+text("cast_invalid_null", "SELECT p_partkey, try_cast(p_name AS int) AS x FROM {part}", "SELECT p_partkey, TRY_CAST(p_name AS INTEGER) AS x FROM {part}")
+
+
+# --- nested values
+
+
+@query("path_struct", "SELECT c_custkey, c_mktsegment AS segment, c_name AS name FROM customer")
+def path_struct(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "customer").select("c_custkey", F.struct(F.struct("c_mktsegment").alias("inner"), F.col("c_name").alias("odd-key")).alias("o"))
+    return df.select("c_custkey", fn.path(df, "o->inner.c_mktsegment").alias("segment"), fn.path(df, 'o."odd-key"').alias("name"))
+
+
+@query("path_array_fanout", "SELECT p_partkey, string_split(p_name, ' ') AS words, string_split(p_name, ' ')[1] AS first FROM part")
+def path_array_fanout(spark: SparkSession, d: str) -> DataFrame:
+    items = F.transform(F.split("p_name", " "), lambda w: F.struct(w.alias("word")))
+    df = table(spark, d, "part").select("p_partkey", items.alias("items"))
+    return df.select("p_partkey", fn.path(df, "items.word").alias("words"), fn.path(df, "items[0].word").alias("first"))
+
+
+@query("array_index_oob", "SELECT vec_id, embedding[1] AS a, CAST(NULL AS FLOAT) AS b FROM embeddings")
+def array_index_oob(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "embeddings")
+    return df.select("vec_id", fn.path(df, "embedding[0]").alias("a"), fn.path(df, "embedding[9999]").alias("b"))
+
+
+@query("array_any", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.3)) > 0")
+def array_any(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").filter(fn.matches_any(F.lit(0.3), "<", "embedding")).select("vec_id")
+
+
+@query("array_all", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x >= 0.25)) = 0")
+def array_all(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").filter(fn.matches_all(F.lit(0.25), ">", "embedding")).select("vec_id")
+
+
+@query("array_contains_all", "SELECT p_partkey FROM part WHERE list_has_all(string_split(p_name, ' '), string_split((SELECT min(p_name) FROM part), ' '))")
+def array_contains_all(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "part")
+    least = df.agg(F.min("p_name")).first()[0]
+    return df.filter(fn.contains_all(F.split("p_name", " "), *least.split(" "))).select("p_partkey")
+
+
+@query("array_overlaps", "SELECT p_partkey FROM part WHERE list_has_any(string_split(p_name, ' '), ['blue', 'red', 'green', 'small'])")
+def array_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").filter(fn.overlaps(F.split("p_name", " "), "blue", "red", "green", "small")).select("p_partkey")
+
+
+@query("array_in_list", "SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'blue') OR list_contains(string_split(p_name, ' '), 'large')")
+def array_in_list(spark: SparkSession, d: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    return table(spark, d, "part").filter(fn.array_compare(words, "=", "blue") | fn.array_compare(words, "=", "large")).select("p_partkey")
+
+
+@query("json_extract", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_extract(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", fn.json_extract("props", "k").alias("k"))
+
+
+@query("json_exists", "SELECT event_id, json_extract(props, '$.k') IS NOT NULL AS a, json_extract(props, '$.none') IS NOT NULL AS b FROM events")
+def json_exists(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", fn.json_exists("props", "k").alias("a"), fn.json_exists("props", "none").alias("b"))
+
+
+@query("json_value", "SELECT event_id, json_extract_string(props, '$.k') AS v FROM events")
+def json_value(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", fn.json_value("props", "k").alias("v"))
+
+
+# --- user functions
+
+
+@query("udf_reverse", "SELECT n_nationkey, reverse(n_name) AS r FROM nation")
+def udf_reverse(spark: SparkSession, d: str) -> DataFrame:
+    e = Engine(spark)
+    e.functions.register_expression("REVERSE_TEXT", "s STRING", "STRING", "reverse(s)")
+    return e.query(f"SELECT n_nationkey, reverse_text(n_name) AS r FROM read_file('{d}/nation.parquet')")
+
+
+@query("udaf_median", "SELECT p_brand, median(p_retailprice) AS m FROM part GROUP BY p_brand")
+def udaf_median(spark: SparkSession, d: str) -> DataFrame:
+    def middle(x: pd.Series) -> float:
+        return float(x.median())
+
+    e = Engine(spark)
+    middle.__annotations__ = {"x": pd.Series, "return": float}
+    e.functions.register_aggregate("MIDDLE", middle, "double")
+    return e.query(f"SELECT p_brand, middle(p_retailprice) AS m FROM read_file('{d}/part.parquet') GROUP BY p_brand")
+
+
+# --- jobs
+
+
+@query("etl_normalize", "SELECT c_custkey, CAST(c_acctbal AS VARCHAR) AS t, TRY_CAST(c_acctbal AS DOUBLE) AS x FROM customer")
+def etl_normalize(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("string").alias("t"), F.col("c_acctbal").cast("string").alias("x"))
+    return etl.normalize(df, {"x": "decimal(10,2)", "c_custkey": "bigint"})[0]
+
+
+@query("etl_mapping", "SELECT c_custkey AS id, c_name || ' ' || c_mktsegment AS label, 'crm' AS origin, CAST(NULL AS VARCHAR) AS missing FROM customer")
+def etl_mapping(spark: SparkSession, d: str) -> DataFrame:
+    rules = {"id": "c_custkey", "label": "c_name + ' ' + c_mktsegment", "origin": "consts.origin", "missing": "no_such_field"}
+    return etl.map_fields(table(spark, d, "customer"), rules, {"origin": "crm"}).withColumn("missing", F.col("missing").cast("string"))
+
+
+@query("etl_eval_ternary", "SELECT c_custkey AS id, CASE WHEN c_acctbal > 0 AND c_mktsegment = 'BUILDING' THEN 'a' ELSE 'b' END AS kind FROM customer")
+def etl_eval_ternary(spark: SparkSession, d: str) -> DataFrame:
+    return etl.map_fields(table(spark, d, "customer"), {"id": "c_custkey", "kind": 'eval.{{c_acctbal > 0 && c_mktsegment == "BUILDING" ? "a" : "b"}}'})
+
+
+@query("etl_filter", "SELECT c_custkey FROM customer WHERE c_acctbal > 100 AND c_mktsegment <> 'BUILDING'")
+def etl_filter(spark: SparkSession, d: str) -> DataFrame:
+    return etl.filter_rows(table(spark, d, "customer"), 'c_acctbal > 100 && c_mktsegment != "BUILDING"').select("c_custkey")
+
+
+@query("etl_formatter_date", "SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders")
+def etl_formatter_date(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "ddMMyyyy").alias("day"))
+    return etl.format_fields(df, {"day": "transform(day, 'DD/MM/YYYY', 'DDMMYYYY')"})[0]
+
+
+@query("etl_formatter_chain", "SELECT p_partkey, 'p:' || replace(upper(trim(p_name)), ' ', '_') || '!' AS p_name FROM part")
+def etl_formatter_chain(spark: SparkSession, d: str) -> DataFrame:
+    return etl.format_fields(table(spark, d, "part").select("p_partkey", "p_name"), {"p_name": "trim()|upper()|replace(' ', '_')|prefix('p:')|suffix('!')"})[0]
+
+
+@query("etl_formatter_default", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'unknown' ELSE lang END AS lang FROM documents")
+def etl_formatter_default(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "documents").select("doc_id", F.when(F.col("lang") != "en", F.col("lang")).alias("lang"))
+    return etl.format_fields(df, {"lang": "default('unknown')"})[0]
+
+
+@query(
+    "etl_key_value",
+    """SELECT c_custkey, 'c_name' AS key, c_name AS value, 'string' AS value_type FROM customer UNION ALL
+    SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR), 'int' FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment, 'string' FROM customer""",
+)
+def etl_key_value(spark: SparkSession, d: str) -> DataFrame:
+    return etl.key_value(table(spark, d, "customer"), extra=["c_custkey"], exclude=["c_acctbal"])
+
+
+@query("etl_aggregator", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, CAST(floor(avg(value) + 0.5) AS BIGINT) AS mean, max(value) AS top FROM events GROUP BY event_type")
+def etl_aggregator(spark: SparkSession, d: str) -> DataFrame:
+    out = etl.aggregate(table(spark, d, "events"), ["event_type"], [("count", "value", "n"), ("sum", "value", "total"), ("avg", "value", "mean"), ("max", "value", "top")])
+    return out.withColumn("total", F.round("total", 4))
+
+
+@query("etl_lookup", "SELECT c_custkey, n_name AS nation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def etl_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return relational.lookup_join(table(spark, d, "customer"), table(spark, d, "nation"), "n_nationkey", "c_nationkey", "n_name", "nation").select("c_custkey", "nation")
+
+
+@query("etl_dedup", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def etl_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return etl.deduplicate(table(spark, d, "events"), "user_id", F.col("ts"), F.col("event_id")).select("event_id", "user_id")
+
+
+@query("etl_multi_source", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier")
+def etl_multi_source(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return etl.multi_source(a, table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id")))
+
+
+@query("etl_incremental_checkpoint", "SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE event_id < 500)")
+def etl_incremental_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    c = etl.Checkpoint(spark, _scratch(spark, "checkpoint"), "event_id")
+    events = table(spark, d, "events")
+    c.save(events.filter("event_id < 500"))
+    return c.new_rows(events).select("event_id")
+
+
+@query("etl_dead_letter", "SELECT 'normalize' AS step, count(*) AS n FROM part WHERE TRY_CAST(CASE WHEN p_size % 2 = 0 THEN p_name ELSE '7' END AS BIGINT) IS NULL")
+def etl_dead_letter(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("7").alias("x"))
+    return etl.normalize(df, {"x": "int"})[1].groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("etl_idempotent_anti", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0")
+def etl_idempotent_anti(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    done = orders.filter("o_orderkey % 3 = 0").select(etl.record_key("o_orderkey", "o_custkey").alias("key"))
+    return etl.not_yet_done(orders, done, ["o_orderkey", "o_custkey"]).select("o_orderkey")
+
+
+@query("etl_upsert", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'new' ELSE n_name END AS n_name FROM nation")
+def etl_upsert(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    changes = n.filter("n_regionkey = 1").select("n_nationkey", F.lit("new").alias("n_name"))
+    return etl.upsert(n.select("n_nationkey", "n_name"), changes, "n_nationkey")
+
+
+# --- data quality
+
+
+def _failing(rule: checks.Rule, name: str, key: str):
+    return lambda spark, d: table(spark, d, name).filter(~checks.passes(rule)).select(key)
+
+
+query("dq_not_null", "SELECT doc_id FROM documents WHERE lang IS NULL OR lang = ''")(_failing(checks.Rule("lang", "not_null"), "documents", "doc_id"))
+query("dq_range", "SELECT p_partkey FROM part WHERE NOT p_retailprice BETWEEN 950 AND 1500")(_failing(checks.Rule("p_retailprice", "range", 950, 1500), "part", "p_partkey"))
+query("dq_regex", "SELECT c_custkey FROM customer WHERE NOT regexp_matches(c_name, '[02468]$')")(_failing(checks.Rule("c_name", "regex", pattern="[02468]$"), "customer", "c_custkey"))
+query("dq_email", r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,4}$')")(_failing(checks.Rule("text", "email"), "documents", "doc_id"))
+
+
+@query("dq_unique", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)")
+def dq_unique(spark: SparkSession, d: str) -> DataFrame:
+    v = checks.validate(table(spark, d, "orders"), [checks.Rule("o_custkey", "unique")])
+    return v.filter(F.size("errors") > 0).select("o_orderkey")
+
+
+@query("dq_error_rate", "SELECT count(*) AS total, count_if(c_acctbal < 0) AS failed, round(100.0 * count_if(c_acctbal < 0) / count(*), 6) AS rate, 100.0 * count_if(c_acctbal < 0) / count(*) > 5 AS tripped FROM customer")
+def dq_error_rate(spark: SparkSession, d: str) -> DataFrame:
+    v = checks.validate(table(spark, d, "customer"), [checks.Rule("c_acctbal", "range", 0, 1e9)])
+    return checks.error_rate(v, 5.0, 10).withColumn("rate", F.round("rate", 6))
+
+
+@query("schema_detect")
+def schema_detect(spark: SparkSession, d: str) -> DataFrame:
+    return checks.detect_kinds(table(spark, d, "customer"))
+
+
+@query("schema_drift")
+def schema_drift(spark: SparkSession, d: str) -> DataFrame:
+    r, df = checks.SchemaRegistry(), table(spark, d, "nation")
+    first, drifted = r.register("nation", df), r.drifted("nation", df.withColumn("more", F.lit(1)))
+    return spark.createDataFrame([(first, drifted)], "version int, drifted boolean")
+
+
+# --- streams: what has arrived, against the same sums in batch
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's state, shared where the session names one."""
+    import tempfile
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return f"{shared or tempfile.mkdtemp(prefix='weftline-')}/{name}-{uuid.uuid4().hex}"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return windows.arriving(spark, d, table(spark, d, "events").schema, pattern="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _finished(spark: SparkSession, df: DataFrame, mode: str = "complete") -> DataFrame:
+    return windows.finished(df, _scratch(spark, "state"), _scratch(spark, "out"), mode)
+
+
+
+
+@query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    out = windows.tumbling(_events(spark, d), "ts", "1 hour", F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), keys=["event_type"])
+    return _finished(spark, out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
+
+
+@query(
+    "stream_sliding",
+    "SELECT w AS window_start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY w",
+)
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    out = windows.sliding(_events(spark, d), "ts", "1 hour", "30 minutes", F.count(F.lit(1)).alias("n"))
+    return _finished(spark, out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query(
+    "stream_session",
+    """SELECT user_id, min(ts) AS window_start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM
+    (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > ts - INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""",
+)
+def stream_session(spark: SparkSession, d: str) -> DataFrame:
+    out = windows.sessions(_events(spark, d), "ts", "30 minutes", F.count(F.lit(1)).alias("n"), keys=["user_id"])
+    return _finished(spark, out).select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query("stream_dedup", "SELECT DISTINCT user_id FROM events")
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = windows.deduplicated(_events(spark, d), "ts", ["user_id"], late="10000 days").select("user_id")
+    return _finished(spark, out, "append")
+
+
+# --- others
+
+
+@query("access_column_filter", "SELECT c_custkey, c_name, c_nationkey FROM customer")
+def access_column_filter(spark: SparkSession, d: str) -> DataFrame:
+    return access.restrict(table(spark, d, "customer"), "customer", access.Rules(allow_fields=("customer.*",), deny_fields=("c_acctbal", "customer.c_mktsegment")))
+
+
+@query("html_extract_title", "SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>', 1), '<[^>]*>', '', 'g')), '') AS title FROM pages".replace("\\\\", "\\"))
+def html_extract_title(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", html.tag_text("html", "title").alias("title"))
+
+
+@query("regex_source", "SELECT regexp_extract(url, '^(.*?)://(.*?)/(.*?)$', 1) AS scheme, regexp_extract(url, '^(.*?)://(.*?)/(.*?)$', 2) AS host, regexp_extract(url, '^(.*?)://(.*?)/(.*?)$', 3) AS rest FROM pages WHERE regexp_matches(url, '^(.*?)://(.*?)/(.*?)$')")
+def regex_source(spark: SparkSession, d: str) -> DataFrame:
+    return files.regex_lines(table(spark, d, "pages").select(F.col("url").alias("value")), "<scheme>://<host>/<rest>")
+
+
+_MESSAGE = "MSH|^~\\&|LAB|HOSP|EHR|HOSP|20240102030405||ADT^A01|42|P|2.5\rPID|1||777^^^HOSP||Roe^Jan||19800101|X\rPV1|1|I|W^1^2"
+
+
+def _messages(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, _MESSAGE)], "id int, raw_message string")
+
+
+@query("hl7_segments")
+def hl7_segments(spark: SparkSession, d: str) -> DataFrame:
+    return hl7.segments(_messages(spark)).select("id", "position", "segment", "fields")
+
+
+@query("hl7_document")
+def hl7_document(spark: SparkSession, d: str) -> DataFrame:
+    return hl7.documents(_messages(spark)).select("id", "message_type", "control_id", "timestamp", "json", "xml")
+
+
+@query("dag_layers")
+def dag_layers(spark: SparkSession, d: str) -> DataFrame:
+    found = layers({"extract": [], "clean": ["extract"], "join": ["clean"], "report": ["join"], "audit": ["extract"], "load": ["join", "audit"]})
+    return spark.createDataFrame([(i, job) for i, layer in enumerate(found) for job in layer], "layer int, job string")
+
+
+@query("win_top_per_group", "SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= 3")
+def win_top_per_group(spark: SparkSession, d: str) -> DataFrame:
+    turn = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return table(spark, d, "customer").withColumn("r", F.row_number().over(turn)).filter("r <= 3").select("c_nationkey", "c_custkey")
