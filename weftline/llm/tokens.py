@@ -11,12 +11,13 @@ import os
 import re
 import struct
 
-#: Chunks as the byte-level vocabulary's own split leaves them: a word takes one blank before it.
-BYTE_CHUNKS = r" ?\S+|\s+(?!\S)|\s+"
-#: Chunks for a vocabulary that drops white space.
-WORD_CHUNKS = r"[^ \t\n\r]+"
-#: White space to Python but not to the tokenizers, or differing by version: such texts are encoded whole.
+#: Kinds of vocabulary: byte-level, where a word takes one blank before it, and one that drops white space.
+BYTE_CHUNKS, WORD_CHUNKS = "byte", "word"
+#: White space to Python alone, or differing by version; such texts are encoded whole.
 _ODD = re.compile(r"[\x1c-\x1f\u180e]")
+#: White space other than blank and line feed, or the mark itself: chunks of such texts are found by the vocabulary's own split.
+_OTHER = re.compile(r"[^\S \n]|\x00")
+_SPLIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Longer chunks are encoded each time, so that a cache entry has a bounded size.
 LONGEST_CACHED = 48
 
@@ -24,15 +25,40 @@ LONGEST_CACHED = 48
 class ChunkEncoder:
     """Encodes texts with one tokenizer file; at most ``cache_entries`` chunks are kept."""
 
-    def __init__(self, path: str, chunks: str, cache_entries: int = 1_500_000):
+    def __init__(self, path: str, kind: str, cache_entries: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
-        self.find = re.compile(chunks).findall
         self.most = cache_entries
         self.known: dict[str, bytes] = {}
+        self.chunks = {BYTE_CHUNKS: self.byte_chunks, WORD_CHUNKS: str.split}[kind]
+        self.plain = self.unmarked if kind == BYTE_CHUNKS else str
+
+    @staticmethod
+    def byte_chunks(text: str) -> list[str]:
+        """The chunks of a text: a bare word stands for one with a blank before it, any other chunk has a mark before it.
+
+        Where single blanks and line feeds stand between words, cutting at them
+        gives what the vocabulary's split gives; other texts take that split.
+        """
+        if not _OTHER.search(text):
+            out: list[str] = []
+            for line in text.split("\n"):
+                words = line.split(" ")
+                if "" in words:
+                    break
+                words[0] = f"\x00\n{words[0]}"
+                out += words
+            else:
+                out[0] = f"\x00{out[0][2:]}"
+                return out
+        return [f"\x00{c}" for c in _SPLIT.findall(text)]
+
+    @staticmethod
+    def unmarked(chunk: str) -> str:
+        return chunk[1:] if chunk[0] == "\x00" else f" {chunk}"
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -45,11 +71,11 @@ class ChunkEncoder:
             if _ODD.search(text):
                 out += self._encode([text])
                 continue
-            chunks = self.find(text)
+            chunks = self.chunks(text)
             ids = list(map(self.known.get, chunks))
             if None in ids:
                 new = list({c for c, x in zip(chunks, ids) if x is None})
-                found = dict(zip(new, self._encode(new)))
+                found = dict(zip(new, self._encode([self.plain(c) for c in new])))
                 if len(self.known) + len(found) > self.most:
                     self.known.clear()
                 self.known.update((c, x) for c, x in found.items() if len(c) <= LONGEST_CACHED)
