@@ -147,7 +147,7 @@ def format_steps(text: str) -> list[tuple[str, list[str]]]:
 
 def format_fields(df: DataFrame, fields: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Fields rewritten by steps; a date that fits no layout makes its row a reject."""
-    bad = F.lit(False)
+    df = df.withColumn("_bad", F.lit(False))
     for field, text in fields.items():
         value = F.col(field) if field in df.columns else F.lit(None).cast("string")
         for op, args in format_steps(text):
@@ -155,7 +155,8 @@ def format_fields(df: DataFrame, fields: dict[str, str]) -> tuple[DataFrame, Dat
                 source = value if args[0] in ("current", "self", "this", "_") else F.col(args[0])
                 layouts = [date_layout(a) for a in args[2:]] or list(_LAYOUTS)
                 parsed = F.coalesce(*(F.try_to_timestamp(source.cast("string"), F.lit(x)) for x in layouts))
-                bad = bad | source.isNull() | ((F.trim(source.cast("string")) != "") & parsed.isNull())
+                unfit = source.isNull() | ((F.trim(source.cast("string")) != "") & parsed.isNull())
+                df = df.withColumn("_bad", F.col("_bad") | F.coalesce(unfit, F.lit(True)))
                 value = F.when(F.trim(source.cast("string")) == "", F.lit("")).otherwise(F.date_format(parsed, date_layout(args[1])))
             elif op == "copy":
                 value = F.col(args[0])
@@ -178,9 +179,7 @@ def format_fields(df: DataFrame, fields: dict[str, str]) -> tuple[DataFrame, Dat
             else:
                 raise EngineError(INPUT, f"no format step {op!r}")
         df = df.withColumn(field, value)
-    marked = df.withColumn("_bad", F.coalesce(bad, F.lit(True)))
-    lost = marked.filter("_bad").drop("_bad")
-    return marked.filter("not _bad").drop("_bad"), rejects(lost, "format", F.lit("a date fits no layout"))
+    return df.filter("not _bad").drop("_bad"), rejects(df.filter("_bad").drop("_bad"), "format", F.lit("a date fits no layout"))
 
 
 def key_value(df: DataFrame, key: str = "key", value: str = "value", extra: list[str] | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:

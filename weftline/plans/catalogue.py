@@ -90,7 +90,7 @@ def filter_string_numeric_coercion(spark: SparkSession, d: str) -> DataFrame:
 
 # --- arithmetic and conditions
 
-text("arith_revenue", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge FROM {lineitem}")
+text("arith_revenue", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge FROM {lineitem}")
 text("div_by_zero_null", "SELECT p_partkey, try_divide(p_retailprice, p_size - 10) AS x FROM {part}", "SELECT p_partkey, p_retailprice / nullif(p_size - 10, 0) AS x FROM {part}")
 text("case_bucket", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS bucket FROM {part}")
 text("if_function", "SELECT o_orderkey, if(o_totalprice > 100000, 'big', 'rest') AS kind FROM {orders}", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'rest' END AS kind FROM {orders}")
