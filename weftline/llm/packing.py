@@ -79,6 +79,8 @@ class _Packer:
     def flush(self, last: bool) -> None:
         lengths = [len(x[3]) for x in self.waiting]
         sequences = (sum(lengths) + (self.length - 1) * last) // self.length
+        if not sequences:
+            return  # too little for a sequence: it waits
         ends = [0] * len(lengths)
         offsets = [0] * sequences
         for doc, start, take, s in balance(lengths, self.length, sequences, self.linear, self.quadratic):
