@@ -45,6 +45,12 @@ def test_bad_values_give_null(spark):
     assert one(df.select(fn.year_of("d"), fn.to_number("s"), fn.cast_to("s", "int"), fn.arith(F.lit(1), "/", F.lit(0)), fn.date_minus("d", "d"))) == [(None,) * 5]
 
 
+def test_years_of_all_layouts(spark):
+    texts = ["2024-05-06T07:08:09Z", "2024-05-06T07:08:09.123456+02:00", "2024-05-06 07:08:09", "2024-05-06", "2024/05/06", "05/06/2024"]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    assert one(df.select(fn.year_of("d"), fn.month_of("d"))) == [(2024, 5)] * 6
+
+
 def test_natural_join_without_common_columns_is_empty(spark):
     assert relational.natural_join(spark.range(3), spark.range(3).toDF("x")).count() == 0
 
@@ -135,8 +141,8 @@ def test_engine(spark, tmp_path):
         with pytest.raises(EngineError) as err:
             e.query(text)
         assert err.value.code == code
-    with e.using(timeout_s=0.5), pytest.raises(EngineError) as err:
-        e.rows("SELECT count(*) FROM range(1000000000000) WHERE id % 7 = 8")
+    with e.using(timeout_s=2), pytest.raises(EngineError) as err:
+        e.rows("SELECT count(*) FROM range(0, 100000000000, 1, 8) WHERE sha2(cast(id AS STRING), 512) = 'x'")
     assert err.value.code == "TIMEOUT"
 
 

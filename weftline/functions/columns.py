@@ -28,13 +28,13 @@ _OPS: dict[str, Callable[[Column, Column], Column]] = {
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b,
     ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b,
 }
-#: Names a cast may use, and Spark's types; other names give null.
+#: The names a cast may use, and Spark's types; other names give null.
 CASTS = {
     "int": "int", "integer": "int", "int32": "int", "int64": "bigint", "bigint": "bigint", "float": "double", "float64": "double", "double": "double",
     "decimal": "double", "numeric": "double", "bool": "boolean", "boolean": "boolean", "string": "string", "text": "string", "varchar": "string",
 }
-#: Date layouts that year_of and month_of accept.
-DATE_LAYOUTS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy/MM/dd", "dd/MM/yyyy")
+#: The date layouts that year_of and month_of accept.
+DATE_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy")
 
 
 def _col(c: C) -> Column:

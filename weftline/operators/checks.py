@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import INPUT, EngineError
 
-#: The e-mail rule's pattern.
+#: Fixed value: the e-mail rule's pattern.
 EMAIL = r"^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,4}$"
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..errors import INPUT, EngineError
 
-#: Type names of normalize and Spark's types; a length in brackets is dropped first.
+#: Type names of normalize and Spark's types; a length in brackets is dropped first.
 NORMALIZE_TYPES = {
     "int": "bigint", "integer": "bigint", "year": "bigint", "serial": "bigint", "int8": "tinyint", "tinyint": "tinyint", "int16": "smallint", "smallint": "smallint",
     "smallserial": "smallint", "int32": "int", "mediumint": "int", "int64": "bigint", "bigint": "bigint", "bigserial": "bigint", "uint8": "smallint", "byte": "smallint",
@@ -24,7 +24,8 @@ NORMALIZE_TYPES = {
     "varchar": "string", "char": "string", "json": "string", "jsonb": "string", "uuid": "string", "enum": "string", "date": "timestamp", "datetime": "timestamp",
     "timestamp": "timestamp", "time": "timestamp", "blob": "binary", "bytea": "binary",
 }
-_LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "ddMMyyyy", "yyyyMMdd")
+#: The layouts that a date is tried by where none is given.
+_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd-MM-yyyy")
 REJECT = T.StructType([T.StructField("step", T.StringType()), T.StructField("reason", T.StringType()), T.StructField("record", T.StringType())])
 
 
@@ -108,7 +109,7 @@ def filter_rows(df: DataFrame, condition: str) -> DataFrame:
     return df.filter(F.coalesce(F.expr(expression(condition)), F.lit(False)))
 
 
-#: Tokens of date layouts, longest first, and Spark's.
+#: Tokens of date layouts, and Spark's.
 DATE_TOKENS = (("YYYY", "yyyy"), ("YY", "yy"), ("MMMM", "MMMM"), ("MMM", "MMM"), ("MM", "MM"), ("M", "M"), ("DD", "dd"), ("D", "d"), ("HH", "HH"), ("H", "H"), ("hh", "hh"), ("h", "h"), ("mm", "mm"), ("m", "m"), ("ss", "ss"), ("s", "s"), ("SSS", "SSS"), ("A", "a"), ("a", "a"), ("ZZ", "xx"), ("Z", "xxx"))
 
 

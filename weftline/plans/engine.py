@@ -84,9 +84,9 @@ class Engine:
         """The rows of a result within the limits: a longer one is cut, a slower one is cancelled."""
         df = self.query(query, args) if isinstance(query, str) else query
         df = df.limit(self.limits.max_rows) if self.limits.max_rows else df
-        tag, late = f"weftline-{uuid.uuid4().hex}", threading.Event()
-        timer = threading.Timer(self.limits.timeout_s, lambda: (late.set(), self.spark.interruptTag(tag))) if self.limits.timeout_s else None
-        self.spark.addTag(tag)
+        group, late, sc = f"weftline-{uuid.uuid4().hex}", threading.Event(), self.spark.sparkContext
+        timer = threading.Timer(self.limits.timeout_s, lambda: (late.set(), sc.cancelJobGroup(group))) if self.limits.timeout_s else None
+        sc.setJobGroup(group, "a query with a time limit", interruptOnCancel=True)
         try:
             if timer:
                 timer.start()
@@ -98,7 +98,7 @@ class Engine:
                 raise self._failed(e, late) from e
             raise EngineError(EXECUTION, str(e)) from e
         finally:
-            self.spark.removeTag(tag)
+            sc.setLocalProperty("spark.jobGroup.id", None)
             if timer:
                 timer.cancel()
 
