@@ -1,7 +1,7 @@
 """Exact top-k search by tiled integer matrix products.
 
-Queries are dealt into groups and corpus vectors into shards, both by a hash of
-their id and of bounded size. Each (group, shard) tile is one task's matrix
+Queries are dealt into groups and corpus vectors into shards, both by a hash and
+of bounded size. Each (group, shard) tile is one task's matrix
 product, whose k best per query survive; the lists of a query are then merged
 in a tree of bounded fan-in. Work is queries x vectors, as an exact search
 needs; what moves is vectors x groups + queries x shards, least when groups and
@@ -85,8 +85,8 @@ def top_k(
 
     def side(df: DataFrame, query: bool, groups: int, copies: int) -> DataFrame:
         """Rows with the tile's two numbers; each row is copied to the tiles of the other side."""
-        kept = df.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-        own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+        kept = df.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).distinct()
+        own = F.pmod(F.xxhash64("id", "vector"), F.lit(groups)).cast("int")  # by both, so that an id of many vectors is spread
         other = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
         return kept.select(F.lit(query).alias("query"), own.alias("group" if query else "shard"), other.alias("shard" if query else "group"), F.size("vector").alias("dim"), "id", "vector")
 
@@ -99,13 +99,7 @@ def top_k(
         is_query = t["query"].to_numpy()
         ids = t["id"].to_numpy()
         codes = quantised(t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim), scale)
-        sides = []
-        for mask in (is_query, ~is_query):
-            own, m = ids[mask], codes[mask]
-            if len(np.unique(own)) < len(own):  # rows that repeat an id and a vector count once
-                _, first = np.unique(np.column_stack([own.astype(np.float64), m]), axis=0, return_index=True)
-                own, m = own[first], m[first]
-            sides += [own, m]
+        sides = [x for mask in (is_query, ~is_query) for x in (ids[mask], codes[mask])]
         a, b, s = best_in_tile(*sides, k)
         return pa.table({"query_id": a, "shard": np.full(len(a), key[1].as_py(), np.int32), "vec_id": b, "score": s}, schema=pa.schema([("query_id", pa.int64()), ("shard", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())]))
 
