@@ -177,3 +177,40 @@ def test_layers():
 def test_regex_lines(spark):
     df = spark.createDataFrame([("GET /a.b 200",), ("nonsense",)], "value string")
     assert one(files.regex_lines(df, "<verb> /<path> <code>")) == [("GET", "a.b", "200")]
+
+
+def test_rest_service(spark):
+    import http.server
+    import json
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            body = json.dumps({"data": {"rows": [{"id": 1, "n": "a"}, {"id": 2}]}}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    e = Engine(spark)
+    e.services.register_rest("api", f"http://127.0.0.1:{server.server_port}", "id long, n string", "data.rows")
+    assert one(e.query("SELECT id, n FROM read_service('api') ORDER BY id")) == [(1, "a"), (2, None)]
+    server.shutdown()
+    with pytest.raises(EngineError):
+        e.services.read("nobody.t")
+
+
+def test_streams_load_good_rows_and_rejects(spark, tmp_path):
+    from weftline.streaming import windows
+
+    spark.createDataFrame([("1", "a"), ("x", "b")], "n string, s string").write.parquet(str(tmp_path / "in"))
+    stream = windows.arriving(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    for _ in range(2):  # what was loaded is not loaded again
+        windows.load(stream, lambda b: etl.normalize(b, {"n": "int"}), str(tmp_path / "good"), str(tmp_path / "dead"), str(tmp_path / "state")).awaitTermination()
+    assert one(spark.read.parquet(str(tmp_path / "good")).select("n", "s")) == [(1, "a")]
+    assert spark.read.parquet(str(tmp_path / "dead")).count() == 1
