@@ -21,7 +21,7 @@ from weftline.llm.common import shared_dir
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the highest grade is not too low; the model is fitted on their ratings."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit(quality.graded(docs, labels), grades=3)
+    model = quality.fit(docs, quality.grades_of(labels), grades=3)
     scored = quality.score(docs, model, tail=2, keep=True)
     return scored.filter(F.col("tail_prob") >= quality.KEEP).select(*docs.columns)
 

@@ -41,10 +41,10 @@ from pyspark.sql import types as T
 from .common import written
 
 DIMS = 1 << 17
-PER_GRADE = 3000
+PER_GRADE = 5000
 ROUNDS = 10
 PARTS = 6
-LEAST_Z = 6.0
+LEAST_Z = 4.0
 _WORD = re.compile(r"\w+")
 _CLASS = np.zeros(256, np.int64)  # of a UTF-8 byte: 0 lower-case letter, 1 upper, 2 digit, 3 white space, 4 sign, 5 part of a longer character
 _CLASS[ord("A") : ord("Z") + 1] = 1
@@ -116,13 +116,13 @@ def epoch(w: np.ndarray, squares: np.ndarray, t: np.ndarray, docs: list[tuple[np
 
 
 def fit(
-    rated: DataFrame, grades: int, per_grade: int = PER_GRADE, dims: int = DIMS, rounds: int = ROUNDS, parts: int = PARTS, rate: float = 0.5, least_z: float = LEAST_Z,
+    docs: DataFrame, ratings: DataFrame, grades: int, per_grade: int = PER_GRADE, dims: int = DIMS, rounds: int = ROUNDS, parts: int = PARTS, rate: float = 0.5, least_z: float = LEAST_Z,
     id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade",
 ) -> Model:
-    """The model of texts rated 0 to grades - 1."""
+    """The model of texts (docs: id, text) rated 0 to grades - 1 (ratings: id, grade)."""
     t = np.linspace(-1.0, 1.0, grades - 1)
     w, squares = np.zeros(dims), np.ones(dims)
-    few = _sample(rated, per_grade, id_col, text_col, grade_col)
+    few = _sample(docs, ratings, per_grade, id_col, text_col, grade_col)
 
     def prepare(batches):
         for b in batches:
@@ -145,7 +145,7 @@ def fit(
 
     counts = sum(np.frombuffer(r.data).reshape(grades, dims + 1) for r in ready.select("x", "grade").mapInArrow(count, "data binary").collect())
     telling = _telling(counts[:, :dims], counts[:, dims], least_z)
-    sc = rated.sparkSession.sparkContext
+    sc = docs.sparkSession.sparkContext
     for _ in range(rounds):
         shared = sc.broadcast((w, squares, t, telling))
 
@@ -183,15 +183,20 @@ def _telling(counts: np.ndarray, sizes: np.ndarray, least_z: float) -> np.ndarra
     return out
 
 
-def _sample(rated: DataFrame, per_grade: int, id_col: str, text_col: str, grade_col: str) -> DataFrame:
-    """text, grade, weight, place: the sampled share of each grade."""
-    rows = rated.filter(F.col(grade_col).isNotNull()).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias(text_col), F.col(grade_col).cast("int").alias("grade"))
-    sizes = rated.filter(F.col(grade_col).isNotNull()).groupBy(F.col(grade_col).cast("int").alias("grade")).count()  # a row for each grade
-    rates = sizes.select("grade", F.least(F.lit(1.0), per_grade / F.col("count")).alias("rate"))
+def _sample(docs: DataFrame, ratings: DataFrame, per_grade: int, id_col: str, text_col: str, grade_col: str) -> DataFrame:
+    """text, grade, weight, place: the sampled share of each grade.
+
+    The sample is drawn from the ratings alone, whose rows then number about
+    ``per_grade`` for each grade and are broadcast to find their texts.
+    """
+    rows = ratings.filter(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(grade_col).cast("int").alias("grade"))
+    rates = rows.groupBy("grade").agg(F.least(F.lit(1.0), per_grade / F.count(F.lit(1))).alias("rate"))  # a row for each grade
     place = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    few = rows.join(F.broadcast(rates), "grade").withColumn("place", place).filter(F.col("place") < F.col("rate"))
+    few = rows.join(F.broadcast(rates), "grade").filter(place < F.col("rate"))
     turn = F.xxhash64(F.col("_id").cast("string"), F.lit("order"))  # the sampled share differs by grade, so its hash gives no fair order
-    return few.select(text_col, "grade", (1 / F.sqrt("rate")).alias("weight"), turn.alias("place"))
+    few = few.select("_id", "grade", (1 / F.sqrt("rate")).alias("weight"), turn.alias("place"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
+    return texts.join(F.broadcast(few), "_id").drop("_id")
 
 
 _MODELS: dict[str, Model] = {}
@@ -220,12 +225,11 @@ def score(docs: DataFrame, model: Model, tail: int, id_col: str = "doc_id", text
     return src.mapInArrow(run, schema)
 
 
-def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, grade of the rated documents: 0 for poor quality, 1 for toxic ones of good quality, 2 for the rest."""
+def grades_of(labels: DataFrame) -> DataFrame:
+    """doc_id, grade of the rated documents: 0 for poor quality, 1 for toxic ones of good quality, 2 for the rest; of several ratings the least."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
-    rated = labels.filter("quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    return docs.select("doc_id", "text").join(rated, "doc_id")
+    return labels.filter("quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
 #: A document is kept if its probability of the highest grade is at least this.
-KEEP = 0.3
+KEEP = 0.5

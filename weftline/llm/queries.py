@@ -120,5 +120,5 @@ def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail probability of every document, and whether it is kept."""
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(quality.graded(docs, table(spark, sf_dir, "labels")), grades=3)
+    model = quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels")), grades=3)
     return quality.score(docs, model, tail=2).withColumn("keep", F.col("tail_prob") >= quality.KEEP)
