@@ -15,15 +15,14 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is absent a temporary folder serves, but only for a
     session within one process: on a cluster that would lose data, so it raises.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
     if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    own = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    # a running session doesn't take the setting, but its context takes a folder
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='weftline-')}")
+    return spark.sparkContext.getCheckpointDir()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
