@@ -355,3 +355,36 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(odd)[1].count() == len(ODD) and mixing.mix(none)[1].count() == 0
     times = mixing.mixed(df).count()
     assert times > 0 and mixing.mixed(df).columns == df.columns
+
+
+def test_near_duplicates_that_no_anchor_links(spark):
+    """Many copies of one text, each with edits of its own: pairs are near 0.8, so anchors alone miss links."""
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, texts = [word() for _ in range(150)], []
+    for _ in range(500):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            own[rng.randrange(len(own))] = word()
+        texts.append(own)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = near_dups.signatures(df, 5, 16, 3, "doc_id", "text").select(F.col("doc_id").alias("rep"), "keys", "n", "words")
+    cls = {r.doc_id: r.class_id for r in near_dups.near_duplicates(df).collect()}
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(grams[i] & grams[j])
+            if both / len(grams[i] | grams[j]) >= 0.8:
+                assert cls[i] == cls[j], (i, j)
+    # without any class, the open pairs and the anchors' pairs are all pairs of a bucket
+    none = spark.createDataFrame([], "node long, class long")
+    got = {(r.p, r.q) for part in (near_dups.candidates(found), near_dups.open_pairs(found, none, 0.8)) for r in part.collect()}
+    keys = {r.rep: r["keys"] for r in found.collect()}
+    assert got == {(i, j) for i in keys for j in keys if i < j and any(a == b for a, b in zip(keys[i], keys[j]))}
+
+
+def test_further_links_join_classes(spark):
+    classes = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "node long, class long")
+    links = spark.createDataFrame([(2, 6), (7, 9), (2, 8)], "p long, q long")
+    got = sorted(tuple(r) for r in near_dups.joined_classes(classes, links).select("node", "class").collect())
+    assert got == [(1, 1), (2, 1), (5, 1), (6, 1), (7, 7), (8, 1), (9, 7)]

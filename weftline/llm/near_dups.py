@@ -7,7 +7,10 @@ labels of least hash and keeps them in text order: two texts share a sketch with
 probability about s ** minima, where s is the Jaccard similarity of their labels
 and the order agrees. Texts of one sketch form a bucket. A bucket's two anchors
 (its members of least and greatest hash, other ones in every band) are paired
-with every member, so pairs grow with the members and not with their square.
+with every member. That settles most buckets; a second pass compares what they
+leave open, the pairs of a bucket that are of different classes by then and of
+lengths that allow the similarity. A bucket's largest class is not paired within
+itself, so a large group of copies gives pairs in proportion to its outsiders.
 
 A pair is verified by alignment. As labels are unique, the longest common
 subsequence of two texts is the longest increasing run of matched places, taken
@@ -17,8 +20,7 @@ k-mers, less what is out of order. Verified pairs are links; classes are their
 connected components.
 
 At similarity 0.8, three minima and 16 bands miss a pair's buckets about once in
-100,000. In a bucket, two texts that are linked to none of its anchors are not
-compared by that bucket; they meet in others, with other anchors.
+100,000; every pair that does share a bucket is compared or already of one class.
 
 Equal texts are one text throughout, and their copies are expanded only at the
 end. Links, components and sketches stay in Spark.
@@ -38,7 +40,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +50,8 @@ WORDS = 5
 BANDS = 16
 MINIMA = 3
 SIMILARITY = 0.8
+#: Parts into which a bucket is dealt when its open pairs are formed.
+_SALTS = 8
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,10 +145,10 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, minima: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, a, b (128 bits of the text's hash), keys, words (16 bits each) of every document with a text; written."""
+    """doc_id, a, b (128 bits of the text's hash), keys, n (k-mers), words (16 bits each) of every document with a text; written."""
     src = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     src = src.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(1), text_col).alias("b"), F.col(text_col).alias("text"))
-    schema = T.StructType([src.schema["doc_id"], src.schema["a"], src.schema["b"], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType())])
+    schema = T.StructType([src.schema["doc_id"], src.schema["a"], src.schema["b"], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), T.StructField("words", T.BinaryType())])
 
     def run(batches):
         with np.errstate(over="ignore"):
@@ -152,23 +156,50 @@ def signatures(docs: DataFrame, k: int, bands: int, minima: int, id_col: str, te
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
                     words = [word_hashes(t) for t in part.column(3).to_pylist()]
-                    keys = [sketches(labels(w, k), bands, minima) for w in words]
-                    cols = [part.column(0), part.column(1), part.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array([w.tobytes() for w in words], pa.binary())]
+                    found = [labels(w, k) for w in words]
+                    keys = [sketches(x, bands, minima) for x in found]
+                    cols = [part.column(0), part.column(1), part.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(map(len, found), pa.int64()), pa.array([w.tobytes() for w in words], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return written(src.mapInArrow(run, schema), "near-signatures")
 
 
+def _turn() -> Column:
+    """The order in which a bucket's members become anchors."""
+    return F.struct(F.xxhash64("rep", "band").alias("h"), F.col("rep").alias("rep"))
+
+
 def candidates(texts: DataFrame) -> DataFrame:
     """Distinct pairs (p, q), p < q, of each bucket's anchors with its members."""
     members = texts.select("rep", F.posexplode("keys").alias("band", "key"))
-    turn = F.struct(F.xxhash64("rep", "band").alias("h"), F.col("rep").alias("rep"))
-    buckets = members.groupBy("band", "key").agg(F.min(turn).alias("lo"), F.max(turn).alias("hi")).filter("lo.rep <> hi.rep")
+    buckets = members.groupBy("band", "key").agg(F.min(_turn()).alias("lo"), F.max(_turn()).alias("hi")).filter("lo.rep <> hi.rep")
     met = members.join(buckets.select("band", "key", F.array("lo.rep", "hi.rep").alias("anchors")), ["band", "key"])
     pairs = met.select("rep", F.explode("anchors").alias("anchor")).filter("rep <> anchor")
     return pairs.select(F.least("rep", "anchor").alias("p"), F.greatest("rep", "anchor").alias("q")).distinct()
 
 
+def open_pairs(texts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (p, q), p < q, of one bucket and two classes that its anchors have not settled and whose lengths allow the similarity.
+
+    classes: node, class; a text without one is its own. One side of a pair is
+    outside its bucket's largest class. Members are dealt by a salt as well, so
+    that a large bucket is many tasks' work.
+    """
+    members = texts.select("rep", "n", F.posexplode("keys").alias("band", "key"))
+    members = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    parts = members.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("size"), F.min(_turn()).alias("lo"), F.max(_turn()).alias("hi"))
+    buckets = parts.groupBy("band", "key").agg(
+        F.max_by("class", F.struct("size", "class")).alias("main"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("different"), F.sum("size").alias("size")
+    )
+    buckets = buckets.filter("different > 1 and size > 3").select("band", "key", "main", F.col("lo.rep").alias("lo"), F.col("hi.rep").alias("hi"))
+    met = members.join(buckets, ["band", "key"]).filter("rep <> lo and rep <> hi")
+    x = met.filter("class <> main").select("band", "key", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), "rep", "n", "class")
+    y = met.select("band", "key", F.pmod(F.xxhash64("rep"), F.lit(_SALTS)).cast("int").alias("salt"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("class").alias("class2"), "main")
+    fits = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
+    pairs = x.join(y, ["band", "key", "salt"]).filter((F.col("class") != F.col("class2")) & ((F.col("class2") == F.col("main")) | (F.col("rep") < F.col("rep2"))) & fits)
+    return pairs.select(F.least("rep", "rep2").alias("p"), F.greatest("rep", "rep2").alias("q")).distinct()
+
+
 def verify(pairs: DataFrame, sequences: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs whose alignment reaches the similarity: p, q, similarity. sequences: rep, words."""
     both = pairs.join(sequences.select(F.col("rep").alias("p"), F.col("words").alias("x")), "p").join(sequences.select(F.col("rep").alias("q"), F.col("words").alias("y")), "q")
@@ -200,14 +231,29 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """node, class once further links (p, q) join classes."""
+    ends = links.select("p", "q")
+    for end in ("p", "q"):
+        ends = ends.join(classes.select(F.col("node").alias(end), F.col("class").alias(f"{end}_class")), end, "left")
+    ends = ends.select(F.coalesce("p_class", "p").alias("p"), F.coalesce("q_class", "q").alias("q"))
+    over = components(ends.filter("p <> q").distinct()).select(F.col("node").alias("old"), F.col("class").alias("new"))
+    known = classes.select("node", F.col("class").alias("old"))
+    alone = over.select(F.col("old").alias("node"), "old")  # texts that had no class; a class's own name repeats and is dropped
+    return known.union(alone).distinct().join(over, "old", "left").select("node", F.coalesce("new", "old").alias("class"))
+
+
 def near_duplicates(
     docs: DataFrame, k: int = WORDS, bands: int = BANDS, minima: int = MINIMA, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, class_id, class_size, kept (whether it is its class's least doc_id) of every row."""
     found = signatures(docs, k, bands, minima, id_col, text_col)
-    texts = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    links = written(verify(candidates(texts), found.select(F.col("doc_id").alias("rep"), "words"), k, similarity), "near-links")
-    classes = components(links)
+    texts = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    sequences = found.select(F.col("doc_id").alias("rep"), "words")
+    classes = components(written(verify(candidates(texts), sequences, k, similarity), "near-links"))
+    more = written(verify(open_pairs(texts, classes, similarity), sequences, k, similarity), "near-links")
+    if not more.isEmpty():
+        classes = joined_classes(classes, more)
     reps = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", "copies", F.coalesce("class", "rep").alias("class_id"))
     sizes = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
