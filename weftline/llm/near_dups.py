@@ -9,7 +9,9 @@ and the order agrees. Texts of one sketch form a bucket. A bucket's two anchors
 (its members of least and greatest hash, other ones in every band) are paired
 with every member. That settles most buckets; a second pass compares what they
 leave open, the pairs of a bucket that are of different classes by then and of
-lengths that allow the similarity. A bucket's largest class is not paired within
+lengths and parities that allow the similarity (a text's parity has a bit for
+each residue of its labels, so that two parities differ in no more bits than the
+label sets differ in labels). A bucket's largest class is not paired within
 itself, so a large group of copies gives pairs in proportion to its outsiders.
 
 A pair is verified by alignment. As labels are unique, the longest common
@@ -37,6 +39,7 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,8 @@ WORDS = 5
 BANDS = 16
 MINIMA = 3
 SIMILARITY = 0.8
+#: Longs of a parity, a power of two.
+PARITY = 8
 #: Parts into which a bucket is dealt when its open pairs are formed.
 _SALTS = 8
 _WORD = re.compile(r"\w+")
@@ -119,6 +124,12 @@ def sketches(found: np.ndarray, bands: int = BANDS, minima: int = MINIMA) -> np.
     return out.view(np.int64)
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """PARITY longs: for each residue, whether an odd number of labels has it."""
+    odd = np.bincount((found & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
     """m / (len(a) + len(b) - m) for the m labels on the longest common subsequence within the band; 0 if that can't reach ``similarity``."""
     total = len(a) + len(b)
@@ -145,10 +156,10 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, minima: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, a, b (128 bits of the text's hash), keys, n (k-mers), words (16 bits each) of every document with a text; written."""
+    """doc_id, a, b (128 bits of the text's hash), keys, n (k-mers), bits (their parity), words (16 bits each) of every document with a text; written."""
     src = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     src = src.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(1), text_col).alias("b"), F.col(text_col).alias("text"))
-    schema = T.StructType([src.schema["doc_id"], src.schema["a"], src.schema["b"], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), T.StructField("words", T.BinaryType())])
+    schema = T.StructType([src.schema["doc_id"], src.schema["a"], src.schema["b"], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType())])
 
     def run(batches):
         with np.errstate(over="ignore"):
@@ -158,7 +169,7 @@ def signatures(docs: DataFrame, k: int, bands: int, minima: int, id_col: str, te
                     words = [word_hashes(t) for t in part.column(3).to_pylist()]
                     found = [labels(w, k) for w in words]
                     keys = [sketches(x, bands, minima) for x in found]
-                    cols = [part.column(0), part.column(1), part.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(map(len, found), pa.int64()), pa.array([w.tobytes() for w in words], pa.binary())]
+                    cols = [part.column(0), part.column(1), part.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(map(len, found), pa.int64()), pa.array(map(parity, found), pa.list_(pa.int64())), pa.array([w.tobytes() for w in words], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return written(src.mapInArrow(run, schema), "near-signatures")
@@ -179,13 +190,13 @@ def candidates(texts: DataFrame) -> DataFrame:
 
 
 def open_pairs(texts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (p, q), p < q, of one bucket and two classes that its anchors have not settled and whose lengths allow the similarity.
+    """Distinct pairs (p, q), p < q, of one bucket and two classes that its anchors have not settled and whose lengths and parities allow the similarity.
 
     classes: node, class; a text without one is its own. One side of a pair is
     outside its bucket's largest class. Members are dealt by a salt as well, so
     that a large bucket is many tasks' work.
     """
-    members = texts.select("rep", "n", F.posexplode("keys").alias("band", "key"))
+    members = texts.select("rep", "n", "bits", F.posexplode("keys").alias("band", "key"))
     members = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     parts = members.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("size"), F.min(_turn()).alias("lo"), F.max(_turn()).alias("hi"))
     buckets = parts.groupBy("band", "key").agg(
@@ -193,9 +204,11 @@ def open_pairs(texts: DataFrame, classes: DataFrame, similarity: float) -> DataF
     )
     buckets = buckets.filter("different > 1 and size > 3").select("band", "key", "main", F.col("lo.rep").alias("lo"), F.col("hi.rep").alias("hi"))
     met = members.join(buckets, ["band", "key"]).filter("rep <> lo and rep <> hi")
-    x = met.filter("class <> main").select("band", "key", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), "rep", "n", "class")
-    y = met.select("band", "key", F.pmod(F.xxhash64("rep"), F.lit(_SALTS)).cast("int").alias("salt"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("class").alias("class2"), "main")
+    x = met.filter("class <> main").select("band", "key", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), "rep", "n", "bits", "class")
+    y = met.select("band", "key", F.pmod(F.xxhash64("rep"), F.lit(_SALTS)).cast("int").alias("salt"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("class").alias("class2"), "main")
     fits = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits2", F.lit(i)))) for i in range(PARITY)))
+    fits &= differ <= (F.col("n") + F.col("n2")) * ((1 - similarity) / (1 + similarity)) + 1e-9
     pairs = x.join(y, ["band", "key", "salt"]).filter((F.col("class") != F.col("class2")) & ((F.col("class2") == F.col("main")) | (F.col("rep") < F.col("rep2"))) & fits)
     return pairs.select(F.least("rep", "rep2").alias("p"), F.greatest("rep", "rep2").alias("q")).distinct()
 
@@ -248,7 +261,7 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, class_id, class_size, kept (whether it is its class's least doc_id) of every row."""
     found = signatures(docs, k, bands, minima, id_col, text_col)
-    texts = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    texts = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     sequences = found.select(F.col("doc_id").alias("rep"), "words")
     classes = components(written(verify(candidates(texts), sequences, k, similarity), "near-links"))
     more = written(verify(open_pairs(texts, classes, similarity), sequences, k, similarity), "near-links")
