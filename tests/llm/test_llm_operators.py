@@ -392,3 +392,16 @@ def test_further_links_join_classes(spark):
     links = spark.createDataFrame([(2, 6), (7, 9), (2, 8)], "p long, q long")
     got = sorted(tuple(r) for r in near_dups.joined_classes(classes, links).select("node", "class").collect())
     assert got == [(1, 1), (2, 1), (5, 1), (6, 1), (7, 7), (8, 1), (9, 7)]
+
+
+def test_words_of_one_crc_are_different_words(spark):
+    """Short texts that differ in one word whose CRCs agree in their low 16 bits are not duplicates."""
+    same = {}
+    for i in range(70_000):
+        same.setdefault(zlib.crc32(f"name{i}".encode()) & 0xFFFF, []).append(f"name{i}")
+    pairs = [w[:2] for w in same.values() if len(w) > 1][:40]
+    texts = [form.format(w) for form in ("{}", "dear {}", "dear {} your order is on its way") for pair in pairs for w in pair]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r for r in near_dups.near_duplicates(df).collect() if r.class_size != 1] == []
+    assert near_dups.deduplicated(df).count() == len(texts)
+    assert near_dups.unpacked(near_dups.packed(near_dups.words_of("A b, \u0130x\u00e9 _ \u4e2d 1"))) == near_dups.words_of("A b, \u0130x\u00e9 _ \u4e2d 1")

@@ -14,7 +14,8 @@ each residue of its labels, so that two parities differ in no more bits than the
 label sets differ in labels). A bucket's largest class is not paired within
 itself, so a large group of copies gives pairs in proportion to its outsiders.
 
-A pair is verified by alignment. As labels are unique, the longest common
+A pair is verified by alignment, on 64-bit labels made anew from the words
+themselves, which are stored compressed. As labels are unique, the longest common
 subsequence of two texts is the longest increasing run of matched places, taken
 within the band that an alignment of the wanted similarity can't leave. The
 similarity is m / (a + b - m) for m aligned k-mers: the Jaccard similarity of
@@ -39,7 +40,9 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_left
+from collections.abc import Iterable
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -68,22 +71,39 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Hashes(dict):
-    """CRCs of words, kept."""
+    """64-bit hashes of words, kept."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[word] = h = zlib.crc32(word.encode())
+        self[word] = h = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
         return h
 
 
 _HASHES = _Hashes()
 
 
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    """64 bits for each word."""
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+
+
 def word_hashes(text: str) -> np.ndarray:
-    """16 bits for each word."""
-    found = _WORD.findall(text.lower())
-    return (np.fromiter(map(_HASHES.__getitem__, found), np.uint32, len(found)) & np.uint32(0xFFFF)).astype("<u2")
+    """64 bits for each word of a text."""
+    return hashes(words_of(text))
+
+
+def packed(words: Iterable[str]) -> bytes:
+    """The words themselves, compressed."""
+    return zlib.compress(" ".join(words).encode(), 1)
+
+
+def unpacked(data: bytes) -> list[str]:
+    return zlib.decompress(data).decode().split()
 
 
 def labels(words: np.ndarray, k: int = WORDS) -> np.ndarray:
@@ -156,7 +176,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, minima: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, a, b (128 bits of the text's hash), keys, n (k-mers), bits (their parity), words (16 bits each) of every document with a text; written."""
+    """doc_id, a, b (128 bits of the text's hash), keys, n (k-mers), bits (their parity), words (packed) of every document with a text; written."""
     src = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     src = src.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(1), text_col).alias("b"), F.col(text_col).alias("text"))
     schema = T.StructType([src.schema["doc_id"], src.schema["a"], src.schema["b"], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType())])
@@ -166,10 +186,10 @@ def signatures(docs: DataFrame, k: int, bands: int, minima: int, id_col: str, te
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
-                    words = [word_hashes(t) for t in part.column(3).to_pylist()]
-                    found = [labels(w, k) for w in words]
+                    words = [words_of(t) for t in part.column(3).to_pylist()]
+                    found = [labels(hashes(w), k) for w in words]
                     keys = [sketches(x, bands, minima) for x in found]
-                    cols = [part.column(0), part.column(1), part.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(map(len, found), pa.int64()), pa.array(map(parity, found), pa.list_(pa.int64())), pa.array([w.tobytes() for w in words], pa.binary())]
+                    cols = [part.column(0), part.column(1), part.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(map(len, found), pa.int64()), pa.array(map(parity, found), pa.list_(pa.int64())), pa.array(map(packed, words), pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return written(src.mapInArrow(run, schema), "near-signatures")
@@ -222,7 +242,7 @@ def verify(pairs: DataFrame, sequences: DataFrame, k: int, similarity: float) ->
             for b in batches:
                 found = []
                 for x, y in zip(b.column(2), b.column(3)):
-                    one, two = (labels(np.frombuffer(v.as_buffer(), "<u2"), k) for v in (x, y))
+                    one, two = (labels(hashes(unpacked(v.as_buffer())), k) for v in (x, y))
                     found.append(aligned(one, two, similarity))
                 good = pa.array([s >= similarity - 1e-9 for s in found], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.float64())], names=["p", "q", "similarity"]).filter(good)
