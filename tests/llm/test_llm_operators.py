@@ -264,6 +264,43 @@ def test_rules_resolve_overlaps(spark):
     assert (got[2].detections[0].start, got[2].detections[0].end, got[2].detections[0].form) == (0, 30, "grant")
 
 
+def spelled(tree):
+    """Texts of a parsed pattern: every alternative, optional parts with and without, the first character of a class."""
+    out = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            some = [chr(arg)]
+        elif name == "IN":
+            kind, first = arg[0]
+            some = [" " if str(kind) == "CATEGORY" else chr(first if str(kind) == "LITERAL" else first[0])]
+        elif name == "BRANCH":
+            some = [x for part in arg[1] for x in spelled(part)]
+        elif name == "SUBPATTERN":
+            some = spelled(arg[3])
+        elif name == "MAX_REPEAT":
+            some = [x * n for n in sorted({arg[0], max(arg[0], 1)}) for x in spelled(arg[2])]
+        else:
+            assert name == "ASSERT_NOT", name
+            some = [""]
+        out = [a + b for a in out for b in some]
+    return list(dict.fromkeys(out))
+
+
+def test_no_rule_is_dead(spark):
+    every = []
+    for label, (_, *patterns) in licences.FAMILIES.items():
+        name, spdx, url = (spelled(re._parser.parse(p.replace(licences._S, " ").replace(licences._O, " "))) for p in patterns)
+        every += [(label, "id", f"x SPDX-License-Identifier: {x} y") for x in spdx] + [(label, "address", f"at https://{x} y") for x in url]
+        for x in name:
+            every += [(label, "grant", f"Licensed under the terms of the {x}."), (label, "version", f"The {x} version 2.0."), (label, "version" if x.endswith("1.0") else "name", f"The {x}.".upper())]
+    assert {e[:2] for e in every} == {(r[2], r[3]) for r in licences.rules()}
+    every += [("cc0", "name", "CC0 1.0 Universal"), ("openssl", "name", "OpenSSL License"), ("odc-by", "name", "Open Data Commons Attribution License"), ("lgpl", "name", "GNU Library General Public License"), ("cddl", "name", "Common Development and Distribution License")]
+    df = spark.createDataFrame([(i, e[2]) for i, e in enumerate(every)], "doc_id long, text string")
+    got = {r.doc_id: {(d.label, d.form) for d in r.detections} for r in licences.scan(df).collect()}
+    assert [e for i, e in enumerate(every) if e[:2] not in got[i]] == []
+
+
 # --- 9
 
 

@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-A rule is a regular expression with a label, a keyword and a priority. The
-keyword gate lets a text's rules be tried only where their keyword occurs, and
+A rule is a regular expression with a label, keywords and a priority. The
+keyword gate lets a text's rules be tried only where a keyword of theirs occurs, and
 leaves the many texts without any keyword after a single pass. Detections are
 taken in order of their start; one inside another is dropped, of equal ones the
 rule of higher priority (lower number) stays, and so it does of two that cross.
@@ -31,20 +31,20 @@ BASE_PATTERN = rf"(?i)(?<!{WORD})(?:" + "|".join(_GAP.join(words) for words in B
 
 _S = r"[\s ]{1,8}"
 _O = r"[\s -]{0,8}"
-#: label: (keyword, its name as a pattern, its SPDX id as a pattern, part of its address).
+#: label: (keywords, one of which begins a word of any name, its name as a pattern, its SPDX id as a pattern, part of its address).
 FAMILIES: dict[str, tuple[str, str, str, str]] = {
     "gpl": ("gnu", rf"gnu{_S}(?:general{_S}public{_S}licen[sc]e|gpl)", r"gpl-[123]\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
-    "lgpl": ("lesser", rf"(?:gnu{_S})?(?:lesser|library){_S}general{_S}public{_S}licen[sc]e", r"lgpl-[23]\.[01](?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
+    "lgpl": ("lesser library", rf"(?:gnu{_S})?(?:lesser|library){_S}general{_S}public{_S}licen[sc]e", r"lgpl-[23]\.[01](?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?lgpl"),
     "agpl": ("affero", rf"(?:gnu{_S})?affero{_S}general{_S}public{_S}licen[sc]e", r"agpl-3\.0(?:-only|-or-later)?", r"gnu\.org/licenses/agpl"),
     "gfdl": ("documentation", rf"(?:gnu{_S})?free{_S}documentation{_S}licen[sc]e", r"gfdl-1\.[123](?:-only|-or-later)?", r"gnu\.org/licenses/fdl"),
     "apache": ("apache", rf"apache{_S}(?:software{_S})?licen[sc]e", r"apache-[12]\.[01]", r"apache\.org/licenses"),
     "mit": ("mit", rf"mit{_S}licen[sc]e|mit-style{_S}licen[sc]e", r"mit(?:-0)?", r"opensource\.org/licenses/mit"),
     "bsd": ("bsd", rf"(?:[234]-clause{_S}|new{_S}|simplified{_S}|modified{_S})?bsd{_O}(?:[234]-clause{_S})?(?:-style{_S})?licen[sc]e", r"bsd-[1234]-clause", r"opensource\.org/licenses/bsd"),
-    "0bsd": ("0bsd", rf"(?:bsd{_S}zero{_S}clause|0bsd){_S}licen[sc]e", r"0bsd", r"opensource\.org/licenses/0bsd"),
+    "0bsd": ("0bsd bsd", rf"(?:bsd{_S}zero{_S}clause|0bsd){_S}licen[sc]e", r"0bsd", r"opensource\.org/licenses/0bsd"),
     "mpl": ("mozilla", rf"mozilla{_S}public{_S}licen[sc]e", r"mpl-[12]\.[01]", r"mozilla\.org/mpl"),
     "epl": ("eclipse", rf"eclipse{_S}public{_S}licen[sc]e", r"epl-[12]\.0", r"eclipse\.org/legal/epl"),
     "edl": ("distribution", rf"eclipse{_S}distribution{_S}licen[sc]e", r"edl-1\.0", r"eclipse\.org/org/documents/edl"),
-    "cddl": ("cddl", rf"common{_S}development{_S}and{_S}distribution{_S}licen[sc]e|cddl", r"cddl-1\.[01]", r"opensource\.org/licenses/cddl"),
+    "cddl": ("cddl common", rf"common{_S}development{_S}and{_S}distribution{_S}licen[sc]e|cddl", r"cddl-1\.[01]", r"opensource\.org/licenses/cddl"),
     "cpl": ("common", rf"common{_S}public{_S}licen[sc]e", r"cpl-1\.0", r"opensource\.org/licenses/cpl"),
     "ipl": ("ibm", rf"ibm{_S}public{_S}licen[sc]e", r"ipl-1\.0", r"opensource\.org/licenses/ipl"),
     "artistic": ("artistic", rf"artistic{_S}licen[sc]e", r"artistic-[12]\.0", r"opensource\.org/licenses/artistic"),
@@ -53,14 +53,14 @@ FAMILIES: dict[str, tuple[str, str, str, str]] = {
     "boost": ("boost", rf"boost{_S}software{_S}licen[sc]e", r"bsl-1\.0", r"boost\.org/license"),
     "busl": ("business", rf"business{_S}source{_S}licen[sc]e", r"busl-1\.1", r"mariadb\.com/bsl"),
     "unlicense": ("unlicense", r"(?:the\s)?unlicense", r"unlicense", r"unlicense\.org"),
-    "wtfpl": ("wtfpl", rf"wtfpl|do{_S}what{_S}the{_S}fuck{_S}you{_S}want", r"wtfpl", r"wtfpl\.net"),
+    "wtfpl": ("wtfpl fuck", rf"wtfpl|do{_S}what{_S}the{_S}fuck{_S}you{_S}want", r"wtfpl", r"wtfpl\.net"),
     "cc0": ("cc0", rf"cc0(?:{_O}1\.0)?(?:{_S}universal)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero"),
-    "cc-by": ("cc", rf"(?:cc|creative{_S}commons){_O}(?:by|attribution)(?!{_O}(?:nc|sa|nd|non|share|no))", r"cc-by-[1234]\.0", r"creativecommons\.org/licenses/by/"),
-    "cc-by-sa": ("cc", rf"(?:cc|creative{_S}commons){_O}(?:by|attribution){_O}(?:sa|share-?alike)", r"cc-by-sa-[1234]\.0", r"creativecommons\.org/licenses/by-sa/"),
-    "cc-by-nc": ("cc", rf"(?:cc|creative{_S}commons){_O}(?:by|attribution){_O}(?:nc|non-?commercial)(?!{_O}(?:sa|nd|share|no))", r"cc-by-nc-[1234]\.0", r"creativecommons\.org/licenses/by-nc/"),
-    "cc-by-nd": ("cc", rf"(?:cc|creative{_S}commons){_O}(?:by|attribution){_O}(?:nd|no-?derivs|no-?derivatives)", r"cc-by-nd-[1234]\.0", r"creativecommons\.org/licenses/by-nd/"),
-    "cc-by-nc-sa": ("cc", rf"(?:cc|creative{_S}commons){_O}(?:by|attribution){_O}(?:nc|non-?commercial){_O}(?:sa|share-?alike)", r"cc-by-nc-sa-[1234]\.0", r"creativecommons\.org/licenses/by-nc-sa/"),
-    "cc-by-nc-nd": ("cc", rf"(?:cc|creative{_S}commons){_O}(?:by|attribution){_O}(?:nc|non-?commercial){_O}(?:nd|no-?deriv)", r"cc-by-nc-nd-[1234]\.0", r"creativecommons\.org/licenses/by-nc-nd/"),
+    "cc-by": ("cc creative", rf"(?:cc|creative{_S}commons){_O}(?:by|attribution)(?!{_O}(?:nc|sa|nd|non|share|no))", r"cc-by-[1234]\.0", r"creativecommons\.org/licenses/by/"),
+    "cc-by-sa": ("cc creative", rf"(?:cc|creative{_S}commons){_O}(?:by|attribution){_O}(?:sa|share-?alike)", r"cc-by-sa-[1234]\.0", r"creativecommons\.org/licenses/by-sa/"),
+    "cc-by-nc": ("cc creative", rf"(?:cc|creative{_S}commons){_O}(?:by|attribution){_O}(?:nc|non-?commercial)(?!{_O}(?:sa|nd|share|no))", r"cc-by-nc-[1234]\.0", r"creativecommons\.org/licenses/by-nc/"),
+    "cc-by-nd": ("cc creative", rf"(?:cc|creative{_S}commons){_O}(?:by|attribution){_O}(?:nd|no-?derivs|no-?derivatives)", r"cc-by-nd-[1234]\.0", r"creativecommons\.org/licenses/by-nd/"),
+    "cc-by-nc-sa": ("cc creative", rf"(?:cc|creative{_S}commons){_O}(?:by|attribution){_O}(?:nc|non-?commercial){_O}(?:sa|share-?alike)", r"cc-by-nc-sa-[1234]\.0", r"creativecommons\.org/licenses/by-nc-sa/"),
+    "cc-by-nc-nd": ("cc creative", rf"(?:cc|creative{_S}commons){_O}(?:by|attribution){_O}(?:nc|non-?commercial){_O}(?:nd|no-?deriv)", r"cc-by-nc-nd-[1234]\.0", r"creativecommons\.org/licenses/by-nc-nd/"),
     "ofl": ("font", rf"(?:sil{_S})?open{_S}font{_S}licen[sc]e", r"ofl-1\.[01]", r"scripts\.sil\.org/ofl"),
     "psf": ("python", rf"python{_S}(?:software{_S}foundation{_S})?licen[sc]e", r"(?:psf|python)-2\.0", r"docs\.python\.org/[0-9.]*/?license"),
     "postgresql": ("postgresql", rf"postgresql{_S}licen[sc]e", r"postgresql", r"postgresql\.org/about/licence"),
@@ -69,7 +69,7 @@ FAMILIES: dict[str, tuple[str, str, str, str]] = {
     "ruby": ("ruby", rf"ruby{_S}licen[sc]e", r"ruby", r"ruby-lang\.org/[a-z]+/about/license"),
     "vim": ("vim", rf"vim{_S}licen[sc]e", r"vim", r"vimhelp\.org/uganda"),
     "x11": ("x11", rf"x11{_S}licen[sc]e", r"x11", r"xfree86\.org/[0-9.]*/?license"),
-    "ncsa": ("ncsa", rf"(?:uiuc|university{_S}of{_S}illinois)?/?(?:ncsa){_S}(?:open{_S}source{_S})?licen[sc]e", r"ncsa", r"opensource\.org/licenses/ncsa"),
+    "ncsa": ("ncsa uiuc university", rf"(?:uiuc|university{_S}of{_S}illinois)?/?(?:ncsa){_S}(?:open{_S}source{_S})?licen[sc]e", r"ncsa", r"opensource\.org/licenses/ncsa"),
     "upl": ("universal", rf"universal{_S}permissive{_S}licen[sc]e", r"upl-1\.0", r"opensource\.org/licenses/upl"),
     "eupl": ("union", rf"european{_S}union{_S}public{_S}licen[sc]e", r"eupl-1\.[012]", r"ec\.europa\.eu/[a-z/]*eupl"),
     "osl": ("open", rf"open{_S}software{_S}licen[sc]e", r"osl-[123]\.[01]", r"opensource\.org/licenses/osl"),
@@ -81,7 +81,7 @@ FAMILIES: dict[str, tuple[str, str, str, str]] = {
     "odc-by": ("commons", rf"open{_S}data{_S}commons{_S}attribution{_S}licen[sc]e", r"odc-by-1\.0", r"opendatacommons\.org/licenses/by"),
     "pddl": ("dedication", rf"public{_S}domain{_S}dedication{_S}and{_S}licen[sc]e", r"pddl-1\.0", r"opendatacommons\.org/licenses/pddl"),
     "json": ("json", rf"json{_S}licen[sc]e", r"json", r"json\.org/license"),
-    "beerware": ("beerware", rf"beer-?ware{_S}licen[sc]e", r"beerware", r"people\.freebsd\.org/~phk"),
+    "beerware": ("beer", rf"beer-?ware{_S}licen[sc]e", r"beerware", r"people\.freebsd\.org/~phk"),
     "public-domain": ("domain", rf"(?:in|into){_S}the{_S}public{_S}domain", r"(?:cc-pddc|licenseref-public-domain)", r"creativecommons\.org/licenses/publicdomain"),
     "proprietary": ("rights", rf"all{_S}rights{_S}reserved", r"licenseref-proprietary", r"example\.com/eula"),
 }
@@ -99,13 +99,12 @@ DETECTION = "struct<start:int,end:int,priority:int,label:string,form:string,conf
 
 
 def rules() -> list[tuple[int, float, str, str, str, str]]:
-    """(priority, confidence, label, form, keyword, pattern) of every rule: each family in each form."""
+    """(priority, confidence, label, form, keyword, pattern) of every rule: each family in each form, for each of its keywords."""
     out = []
-    for label, (keyword, name, spdx, url) in FAMILIES.items():
+    for label, (keywords, name, spdx, url) in FAMILIES.items():
         for form, (priority, confidence, pattern) in FORMS.items():
             body = pattern.replace("{name}", name).replace("{spdx}", spdx).replace("{url}", url)
-            gate = {"id": "spdx", "address": "http"}.get(form, "creative" if keyword == "cc" else keyword)
-            for word in dict.fromkeys((gate, gate if form in ("id", "address") else keyword)):
+            for word in {"id": "spdx", "address": "http"}.get(form, keywords).split():
                 out.append((priority, confidence, label, form, word, rf"(?i)(?<!{WORD})(?:{body})(?!{WORD})"))
     return out
 
@@ -147,7 +146,7 @@ def words(text: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, base (array of matched phrases), first_word, last_word, detections."""
     text = text_or_empty("text")
-    words_of = sorted({r[4] for r in rules()} | {w[0] for w in BASE})
+    words_of = sorted({r[4] for r in rules()} | {w[0] for w in BASE}, key=lambda w: (-len(w), w))  # of two that begin alike the longer one first
     gate = F.lit(rf"(?i)(?<!{WORD})(?:" + "|".join(words_of) + ")")
     keywords = F.array_distinct(F.transform(F.regexp_extract_all(text, gate, F.lit(0)), F.lower))
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
