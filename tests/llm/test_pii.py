@@ -1,7 +1,9 @@
 """Personal data against a brute-force version of the base contract, and the added spans."""
 
 import hashlib
+import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -75,6 +77,26 @@ def test_secrets_are_added_and_redacted(spark):
     assert clean == 0
 
 
+def test_long_secrets_are_whole(spark):
+    rng = random.Random(7)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    part = lambda letters, n: "a1B" + "".join(rng.choice(letters) for _ in range(n - 3))
+    forms, places, rows = ("token={}", "the key {}", "api_key: {}"), {}, []
+    for i in range(150):
+        secret = part(string.ascii_letters + string.digits + ("._-+/" if i % 3 != 1 else ""), 500 if i % 2 else 40)
+        text = f"so here is {forms[i % 3].format(secret)} and no more"
+        places[1000 + i] = text.index(secret)
+        rows.append((1000 + i, text, "en", "x", len(text)))
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    spans = {r.doc_id: r.spans for r in pii.find(docs).filter("doc_id >= 1000").collect()}
+    secret = pii.KINDS.index("secret")
+    for i, text, *_ in rows:
+        n = 500 if i % 2 else 40
+        assert any(s.kind == secret and s.start <= places[i] and s.end == places[i] + n for s in spans[i]), text
+    for r in pii.redact(docs).filter("doc_id >= 1000").collect():
+        assert r.text == ("so here is the key [SECRET] and no more" if r.doc_id % 3 == 2 else "so here is [SECRET] and no more")
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(docs).count() == 0

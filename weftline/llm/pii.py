@@ -51,7 +51,7 @@ GENERATORS = {
     "ip": (r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])",),
     "card": (r"(?<![0-9A-Za-z])[0-9](?:[\x20.-]?[0-9]){11,20}(?![0-9A-Za-z])",),
     "phone": (r"(?<![0-9A-Za-z])\+?\(?[0-9]{1,4}\)?(?:[\x20.-]?\(?[0-9]{2,5}\)?){2,5}(?![0-9A-Za-z])",),
-    "secret": (r"(?<![0-9A-Za-z])[A-Z0-9]{16,64}(?![0-9A-Za-z])", r"(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)\s?[=:]\s?\"?[^\s\"]{6,128}\"?"),
+    "secret": (r"(?<![0-9A-Za-z])[0-9A-Za-z]{16,}+", r"(?i)(?<![a-z])(?:password|passwd|secret|token|api[_-]?key)\s?[=:]\s?\"?[^\s\"]{6,}+\"?"),
 }
 #: Only texts with one of these can hold a match or a candidate.
 GATE = r"[0-9@=]|\[at\]|\(at\)|(?i:password|passwd|secret|token|api[_-]?key)"
