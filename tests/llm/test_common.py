@@ -48,3 +48,37 @@ class _Cluster:
 def test_a_cluster_must_name_a_folder():
     with pytest.raises(ValueError, match="shared folder"):
         common.shared_dir(_Cluster())
+
+
+def test_bounded_cache():
+    made = []
+    kept = common.Kept(lambda k: made.append(k) or k * 2, 3)
+    assert [kept[k] for k in (1, 2, 3, 4, 1, 1, 2)] == [2, 4, 6, 8, 2, 2, 4] and made == [1, 2, 3, 4]
+    assert [kept[k] for k in range(100)] == [2 * k for k in range(100)] and len(kept) <= 3 and len(kept.older) <= 3
+    one = common.worker_cache("one", dict)
+    assert common.worker_cache("one", dict) is one
+    common.worker_cache("two", dict)
+    assert common.worker_cache("one", dict) is not one
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (10, 0, 900, 5, 5000, 1, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = [p.column(0).to_pylist() for p in common.slices(batch, 0, most_bytes=1000)]
+    assert [x for p in parts for x in p] == texts and all(len(p) == 1 or sum(len(x or "") for x in p) <= 1000 for p in parts)
+
+
+def test_spans_of_many_matches(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.llm import spans
+
+    n = 40_000
+    df = spark.createDataFrame([(1, "é1 22 " * n), (2, ""), (3, "none")], "i int, text string")
+    got = {r.i: r.s for r in df.select("i", spans.find_all(F.col("text"), "[0-9]+").alias("s")).collect()}
+    assert len(got[1]) == 2 * n and [(s.start, s.end, s.text) for s in got[1][-2:]] == [(6 * n - 5, 6 * n - 4, "1"), (6 * n - 3, 6 * n - 1, "22")]
+    assert got[2] == [] and got[3] == []
+    df = spark.range(1).select(spans.distinct_sorted(F.expr("transform(array(3, 1, 3, 2, 1), x -> struct(x as x))")).alias("a"))
+    assert [r.x for r in df.first().a] == [1, 2, 3]

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +39,81 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Tables that ``written`` has made and nothing has deleted, and the path of each of their DataFrames.
+_WRITTEN: list[str] = []
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder by the Hadoop file system that it is on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(spark: SparkSession, table: DataFrame) -> None:
+    """Delete a table that ``written`` returned; no DataFrame may read it any more."""
+    path = _PATHS.pop(table)
+    _WRITTEN.remove(path)
+    delete(spark, path)
+
+
+def mark() -> int:
+    """How many written tables there are now, for ``sweep``."""
+    return len(_WRITTEN)
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Delete what ``written`` has made since a mark: once results are written elsewhere, nothing reads it any more."""
+    while len(_WRITTEN) > since:
+        delete(spark, _WRITTEN.pop())
+
+
+def slices(batch: pa.RecordBatch, text: int | pa.Array, most_bytes: int = 4 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch of about ``most_bytes`` of text (one row at least) and at most ``most_rows`` rows."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text) if isinstance(text, int) else text), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        to = min(max(at + 1, int(np.searchsorted(ends, before + most_bytes, side="right"))), at + most_rows)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def text_or_empty(col: str | Column = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+class Kept(dict):
+    """Values of a function, kept in a Python worker: those used last, at most ``2 * most``."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:  # a full generation becomes the older one; what is used of it comes back
+            self.older = dict(self)
+            self.clear()
+        value = self.older[key] if key in self.older else self.make(key)
+        self[key] = value
+        return value
+
+
+_KEPT: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]):
+    """What this Python worker keeps between tasks under a name. Workers are reused by later stages, so what another operator kept is let go."""
+    found = _KEPT.get(name)
+    if found is None:
+        _KEPT.clear()
+        found = _KEPT[name] = make()
+    return found

@@ -5,14 +5,19 @@ of k words, each labelled with its occurrence number, so that no label repeats
 in a text. For each of ``bands`` hash functions a sketch takes the ``minima``
 labels of least hash and keeps them in text order: two texts share a sketch with
 probability about s ** minima, where s is the Jaccard similarity of their labels
-and the order agrees. Texts of one sketch form a bucket. A bucket's two anchors
-(its members of least and greatest hash, other ones in every band) are paired
-with every member. That settles most buckets; a second pass compares what they
-leave open, the pairs of a bucket that are of different classes by then and of
-lengths and parities that allow the similarity (a text's parity has a bit for
-each residue of its labels, so that two parities differ in no more bits than the
-label sets differ in labels). A bucket's largest class is not paired within
-itself, so a large group of copies gives pairs in proportion to its outsiders.
+and the order agrees. A text of at most ``SHORT`` labels has more keys: all its
+labels, and all but each one, so that short texts that differ in one label meet
+for certain. Texts of one key form a bucket.
+
+First each member of a bucket is paired with the bucket's anchor, the member
+whose id comes first in an order that is the same in every bucket. Verified pairs
+join their texts to classes. Then the buckets that still hold several classes are
+compared whole, in tiles of bounded size: a tile holds two blocks of a bucket and
+takes the exact number of differing parity bits of every two members (a text's
+parity has a bit for each residue of its labels, so that two parities differ in
+no more bits than the label sets differ in labels). Only pairs of two classes whose lengths
+and parities allow the similarity leave the tile, in the first band that they
+share, and are verified too. What moves is a bucket's members, not its pairs.
 
 A pair is verified by alignment, on 64-bit labels made anew from the words
 themselves, which are stored compressed. As labels are unique, the longest common
@@ -23,16 +28,18 @@ k-mers, less what is out of order. Verified pairs are links; classes are their
 connected components.
 
 At similarity 0.8, three minima and 16 bands miss a pair's buckets about once in
-100,000; every pair that does share a bucket is compared or already of one class.
+100,000, with 10 labels once in 20,000; every pair that does share a bucket is
+compared or already of one class.
 
 Equal texts are one text throughout, and their copies are expanded only at the
 end. Links, components and sketches stay in Spark.
 
-Defined cases: a null text is a class of its own; a text without words is linked
-only to its equals; one of fewer than k words is a single k-mer; a row with a
+Defined cases: a null text differs from every other text; a text without words is
+linked only to its equals; one of fewer than k words is a single k-mer; a row with a
 null doc_id takes no part and gets a null class; rows that repeat a doc_id are
-one document, linked by any of its texts; other columns are ignored; no rows give no
-rows. A class is named by its least doc_id.
+one document, whose texts (null too) are of one class; very long texts are
+compared whole; ties have no say in links, and other columns are ignored,
+whatever their names; no rows give no rows. A class is named by its least doc_id.
 """
 
 from __future__ import annotations
@@ -50,16 +57,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import Kept, discard, slices, worker_cache, written
 
 WORDS = 5
 BANDS = 16
 MINIMA = 3
 SIMILARITY = 0.8
 #: Longs of a parity, a power of two.
-PARITY = 8
-#: Parts into which a bucket is dealt when its open pairs are formed.
-_SALTS = 8
+PARITY = 16
+#: Texts of at most so many labels have keys of all their labels but one.
+SHORT = 9
+#: Members in a block of a bucket; a tile compares two blocks.
+BLOCK = 1024
+#: Parts into which the texts of a class are dealt when they get its size.
+_SALTS = 256
+#: Hashes of words that a worker keeps, twice.
+MOST_WORDS = 150_000
+#: Labels that a verifying task keeps.
+MOST_LABELS = 2_000_000
 _WORD = re.compile(r"\w+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,17 +85,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
-        return h
-
-
-_HASHES = _Hashes()
+def _word_hash(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
 
 
 def words_of(text: str) -> list[str]:
@@ -89,7 +95,8 @@ def words_of(text: str) -> list[str]:
 
 def hashes(words: list[str]) -> np.ndarray:
     """64 bits for each word."""
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    known = worker_cache("near_dups", lambda: Kept(_word_hash, MOST_WORDS))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -127,21 +134,29 @@ def labels(words: np.ndarray, k: int = WORDS) -> np.ndarray:
     return mix(h + number * np.uint64(0xD6E8FEB86659FD93))
 
 
+def _folded(seed: int, found: np.ndarray) -> np.uint64:
+    """One key for some labels in their order."""
+    key = np.uint64(seed)
+    for x in found:
+        key = (key ^ x) * _ODD
+        key ^= key >> np.uint64(32)
+    return key
+
+
 def sketches(found: np.ndarray, bands: int = BANDS, minima: int = MINIMA) -> np.ndarray:
-    """One 64-bit key for each band; none for a text without words."""
+    """One 64-bit key for each band and, of a short text, those of all its labels and of all but one; none for a text without words."""
     n = len(found)
     if not n:
         return np.zeros(0, np.int64)
-    out = np.empty(bands, np.uint64)
+    out = []
     for b in range(bands):
         h = mix(found ^ mix(np.array([b + 1], np.uint64) * _ODD))
         low = np.sort(np.argpartition(h, minima)[:minima]) if n > minima else np.arange(n)
-        key = np.uint64(b)
-        for x in h[low]:
-            key = (key ^ x) * _ODD
-            key ^= key >> np.uint64(32)
-        out[b] = key
-    return out.view(np.int64)
+        out.append(_folded(b, h[low]))
+    if n <= SHORT:
+        out.append(_folded(bands, found))
+        out += [_folded(bands, np.delete(found, i)) for i in range(n) if n > 1]
+    return np.array(out, np.uint64).view(np.int64)
 
 
 def parity(found: np.ndarray) -> np.ndarray:
@@ -176,16 +191,21 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
 
 
 def signatures(docs: DataFrame, k: int, bands: int, minima: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, a, b (128 bits of the text's hash), keys, n (k-mers), bits (their parity), words (packed) of every document with a text; written."""
-    src = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    src = src.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("a"), F.xxhash64(F.lit(1), text_col).alias("b"), F.col(text_col).alias("text"))
-    schema = T.StructType([src.schema["doc_id"], src.schema["a"], src.schema["b"], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("n", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType())])
+    """doc_id, a, b (128 bits of the text's hash), keys, n (k-mers), bits (their parity), words (packed) of every document; written."""
+    text = F.col(text_col)
+    src = docs.filter(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.when(text.isNull(), F.xxhash64(F.lit(2), id_col)).otherwise(F.xxhash64(text)).alias("a"),
+        F.when(text.isNull(), F.xxhash64(F.lit(3), id_col)).otherwise(F.xxhash64(F.lit(1), text)).alias("b"),
+        F.coalesce(text, F.lit("")).alias("text"),
+    )
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([src.schema["doc_id"], src.schema["a"], src.schema["b"], T.StructField("keys", longs), T.StructField("n", T.LongType()), T.StructField("bits", longs), T.StructField("words", T.BinaryType())])
 
     def run(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
+                for part in slices(batch, 3):
                     words = [words_of(t) for t in part.column(3).to_pylist()]
                     found = [labels(hashes(w), k) for w in words]
                     keys = [sketches(x, bands, minima) for x in found]
@@ -195,72 +215,120 @@ def signatures(docs: DataFrame, k: int, bands: int, minima: int, id_col: str, te
     return written(src.mapInArrow(run, schema), "near-signatures")
 
 
-def _turn() -> Column:
-    """The order in which a bucket's members become anchors."""
-    return F.struct(F.xxhash64("rep", "band").alias("h"), F.col("rep").alias("rep"))
-
-
-def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs (p, q), p < q, of each bucket's anchors with its members."""
-    members = texts.select("rep", F.posexplode("keys").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.min(_turn()).alias("lo"), F.max(_turn()).alias("hi")).filter("lo.rep <> hi.rep")
-    met = members.join(buckets.select("band", "key", F.array("lo.rep", "hi.rep").alias("anchors")), ["band", "key"])
-    pairs = met.select("rep", F.explode("anchors").alias("anchor")).filter("rep <> anchor")
-    return pairs.select(F.least("rep", "anchor").alias("p"), F.greatest("rep", "anchor").alias("q")).distinct()
-
-
-def open_pairs(texts: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (p, q), p < q, of one bucket and two classes that its anchors have not settled and whose lengths and parities allow the similarity.
-
-    classes: node, class; a text without one is its own. One side of a pair is
-    outside its bucket's largest class. Members are dealt by a salt as well, so
-    that a large bucket is many tasks' work.
+def _members(texts: DataFrame, bands: int, *more: str) -> DataFrame:
+    """band, key, rep and more columns for every key of every text; the additional keys of short texts share a band of their own."""
+    return texts.select("rep", *more, F.posexplode("keys").alias("at", "key")).select(F.least("at", F.lit(bands)).alias("band"), "key", "rep", *more)
+
+
+def candidates(texts: DataFrame, bands: int = BANDS) -> DataFrame:
+    """Distinct pairs (p, q), p < q, of each bucket's anchor with its members."""
+    members = _members(texts, bands)
+    turn = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))
+    buckets = members.groupBy("band", "key").agg(F.min(turn).alias("anchor"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = members.join(buckets.select("band", "key", F.col("anchor.rep").alias("anchor")), ["band", "key"]).filter("rep <> anchor")
+    return met.select(F.least("rep", "anchor").alias("p"), F.greatest("rep", "anchor").alias("q")).distinct()
+
+
+def tile_pairs(rep: np.ndarray, own: np.ndarray, n: np.ndarray, bits: np.ndarray, earlier: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (p, q), p < q, of a left and a right row whose classes differ, whose lengths and parities allow the similarity and that share no earlier key."""
+    at, to = np.flatnonzero(left), np.flatnonzero(right)
+    out: list[np.ndarray] = []
+    for start in range(0, len(at), 256):
+        i = at[start : start + 256]
+        total = n[i][:, None] + n[to][None, :]
+        good = (own[i][:, None] != own[to][None, :]) & (np.minimum(n[i][:, None], n[to][None, :]) >= similarity * np.maximum(n[i][:, None], n[to][None, :]) - 1e-9)
+        differ = np.zeros(total.shape, np.uint16)
+        for k in range(bits.shape[1]):
+            differ += np.bitwise_count(bits[i, k][:, None] ^ bits[to, k][None, :])
+        x, y = np.nonzero(good & (differ <= total * ((1 - similarity) / (1 + similarity)) + 1e-9))
+        out.append(np.stack([i[x], to[y]]))
+    x, y = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+    fresh = (rep[x] != rep[y]) & ~(earlier[x] == earlier[y]).any(1)
+    p, q = rep[x[fresh]], rep[y[fresh]]
+    return np.minimum(p, q), np.maximum(p, q)
+
+
+def open_pairs(texts: DataFrame, classes: DataFrame, similarity: float, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (p, q), p < q, of one bucket and two classes whose lengths and parities allow the similarity.
+
+    classes: node, class; a text without one is its own. A bucket of m members is
+    cut into m / block blocks by a hash; a member goes to the tiles of its block
+    with every block, so that a large bucket is many tasks' work and a task holds
+    two blocks.
     """
-    members = texts.select("rep", "n", "bits", F.posexplode("keys").alias("band", "key"))
-    members = members.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    parts = members.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("size"), F.min(_turn()).alias("lo"), F.max(_turn()).alias("hi"))
-    buckets = parts.groupBy("band", "key").agg(
-        F.max_by("class", F.struct("size", "class")).alias("main"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("different"), F.sum("size").alias("size")
-    )
-    buckets = buckets.filter("different > 1 and size > 3").select("band", "key", "main", F.col("lo.rep").alias("lo"), F.col("hi.rep").alias("hi"))
-    met = members.join(buckets, ["band", "key"]).filter("rep <> lo and rep <> hi")
-    x = met.filter("class <> main").select("band", "key", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"), "rep", "n", "bits", "class")
-    y = met.select("band", "key", F.pmod(F.xxhash64("rep"), F.lit(_SALTS)).cast("int").alias("salt"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("class").alias("class2"), "main")
-    fits = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
-    differ = reduce(lambda a, b: a + b, (F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits2", F.lit(i)))) for i in range(PARITY)))
-    fits &= differ <= (F.col("n") + F.col("n2")) * ((1 - similarity) / (1 + similarity)) + 1e-9
-    pairs = x.join(y, ["band", "key", "salt"]).filter((F.col("class") != F.col("class2")) & ((F.col("class2") == F.col("main")) | (F.col("rep") < F.col("rep2"))) & fits)
-    return pairs.select(F.least("rep", "rep2").alias("p"), F.greatest("rep", "rep2").alias("q")).distinct()
+    own = texts.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
+    members = _members(own, bands, "class")
+    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    buckets = buckets.filter("lo <> hi and size > 2").select("band", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))  # of two members one is the anchor
+    met = members.join(buckets, ["band", "key"]).select("band", "key", "rep", "class", "blocks")
+    met = met.join(texts.select("rep", "n", "bits", F.slice("keys", 1, bands).alias("keys")), "rep")
+    met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    one = met.filter("blocks = 1").withColumn("other", F.lit(0))
+    met = one.unionByName(met.filter("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    met = met.select("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "class", "n", "bits", "keys")
+
+    def tile(key, t):
+        band, _, i, j = (x.as_py() for x in key)
+        t = t.combine_chunks()
+        rep, own, n, at = (t[c].to_numpy() for c in ("rep", "class", "n", "block"))
+        bits, keys = (t[c].combine_chunks().flatten().to_numpy().reshape(len(rep), -1) for c in ("bits", "keys"))
+        p, q = tile_pairs(rep, own, n, bits.view(np.uint64), keys[:, :band], at == i, at == j, similarity)
+        if i == j:  # every pair was met from both sides
+            p, q = np.unique(np.stack([p, q]), axis=1)
+        return pa.table({"p": p, "q": q}, schema=pa.schema([("p", pa.int64()), ("q", pa.int64())]))
+
+    return met.groupBy("band", "key", "i", "j").applyInArrow(tile, "p long, q long").distinct()
 
 
 def verify(pairs: DataFrame, sequences: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs whose alignment reaches the similarity: p, q, similarity. sequences: rep, words."""
-    both = pairs.join(sequences.select(F.col("rep").alias("p"), F.col("words").alias("x")), "p").join(sequences.select(F.col("rep").alias("q"), F.col("words").alias("y")), "q")
+    """The pairs whose alignment reaches the similarity: p, q, similarity. sequences: rep, n, bits, words."""
+    one, two = (sequences.select(F.col("rep").alias(e), F.col("n").alias(f"{e}_n"), F.col("bits").alias(f"{e}_bits"), F.col("words").alias(f"{e}_words")) for e in "pq")
+    both = pairs.join(one, "p").join(two, "q")
+    fits = F.least("p_n", "q_n") >= similarity * F.greatest("p_n", "q_n") - 1e-9
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.get("p_bits", F.lit(i)).bitwiseXOR(F.get("q_bits", F.lit(i)))) for i in range(PARITY)))
+    fits &= differ <= (F.col("p_n") + F.col("q_n")) * ((1 - similarity) / (1 + similarity)) + 1e-9
 
     def run(batches):
+        known: dict[bytes, np.ndarray] = {}  # a text has many pairs in a row, and a group's texts have them with one another
+        held = 0
+
+        def labels_of(words: pa.BinaryScalar) -> np.ndarray:
+            nonlocal held
+            data = words.as_py()
+            if data not in known:
+                if held > MOST_LABELS:
+                    known.clear()
+                    held = 0
+                known[data] = labels(hashes(unpacked(data)), k)
+                held += len(known[data]) + len(data) // 8
+            return known[data]
+
         with np.errstate(over="ignore"):
             for b in batches:
-                found = []
-                for x, y in zip(b.column(2), b.column(3)):
-                    one, two = (labels(hashes(unpacked(v.as_buffer())), k) for v in (x, y))
-                    found.append(aligned(one, two, similarity))
+                found = [aligned(labels_of(x), labels_of(y), similarity) for x, y in zip(b.column(2), b.column(3))]
                 good = pa.array([s >= similarity - 1e-9 for s in found], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.float64())], names=["p", "q", "similarity"]).filter(good)
 
-    return both.select("p", "q", "x", "y").mapInArrow(run, "p long, q long, similarity double")
+    return both.filter(fits).select("p", "q", "p_words", "q_words").mapInArrow(run, "p long, q long, similarity double")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, class: the least node of its connected component. Links p, q; each round's labels are written."""
-    edges = written(links.select("p", "q").union(links.select("q", "p")), "near-edges")
+    """node, class: the least node of its connected component. Links p, q; each round's labels are written and the last round's deleted."""
+    spark = links.sparkSession
+    edges = written(links.select("p", "q").union(links.select("q", "p")).distinct(), "near-edges")
     label = written(edges.groupBy(F.col("p").alias("node")).agg(F.least(F.min("q"), F.col("node")).alias("class")), "near-labels")
+    old = label
     while True:
         over = edges.join(label.select(F.col("node").alias("q"), F.col("class").alias("near")), "q").groupBy(F.col("p").alias("node")).agg(F.min("near").alias("near"))
         lower = label.join(over, "node").select("node", F.col("class").alias("old"), F.least("class", "near").alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("class").alias("lowest"))  # a label's own label is of the same component
         new = written(lower.join(jump, "low").select("node", "old", F.least("low", "lowest").alias("class")), "near-labels")
         label = new.select("node", "class")
-        if new.filter("old <> class").isEmpty():
+        done = new.filter("old <> class").isEmpty()
+        discard(spark, old)
+        old = new
+        if done:
+            discard(spark, edges)
             return label
 
 
@@ -279,23 +347,31 @@ def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, k: int = WORDS, bands: int = BANDS, minima: int = MINIMA, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, class_id, class_size, kept (whether it is its class's least doc_id) of every row."""
+    """doc_id, class_id, class_size, kept (whether it is its class's least doc_id) of every row; class_size counts rows."""
     found = signatures(docs, k, bands, minima, id_col, text_col)
     texts = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    sequences = found.select(F.col("doc_id").alias("rep"), "words")
-    classes = components(written(verify(candidates(texts), sequences, k, similarity), "near-links"))
-    more = written(verify(open_pairs(texts, classes, similarity), sequences, k, similarity), "near-links")
+    reps = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    repeated = found.groupBy("doc_id").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo <> hi").select("doc_id")  # ids of several texts
+    own = found.select("doc_id", "a", "b").join(repeated, "doc_id", "left_semi").join(reps, ["a", "b"]).select(F.col("doc_id").alias("p"), F.col("rep").alias("q")).filter("p <> q")
+    sequences = found.select(F.col("doc_id").alias("rep"), "n", "bits", "words")
+    links = written(verify(candidates(texts, bands), sequences, k, similarity).select("p", "q").unionByName(own), "near-links")
+    classes = components(links)
+    more = written(verify(open_pairs(texts, classes, similarity, bands), sequences, k, similarity).select("p", "q"), "near-links")
     if not more.isEmpty():
         classes = joined_classes(classes, more)
-    reps = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", "copies", F.coalesce("class", "rep").alias("class_id"))
-    sizes = named.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    of_text = found.select("doc_id", "a", "b").join(named.select("a", "b", "class_id"), ["a", "b"]).join(sizes, "class_id").select("doc_id", "class_id", "class_size")
-    rest = docs.filter(F.col(id_col).isNull() | F.col(text_col).isNull()).select(F.col(id_col).cast("long").alias("doc_id")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", "copies", F.coalesce("class", "rep").alias("class_id"), F.pmod(F.xxhash64("a"), F.lit(_SALTS)).alias("salt"))
+    parts = named.groupBy("class_id", "salt").agg(F.sum("copies").alias("copies"))  # at most _SALTS rows for each class
+    sizes = parts.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.collect_list("salt").alias("salts"))
+    named = named.join(sizes.select("class_id", "class_size", F.explode("salts").alias("salt")), ["class_id", "salt"])
+    of_text = found.select("doc_id", "a", "b").join(named.select("a", "b", "class_id", "class_size"), ["a", "b"]).select("doc_id", "class_id", "class_size")
+    rest = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return of_text.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each class, its least doc_id; rows with a null doc_id stay, of rows that repeat one a single row stays."""
+    """One document of each class, its least doc_id; rows with a null doc_id stay, of rows that repeat one the least by a hash of the row stays (columns of maps and variants have no say)."""
     kept = near_duplicates(docs, id_col=id_col, **options).filter("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    plain = [f.name for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    row, order = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.xxhash64(*(F.col(f"`{c}`") for c in plain)), F.xxhash64(F.lit(1), *(F.col(f"`{c}`") for c in plain)))
+    one = docs.join(kept, id_col, "left_semi").groupBy(id_col).agg(F.min_by(row, order).alias("row")).select("row.*")
+    return one.unionByName(docs.filter(F.col(id_col).isNull()))
