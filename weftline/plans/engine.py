@@ -1,8 +1,11 @@
 """Queries over function-style sources with limits, and their errors.
 
-The text is Spark SQL: Catalyst parses and plans it. ``read_file('path')`` and
-``read_service('name.table')`` in it stand for views that are made for them, and
-a first comment ``-- integration: name`` sends the rest to that database.
+The text is Spark SQL, in which the dialect's own spellings (``functions.dialect``) are
+replaced: Catalyst parses and plans it. ``read_file('path')``,
+``read_service('name.table')`` and sources registered under other names
+(``read_x('…')``) in it stand for views that are made for them, and a first
+comment ``-- integration: name`` sends the rest to that database. Within a query
+a division by 0 or a cast that can't be done gives null.
 """
 
 from __future__ import annotations
@@ -10,19 +13,21 @@ from __future__ import annotations
 import re
 import threading
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException, ParseException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from ..errors import CANCELED, EXECUTION, INPUT, PARSE, TIMEOUT, EngineError
+from ..functions import dialect
 from ..functions.registry import FunctionRegistry
 from ..sources.files import read_file
 from ..sources.services import Services
 
 #: A string (left as it is) or a source.
-_SOURCE = re.compile(r"""\b(read_file|read_service)\s*\(\s*'([^']*)'\s*\)|'(?:[^']|'')*'""")
+_SOURCE = re.compile(r"""\bread_(\w+)\s*\(\s*'([^']*)'\s*\)|'(?:[^']|'')*'""")
 _DIRECTIVE = re.compile(r"^\s*--\s*integration\s*:\s*([\w-]+)\s*(?:\n|\\n)", re.I)
 
 #: The dialect's functions that Spark lacks or means otherwise, as SQL functions: name, parameters, type, body.
@@ -43,15 +48,28 @@ class Limits:
     max_rows: int | None = 10_000
 
 
+class Rows(list):
+    """Rows of a result; ``truncated`` tells that it has more than the limit."""
+
+    truncated = False
+
+
 class Engine:
     """One session's sources, functions and limits."""
 
     def __init__(self, spark: SparkSession, limits: Limits = Limits()):
         self.spark, self.limits = spark, limits
         self.services, self.functions = Services(spark), FunctionRegistry(spark)
+        self.sources: dict[str, Callable[[str], DataFrame]] = {"file": lambda at: read_file(spark, at), "service": self.services.read}
         for name, parameters, kind, body in EXPRESSIONS:
             self.functions.register_expression(name, parameters, kind, body, override=True)
 
+    def register_source(self, name: str, reader: Callable[[str], DataFrame]) -> None:
+        """``read_<name>('text')`` in a query reads reader(text)."""
+        if not name.isidentifier():
+            raise EngineError(INPUT, f"{name!r} is no source name")
+        self.sources[name.lower()] = reader
+
     @contextmanager
     def using(self, **changes):
         """Other limits for a while."""
@@ -65,32 +83,46 @@ class Engine:
         """The DataFrame of a query; parameters (:name or ?) are bound, not pasted."""
         if m := _DIRECTIVE.match(text):
             return self.services.query(m[1], text[m.end() :].strip())
+        before = self.spark.conf.get("spark.sql.ansi.enabled")
         try:
-            return self.spark.sql(_SOURCE.sub(self._view, text), args=args)
+            self.spark.conf.set("spark.sql.ansi.enabled", "false")  # as the query is analysed
+            return self.spark.sql(dialect.spark_sql(_SOURCE.sub(self._view, text)), args=args)
         except ParseException as e:
             raise EngineError(PARSE, str(e)) from e
         except AnalysisException as e:
             raise EngineError(INPUT, str(e)) from e
+        finally:
+            self.spark.conf.set("spark.sql.ansi.enabled", before)
 
     def _view(self, m: re.Match) -> str:
         if not m[1]:
             return m[0]
-        df = read_file(self.spark, m[2]) if m[1].lower() == "read_file" else self.services.read(m[2])
-        name = f"_source_{uuid.uuid5(uuid.NAMESPACE_URL, m[1] + m[2]).hex}"
-        df.createOrReplaceTempView(name)
+        if m[1].lower() not in self.sources:
+            raise EngineError(INPUT, f"no source read_{m[1]}")
+        name = f"_source_{uuid.uuid5(uuid.NAMESPACE_URL, m[1].lower() + m[2]).hex}"
+        self.sources[m[1].lower()](m[2]).createOrReplaceTempView(name)
         return name
 
-    def rows(self, query: str | DataFrame, args: dict | list | None = None) -> list:
-        """The rows of a result within the limits: a longer one is cut, a slower one is cancelled."""
+    def iterate(self, query: str | DataFrame, args: dict | list | None = None) -> Iterator[Row]:
+        """All rows of a result, a partition at a time; for results beyond the limit."""
+        return (self.query(query, args) if isinstance(query, str) else query).toLocalIterator()
+
+    def rows(self, query: str | DataFrame, args: dict | list | None = None) -> Rows:
+        """The rows of a result within the limits: a longer one is cut and marked ``truncated``, a slower one is cancelled."""
         df = self.query(query, args) if isinstance(query, str) else query
-        df = df.limit(self.limits.max_rows) if self.limits.max_rows else df
+        most = self.limits.max_rows
+        df = df.limit(most + 1) if most else df
         group, late, sc = f"weftline-{uuid.uuid4().hex}", threading.Event(), self.spark.sparkContext
         timer = threading.Timer(self.limits.timeout_s, lambda: (late.set(), sc.cancelJobGroup(group))) if self.limits.timeout_s else None
+        outer = {k: sc.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
         sc.setJobGroup(group, "a query with a time limit", interruptOnCancel=True)
         try:
             if timer:
                 timer.start()
-            return df.collect()
+            out = Rows(df.collect())
+            out.truncated = bool(most) and len(out) > most
+            del out[most or len(out) :]
+            return out
         except PySparkException as e:
             raise self._failed(e, late) from e
         except Exception as e:
@@ -98,7 +130,8 @@ class Engine:
                 raise self._failed(e, late) from e
             raise EngineError(EXECUTION, str(e)) from e
         finally:
-            sc.setLocalProperty("spark.jobGroup.id", None)
+            for k, v in outer.items():
+                sc.setLocalProperty(k, v)
             if timer:
                 timer.cancel()
 

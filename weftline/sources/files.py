@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +12,17 @@ from ..errors import INPUT, EngineError
 
 
 def read_file(spark: SparkSession, path: str, kind: str | None = None, **options: str) -> DataFrame:
-    """csv (header, all text), json (array of objects), ndjson, parquet, orc, text or hl7."""
+    """csv (header, all text), json (array of objects), ndjson, parquet, orc, text or hl7.
+
+    Files are cut into many tasks' work at line ends. A csv whose quoted fields hold line ends needs
+    ``multiLine="true"``, and each of its files is then one task's; so is a json array's (many objects: ndjson).
+    """
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
     r = spark.read.options(**options)
     if kind == "csv":
-        return r.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+        return r.csv(path, header=True, inferSchema=False, escape='"')
     if kind == "json":
-        return r.json(path, multiLine=True)
+        return r.option("multiLine", options.get("multiLine", "true")).json(path)
     if kind in ("ndjson", "jsonl"):
         return r.json(path)
     if kind in ("parquet", "orc"):
@@ -40,20 +45,36 @@ def regex_lines(lines: DataFrame, pattern: str, column: str = "value") -> DataFr
     return lines.filter(c.rlike(java)).select(*(F.regexp_extract(c, java, i + 1).alias(n) for i, n in enumerate(names)))
 
 
-def hl7_messages(spark: SparkSession, path: str) -> DataFrame:
-    """raw_message, source_path: one row per message of files, cut before each MSH segment; segments end in carriage returns."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_path"))
-    clean = F.regexp_replace("value", r"\r\n?|\n", "\r")
-    parts = F.split(clean, r"(?:^|\r+)(?=MSH)")
-    rows = files.select(F.explode(parts).alias("raw_message"), "source_path")
-    return rows.select(F.regexp_replace(F.trim("raw_message"), r"^\r+|\r+$", "").alias("raw_message"), "source_path").filter("raw_message <> ''")
+def hl7_messages(spark: SparkSession, path: str, separator: str = "|") -> DataFrame:
+    """raw_message, source_path: one row per message of files, cut before each MSH segment; segments end in carriage returns.
+
+    "MSH" and its field separator serve as the line end, so large files are cut into many tasks' work. What stands
+    before a file's first message (a batch header) is left out; blank lines are, too.
+    """
+    pieces = spark.read.text(path, lineSep=f"MSH{separator}").select("value", F.col("_metadata.file_path").alias("source_path"))
+    begins = F.col("value").rlike(r"^[^A-Za-z0-9\s]{1,5}" + re.escape(separator))  # the encoding characters
+    clean = F.regexp_replace(F.regexp_replace("value", r"\s*[\r\n]\s*", "\r"), r"\r*\s*$", "")
+    return pieces.filter(begins).select(F.concat(F.lit(f"MSH{separator}"), clean).alias("raw_message"), "source_path")
 
 
 def write_file(df: DataFrame, path: str, kind: str, mode: str = "append", one_file: bool = False) -> None:
-    """csv with a header, json lines, parquet or orc. ``one_file`` is for small results."""
+    """csv with a header, json lines, json_array (each file one array), parquet or orc. ``one_file`` is for small results."""
     w = (df.coalesce(1) if one_file else df).write.mode(mode)
     if kind == "csv":
         w.csv(path, header=True)
+    elif kind == "json_array":
+        lines = F.to_json(F.struct(*(f"`{c}`" for c in df.columns)), {"ignoreNullFields": "false"}).alias("value")
+        rows = (df.coalesce(1) if one_file else df).select(lines)
+
+        def arrays(batches):
+            first = True
+            for b in batches:
+                for part in (b.slice(k, 1024) for k in range(0, b.num_rows, 1024)):
+                    yield pa.RecordBatch.from_pydict({"value": [("[" if first and not k else ",") + x for k, x in enumerate(part.column(0).to_pylist())]})
+                    first = False
+            yield pa.RecordBatch.from_pydict({"value": ["[]" if first else "]"]})
+
+        rows.mapInArrow(arrays, "value string").write.mode(mode).text(path)
     elif kind in ("json", "parquet", "orc"):
         getattr(w, kind)(path)
     else:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import INPUT, EngineError
+
 
 def tag_text(html: Column | str, tag: str) -> Column:
     """The text of the first element of a tag, without inner tags; null if there is none."""
@@ -17,3 +21,37 @@ def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     """One row per href of a page, in order."""
     found = F.regexp_extract_all(F.col(html_col), F.lit(r"""(?i)<a\s[^>]*href\s*=\s*["']([^"']*)["']"""), F.lit(1))
     return pages.select(id_col, F.posexplode(found).alias("position", "href"))
+
+
+def _element(selector: str) -> tuple[str, str]:
+    """(pattern of an element, of its opening tag alone) for tag, tag.class or tag#id; the element's inside is group 1."""
+    m = re.fullmatch(r"([\w-]+)(?:\.([\w-]+)|#([\w-]+))?", selector)
+    if not m:
+        raise EngineError(INPUT, f"no selector {selector!r}")
+    tag, cls, ident = m.groups()
+    with_ = rf"""(?=[^>]*\sclass\s*=\s*["'][^"']*(?<![\w-]){cls}(?![\w-]))""" if cls else rf"""(?=[^>]*\sid\s*=\s*["']{ident}["'])""" if ident else ""
+    opening = rf"<{tag}(?=[\s>/]){with_}[^>]*>"
+    return rf"(?is){opening}(.*?)</{tag}\s*>", rf"(?is){opening}"
+
+
+def rows(pages: DataFrame, row: str, fields: dict[str, str], id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """id, position and the fields of every element that a row selector finds, in order.
+
+    A field is a selector within the row, whose text without tags it gives, or selector@attribute; "@attribute" is
+    the row's own, "" the row's text. What is not there is null. Elements of one tag within another end at the inner's end.
+    """
+    whole, opening = _element(row)
+    found = F.regexp_extract_all(F.col(html_col), F.lit(f"(?is)({whole[5:]})"), F.lit(1))
+    out = pages.select(F.col(id_col), F.posexplode(found).alias("position", "_row"))
+
+    def value(selector: str) -> Column:
+        inner, _, attribute = selector.partition("@")
+        at = F.col("_row")
+        if attribute:
+            tag = F.regexp_extract(at, _element(inner)[1] if inner else opening, 0)
+            text = F.regexp_extract(tag, rf"""(?is)\s{re.escape(attribute)}\s*=\s*["']([^"']*)["']""", 1)
+        else:
+            text = F.trim(F.regexp_replace(F.regexp_extract(at, _element(inner)[0] if inner else whole, 1), "<[^>]*>", ""))
+        return F.when(text != "", text)
+
+    return out.select(id_col, "position", *(value(s).alias(name) for name, s in fields.items()))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import time
+import urllib.error
 import urllib.request
 from collections.abc import Callable
 
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import INPUT, EngineError
+from ..operators.access import Rules, restrict
 
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_-]*$")
 _TABLE = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*$")
@@ -22,6 +25,9 @@ class Services:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.readers: dict[str, Callable[[str | None], DataFrame]] = {}
+        self.writers: dict[str, Callable[[DataFrame, str, str], None]] = {}
+        self.rules: dict[str, Rules] = {}
+        self.listed: dict[str, dict[str, DataFrame]] = {}
 
     def register(self, name: str, reader: Callable[[str | None], DataFrame]) -> None:
         """reader: from a table's name (or null) to a DataFrame."""
@@ -30,17 +36,32 @@ class Services:
         self.readers[name] = reader
 
     def register_tables(self, name: str, tables: dict[str, DataFrame]) -> None:
+        self.listed[name] = tables
+        self.writers[name] = lambda df, table, mode: tables.__setitem__(table, df if mode == "overwrite" or table not in tables else tables[table].unionByName(df, allowMissingColumns=True))
         self.register(name, lambda table: tables[table] if table in tables else _missing(name, table))
 
     def register_jdbc(self, name: str, url: str, **options: str) -> None:
         """Tables of a database; filters and columns are pushed down. Options such as partitionColumn deal out the read."""
         self.register(name, lambda table: self.spark.read.format("jdbc").options(url=url, dbtable=table, **options).load())
+        self.writers[name] = lambda df, table, mode: df.write.format("jdbc").options(url=url, dbtable=table, truncate="true", **options).mode(mode).save()
         self.readers[f"{name}?"] = lambda query: self.spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
-    def register_rest(self, name: str, url: str, schema: str, data_path: str = "") -> None:
-        """JSON objects of a GET, at the root or at a dotted path."""
+    def register_rest(
+        self, name: str, url: str, schema: str, data_path: str = "", method: str = "GET", headers: dict[str, str] | None = None, body: str = "", retries: int = 2, pages: int = 1, page_param: str = "page",
+    ) -> None:
+        """JSON objects of an answer, at the root or at a dotted path; ``pages`` numbered pages are read side by side.
+
+        headers carry what the service asks for (Authorization: Bearer …); an answer of 429 or 5xx and a lost
+        connection are tried again. A GraphQL service is a POST whose body holds the query and whose path starts at data.
+        """
         self.spark.dataSource.register(RestSource)
-        self.register(name, lambda table: self.spark.read.format("weftline_rest").schema(schema).options(url=url + (f"/{table}" if table else ""), data_path=data_path).load())
+        fixed = {"data_path": data_path, "method": method, "headers": json.dumps(headers or {}), "body": body, "retries": str(retries)}
+
+        def at(table: str | None) -> str:
+            whole = url + (f"/{table}" if table else "")
+            return whole if pages <= 1 else ",".join(f"{whole}{'&' if '?' in whole else '?'}{page_param}={k + 1}" for k in range(pages))
+
+        self.register(name, lambda table: self.spark.read.format("weftline_rest").schema(schema).options(url=at(table), **fixed).load())
 
     def read(self, text: str) -> DataFrame:
         """service or service.table."""
@@ -49,10 +70,38 @@ class Services:
             raise EngineError(INPUT, f"no service {name!r}")
         if table and not _TABLE.match(table):
             raise EngineError(INPUT, f"{table!r} is no table name")
-        return self.readers[name](table or None)
+        df = self.readers[name](table or None)
+        return restrict(df, table, self.rules[name]) if name in self.rules else df
+
+    def protect(self, name: str, rules: Rules) -> None:
+        """From now on what is read of a service is what the rules allow; its own queries, whose tables can't be told, are refused."""
+        self.rules[name] = rules
+
+    def write(self, df: DataFrame, text: str, mode: str = "append") -> None:
+        """Write to service.table: append makes the table where it is missing, overwrite truncates it."""
+        name, _, table = text.partition(".")
+        if name not in self.writers:
+            raise EngineError(INPUT, f"service {name!r} takes no rows")
+        if not _TABLE.match(table):
+            raise EngineError(INPUT, f"{table!r} is no table name")
+        if name in self.rules and not self.rules[name].table(table):
+            raise EngineError(INPUT, f"table {table!r} may not be written")
+        self.writers[name](df, table, mode)
+
+    def tables(self, name: str) -> DataFrame:
+        """table, column, type of what a service's registered tables hold, as far as its rules allow."""
+        if name not in self.listed:
+            raise EngineError(INPUT, f"service {name!r} lists no tables")
+        rules, rows = self.rules.get(name, Rules()), []
+        for table, df in self.listed[name].items():
+            if rules.table(table):
+                rows += [(table, f.name, f.dataType.simpleString()) for f in df.schema if rules.column(table, f.name)]
+        return self.spark.createDataFrame(rows, "table string, column string, type string")
 
     def query(self, name: str, text: str) -> DataFrame:
         """A database's own query."""
+        if name in self.rules:
+            raise EngineError(INPUT, f"service {name!r} has access rules and takes no queries of its own")
         if f"{name}?" not in self.readers:
             raise EngineError(INPUT, f"service {name!r} takes no queries")
         return self.readers[f"{name}?"](text)
@@ -73,7 +122,7 @@ class RestSource(DataSource):
         return "value string"
 
     def reader(self, schema):
-        return _RestReader(self.options["url"], self.options.get("data_path", ""), schema)
+        return _RestReader(self.options, schema)
 
 
 class _Address(InputPartition):
@@ -82,16 +131,32 @@ class _Address(InputPartition):
 
 
 class _RestReader(DataSourceReader):
-    def __init__(self, urls: str, data_path: str, schema):
-        self.urls, self.data_path, self.fields = urls.split(","), data_path, [f.name for f in schema.fields]
+    def __init__(self, options: dict, schema):
+        self.urls, self.data_path, self.fields = options["url"].split(","), options.get("data_path", ""), [f.name for f in schema.fields]
+        self.method, self.headers, self.body = options.get("method", "GET"), json.loads(options.get("headers", "{}")), options.get("body", "")
+        self.retries = int(options.get("retries", "2"))
 
     def partitions(self):
         return [_Address(u) for u in self.urls]
 
     def read(self, partition):
-        with urllib.request.urlopen(partition.value, timeout=30) as r:
-            data = json.load(r)
-        for key in filter(None, self.data_path.split(".")):
-            data = data[key]
-        for row in data:
+        for row in self._rows(self._answer(partition.value)):
             yield tuple(row.get(f) for f in self.fields)
+
+    def _answer(self, url: str):
+        kind = {"Content-Type": "application/json"} if self.body else {}
+        request = urllib.request.Request(url, self.body.encode() or None, kind | self.headers, method=self.method)
+        for turn in range(self.retries + 1):
+            try:
+                with urllib.request.urlopen(request, timeout=30) as r:
+                    return json.load(r)
+            except urllib.error.URLError as e:
+                passing = not isinstance(e, urllib.error.HTTPError) or e.code == 429 or e.code >= 500
+                if not passing or turn == self.retries:
+                    raise
+            time.sleep(0.2 * 2**turn)
+
+    def _rows(self, data) -> list[dict]:
+        for key in filter(None, self.data_path.split(".")):
+            data = data[int(key)] if isinstance(data, list) else data[key]
+        return data if isinstance(data, list) else [data]
