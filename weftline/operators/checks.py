@@ -44,9 +44,21 @@ def passes(rule: Rule) -> Column:
 
 
 def validate(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """df with errors: the "field: kind" of every rule that a row fails."""
-    failed = (F.when(~passes(r), F.lit(f"{r.field}: {r.kind}")) for r in rules)
-    return df.withColumn("errors", F.array_compact(F.array(*failed)))
+    """df with errors: the "field: kind" of every rule that a row fails.
+
+    Unique values are counted first (in part on each side of the shuffle) and only those that repeat are joined
+    back, so that a value of very many rows is no single task's window.
+    """
+    columns, failed = df.columns, []
+    for k, r in enumerate(rules):
+        bad = F.lit(f"{r.field}: {r.kind}")
+        if r.kind == "unique":
+            again = df.groupBy(F.col(r.field).alias(f"_value{k}")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(f"_value{k}", F.lit(True).alias(f"_again{k}"))
+            df = df.join(again, F.col(r.field).eqNullSafe(F.col(f"_value{k}")), "left")
+            failed.append(F.when(F.col(f"_again{k}"), bad))
+        else:
+            failed.append(F.when(~passes(r), bad))
+    return df.select(*(f"`{c}`" for c in columns), F.array_compact(F.array(*failed)).alias("errors"))
 
 
 def split_valid(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:

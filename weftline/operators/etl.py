@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import INPUT, EngineError
+from ..functions.dialect import arguments, masked, unmasked
 
 #: Type names of normalize and Spark's types; a length in brackets is dropped first.
 NORMALIZE_TYPES = {
@@ -60,21 +61,51 @@ def normalize(df: DataFrame, types: dict[str, str]) -> tuple[DataFrame, DataFram
     return good, rejects(lost, "normalize", F.concat(F.lit("not of its type: "), F.array_join("_bad", ","))).select(*REJECT.names)
 
 
-_TERNARY = re.compile(r"^(.*?)\?(.*):(.*)$", re.S)
-
-
 def expression(text: str) -> str:
-    """A mapping's eval text as Spark SQL: c ? a : b, ==, &&, ||, now() and double-quoted text."""
-    t = text.strip()
-    t = re.sub(r'"([^"]*)"', lambda m: "'" + m[1].replace("'", "''") + "'", t)
+    """A mapping's eval text as Spark SQL: c ? a : b (nested too), ==, &&, ||, now() and double-quoted text; what is quoted stays as it is."""
+    t, parts = masked(text.strip())
+    parts = ["'" + p[1:-1].replace("'", "''") + "'" if p.startswith('"') else p for p in parts]
     t = t.replace("&&", " AND ").replace("||", " OR ").replace("==", "=").replace("now()", "date_format(current_timestamp(), 'yyyy-MM-dd HH:mm:ss')")
-    if m := _TERNARY.match(t):
-        return f"CASE WHEN {m[1].strip()} THEN {m[2].strip()} ELSE {m[3].strip()} END"
-    return t
+    return unmasked(_choice(t), parts)
+
+
+def _choice(t: str) -> str:
+    """c ? a : b as CASE, from the outermost question mark in; brackets keep what is in them together."""
+    depth, asked, open_ = 0, -1, 0
+    for i, ch in enumerate(t):
+        depth += (ch in "([{") - (ch in ")]}")
+        if depth:
+            continue
+        if ch == "?":
+            if asked < 0:
+                asked = i
+            open_ += 1
+        elif ch == ":" and asked >= 0 and t[i - 1 : i + 1] != "::" and t[i : i + 2] != "::":
+            open_ -= 1
+            if not open_:
+                return f"CASE WHEN {_choice(t[:asked].strip())} THEN {_choice(t[asked + 1 : i].strip())} ELSE {_choice(t[i + 1 :].strip())} END"
+    if asked >= 0:
+        raise EngineError(INPUT, f"a choice without its second part: {t!r}")
+    return re.sub(r"\(([^()]*\?[^()]*)\)", lambda m: f"({_choice(m[1])})", t)
+
+
+#: What a mapping may take from beside the row: a prefix and the dotted name of a value.
+CONTEXTS = ("consts", "body", "param", "query", "enums")
+
+
+def _from_context(rule: str, constants: dict | None) -> Column | None:
+    """The value of consts.x, or of body.x, param.x, query.x, enums.a.x, whose values are constants under the prefix's own name; null for a miss."""
+    prefix, _, name = rule.partition(".")
+    if prefix not in CONTEXTS or not name:
+        return None
+    found: object = constants or {}
+    for key in name.split(".") if prefix == "consts" else rule.split("."):
+        found = found.get(key) if isinstance(found, dict) else None
+    return F.lit(found) if not isinstance(found, dict) else F.lit(None)
 
 
 def mapped_value(df: DataFrame, rule: str, constants: dict[str, object] | None = None) -> Column:
-    """A mapping's value: a (dotted) field, consts.x, eval.{{...}}, parts joined by +, or *_suffix; a miss is null."""
+    """A mapping's value: a (dotted) field, consts.x (or body., param., query., enums.), eval.{{...}}, parts joined by +, or *_suffix; a miss is null."""
     from ..functions import path
 
     rule = rule.strip()
@@ -84,8 +115,8 @@ def mapped_value(df: DataFrame, rule: str, constants: dict[str, object] | None =
         return F.concat(*(F.coalesce(mapped_value(df, p, constants).cast("string"), F.lit("")) for p in rule.split(" + ")))
     if m := re.fullmatch(r"'([^']*)'", rule):
         return F.lit(m[1])
-    if rule.startswith("consts."):
-        return F.lit((constants or {}).get(rule[7:]))
+    if (found := _from_context(rule, constants)) is not None and rule.partition(".")[0] not in df.columns:
+        return found
     if rule.startswith("*"):
         found = [c for c in df.columns if c.endswith(rule[1:])]
         return F.coalesce(*(F.col(c) for c in found)) if found else F.lit(None)
@@ -100,6 +131,39 @@ def map_fields(df: DataFrame, mapping: dict[str, str], constants: dict[str, obje
     return df.select(*(mapped_value(df, rule, constants).alias(name) for name, rule in mapping.items()))
 
 
+_LOOKUP = re.compile(r"\blookupIn\s*\(")
+
+
+def map_with_lookups(df: DataFrame, mapping: dict[str, str], constants: dict[str, object] | None, lookups: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Mapped rows and rejects. ``lookupIn('data', 'key field', value, 'target field')`` in an eval is the target of the row of a lookup whose key is the value; a row with a miss is a reject."""
+    from .relational import lookup_join
+
+    columns, out, misses = df.columns, dict(mapping), []
+    for name, rule in mapping.items():
+        text, parts = masked(rule)
+        while m := _LOOKUP.search(text):
+            args, end = arguments(text, m.end())
+            if len(args) != 4:
+                raise EngineError(INPUT, "lookupIn takes four arguments")
+            data, key, value, target = (unmasked(x, parts).strip() for x in args)
+            data, key, target = (x.strip("'\"") for x in (data, key, target))
+            if data not in lookups:
+                raise EngineError(INPUT, f"no lookup {data!r}")
+            k = len(misses)
+            df = df.withColumn(f"_asked{k}", F.expr(expression(value)).cast("string"))
+            df = lookup_join(df, lookups[data].filter(F.col(target).isNotNull()), key, f"_asked{k}", target, f"_found{k}")
+            misses.append(F.when(F.col(f"_found{k}").isNull(), F.concat(F.lit(f"{data}.{key} = "), F.coalesce(f"_asked{k}", F.lit("null")))))
+            text = text[: m.start()] + f"_found{k}" + text[end:]
+        out[name] = unmasked(text, parts)
+    if not misses:
+        return map_fields(df, mapping, constants), df.sparkSession.createDataFrame([], REJECT)
+    df = df.withColumn("_missed", F.array_join(F.array_compact(F.array(*misses)), ", "))
+    good = df.filter("_missed = ''")
+    lost = df.filter("_missed <> ''")
+    dead = lost.select(F.lit("lookup").alias("step"), F.concat(F.lit("no row with "), "_missed").alias("reason"), F.to_json(F.struct(*(f"`{c}`" for c in columns)), {"ignoreNullFields": "false"}).alias("record"))
+    return map_fields(good, out, constants), dead
+
+
 def lowercase_names(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.lower() for c in df.columns))
 
@@ -137,8 +201,12 @@ _CALL = re.compile(r"\s*(\w+)\s*\(((?:[^()'\"]|'[^']*'|\"[^\"]*\")*)\)\s*(?:\||$
 
 def format_steps(text: str) -> list[tuple[str, list[str]]]:
     """The calls of "op(a, b)|op(c)" with their arguments, quotes taken off."""
-    out = []
-    for name, inner in _CALL.findall(text):
+    out, at = [], 0
+    while at < len(text):
+        m = _CALL.match(text, at)
+        if not m:
+            raise EngineError(INPUT, f"no format step at {text[at:]!r}")
+        at, name, inner = m.end(), m[1], m[2]
         args = [a.strip().strip("'\"") for a in re.findall(r"'[^']*'|\"[^\"]*\"|[^,]+", inner)]
         out.append((name.lower(), [a for a in args if a or inner.strip()]))
     if not out:
@@ -227,8 +295,12 @@ def record_key(*fields: str) -> Column:
     return F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(f).cast("string"), F.lit("\x00")) for f in fields)).cast("binary"))
 
 
-def not_yet_done(df: DataFrame, done: DataFrame, fields: list[str]) -> DataFrame:
-    """Rows whose key is not among the completed keys (column key)."""
+def not_yet_done(df: DataFrame, done: DataFrame, fields: list[str], now: Column | None = None, lives_s: int | None = None) -> DataFrame:
+    """Rows whose key is not among the completed keys (column key): where there are columns state and at, those completed less than ``lives_s`` ago."""
+    if "state" in done.columns:
+        done = done.filter("state = 'completed'")
+    if lives_s is not None:
+        done = done.filter(F.col("at") + F.make_dt_interval(secs=F.lit(lives_s)) > (F.current_timestamp() if now is None else now))
     return df.withColumn("key", record_key(*fields)).join(done.select("key").distinct(), "key", "left_anti").drop("key")
 
 
@@ -265,9 +337,32 @@ class Checkpoint:
         return value
 
 
+def dead_letters(dead: DataFrame, now: Column | None = None, attempts: int = 0, wait_s: int = 60, most: int = 3) -> DataFrame:
+    """Rejects as letters: id, failed_at, attempts, next_retry (the wait doubles with each attempt), state pending or, after ``most`` attempts, exhausted."""
+    at = F.current_timestamp() if now is None else now
+    tried = F.lit(attempts + 1)
+    return dead.select(
+        F.md5(F.concat_ws("\x1f", "step", "record").cast("binary")).alias("id"), "step", "reason", "record", at.alias("failed_at"), tried.alias("attempts"),
+        F.when(tried < most, at + F.make_dt_interval(secs=F.lit(wait_s * 2**attempts))).alias("next_retry"), F.when(tried < most, "pending").otherwise("exhausted").alias("state"),
+    )
+
+
+def due(letters: DataFrame, now: Column | None = None) -> DataFrame:
+    """The letters whose time to be tried again has come."""
+    return letters.filter((F.col("state") == "pending") & (F.col("next_retry") <= (F.current_timestamp() if now is None else now)))
+
+
+def letter_counts(letters: DataFrame) -> DataFrame:
+    """step, state, n, and the most attempts of any."""
+    return letters.groupBy("step", "state").agg(F.count(F.lit(1)).alias("n"), F.max("attempts").alias("attempts"))
+
+
 def upsert(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """The target with rows replaced or added by key."""
-    return target.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
+    """The target with rows replaced or added by key; of changes of one key the greatest row counts, and those with a null key are added."""
+    rest = [c for c in changes.columns if c != key]
+    one = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*") if rest else changes.filter(F.col(key).isNotNull()).distinct()
+    one = one.select(*changes.columns).unionByName(changes.filter(F.col(key).isNull()))
+    return target.join(one.select(key), key, "left_anti").unionByName(one, allowMissingColumns=True)
 
 
 def delete_keys(target: DataFrame, keys: DataFrame, key: str) -> DataFrame:

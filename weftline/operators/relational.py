@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A lookup table is broadcast only below this many rows.
-BROADCAST_ROWS = 200_000
-
-
 def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     """Join on all common columns, each once; without any the result is empty, never a cross product."""
     common = [c for c in a.columns if c in b.columns]
@@ -47,10 +43,11 @@ def unnest(df: DataFrame, array: str | Column, alias: str, outer: bool = False,
 
 
 def lookup_join(df: DataFrame, data: DataFrame, key: str, value: str, target: str, name: str | None = None) -> DataFrame:
-    """df with the target field of the first (least) row of data whose key equals df's value; null where there is none."""
+    """df with the target field of the first (least) row of data whose key equals df's value; null where there is none.
+
+    Spark broadcasts the lookup where its size in bytes allows it and shuffles otherwise.
+    """
     one = data.groupBy(F.col(key).cast("string").alias("_key")).agg(F.min(target).alias(name or target))
-    if data.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        one = F.broadcast(one)
     return df.join(one, F.col(value).cast("string") == F.col("_key"), "left").drop("_key")
 
 

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import INPUT, EngineError
@@ -18,15 +18,20 @@ from ..sources.files import read_file, write_file
 
 @dataclass
 class Job:
-    """sources: name to file or DataFrame; steps run in the order normalize, mapping, aggregate, key_value, filter, format, checks, dedup."""
+    """sources: files or DataFrames; steps run in the order normalize, mapping, aggregate, key_value, filter, format, checks, dedup.
+
+    destinations: paths, or settings {path, kind, mode, filter, mapping} of each; every one is loaded, with the rows
+    that its filter leaves. lookups: name to file or DataFrame, for lookupIn in the mapping.
+    """
 
     sources: list
-    destination: str | None = None
+    destinations: list = field(default_factory=list)
     kind: str = "parquet"
     mode: str = "append"
     normalize: dict[str, str] = field(default_factory=dict)
     mapping: dict[str, str] = field(default_factory=dict)
     constants: dict = field(default_factory=dict)
+    lookups: dict = field(default_factory=dict)
     aggregate: dict | None = None
     key_value: dict | None = None
     filter: str | None = None
@@ -38,7 +43,7 @@ class Job:
 
     @staticmethod
     def from_config(text: str) -> Job:
-        """A job from JSON (or YAML where a reader for it is installed); destination or destinations."""
+        """A job from JSON (or YAML where a reader for it is installed); destination or destinations, source or sources."""
         try:
             data = json.loads(text)
         except ValueError:
@@ -47,8 +52,8 @@ class Job:
             except ImportError as e:
                 raise EngineError(INPUT, "the configuration is no JSON and no YAML reader is installed") from e
             data = yaml.safe_load(text)
-        if "destinations" in data:
-            data["destination"] = data.pop("destinations")[0]
+        one = data.pop("destination", None)
+        data["destinations"] = data.pop("destinations", None) or ([one] if one else [])
         data["sources"] = data.pop("sources", None) or [data.pop("source")]
         data["rules"] = [checks.Rule(**r) for r in data.get("rules", [])]
         unknown = set(data) - set(Job.__dataclass_fields__)
@@ -64,15 +69,20 @@ class Summary:
     failed: bool
 
 
+def _frame(spark: SparkSession, source: DataFrame | str) -> DataFrame:
+    return source if isinstance(source, DataFrame) else read_file(spark, source)
+
+
 def plan(spark: SparkSession, job: Job) -> tuple[DataFrame, DataFrame]:
     """(rows to load, rejects) of a job; nothing runs yet."""
-    df = etl.multi_source(*(s if isinstance(s, DataFrame) else read_file(spark, s) for s in job.sources))
+    df = etl.multi_source(*(_frame(spark, s) for s in job.sources))
     dead: list[DataFrame] = []
     if job.normalize:
         df, lost = etl.normalize(df, job.normalize)
         dead.append(lost)
     if job.mapping:
-        df = etl.map_fields(df, job.mapping, job.constants)
+        df, lost = etl.map_with_lookups(df, job.mapping, job.constants, {k: _frame(spark, v) for k, v in job.lookups.items()})
+        dead.append(lost)
     if job.aggregate:
         df = etl.aggregate(df, job.aggregate["group_by"], [tuple(m) for m in job.aggregate["measures"]])
     if job.key_value:
@@ -93,16 +103,40 @@ def plan(spark: SparkSession, job: Job) -> tuple[DataFrame, DataFrame]:
     return df, none
 
 
+def fan_out(good: DataFrame, job: Job) -> list[tuple[DataFrame, str, str, str]]:
+    """(rows, path, kind, mode) of each destination."""
+    out = []
+    for to in job.destinations:
+        to = {"path": to} if isinstance(to, str) else to
+        df = etl.filter_rows(good, to["filter"]) if to.get("filter") else good
+        df = etl.map_fields(df, to["mapping"], job.constants) if to.get("mapping") else df
+        out.append((df, to["path"], to.get("kind", job.kind), to.get("mode", job.mode)))
+    return out
+
+
 def run(spark: SparkSession, job: Job, rejects_to: str | None = None) -> Summary:
-    """Load a job's rows; it fails if its rejects reach max_errors."""
+    """Load a job's rows into all its destinations.
+
+    The rejects are written (or counted) first: a job whose rejects reach max_errors fails and loads nothing. Rows
+    are counted as they are written; ``loaded`` is their sum over the destinations, or the rows of a dry run.
+    """
     good, dead = plan(spark, job)
-    loaded = good.count()
-    if not job.dry_run and job.destination:
-        write_file(good, job.destination, job.kind, job.mode)
-    rejected = dead.count()
-    if rejects_to and rejected:
-        write_file(dead, rejects_to, "parquet", "append")
-    return Summary(loaded, rejected, rejected >= job.max_errors > 0)
+    if rejects_to:
+        rejected = _counted(dead, lambda df: write_file(df, rejects_to, "parquet", "append"))
+    else:
+        rejected = dead.count()
+    if rejected >= job.max_errors > 0:
+        return Summary(0, rejected, True)
+    if job.dry_run or not job.destinations:
+        return Summary(good.count(), rejected, False)
+    return Summary(sum(_counted(df, lambda df, to=to: write_file(df, *to)) for df, *to in fan_out(good, job)), rejected, False)
+
+
+def _counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
+    """Rows that a write takes, counted by the way."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return seen.get["n"]
 
 
 def layers(needs: dict[str, list[str]]) -> list[list[str]]:
