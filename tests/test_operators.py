@@ -134,10 +134,12 @@ def test_hl7(spark, tmp_path):
 def test_engine(spark, tmp_path):
     (tmp_path / "u.csv").write_text("id,name\n1,a\n2,b\n3,c\n")
     e = Engine(spark, Limits(max_rows=2))
-    assert len(e.rows(f"SELECT name FROM read_file('{tmp_path}/u.csv')")) == 2
+    got = e.rows(f"SELECT name FROM read_file('{tmp_path}/u.csv')")
+    assert len(got) == 2 and got.truncated and not e.rows(f"SELECT name FROM read_file('{tmp_path}/u.csv') LIMIT 2").truncated
+    assert sum(1 for _ in e.iterate(f"SELECT name FROM read_file('{tmp_path}/u.csv')")) == 3
     with e.using(max_rows=None):
         assert [r.name for r in e.rows(f"SELECT name FROM read_file('{tmp_path}/u.csv') WHERE id = :x AND 'read_file(''q'')' <> ''", {"x": "2"})] == ["b"]
-    for text, code in (("SELEC 1", "PARSE"), ("SELECT nope FROM read_service('x.y')", "INPUT"), ("SELECT zzz", "INPUT")):
+    for text, code in (("SELEC 1", "PARSE"), ("SELECT 1 FROM read_nothing('x')", "INPUT"), ("SELECT nope FROM read_service('x.y')", "INPUT"), ("SELECT zzz", "INPUT")):
         with pytest.raises(EngineError) as err:
             e.query(text)
         assert err.value.code == code
@@ -214,3 +216,153 @@ def test_streams_load_good_rows_and_rejects(spark, tmp_path):
         windows.load(stream, lambda b: etl.normalize(b, {"n": "int"}), str(tmp_path / "good"), str(tmp_path / "dead"), str(tmp_path / "state")).awaitTermination()
     assert one(spark.read.parquet(str(tmp_path / "good")).select("n", "s")) == [(1, "a")]
     assert spark.read.parquet(str(tmp_path / "dead")).count() == 1
+
+
+def test_rows_keep_the_callers_job_group(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("mine", "the caller's")
+    Engine(spark).rows("SELECT 1")
+    assert sc.getLocalProperty("spark.jobGroup.id") == "mine" and sc.getLocalProperty("spark.job.description") == "the caller's"
+    sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_expressions_leave_quoted_text(spark):
+    df = spark.createDataFrame([(1, "a")], "x int, s string")
+    for text, want in (
+        ("x == 1 ? 'a==b && c || now()' : 'q'", "a==b && c || now()"), ("x == 2 ? 'no' : s == \"a\" ? 'is: yes?' : 'none'", "is: yes?"), ("x > 0 ? (x > 5 ? 'big' : 'small') : 'neg'", "small"),
+        ("x == 1 && s == 'a' ? upper(s) : 'z'", "A"), ("s::string", "a"),
+    ):
+        assert df.select(F.expr(etl.expression(text)).alias("y")).first().y == want, text
+    with pytest.raises(EngineError):
+        etl.expression("x ? 'only'")
+
+
+def test_format_steps_cover_the_text():
+    assert etl.format_steps("trim() | replace('a(b', \"c\")") == [("trim", []), ("replace", ["a(b", "c"])]
+    for bad in ("trim() uppr", "|trim()", "trim() upper()", ""):
+        with pytest.raises(EngineError):
+            etl.format_steps(bad)
+
+
+def test_hl7_signs_of_the_message(spark, tmp_path):
+    m = r"MSH#*!%+#A#B#C#D#2024##ADT*A01#42#P#2.5" + "\rPID#1##77*a%F%b***H!88##Roe*Jo%S%e"
+    (tmp_path / "m.hl7").write_text("FHS|^~\\&|x\r\n" + m.replace("#", "|").replace("\r", "\r\n") + "\n\n\n" + m.replace("#", "|") + "\n")
+    got = files.read_file(spark, str(tmp_path / "m.hl7"))
+    assert [r.raw_message for r in got.collect()] == [m.replace("#", "|")] * 2
+    df = spark.createDataFrame([(m,)], "raw_message string")
+    d = hl7.documents(df, names={"PID": {5: "who"}}).first()
+    assert (d.message_type, d.control_id) == ("ADT_A01", "42") and '"who":"Roe*Jo%S%e"' in d.json
+    f = lambda *a, **k: df.select(hl7.field("raw_message", *a, **k).alias("x")).first().x
+    assert [f("PID", 3), f("PID", 3, component=2, repetition=1), f("PID", 3, repetition=2), f("PID", 5, component=2), f("PID", 4), f("MSH", 1)] == ["77*a%F%b***H!88", "a#b", "88", "Jo*e", None, "#"]
+    assert [r.components[0] for r in hl7.repetitions(df, "PID", 3).orderBy("repetition").collect()] == ["77", "88"]
+
+
+def test_service_rules(spark):
+    e = Engine(spark)
+    e.services.register_tables("db", {"users": spark.createDataFrame([(1, "x", "p")], "id int, name string, password string"), "secrets": spark.range(1)})
+    e.services.protect("db", access.Rules(deny_tables=("secrets",), deny_fields=("users.password",)))
+    assert e.query("SELECT * FROM read_service('db.users')").columns == ["id", "name"]
+    for text in ("SELECT * FROM read_service('db.secrets')", "SELECT password FROM read_service('db.users')", "-- integration: db\nSELECT * FROM secrets"):
+        with pytest.raises(EngineError) as err:
+            e.query(text)
+        assert err.value.code == "INPUT"
+    e.services.write(spark.createDataFrame([(2, "y", "q")], "id int, name string, password string"), "db.users")
+    assert e.query("SELECT count(*) AS n FROM read_service('db.users')").first().n == 2
+    with pytest.raises(EngineError):
+        e.services.write(spark.range(1), "db.secrets")
+
+
+def test_job_loads_all_destinations_or_none(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "zz")], "id int, key string")
+    names = spark.createDataFrame([("a", "A"), ("b", "B")], "k string, v string")
+    settings = dict(mapping={"id": "id", "name": "eval.{{lookupIn('names', 'k', key, 'v')}}"}, lookups={"names": names})
+    to = [f"{tmp_path}/all", {"path": f"{tmp_path}/one", "kind": "json", "filter": "id == 1"}]
+    s = jobs.run(spark, jobs.Job([df], destinations=to, **settings), str(tmp_path / "dead"))
+    assert (s.loaded, s.rejected, s.failed) == (3, 1, False)
+    assert one(spark.read.parquet(f"{tmp_path}/all").orderBy("id")) == [(1, "A"), (2, "B")] and spark.read.json(f"{tmp_path}/one").count() == 1
+    assert "names.k = zz" in spark.read.parquet(str(tmp_path / "dead")).first().reason
+    s = jobs.run(spark, jobs.Job([df], destinations=[f"{tmp_path}/not"], max_errors=1, **settings))
+    assert s.failed and s.loaded == 0 and not (tmp_path / "not").exists()
+    dry = jobs.run(spark, jobs.Job([df], destinations=[f"{tmp_path}/not"], dry_run=True, **settings))
+    assert dry.loaded == 2 and not (tmp_path / "not").exists()
+
+
+def test_plans_that_must_hold_at_scale(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    big = spark.range(100).withColumn("v", F.col("id") % 7)
+    assert "Window" not in plan(checks.validate(big, [checks.Rule("v", "unique")]))
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert "Broadcast" not in plan(relational.lookup_join(big, big, "id", "v", "v", "w"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def test_files(spark, tmp_path):
+    df = spark.createDataFrame([(k, None if k == 3 else f"n,{k}\"x") for k in range(2500)], "id int, name string")
+    for kind in ("csv", "json", "json_array", "orc", "parquet"):
+        files.write_file(df, f"{tmp_path}/{kind}", kind, one_file=True)
+        got = files.read_file(spark, f"{tmp_path}/{kind}", {"json_array": "json", "json": "ndjson"}.get(kind, kind))
+        assert got.count() == 2500 and got.filter("name is null").count() == 1, kind
+
+
+def test_mapping_contexts(spark):
+    df = spark.createDataFrame([(1,)], "x int")
+    values = {"a": 5, "param": {"day": "mon"}, "enums": {"state": {"on": 1}}}
+    got = etl.map_fields(df, {"p": "consts.a", "q": "param.day", "r": "enums.state.on", "s": "query.none", "t": "x"}, values).first()
+    assert tuple(got) == (5, "mon", 1, None, 1)
+
+
+def test_idempotency_states_expire(spark):
+    df = spark.createDataFrame([(k,) for k in range(4)], "id int")
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    done = df.select(etl.record_key("id").alias("key"), F.when(F.col("id") == 1, "failed").otherwise("completed").alias("state"), F.when(F.col("id") == 2, at - F.make_dt_interval(days=F.lit(9))).otherwise(at).alias("at")).filter("state is not null")
+    left = etl.not_yet_done(df, done.limit(4), ["id"], now=at + F.make_dt_interval(secs=F.lit(10)), lives_s=3600)
+    assert sorted(r.id for r in left.collect()) == [1, 2]
+
+
+def test_rest_retries_posts_and_pages(spark):
+    import http.server
+    import json
+    import threading
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            asked.append((self.path, self.headers["Authorization"], body))
+            fail = len([a for a in asked if a[0] == self.path]) == 1
+            out = json.dumps({"data": {"items": [{"id": int(self.path[-1])}]}}).encode()
+            self.send_response(503 if fail else 200)
+            self.send_header("Content-Length", str(0 if fail else len(out)))
+            self.end_headers()
+            self.wfile.write(b"" if fail else out)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    e = Engine(spark)
+    e.services.register_rest("g", f"http://127.0.0.1:{server.server_port}/graphql", "id long", "data.items", method="POST", headers={"Authorization": "Bearer t"}, body='{"query": "{items {id}}"}', pages=3)
+    assert sorted(one(e.query("SELECT id FROM read_service('g')"))) == [(1,), (2,), (3,)]
+    assert {a[1] for a in asked} == {"Bearer t"} and len(asked) == 6
+    server.shutdown()
+
+
+def test_entry_without_the_optional_part():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['public_tokenizers'] = None\nimport __spark_entry__ as e\nassert 'join_inner' in e.queries() and 'join_inner' in e.oracle_sql() and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
+
+
+def test_page_rows(spark):
+    from weftline.sources import html
+
+    page = '<div class="card big" id="x"><h2>A <b>b</b></h2><a href="/1">one</a></div><div class="card-no">n</div><div class=\'card\'><p>only</p></div>'
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    got = html.rows(df, "div.card", {"title": "h2", "to": "a@href", "id": "@id", "all": ""}).orderBy("position").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "A b", "/1", "x", "A bone"), (1, 1, None, None, None, "only")]

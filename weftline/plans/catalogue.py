@@ -19,7 +19,7 @@ from ..operators import access, checks, etl, hl7, relational
 from ..sources import files, html
 from ..streaming import windows
 from .engine import Engine
-from .jobs import layers
+from .jobs import Job, layers, run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -237,6 +237,18 @@ def except_bag(spark: SparkSession, d: str) -> DataFrame:
     return relational.except_rows(a, table(spark, d, "supplier").filter("s_acctbal > 8000").select(F.col("s_nationkey").alias("k")), bag=True)
 
 
+# --- more aggregates and windows
+
+text("agg_filter", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 100000) AS dear FROM {orders} GROUP BY o_orderstatus")
+text("agg_grouping_sets", "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM {customer} GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment), ())")
+text("agg_rollup", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM {customer} GROUP BY ROLLUP (c_mktsegment, c_nationkey)")
+text("agg_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+text("agg_percentile", "SELECT c_mktsegment, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY c_acctbal), 3) AS q FROM {customer} GROUP BY c_mktsegment")
+text("win_ntile", "SELECT c_custkey, ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS q FROM {customer}", "SELECT c_custkey, CAST(ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS INTEGER) AS q FROM {customer}")
+text("win_first_last_value", "SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+text("win_range_frame", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS n FROM {orders}")
+text("join_full_theta", "SELECT r.r_regionkey, n.n_nationkey FROM {region} r FULL JOIN {nation} n ON r.r_regionkey = n.n_regionkey AND n.n_nationkey > r.r_regionkey * 5")
+
 # --- subqueries
 
 text("cte_single", "WITH big AS (SELECT o_custkey, o_totalprice FROM {orders} WHERE o_totalprice > 200000) SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey")
@@ -245,6 +257,38 @@ text("derived_join", "SELECT s.o_custkey, s.n, c.c_name FROM (SELECT o_custkey,
 text("scalar_subquery", "SELECT p_partkey FROM {part} WHERE p_retailprice > (SELECT avg(p_retailprice) FROM {part})")
 text("scalar_correlated", "SELECT c_custkey, (SELECT max(o_totalprice) FROM {orders} o WHERE o.o_custkey = c.c_custkey) AS top FROM {customer} c")
 
+text("derived_set_op", "SELECT t.k, count(*) AS n FROM (SELECT n_regionkey AS k FROM {nation} UNION ALL SELECT r_regionkey FROM {region}) t GROUP BY t.k")
+
+# --- what the dialect spells its own way, in a query's text
+
+text("sql_dual", "SELECT 1 AS one, dual.dummy AS two FROM dual", "SELECT 1 AS one, 1 AS two")
+text("sql_limit_comma", "SELECT c_custkey FROM {customer} ORDER BY c_custkey LIMIT 5, 10", "SELECT c_custkey FROM {customer} ORDER BY c_custkey LIMIT 10 OFFSET 5")
+text("sql_like_i", "SELECT c_custkey FROM {customer} WHERE c_mktsegment LIKE 'i:build' OR c_name LIKE 'i:%7'", "SELECT c_custkey FROM {customer} WHERE c_mktsegment ILIKE '%build%' OR c_name ILIKE '%7'")
+text("sql_div_by_zero", "SELECT o_orderkey, o_totalprice / (o_orderkey % 2) AS x FROM {orders}", "SELECT o_orderkey, o_totalprice / nullif(o_orderkey % 2, 0) AS x FROM {orders}")
+text("sql_cast_null", "SELECT c_custkey, c_name::int AS x, CAST(c_mktsegment AS DOUBLE) AS y FROM {customer}", "SELECT c_custkey, TRY_CAST(c_name AS INTEGER) AS x, TRY_CAST(c_mktsegment AS DOUBLE) AS y FROM {customer}")
+text(
+    "sql_json",
+    """SELECT n_nationkey, JSON_EXTRACT(j, 'a.b') AS b, JSON_EXISTS(j, 'a.z') AS z, json_exists(j, '$.a') AS a, JSON_VALUE(j, 'l') AS l
+    FROM (SELECT n_nationkey, CONCAT('{"a": {"b": ', n_nationkey, '}, "l": [', n_regionkey, ', 2]}') AS j FROM {nation}) t""",
+    "SELECT n_nationkey, CAST(n_nationkey AS VARCHAR) AS b, false AS z, true AS a, CAST(n_regionkey AS VARCHAR) AS l FROM {nation}",
+)
+text(
+    "sql_to_number_diff",
+    "SELECT c_mktsegment, round(DIFF(c_acctbal), 2) AS d, max(TO_NUMBER(SUBSTR(c_name, 10, 9))) AS m FROM {customer} GROUP BY c_mktsegment",
+    "SELECT c_mktsegment, round(max(c_acctbal) - min(c_acctbal), 2) AS d, max(TRY_CAST(substr(c_name, 10, 9) AS DOUBLE)) AS m FROM {customer} GROUP BY c_mktsegment",
+)
+text("sql_to_date", "SELECT o_orderkey, TO_DATE(date_format(o_orderdate, 'dd/MM/yyyy'), 'DD/MM/YYYY') AS t, TO_DATE('none', 'YYYY-MM-DD') AS u FROM {orders}", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS t, CAST(NULL AS VARCHAR) AS u FROM {orders}")
+text("sql_first_last", "SELECT n_regionkey, FIRST(n_name) AS f, LAST(n_name) AS l FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, arg_min(n_name, CAST(n_nationkey AS VARCHAR) || ',') AS f, arg_max(n_name, CAST(n_nationkey AS VARCHAR) || ',') AS l FROM {nation} GROUP BY n_regionkey")
+text("sql_text_functions", "SELECT c_custkey, COALESCE('', c_name) AS x, SUBSTR(c_name, 0, 3) AS y, LENGTH(c_name) AS n, DATEDIFF('2024-01-05', '2024-01-01') AS days FROM {customer}", "SELECT c_custkey, c_name AS x, '' AS y, CAST(strlen(c_name) AS INTEGER) AS n, 4 AS days FROM {customer}")
+
+
+@query("sql_read_plugin", "SELECT n_name FROM nation WHERE n_regionkey = 1")
+def sql_read_plugin(spark: SparkSession, d: str) -> DataFrame:
+    e = Engine(spark)
+    e.register_source("folder", lambda name: table(spark, d, name))
+    return e.query("SELECT n_name FROM read_folder('nation') WHERE n_regionkey = ?", [1])
+
+
 # --- functions
 
 text("fn_upper_lower", "SELECT p_partkey, upper(p_name) AS u, lower(p_brand) AS l FROM {part}")
@@ -343,8 +387,8 @@ def array_all(spark: SparkSession, d: str) -> DataFrame:
 @query("array_contains_all", "SELECT p_partkey FROM part WHERE list_has_all(string_split(p_name, ' '), string_split((SELECT min(p_name) FROM part), ' '))")
 def array_contains_all(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "part")
-    least = df.agg(F.min("p_name")).first()[0]
-    return df.filter(fn.contains_all(F.split("p_name", " "), *least.split(" "))).select("p_partkey")
+    least = df.agg(F.split(F.min("p_name"), " ").alias("wanted"))  # one row
+    return df.join(F.broadcast(least)).filter(F.forall("wanted", lambda w: F.array_contains(F.split("p_name", " "), w))).select("p_partkey")
 
 
 @query("array_overlaps", "SELECT p_partkey FROM part WHERE list_has_any(string_split(p_name, ' '), ['blue', 'red', 'green', 'small'])")
@@ -488,6 +532,45 @@ def etl_idempotent_anti(spark: SparkSession, d: str) -> DataFrame:
     return etl.not_yet_done(orders, done, ["o_orderkey", "o_custkey"]).select("o_orderkey")
 
 
+@query("etl_delete", "SELECT n_nationkey FROM nation WHERE n_regionkey <> 2")
+def etl_delete(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    return etl.delete_keys(n, n.filter("n_regionkey = 2").unionByName(n.filter("n_regionkey = 2")).select("n_nationkey"), "n_nationkey").select("n_nationkey")
+
+
+@query("etl_upsert_repeated", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'z' ELSE n_name END AS n_name FROM nation")
+def etl_upsert_repeated(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    changes = n.filter("n_regionkey = 1").select("n_nationkey", F.explode(F.array(F.lit("a"), F.lit("z"))).alias("n_name"))
+    return etl.upsert(n.select("n_nationkey", "n_name"), changes, "n_nationkey")
+
+
+@query("etl_lookup_in", "SELECT 'row' AS kind, c_custkey AS id, upper(n_name) AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 3 UNION ALL SELECT 'lookup', c_custkey, NULL FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 3")
+def etl_lookup_in(spark: SparkSession, d: str) -> DataFrame:
+    rule = "eval.{{upper(lookupIn('nations', 'n_nationkey', c_nationkey, 'n_name'))}}"
+    good, dead = etl.map_with_lookups(table(spark, d, "customer"), {"id": "c_custkey", "nation": rule}, None, {"nations": table(spark, d, "nation").filter("n_regionkey <> 3")})
+    lost = dead.select("step", F.get_json_object("record", "$.c_custkey").cast("long"), F.lit(None).cast("string"))
+    return good.select(F.lit("row").alias("kind"), F.col("id").cast("long").alias("id"), "nation").union(lost)
+
+
+@query("etl_fanout", "SELECT 'all' AS at, count(*) AS n, CAST(max(c_custkey) AS BIGINT) AS top FROM customer UNION ALL SELECT 'rich', count(*), CAST(max(c_custkey) AS BIGINT) FROM customer WHERE c_acctbal > 5000")
+def etl_fanout(spark: SparkSession, d: str) -> DataFrame:
+    at = _scratch(spark, "fanout")
+    run(spark, Job([table(spark, d, "customer")], destinations=[f"{at}/all", {"path": f"{at}/rich", "filter": "c_acctbal > 5000", "mapping": {"id": "c_custkey"}}]))
+    one = lambda name, c: spark.read.parquet(f"{at}/{name}").agg(F.lit(name).alias("at"), F.count(F.lit(1)).alias("n"), F.max(c).cast("long").alias("top"))
+    return one("all", "c_custkey").union(one("rich", "id"))
+
+
+@query("etl_dead_letter_queue", "SELECT state, count(*) AS n, CAST(attempts AS INTEGER) AS attempts, count_if(due) AS due FROM (SELECT CASE WHEN p_size % 2 = 0 THEN 'pending' ELSE 'exhausted' END AS state, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 3 END AS attempts, p_size % 2 = 0 AS due FROM part) GROUP BY state, attempts")
+def etl_dead_letter_queue(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    lost = lambda df: etl.rejects(df, "normalize", F.lit("no number"))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    letters = etl.dead_letters(lost(part.filter("p_size % 2 = 0")), at, attempts=1).union(etl.dead_letters(lost(part.filter("p_size % 2 <> 0")), at, attempts=2))
+    due = etl.due(letters, at + F.make_dt_interval(secs=F.lit(120))).select("id", F.lit(1).alias("due")).distinct()
+    return letters.join(due, "id", "left").groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.max("attempts").alias("attempts"), F.count("due").alias("due"))
+
+
 @query("etl_upsert", "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'new' ELSE n_name END AS n_name FROM nation")
 def etl_upsert(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
@@ -505,7 +588,12 @@ def _failing(rule: checks.Rule, name: str, key: str):
 query("dq_not_null", "SELECT doc_id FROM documents WHERE lang IS NULL OR lang = ''")(_failing(checks.Rule("lang", "not_null"), "documents", "doc_id"))
 query("dq_range", "SELECT p_partkey FROM part WHERE NOT p_retailprice BETWEEN 950 AND 1500")(_failing(checks.Rule("p_retailprice", "range", 950, 1500), "part", "p_partkey"))
 query("dq_regex", "SELECT c_custkey FROM customer WHERE NOT regexp_matches(c_name, '[02468]$')")(_failing(checks.Rule("c_name", "regex", pattern="[02468]$"), "customer", "c_custkey"))
-query("dq_email", r"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,4}$')")(_failing(checks.Rule("text", "email"), "documents", "doc_id"))
+
+
+@query("dq_email", r"SELECT c_custkey, regexp_matches(CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) || '@x.' ELSE 'c' || c_custkey || '@mail.org' END, '^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,4}$') AS good FROM customer")
+def dq_email(spark: SparkSession, d: str) -> DataFrame:
+    address = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lower("c_mktsegment"), F.lit("@x."))).otherwise(F.concat(F.lit("c"), "c_custkey", F.lit("@mail.org")))
+    return table(spark, d, "customer").select("c_custkey", address.alias("address")).select("c_custkey", checks.passes(checks.Rule("address", "email")).alias("good"))
 
 
 @query("dq_unique", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)")
@@ -520,12 +608,18 @@ def dq_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return checks.error_rate(v, 5.0, 10).withColumn("rate", F.round("rate", 6))
 
 
-@query("schema_detect")
+@query(
+    "schema_detect",
+    """SELECT * FROM (VALUES ('c_custkey', 'int'), ('c_name', 'string'), ('c_nationkey', 'int'), ('c_acctbal', 'float'), ('c_mktsegment', 'string')) v(column_name, kind)
+    JOIN (SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS column_name,
+        unnest([max(length(CAST(c_custkey AS VARCHAR))), max(length(c_name)), max(length(CAST(c_nationkey AS VARCHAR))), max(length(CAST(c_acctbal AS VARCHAR))), max(length(c_mktsegment))])::INTEGER AS max_length,
+        unnest([count(c_custkey) < count(*), count(c_name) < count(*), count(c_nationkey) < count(*), count(c_acctbal) < count(*), count(c_mktsegment) < count(*)]) AS nullable FROM customer) USING (column_name)""",
+)
 def schema_detect(spark: SparkSession, d: str) -> DataFrame:
     return checks.detect_kinds(table(spark, d, "customer"))
 
 
-@query("schema_drift")
+@query("schema_drift", "SELECT 1 AS version, true AS drifted")
 def schema_drift(spark: SparkSession, d: str) -> DataFrame:
     r, df = checks.SchemaRegistry(), table(spark, d, "nation")
     first, drifted = r.register("nation", df), r.drifted("nation", df.withColumn("more", F.lit(1)))
@@ -539,8 +633,8 @@ def _scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a query's state, shared where the session names one."""
     import tempfile
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     return f"{shared or tempfile.mkdtemp(prefix='weftline-')}/{name}-{uuid.uuid4().hex}"
 
@@ -580,6 +674,12 @@ def stream_session(spark: SparkSession, d: str) -> DataFrame:
     return _finished(spark, out).select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
+@query("stream_keyed_state", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def stream_keyed_state(spark: SparkSession, d: str) -> DataFrame:
+    out = windows.running_totals(_events(spark, d), "user_id", "value")
+    return windows.latest(out, _scratch(spark, "state"), _scratch(spark, "out"), "user_id").select("user_id", "n", F.round("total", 4).alias("total"))
+
+
 @query("stream_dedup", "SELECT DISTINCT user_id FROM events")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = windows.deduplicated(_events(spark, d), "ts", ["user_id"], late="10000 days").select("user_id")
@@ -594,34 +694,77 @@ def access_column_filter(spark: SparkSession, d: str) -> DataFrame:
     return access.restrict(table(spark, d, "customer"), "customer", access.Rules(allow_fields=("customer.*",), deny_fields=("c_acctbal", "customer.c_mktsegment")))
 
 
+@query("access_service", "SELECT c_custkey, c_name FROM customer")
+def access_service(spark: SparkSession, d: str) -> DataFrame:
+    """A protected service shows every query what its rules allow."""
+    e = Engine(spark)
+    e.services.register_tables("crm", {"customer": table(spark, d, "customer")})
+    e.services.protect("crm", access.Rules(allow_tables=("customer",), deny_fields=("c_acctbal", "customer.c_mktsegment", "c_nationkey")))
+    return e.query("SELECT * FROM read_service('crm.customer')")
+
+
+@query("service_tables", """SELECT 'nation' AS "table", 'n_nationkey' AS "column" UNION ALL SELECT 'region', 'r_regionkey' UNION ALL SELECT 'region', 'r_name'""")
+def service_tables(spark: SparkSession, d: str) -> DataFrame:
+    e = Engine(spark)
+    e.services.register_tables("geo", {"nation": table(spark, d, "nation").select("n_nationkey", "n_name"), "region": table(spark, d, "region").select("r_regionkey", "r_name")})
+    e.services.protect("geo", access.Rules(deny_fields=("nation.n_name",)))
+    return e.services.tables("geo").select("table", "column")
+
+
 @query("html_extract_title", "SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>', 1), '<[^>]*>', '', 'g')), '') AS title FROM pages".replace("\\\\", "\\"))
 def html_extract_title(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", html.tag_text("html", "title").alias("title"))
 
 
+@query(
+    "html_rows",
+    """SELECT page_id, CAST(i - 1 AS INTEGER) AS position, nullif(regexp_extract(r, '<a href="([^"]*)"', 1), '') AS href, nullif(trim(regexp_extract(r, '<a [^>]*>(.*?)</a>', 1)), '') AS label
+    FROM (SELECT page_id, unnest(items) AS r, unnest(range(1, len(items) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li>.*?</li>') AS items FROM pages))""",
+)
+def html_rows(spark: SparkSession, d: str) -> DataFrame:
+    return html.rows(table(spark, d, "pages"), "li", {"href": "a@href", "label": "a"})
+
+
 @query("regex_source", "SELECT regexp_extract(url, '^(.*?)://(.*?)/(.*?)$', 1) AS scheme, regexp_extract(url, '^(.*?)://(.*?)/(.*?)$', 2) AS host, regexp_extract(url, '^(.*?)://(.*?)/(.*?)$', 3) AS rest FROM pages WHERE regexp_matches(url, '^(.*?)://(.*?)/(.*?)$')")
 def regex_source(spark: SparkSession, d: str) -> DataFrame:
     return files.regex_lines(table(spark, d, "pages").select(F.col("url").alias("value")), "<scheme>://<host>/<rest>")
 
 
-_MESSAGE = "MSH|^~\\&|LAB|HOSP|EHR|HOSP|20240102030405||ADT^A01|42|P|2.5\rPID|1||777^^^HOSP||Roe^Jan||19800101|X\rPV1|1|I|W^1^2"
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """A message for each customer, with signs of its own in every other one."""
+    usual = F.concat(
+        F.lit("MSH|^~\\&|LAB|HOSP|EHR|HOSP|20240102030405||ADT^A01|"), F.col("c_custkey"), F.lit("|P|2.5\rPID|1||"), F.col("c_custkey"), F.lit("^^^HOSP~"), F.col("c_nationkey"),
+        F.lit("^^^STATE||"), F.regexp_replace("c_name", "#", "^"), F.lit("||19800101|X\rPV1|1|I|W^1^2"),
+    )
+    own = F.translate(usual, "|^~&", "!*%+")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, usual).otherwise(own).alias("raw_message"))
 
 
-def _messages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, _MESSAGE)], "id int, raw_message string")
+_SIGNS = "SELECT c_custkey AS id, c_custkey % 2 = 0 AS usual, c_custkey, c_nationkey, replace(c_name, '#', '^') AS name FROM customer"
 
 
-@query("hl7_segments")
+@query(
+    "hl7_segments",
+    f"""SELECT id, s.position::INTEGER AS position, s.segment AS segment, s.n::INTEGER AS n, s.first AS first FROM (SELECT id, unnest([
+        {{'position': 0, 'segment': 'MSH', 'n': 12, 'first': CASE WHEN usual THEN '|' ELSE '!' END}}, {{'position': 1, 'segment': 'PID', 'n': 8, 'first': '1'}},
+        {{'position': 2, 'segment': 'PV1', 'n': 3, 'first': '1'}}]) AS s FROM ({_SIGNS}))""".replace("{_SIGNS}", _SIGNS),
+)
 def hl7_segments(spark: SparkSession, d: str) -> DataFrame:
-    return hl7.segments(_messages(spark)).select("id", "position", "segment", "fields")
+    return hl7.segments(_messages(spark, d)).select("id", "position", "segment", F.size("fields").alias("n"), F.get("fields", F.lit(0)).alias("first"))
 
 
-@query("hl7_document")
+@query("hl7_document", f"SELECT id, 'ADT_A01' AS message_type, CAST(c_custkey AS VARCHAR) AS control_id, '20240102030405' AS timestamp, CASE WHEN usual THEN name ELSE translate(name, '|^~&', '!*%+') END AS patient, c_nationkey || '' AS second FROM ({_SIGNS})")
 def hl7_document(spark: SparkSession, d: str) -> DataFrame:
-    return hl7.documents(_messages(spark)).select("id", "message_type", "control_id", "timestamp", "json", "xml")
+    out = hl7.documents(_messages(spark, d))
+    return out.select("id", "message_type", "control_id", "timestamp", F.get_json_object("json", "$.PID[0].patient_name").alias("patient"), hl7.field("raw_message", "PID", 3, component=1, repetition=2).alias("second"))
+
+
+@query("hl7_repetitions", f"SELECT id, CAST(i AS INTEGER) AS repetition, CASE WHEN i = 0 THEN CAST(c_custkey AS VARCHAR) ELSE CAST(c_nationkey AS VARCHAR) END AS value, 4 AS parts FROM ({_SIGNS}), (SELECT unnest([0, 1]) AS i)")
+def hl7_repetitions(spark: SparkSession, d: str) -> DataFrame:
+    return hl7.repetitions(_messages(spark, d), "PID", 3).select("id", "repetition", F.get("components", F.lit(0)).alias("value"), F.size("components").alias("parts"))
 
 
-@query("dag_layers")
+@query("dag_layers", "SELECT CAST(layer AS INTEGER) AS layer, job FROM (VALUES (0, 'extract'), (1, 'audit'), (1, 'clean'), (2, 'join'), (3, 'load'), (3, 'report')) v(layer, job)")
 def dag_layers(spark: SparkSession, d: str) -> DataFrame:
     found = layers({"extract": [], "clean": ["extract"], "join": ["clean"], "report": ["join"], "audit": ["extract"], "load": ["join", "audit"]})
     return spark.createDataFrame([(i, job) for i, layer in enumerate(found) for job in layer], "layer int, job string")
