@@ -4,7 +4,7 @@ Base kinds (email, ip, card, phone) are patterns with a check of each match and
 always stay. Beyond them generators propose overlapping candidate spans with
 few demands. Each candidate is described by small categorical features of its
 format (length, digits, separators, letter case, shape of its parts) and of its
-context (words before it), so that every candidate falls in one of a bounded
+context (the nearest announcing word before it and how near it is, what follows, the line), so that every candidate falls in one of a bounded
 number of cells. Cells are counted over all documents; boosted trees
 (``pyspark.ml``) are fitted to the cells, weighted by count, against the strict
 check of a candidate's kind (domain, octets, Luhn, digit count, mixed secret),
@@ -17,7 +17,9 @@ its row; what is shuffled are cell counts. The cells are at most the product of
 the features' levels (``CELLS``), so their scores fit a literal.
 
 Defined cases: a null text is an empty one, without spans; rows that repeat a
-doc_id are separate; other columns are ignored; a corpus without candidates, or
+doc_id are separate; a text of any length and any number of matches is searched
+whole; spans that start alike go by their end; other columns are ignored, whatever
+their names; a corpus without candidates, or
 whose candidates all pass or all fail, keeps the base spans alone; no rows give
 no rows.
 """
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, written
-from .spans import find_all
+from .spans import bound, distinct_sorted, find_all, fold
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Base patterns. A match begins where the one before ended or after a character that can't begin one further left,
@@ -56,14 +58,12 @@ GENERATORS = {
 #: Only texts with one of these can hold a match or a candidate.
 GATE = r"[0-9@=]|\[at\]|\(at\)|(?i:password|passwd|secret|token|api[_-]?key)"
 #: Levels of the features; a cell is their mixed-radix number.
-LEVELS = {"generator": 8, "length": 5, "digits": 5, "separators": 4, "letters": 4, "context": 4}
+LEVELS = {"generator": 8, "length": 5, "digits": 5, "separators": 4, "letters": 4, "context": 4, "distance": 3, "after": 3, "line": 2}
 CELLS = reduce(lambda a, b: a * b, LEVELS.values())
-_CONTEXT = (
-    r"(?i)(?:mail|call|phone|tel|fax|mobile|contact|card|visa|account)\S*\W*$",
-    r"(?i)(?:ip|host|server|address|login|password|key|token|secret)\S*\W*$",
-    r"[0-9]\W*$",
-)
+#: Words that announce a value: of persons, and of machines and secrets.
+_ANNOUNCED = ("mail|call|phone|tel|fax|mobile|contact|card|visa|account|write to|reach", "ip|host|server|address|login|password|key|token|secret")
 SPAN = "struct<kind:int,start:int,end:int>"
+_PIECE = "array<struct<from:int,n:int,kind:int>>"
 
 
 def digits_of(t: Column) -> Column:
@@ -115,7 +115,11 @@ def _cell(generator: int, s: Column) -> Column:
         "digits": _level(F.length(digits_of(t)), 1, 6, 9, 13),
         "separators": _level(F.regexp_count(t, F.lit(r"[\x20().@=:-]")), 1, 3, 5),
         "letters": F.when(t.rlike("[A-Z]"), 2).otherwise(0) + F.when(t.rlike("[a-z]"), 1).otherwise(0),
-        "context": F.coalesce(*(F.when(s["left"].rlike(p), F.lit(k + 1)) for k, p in enumerate(_CONTEXT)), F.lit(0)),
+        # the nearest announcing word before it, else a digit; how near such a word is; what follows; whether it begins a line
+        "context": F.coalesce(*(F.when(s["left"].rlike(rf"(?i)\b(?:{words})(?:\w*\W+\w+){{0,2}}\w*\W*$"), F.lit(k + 1)) for k, words in enumerate(_ANNOUNCED)), F.when(s["left"].rlike(r"[0-9]\W*$"), 3), F.lit(0)),
+        "distance": F.when(s["left"].rlike(rf"(?i)\b(?:{'|'.join(_ANNOUNCED)})\w*\W*$"), 2).when(s["left"].rlike(rf"(?i)\b(?:{'|'.join(_ANNOUNCED)})\w*\W+\w+\W*$"), 1).otherwise(0),
+        "after": F.when(s["right"].rlike(r"^\w"), 2).when(s["right"].rlike(r"^[^\s\w]"), 1).otherwise(0),
+        "line": F.when((s["left"] == "") | s["left"].rlike(r"\n\s*$"), 1).otherwise(0),
     }
     return reduce(lambda acc, name: acc * LEVELS[name] + features[name], LEVELS, F.lit(0)).cast("int")
 
@@ -135,18 +139,20 @@ def _described(matches: Column, generator: int, kind: str) -> Column:
     )
 
 
-def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, base (array of kind, start, end) and candidates (array of kind, start, end, cell, y); ``keep``: more columns to carry."""
-    text = text_or_empty("_text")
-    src = docs.select(F.col(id_col).alias("doc_id") if id_col not in keep else F.col(id_col), *(c for c in keep if c != id_col), text_or_empty(text_col).alias("_text"))
-    gate = text.rlike(GATE)
-    none = F.array().cast(f"array<{SPAN}>")
-    found = [_valid(find_all(text, pattern), k, kind) for k, (kind, pattern) in enumerate(BASE.items())]
+def _found(text: Column) -> tuple[Column, Column]:
+    """(base, candidates) of a text: arrays of kind, start, end, and of kind, start, end, cell, y."""
+    base = [_valid(find_all(text, pattern), k, kind) for k, (kind, pattern) in enumerate(BASE.items())]
     every = [(kind, pattern) for kind, patterns in GENERATORS.items() for pattern in patterns]
     proposed = [_described(find_all(text, pattern), g, kind) for g, (kind, pattern) in enumerate(every)]
+    gate = text.rlike(GATE)
     candidates = F.when(gate, F.concat(*proposed)).otherwise(F.array().cast("array<struct<kind:int,start:int,end:int,cell:int,y:int>>"))
-    base = F.when(gate, F.concat(*found)).otherwise(none)
-    return src.select(*(c for c in src.columns if c != "_text"), base.alias("base"), candidates.alias("candidates"))
+    return F.when(gate, F.concat(*base)).otherwise(F.array().cast(f"array<{SPAN}>")).alias("base"), candidates.alias("candidates")
+
+
+def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, base (array of kind, start, end) and candidates (array of kind, start, end, cell, y)."""
+    src = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return src.select("doc_id", *_found(F.col("text")))
 
 
 def accepted_cells(extracted: DataFrame, precision: float = 0.9, trees: int = 8, depth: int = 4, seed: int = 7) -> list[int]:
@@ -182,11 +188,22 @@ def accepted_cells(extracted: DataFrame, precision: float = 0.9, trees: int = 8,
 
 
 def selected(accepted: list[int]) -> Column:
-    """Base spans and accepted candidates that no span of their kind covers: array of (kind, start, end), by kind, then start."""
-    cells = F.array(*map(F.lit, accepted)).cast("array<int>")
-    taken = F.filter("candidates", lambda c: F.array_contains(cells, c["cell"]) & ~F.exists("base", lambda b: (b["kind"] == c["kind"]) & (b["start"] <= c["start"]) & (b["end"] >= c["end"])))
-    bare = F.transform(taken, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return F.array_sort(F.array_distinct(F.concat("base", bare)))
+    """Base spans and accepted candidates that no base span of their kind covers: array of (kind, start, end), by kind, then start."""
+    words = [0] * (CELLS // 64 + 1)
+    for cell in accepted:
+        words[cell // 64] |= 1 << cell % 64
+    bits = F.from_json(F.lit(str([w - (1 << 64) if w >> 63 else w for w in words])), "array<bigint>")  # a constant
+    taken = F.filter("candidates", lambda c: F.getbit(F.get(bits, F.floor(c["cell"] / 64).cast("int")), c["cell"] % 64) == 1)
+    entry = lambda s, own: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"))
+    every = F.array_sort(F.concat(F.transform("base", lambda s: entry(s, 0)), F.transform(taken, lambda s: entry(s, 1))))
+
+    def step(held: Column, s: Column) -> tuple[Column, Column]:
+        upto = F.when(held["kind"] == s["kind"], held["upto"]).otherwise(-1)  # where the last base span of the kind ends
+        new = F.struct(s["kind"].alias("kind"), F.when(s["own"] == 0, s["end"]).otherwise(upto).alias("upto"))
+        one = F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        return new, F.when((s["own"] == 1) & (s["end"] <= upto), F.array().cast(f"array<{SPAN}>")).otherwise(one)
+
+    return distinct_sorted(bound(every, lambda a: fold(a, F.struct(F.lit(-1).alias("kind"), F.lit(-1).alias("upto")), step, SPAN)))
 
 
 def joined(spans: Column) -> Column:
@@ -202,19 +219,22 @@ def find(docs: DataFrame, precision: float = 0.9, id_col: str = "doc_id", text_c
     return extracted.select("doc_id", F.array_sort("base").alias("base"), selected(accepted).alias("spans"))
 
 
-def redact(docs: DataFrame, precision: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each span replaced by its kind in brackets; spans that overlap become one."""
-    extracted = written(extract(docs, id_col, text_col, keep=tuple(docs.columns)), "pii-texts")
-    accepted = accepted_cells(extracted.select(F.col(id_col).alias("doc_id"), "candidates"), precision)
+def redact(docs: DataFrame, precision: float = 0.9, text_col: str = "text") -> DataFrame:
+    """docs with each span replaced by its kind in brackets; spans that overlap become one. A null text stays null."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.col("row").getField(text_col)
+    extracted = written(rows.select("row", F.xxhash64(text).alias("doc_id"), *_found(text_or_empty(text))), "pii-texts")
+    accepted = accepted_cells(extracted, precision)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.col(text_col)
     order = F.array_sort(F.transform(selected(accepted), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(gap, F.get(names, s["kind"])))).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        new = F.array(F.struct(at.alias("from"), (s["start"] - at).alias("n"), s["kind"].alias("kind")))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, new).otherwise(F.array().cast(_PIECE))
+
+    def redacted(spans: Column) -> Column:
+        piece = lambda x: F.concat(F.substring(text, x["from"] + 1, x["n"]), F.get(names, x["kind"]))
+        return fold(spans, F.lit(0), step, _PIECE[6:-1], lambda at, out: F.concat(F.array_join(F.transform(out, piece), ""), F.substring(text, at + 1, F.length(text))))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(order, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return extracted.withColumn(text_col, F.when(F.size(order) > 0, done).otherwise(text)).select(*docs.columns)
+    done = bound(order, lambda spans: F.when(F.size(spans) > 0, redacted(spans)).otherwise(text))
+    return extracted.select(F.col("row").withField(text_col, done).alias("row")).select("row.*")
