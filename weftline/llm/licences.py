@@ -1,7 +1,8 @@
 """License scans by ordered signature rules.
 
-A rule is a regular expression with a label, keywords and a priority. The
-keyword gate lets a text's rules be tried only where a keyword of theirs occurs, and
+A rule is a regular expression with a label, keywords and a priority: families of
+licenses by name, SPDX id, address and grant, and the wording of notices, headers
+and disclaimers. The keyword gate lets a text's rules be tried only where a keyword of theirs occurs, and
 leaves the many texts without any keyword after a single pass. Detections are
 taken in order of their start; one inside another is dropped, of equal ones the
 rule of higher priority (lower number) stays, and so it does of two that cross.
@@ -10,7 +11,9 @@ Only built-in functions; the rules travel as a literal array and each row is
 scanned by itself, so nothing is shuffled.
 
 Defined cases: a null text is an empty one, with no words and no labels; rows
-that repeat a doc_id are scanned separately; other columns are ignored; no rows
+that repeat a doc_id are scanned separately; a text of any length and any number
+of detections is scanned whole; of equal detections of one priority the label
+first in order stays; other columns are ignored, whatever their names; no rows
 give no rows.
 """
 
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .spans import find_all
+from .spans import bound, distinct_sorted, find_all, fold
 
 #: A word character is 0-9, a-z once lower-cased, or not ASCII.
 WORD = r"[0-9A-Za-z[^\x00-\x7F]]"
@@ -83,7 +86,7 @@ FAMILIES: dict[str, tuple[str, str, str, str]] = {
     "json": ("json", rf"json{_S}licen[sc]e", r"json", r"json\.org/license"),
     "beerware": ("beer", rf"beer-?ware{_S}licen[sc]e", r"beerware", r"people\.freebsd\.org/~phk"),
     "public-domain": ("domain", rf"(?:in|into){_S}the{_S}public{_S}domain", r"(?:cc-pddc|licenseref-public-domain)", r"creativecommons\.org/licenses/publicdomain"),
-    "proprietary": ("rights", rf"all{_S}rights{_S}reserved", r"licenseref-proprietary", r"example\.com/eula"),
+    "proprietary": ("rights", rf"all{_S}rights{_S}reserved", r"licenseref-proprietary", r"en\.wikipedia\.org/wiki/all_rights_reserved"),
 }
 _TAIL = rf"(?:,?{_S}(?:version|v\.?){_O}[0-9]+(?:\.[0-9]+)*|{_S}[0-9]+(?:\.[0-9]+)+)"
 #: Forms in which each family is signed: (priority, confidence, pattern of name, id or address).
@@ -94,6 +97,93 @@ FORMS = {
     "address": (4, 0.85, r"https?://(?:www\.)?{url}[0-9A-Za-z./_-]*"),
     "name": (5, 0.7, r"(?:{name})"),
 }
+#: Notices, headers and disclaimers: label, wording. A blank stands for any signs and white space, "..." for up to twelve words.
+NOTICES = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("mit", "software is provided as is without warranty of any kind express or implied including but not limited to"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "neither the name of ... nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is"),
+    ("bsd", "use of this source code is governed by a bsd style license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl", "either version 2 of the license or at your option any later version"),
+    ("gpl", "either version 3 of the license or at your option any later version"),
+    ("gpl", "this is free software and you are welcome to redistribute it under certain conditions"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license"),
+    ("lgpl", "this license the lesser general public license applies to some specially designated software"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl", "you should have received a copy of the gnu affero general public license"),
+    ("agpl", "the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "with no invariant sections no front cover texts and no back cover texts"),
+    ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "you may not use this file except in compliance with the license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache", "this product includes software developed by the apache software foundation"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "the contents of this file are subject to the mozilla public license version"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("edl", "this program and the accompanying materials are made available under the terms of the eclipse distribution license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl", "this program and the accompanying materials are made available under the terms of the common public license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("boost", "distributed under the boost software license version 1 0"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", "to the extent possible under law ... has waived all copyright and related or neighboring rights to"),
+    ("cc-by", "this work is licensed under a creative commons attribution"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution share alike"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives"),
+    ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike"),
+    ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives"),
+    ("cc-by-sa", "text is available under the creative commons attribution sharealike license"),
+    ("ofl", "this font software is licensed under the sil open font license"),
+    ("ofl", "the fonts including any derivative works can be bundled embedded redistributed and or sold with any software"),
+    ("artistic", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic", "this is free software you can redistribute it and or modify it under the same terms as perl itself"),
+    ("psf", "psf is making python available to licensee on an as is basis"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("php", "this source file is subject to version ... of the php license"),
+    ("ncsa", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("json", "the software shall be used for good not evil"),
+    ("beerware", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("upl", "the above copyright notice and either this complete permission notice or at a minimum a reference to the upl must be included"),
+    ("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("odbl", "is made available under the open database license"),
+    ("pddl", "is made available under the public domain dedication and license"),
+    ("odc-by", "is made available under the open data commons attribution license"),
+    ("public-domain", "this file is in the public domain"),
+    ("public-domain", "placed in the public domain"),
+    ("public-domain", "no copyright is claimed in this work"),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "this software is the confidential and proprietary information of"),
+    ("proprietary", "no part of this ... may be reproduced stored in a retrieval system or transmitted"),
+    ("proprietary", "you may not copy modify distribute sell or lease any part of"),
+    ("proprietary", "reproduction in whole or in part without written permission is prohibited"),
+    ("proprietary", "confidential and proprietary do not distribute"),
+]
+NOTICE = (2, 0.95)  # priority, confidence
 RULES = "array<struct<priority:int,confidence:double,label:string,form:string,pattern:string>>"
 DETECTION = "struct<start:int,end:int,priority:int,label:string,form:string,confidence:double>"
 
@@ -106,9 +196,28 @@ def rules() -> list[tuple[int, float, str, str, str, str]]:
             body = pattern.replace("{name}", name).replace("{spdx}", spdx).replace("{url}", url)
             for word in {"id": "spdx", "address": "http"}.get(form, keywords).split():
                 out.append((priority, confidence, label, form, word, rf"(?i)(?<!{WORD})(?:{body})(?!{WORD})"))
+    for label, wording in NOTICES:
+        body = _GAP.join(rf"(?:{WORD}++{_GAP}){{0,11}}{WORD}++" if w == "..." else w for w in wording.split())
+        out.append((*NOTICE, label, "notice", _gate_of(wording), rf"(?i)(?<!{WORD})(?:{body})(?!{WORD})"))
     return out
 
 
+def _gate_of(wording: str) -> str:
+    """The first words of a notice, which gate its rule."""
+    return wording.split(" ... ")[0] if " ... " in wording[:24] else " ".join(wording.split()[:3])
+
+
+def _gate() -> str:
+    """Looks, at the start of each word, for the longest keyword that begins there; keywords are grouped by their first letter."""
+    by_letter: dict[str, list[str]] = {}
+    for word in sorted({r[4] for r in rules()} | {w[0] for w in BASE}, key=lambda w: (-len(w), w)):
+        by_letter.setdefault(word[0], []).append(_GAP.join(word.split())[1:])
+    return rf"(?i)(?<!{WORD})(?=(" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + "))"
+
+
+GATE = _gate()
+
+
 def detections(text: Column, keywords: Column) -> Column:
     """The detections of a text that remain, in order: array of (start, end, priority, label, form, confidence)."""
     by_word: dict[str, list[Column]] = {}
@@ -122,21 +231,20 @@ def detections(text: Column, keywords: Column) -> Column:
         place = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), r["priority"].alias("priority"), r["label"].alias("label"), r["form"].alias("form"), r["confidence"].alias("confidence"))
         return F.transform(find_all(text, r["pattern"]), place)
 
-    ordered = F.array_sort(F.array_distinct(F.flatten(F.transform(tried, of))))
-    empty = F.struct(F.lit(-1).alias("end"), F.lit(99).alias("priority"), F.array().cast(f"array<{DETECTION}>").alias("kept"))
+    ordered = distinct_sorted(F.flatten(F.transform(tried, of)))
+    none = F.array().cast(f"array<{DETECTION}>")
 
-    def step(acc: Column, d: Column) -> Column:
+    def step(last: Column, d: Column) -> tuple[Column, Column]:
+        """last: the detection that stays unless the next one takes its place."""
         end = -d["back"]
         one = F.struct(d["start"].alias("start"), end.alias("end"), d["priority"].alias("priority"), d["label"].alias("label"), d["form"].alias("form"), d["confidence"].alias("confidence"))
-        held, crossing = end <= acc["end"], (d["start"] < acc["end"]) & (d["priority"] < acc["priority"])
-        stays = held | ((d["start"] < acc["end"]) & ~crossing)
-        before = F.when(crossing, F.slice(acc["kept"], F.lit(1), F.size(acc["kept"]) - 1)).otherwise(acc["kept"])
-        return F.struct(
-            F.when(stays, acc["end"]).otherwise(end).alias("end"), F.when(stays, acc["priority"]).otherwise(d["priority"]).alias("priority"),
-            F.when(stays, acc["kept"]).otherwise(F.concat(before, F.array(one))).alias("kept"),
-        )
+        meets = d["start"] < last["end"]
+        wins = (end > last["end"]) & (d["priority"] < last["priority"])
+        return F.when(meets & ~wins, last).otherwise(one), F.when(meets | (last["end"] < 0), none).otherwise(F.array(last))
 
-    return F.aggregate(ordered, empty, step, lambda acc: acc["kept"])
+    first = F.struct(F.lit(0).alias("start"), F.lit(-1).alias("end"), F.lit(99).alias("priority"), F.lit("").alias("label"), F.lit("").alias("form"), F.lit(0.0).alias("confidence"))
+    keep_last = lambda last, out: F.concat(out, F.when(last["end"] < 0, none).otherwise(F.array(last)))
+    return bound(ordered, lambda a: fold(a, first, step, DETECTION, keep_last))
 
 
 def words(text: Column) -> Column:
@@ -146,9 +254,8 @@ def words(text: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, base (array of matched phrases), first_word, last_word, detections."""
     text = text_or_empty("text")
-    words_of = sorted({r[4] for r in rules()} | {w[0] for w in BASE}, key=lambda w: (-len(w), w))  # of two that begin alike the longer one first
-    gate = F.lit(rf"(?i)(?<!{WORD})(?:" + "|".join(words_of) + ")")
-    keywords = F.array_distinct(F.transform(F.regexp_extract_all(text, gate, F.lit(0)), F.lower))
+    found = F.regexp_extract_all(text, F.lit(GATE), F.lit(1))
+    keywords = F.array_distinct(F.transform(found, lambda k: F.lower(F.regexp_replace(k, _GAP, " "))))
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     src = src.select("doc_id", text.alias("text"), keywords.alias("keywords"), words(text).alias("n_words"))
     base = F.when(F.size("keywords") > 0, F.regexp_extract_all("text", F.lit(BASE_PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
