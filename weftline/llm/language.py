@@ -1,6 +1,6 @@
 """Language spans: script ranges, then Viterbi over per-word scores.
 
-Words are runs of letters. The script of a word's first letter (a table of code
+Words are runs of letters, longer ones cut at 64. The script of a word's first letter (a table of code
 point ranges) leaves as candidates only the languages that write at least
 ``script_share`` of their words in it. Among these a word scores the logarithm
 of its letter n-grams under each language (n = 2 and 3 with word borders, smoothed,
@@ -12,18 +12,19 @@ letters in its spans is the document's, and the score is its share.
 Learning takes a bounded sample of whole labelled texts: of each language as
 large a share, by a hash of the id, as gives ``per_language`` texts on average.
 Their n-grams are counted in Spark; the tables (bounded by ``most_grams`` per
-language) go to the tasks.
+language; None keeps all) go to the tasks.
 
 Defined cases: a text that is null or without letters is ``und`` with score 0
 and no spans; a word of a script that no language writes keeps its neighbours'
 language; ties go to the language first in order; null languages are not
-learned; without any labelled text all is ``und``; other columns are ignored;
-no rows give no rows.
+learned; without any labelled text all is ``und``; rows that repeat a doc_id are
+separate; other columns are ignored, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 
 import numpy as np
@@ -32,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices, worker_cache
+
 PER_LANGUAGE = 1500
 MOST_GRAMS = 50_000
 PENALTY = 10.0
@@ -46,10 +49,20 @@ SCRIPTS = [
     (0xD7B0, ""), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, ""), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, ""), (0xFE70, "arabic"), (0xFF00, "latin"), (0xFF66, "kana"), (0xFFA0, ""), (0x20000, "han"),
 ]
 _STARTS = [a for a, _ in SCRIPTS]
-_WORD = re.compile(r"[^\W\d_]+")
+#: A longer run of letters is cut into words of this length, so that unspaced texts are scored whole.
+LONGEST_WORD = 64
+_WORD = re.compile(rf"[^\W\d_]{{1,{LONGEST_WORD}}}")
 UNKNOWN = "und"
 
 
+def letters(text: str) -> str:
+    """The text with a blank for each character that is numeric but no letter (fractions, superscripts, Roman numerals)."""
+    found = "".join(_WORD.findall(text))
+    if not found or found.isalpha():
+        return text
+    return text.translate({ord(c): " " for c in set(found) if not c.isalpha()})
+
+
 def script_of(letter: str) -> str:
     return SCRIPTS[bisect_right(_STARTS, ord(letter)) - 1][1]
 
@@ -77,7 +90,7 @@ class Model:
         """Each word's score under each language; zero for a script that none writes."""
         own = [self.scripts.get(script_of(w[0]), self.none) for w in words]
         get = self.grams.get
-        grams = [grams_of(w[:64]) for w in words]
+        grams = [grams_of(w) for w in words]
         sizes = np.array([len(g) for g in grams])
         rows = np.array([get(x, len(x) - 1) for g in grams for x in g], np.int64)
         total = np.add.reduceat(self.logs[rows], np.cumsum(sizes) - sizes) / np.sqrt(sizes)[:, None]
@@ -175,7 +188,7 @@ class Model:
         return [path[at[: len(d)] + j] for j, d in enumerate(docs)]
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_grams: int = MOST_GRAMS, script_share: float = 0.02, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_grams: int | None = MOST_GRAMS, script_share: float = 0.02, penalty: float = PENALTY, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
     """The tables of a model from a bounded sample of labelled texts; what reaches the driver is bounded by ``most_grams`` and the number of languages."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rates = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("rate"))  # a row for each language
@@ -186,8 +199,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_grams: int =
         counts: dict[tuple[str, str], int] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w in _WORD.findall(text):
-                    for g in (*grams_of(w[:64]), f"#{script_of(w[0])}"):
+                for w in _WORD.findall(letters(text)):
+                    for g in (*grams_of(w), f"#{script_of(w[0])}"):
                         counts[lang, g] = counts.get((lang, g), 0) + 1
         if counts:
             keys = list(counts)
@@ -195,7 +208,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_grams: int =
 
     counted = few.select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    counted = counted.withColumn("r", F.row_number().over(top)).filter(F.col("gram").startswith("#") | (F.col("r") <= most_grams))
+    if most_grams is not None:
+        counted = counted.withColumn("r", F.row_number().over(top)).filter(F.col("gram").startswith("#") | (F.col("r") <= most_grams))
     by_gram = counted.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n")).collect()
     languages = sorted({x for r in by_gram for x in r.n})
     if not languages:
@@ -216,20 +230,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most_grams: int =
     return order | {"grams": grams, "unseen": unseen, "scripts": scripts}
 
 
-_MODELS: dict[str, Model] = {}
-
-
-def _model(key: str, tables: dict) -> Model:
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(**tables)
-    return _MODELS[key]
-
-
 def predict(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = True) -> DataFrame:
     """doc_id, lang_pred, score and, if asked, spans: array of (start, end, lang), code points from the first word to the last."""
-    import uuid
-
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])
     fields = [src.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + [T.StructField("spans", T.ArrayType(span))] * with_spans
@@ -237,10 +239,9 @@ def predict(docs: DataFrame, tables: dict, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                m = _model(key, shared.value) if shared.value["languages"] else None
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            for part in slices(b, 1):
+                m = worker_cache(f"language:{key}", lambda: Model(**shared.value)) if shared.value["languages"] else None
+                texts = [letters(t or "") for t in part.column(1).to_pylist()]
                 langs, scores, spans = [], [], []
                 codes = m.codes([_WORD.findall(t) for t in texts]) if m else [()] * len(texts)
                 for text, own, path in zip(texts, codes, m.viterbi(codes) if m else codes):
