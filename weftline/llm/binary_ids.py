@@ -11,8 +11,9 @@ even when executors are lost; with each goes its place in the order and its
 documents' doc_ids (delta-coded by Parquet).
 
 Defined cases: a null text is an empty one (its end id alone); null doc_ids come
-first; rows that repeat a doc_id stand side by side, ordered by their text; other
-columns are ignored; no rows give no rows.
+first; rows that repeat a doc_id stand side by side, ordered by a hash of their text; a
+text of any length is one row of one segment; other columns are ignored, whatever
+their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import written
+from .common import slices, written
 
 MAGIC = b"EFSEG1\0\0"
 HEADER = struct.Struct("<8sBBxxxxxxQQQQ")  # magic, low bits, id bytes, documents, ids, bytes of lows, bytes of highs
@@ -52,7 +53,7 @@ def encode_segment(ends: np.ndarray, ids: np.ndarray) -> bytes:
 
 
 class Segment:
-    """Reads a segment: ``end(i)`` and ``document(i)`` by select, ``ends()`` all at once."""
+    """Reads a segment by select: ``end(i)`` and ``document(i)`` of one document, ``ends()`` of many."""
 
     def __init__(self, data: bytes):
         magic, self.low, width, self.n, self.n_ids, lows, highs = HEADER.unpack_from(data)
@@ -92,12 +93,22 @@ class Segment:
         """The ids of document i."""
         return self.ids[self.end(i - 1) : self.end(i)]
 
-    def ends(self) -> np.ndarray:
-        """Where each document ends."""
-        high = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n] - np.arange(self.n)
-        out = high.astype(np.int64) << self.low
+    def ends(self, of: np.ndarray | None = None) -> np.ndarray:
+        """Where each document of ``of`` (ascending numbers; all, if not given) ends: a batch of selects, each from the sample before it."""
+        of = np.arange(self.n) if of is None else np.asarray(of)
+        high = np.empty(len(of), np.int64)
+        group = of // SAMPLE
+        for g in np.unique(group).tolist():
+            at = int(self.samples[g])
+            to = int(self.samples[g + 1]) if g + 1 < len(self.samples) else 8 * len(self.highs)
+            bits = np.unpackbits(self.highs[at // 8 : -(-to // 8)], bitorder="little")
+            places = np.flatnonzero(bits[at % 8 :]) + at
+            own = group == g
+            high[own] = places[of[own] % SAMPLE] - of[own]
+        out = high << self.low
         if self.low:
-            bits = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low)
+            where = of[:, None] * self.low + np.arange(self.low)
+            bits = self.lows[where // 8] >> (where % 8).astype(np.uint8) & 1
             out |= bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low, dtype=np.int64))
         return out
 
@@ -131,7 +142,7 @@ def write_segments(
             cols = [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([names], pa.list_(kind)), pa.array([data], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1)):
             kind = b.schema.field(0).type
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 names.append(doc_id)
