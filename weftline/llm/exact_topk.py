@@ -7,8 +7,9 @@ in a tree of bounded fan-in. Work is queries x vectors, as an exact search
 needs; what moves is vectors x groups + queries x shards, least when groups and
 shards are of one size. Tiles hold a fixed number of rows at any input size.
 
-Defined cases: a vector that is null or empty, or holds a null or a non-finite
-component, takes no part; only vectors of one length are compared; rows that
+Defined cases: a vector that is null or empty, or holds a null, a non-finite
+component or one that is not finite once scaled, takes no part; a score beyond 64
+bits is held at the nearest 64-bit number; only vectors of one length are compared; rows that
 repeat an id and a vector count once; rows of a query's own id are not its
 candidates; ties go to the smaller id; a null id takes no part; other columns
 are ignored; fewer than k candidates give a shorter list.
@@ -71,10 +72,10 @@ def best_in_tile(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarra
     return np.array(a, np.int64), np.array(b, np.int64), np.array([int(x) for x in s], np.int64)
 
 
-def usable(vector: str | Column) -> Column:
+def usable(vector: str | Column, scale: int = SCALE) -> Column:
     """Whether a vector takes part."""
     v = F.col(vector) if isinstance(vector, str) else vector
-    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) != float("inf")))
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(good, F.lit(False))
 
 
@@ -85,7 +86,7 @@ def top_k(
 
     def side(df: DataFrame, query: bool, groups: int, copies: int) -> DataFrame:
         """Rows with the tile's two numbers; each row is copied to the tiles of the other side."""
-        kept = df.filter(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).distinct()
+        kept = df.filter(usable(vector_col, scale) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).distinct()
         own = F.pmod(F.xxhash64("id", "vector"), F.lit(groups)).cast("int")  # by both, so that an id of many vectors is spread
         other = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
         return kept.select(F.lit(query).alias("query"), own.alias("group" if query else "shard"), other.alias("shard" if query else "group"), F.size("vector").alias("dim"), "id", "vector")
