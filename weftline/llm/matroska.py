@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: Fixed values of the Matroska and EBML specifications (RFC 8794, RFC 9559).
 EBML, SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES, CUE = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0x1F43B675, 0x1C53BB6B, 0xBB
 SCALE, DURATION, MUXER, WRITER = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
@@ -314,8 +316,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
+            for part in slices(b, 1, most_rows=512):
                 raw = [(t or "").encode() for t in part.column(1).to_pylist()]
                 media = [mux(r.ljust(max(PAD, -(-len(r) // PAD) * PAD), b"\0")) for r in raw]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], names=schema.names)
@@ -339,8 +340,7 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     def run(batches):
         for b in batches:
             kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string()]
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for part in slices(b, 1, most_rows=256):
                 rows: list[tuple] = []
                 for ident, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     p = parse(data)
