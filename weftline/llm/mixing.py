@@ -18,7 +18,8 @@ single task's work. One row per source is ordered in one task.
 
 Defined cases: a null text has size 0; a document of size 0 is never taken; null
 is a source of its own, after the others; rows that repeat a doc_id are separate
-documents; other columns are ignored; no rows give no rows.
+documents; ties in the shuffle go by id and size; a text of any length is counted
+whole; other columns are ignored, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -135,6 +136,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """
     _, rows = mix(docs, id_col=id_col, **options)
     times = rows.groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("x"))
-    times = times.select(F.col("doc_id").alias("_id"), F.round("x").cast("int").alias("_times")).filter("_times > 0")
-    out = docs.join(times, F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = times.select(F.col("doc_id").alias("id"), F.round("x").cast("int").alias("times")).filter("times > 0")
+    whole = docs.select(F.col(f"`{id_col}`").alias("own_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = whole.join(times, F.col("own_id").eqNullSafe(F.col("id")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
