@@ -12,7 +12,9 @@ only the last sequence of a partition is padded.
 
 Defined cases: a null text is an empty one, and an empty document still has its
 end id; rows that repeat a doc_id are separate documents; a null doc_id stays
-null; other columns are ignored, whatever their names; no rows give no rows.
+null; documents of equal length go in the order in which they come; a text of
+any length is held as one row; other columns are ignored, whatever their names; no
+rows give no rows.
 """
 
 from __future__ import annotations
@@ -27,9 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
+from .common import slices
 
 LENGTH = 2048
 WINDOW = 2048
+#: Ids in a batch of pieces, a text's or a window's more at most.
+_YIELD_IDS = 1 << 18
 
 
 def balance(lengths: list[int], length: int, sequences: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int]]:
@@ -65,11 +70,18 @@ class _Packer:
         self.length, self.window, self.linear, self.quadratic, self.next = length, window, linear, quadratic, first
         self.waiting: list[tuple[object, int, int, np.ndarray]] = []  # doc_id, doc_tokens, start, ids
         self.rows: list[tuple] = []  # doc_id, start, ids, doc_tokens, sequence_id, offset
+        self.held = 0  # ids in rows
+
+    def taken(self) -> list[tuple]:
+        """The rows, which are then let go."""
+        rows, self.rows, self.held = self.rows, [], 0
+        return rows
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         n, whole = len(ids), len(ids) // self.length * self.length
         for start in range(0, whole, self.length):
             self.rows.append((doc_id, start, ids[start : start + self.length], n, self.next, 0))
+            self.held += self.length
             self.next += 1
         if n > whole:
             self.waiting.append((doc_id, n, whole, ids[whole:].copy()))
@@ -86,6 +98,7 @@ class _Packer:
         for doc, start, take, s in balance(lengths, self.length, sequences, self.linear, self.quadratic):
             doc_id, n, before, ids = self.waiting[doc]
             self.rows.append((doc_id, before + start, ids[start : start + take], n, self.next + s, offsets[s]))
+            self.held += take
             ends[doc] = start + take
             offsets[s] += take
         self.next += sequences
@@ -124,16 +137,15 @@ def pack(
         enc = tokens.encoder(tokenizer_path, chunks)
         packer = _Packer(length, window, linear, quadratic, TaskContext.get().partitionId() << 32)
         kind = None
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1)):
             kind = b.schema.field(0).type
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 packer.add(doc_id, np.frombuffer(enc.encode([text or ""])[0] + end, dtype="<u4"))
-                if len(packer.rows) >= 4096:
-                    yield table(packer.rows, kind)
-                    packer.rows = []
+                if packer.held >= _YIELD_IDS:
+                    yield table(packer.taken(), kind)
         if kind is not None:
             packer.flush(last=True)
             if packer.rows:
-                yield table(packer.rows, kind)
+                yield table(packer.taken(), kind)
 
     return src.mapInArrow(run, T.StructType(fields))

@@ -21,13 +21,13 @@ per partition and round reaches the driver.
 Defined cases: a null text is an empty one; ratings without a text and texts
 without a rating are not learned from; a null grade is no rating; without two
 different grades every text has the highest expected grade and tail 1; other
-columns are ignored; no rows give no rows.
+columns are ignored, whatever their names; equal texts score alike; a text of any
+length is read whole; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from dataclasses import dataclass
 from operator import eq
@@ -38,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import Kept, slices, worker_cache, written
 
 DIMS = 1 << 17
 PER_GRADE = 5000
 ROUNDS = 10
 PARTS = 6
 LEAST_Z = 4.0
+#: Places of words that a worker keeps, twice.
+MOST_WORDS = 150_000
 _WORD = re.compile(r"\w+")
 _CLASS = np.zeros(256, np.int64)  # of a UTF-8 byte: 0 lower-case letter, 1 upper, 2 digit, 3 white space, 4 sign, 5 part of a longer character
 _CLASS[ord("A") : ord("Z") + 1] = 1
@@ -54,17 +56,8 @@ _CLASS[[b for b in range(33, 127) if not chr(b).isalnum()]] = 4
 _CLASS[128:] = 5
 
 
-class _Places(dict):
-    """Places of words, kept; ``dims`` is a power of two."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = zlib.crc32(word.encode()) & 0x7FFFFFFF
-        return h
-
-
-_PLACES = _Places()
+def _place(word: str) -> int:
+    return zlib.crc32(word.encode()) & 0x7FFFFFFF
 
 
 def features(text: str, dims: int = DIMS) -> np.ndarray:
@@ -78,8 +71,9 @@ def features(text: str, dims: int = DIMS) -> np.ndarray:
     lines = text.split("\n")
     shares = (*counts, len(different) / n, equal, sum(map(len, words)) / n / 20, len(set(lines)) / len(lines), min(1.0, len(lines) / n))
     levels = [f"#{k}:{int(24 * x**0.5)}" for k, x in enumerate(shares)] + [f"#n:{len(words).bit_length()}"]
+    places = worker_cache("quality", lambda: Kept(_place, MOST_WORDS))
     stems = {w[:4] + "-" for w in different if len(w) > 5}
-    return np.unique(np.array([_PLACES[w] for w in (*different, *stems, *levels)], np.int64) & (dims - 1))
+    return np.unique(np.array([places[w] for w in (*different, *stems, *levels)], np.int64) & (dims - 1))
 
 
 @dataclass
@@ -126,7 +120,7 @@ def fit(
 
     def prepare(batches):
         for b in batches:
-            found = [features(x, dims).astype(np.int32) for x in b.column(0).to_pylist()]
+            found = [features(x, dims).astype(np.int32) for part in slices(b, 0) for x in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1), b.column(2), b.column(3)], names=["x", "grade", "weight", "place"])
 
     ready = few.select(F.col(text_col).alias("text"), "grade", "weight", "place").mapInArrow(prepare, "x array<int>, grade int, weight double, place long")
@@ -199,28 +193,30 @@ def _sample(docs: DataFrame, ratings: DataFrame, per_grade: int, id_col: str, te
     return texts.join(F.broadcast(few), "_id").drop("_id")
 
 
-_MODELS: dict[str, Model] = {}
+def score(docs: DataFrame, model: Model, tail: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, expected_grade and tail_prob (of a grade of at least ``tail``) of every document."""
+    return _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, tail).select("row.doc_id", "expected_grade", "tail_prob")
+
+
+def select(docs: DataFrame, model: Model, tail: int, least: float, text_col: str = "text") -> DataFrame:
+    """The documents, with their columns, whose probability of a grade of at least ``tail`` is ``least`` or more."""
+    return _scored(docs, model, tail, text_col).filter(F.col("tail_prob") >= least).select("row.*")
 
 
-def score(docs: DataFrame, model: Model, tail: int, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """expected_grade and tail_prob (of a grade of at least ``tail``) of every document: with its doc_id, or with all its columns if ``keep``."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    added = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_prob", T.DoubleType())]
-    src = docs if keep else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    text_at = src.columns.index(text_col if keep else "_text")
-    kept = [i for i in range(len(src.columns)) if keep or i != text_at]
-    schema = T.StructType([src.schema.fields[i] for i in kept] + added)
+def _scored(docs: DataFrame, model: Model, tail: int, text_col: str = "text") -> DataFrame:
+    """row (the document, whatever its columns are called), expected_grade, tail_prob."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_prob", T.DoubleType())])
 
     def run(batches):
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = shared.value
-        m = _MODELS[key]
+        m = shared.value
         dims = len(m.weights)
         for b in batches:
-            f = np.array([m.weights[features(x or "", dims)].sum() for x in b.column(text_at).to_pylist()], np.float64)
-            p = m.probabilities(f)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(p.sum(1)), pa.array(p[:, tail - 1])], names=schema.names)
+            for part in slices(b, b.column(0).field(at)):
+                f = np.array([m.weights[features(x or "", dims)].sum() for x in part.column(0).field(at).to_pylist()], np.float64)
+                p = m.probabilities(f)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p.sum(1)), pa.array(p[:, tail - 1])], names=schema.names)
 
     return src.mapInArrow(run, schema)
 

@@ -11,6 +11,10 @@ import os
 import re
 import struct
 
+import numpy as np
+
+from .common import worker_cache
+
 #: Kinds of vocabulary: byte-level, where a word takes one blank before it, and one that drops white space.
 BYTE_CHUNKS, WORD_CHUNKS = "byte", "word"
 #: White space to Python alone, or differing by version; such texts are encoded whole.
@@ -18,14 +22,18 @@ _ODD = re.compile(r"[\x1c-\x1f\u180e]")
 #: White space other than blank and line feed, or the mark itself: chunks of such texts are found by the vocabulary's own split.
 _OTHER = re.compile(r"[^\S \n]|\x00")
 _SPLIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: A sign that is a token of its own, put between chunks.
+_SIGN = "\x01"
 #: Longer chunks are encoded each time, so that a cache entry has a bounded size.
 LONGEST_CACHED = 48
+#: Chunks in a generation of the cache, about 150 bytes each.
+CACHE_ENTRIES = 250_000
 
 
 class ChunkEncoder:
-    """Encodes texts with one tokenizer file; at most ``cache_entries`` chunks are kept."""
+    """Encodes texts with one tokenizer file; at most ``2 * cache_entries`` chunks are kept, those used last."""
 
-    def __init__(self, path: str, kind: str, cache_entries: int = 1_500_000):
+    def __init__(self, path: str, kind: str, cache_entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -33,8 +41,18 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.most = cache_entries
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.chunks = {BYTE_CHUNKS: self.byte_chunks, WORD_CHUNKS: str.split}[kind]
         self.plain = self.unmarked if kind == BYTE_CHUNKS else str
+        self.sizes = self.sign_id = None
+        if kind == BYTE_CHUNKS:
+            by_id = sorted((k, len(t)) for t, k in self.tokenizer.get_vocab(with_added_tokens=False).items())
+            self.sizes = np.zeros(by_id[-1][0] + 1, np.int64)
+            self.sizes[[k for k, _ in by_id]] = [n for _, n in by_id]
+            self.joint, self.joined = (lambda c: c[0] != "\x00"), (lambda some: " " + " ".join(some))
+        else:
+            self.sign_id = self.tokenizer.encode(_SIGN, add_special_tokens=False).ids[0]
+            self.joint, self.joined = (lambda c: _SIGN not in c), (lambda some: f" {_SIGN} ".join(some) + f" {_SIGN}")
 
     @staticmethod
     def byte_chunks(text: str) -> list[str]:
@@ -64,6 +82,24 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
 
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk: those that white space may join are encoded as one text and cut apart."""
+        joint = [c for c in chunks if self.joint(c)]
+        if len(joint) < 4:
+            return self._encode([self.plain(c) for c in chunks])
+        ids = np.array(self.tokenizer.encode_batch_fast([self.joined(joint)], add_special_tokens=False)[0].ids, "<u4")
+        if self.sizes is not None:  # a token's bytes are those of its text
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([1 + len(c.encode()) for c in joint])) + 1
+            starts = np.concatenate([[0], ends[:-1]])
+        else:  # the sign between chunks has an id of its own
+            ends = np.flatnonzero(ids == self.sign_id)
+            starts = np.concatenate([[0], ends[:-1] + 1])
+        data = ids.tobytes()
+        found = dict(zip(joint, (data[4 * i : 4 * j] for i, j in zip(starts.tolist(), ends.tolist()))))
+        rest = [c for c in chunks if c not in found]
+        found.update(zip(rest, self._encode([self.plain(c) for c in rest])))
+        return [found[c] for c in chunks]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, as bytes."""
         out: list[bytes] = []
@@ -74,21 +110,18 @@ class ChunkEncoder:
             chunks = self.chunks(text)
             ids = list(map(self.known.get, chunks))
             if None in ids:
-                new = list({c for c, x in zip(chunks, ids) if x is None})
-                found = dict(zip(new, self._encode([self.plain(c) for c in new])))
-                if len(self.known) + len(found) > self.most:
-                    self.known.clear()
+                missed = {c for c, x in zip(chunks, ids) if x is None}
+                found = {c: self.older[c] for c in missed if c in self.older}
+                new = list(missed.difference(found))
+                found.update(zip(new, self._encode_chunks(new)))
                 self.known.update((c, x) for c, x in found.items() if len(c) <= LONGEST_CACHED)
+                if len(self.known) > self.most:  # a full generation becomes the older one; what is used of it comes back
+                    self.known, self.older = {}, self.known
                 ids = [found[c] if x is None else x for c, x in zip(chunks, ids)]
             out.append(b"".join(ids))
         return out
 
 
-_ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
-
-
 def encoder(path: str, chunks: str) -> ChunkEncoder:
     """The encoder of this Python worker for a tokenizer file."""
-    if (path, chunks) not in _ENCODERS:
-        _ENCODERS[path, chunks] = ChunkEncoder(path, chunks)
-    return _ENCODERS[path, chunks]
+    return worker_cache(f"encoder:{chunks}:{path}", lambda: ChunkEncoder(path, chunks))
