@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import INPUT, EngineError
@@ -117,15 +118,27 @@ def schema_hash(df: DataFrame) -> str:
 
 
 class SchemaRegistry:
-    """Versions of named schemas; registering a changed one is a new version."""
+    """Versions of named schemas; registering a changed one is a new version. With a folder they are kept there, as JSON lines that Spark writes."""
 
-    def __init__(self) -> None:
+    def __init__(self, spark: SparkSession | None = None, folder: str | None = None) -> None:
+        self.spark, self.folder = spark, folder
         self.versions: dict[str, list[str]] = {}
+        if folder:
+            try:
+                rows = spark.read.schema("name string, version int, hash string").json(folder).orderBy("version").collect()  # a row for each version
+            except AnalysisException as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                rows = []
+            for r in rows:
+                self.versions.setdefault(r.name, []).append(r.hash)
 
     def register(self, name: str, df: DataFrame) -> int:
         known = self.versions.setdefault(name, [])
         if not known or known[-1] != schema_hash(df):
             known.append(schema_hash(df))
+            if self.folder:
+                self.spark.createDataFrame([(name, len(known), known[-1])], "name string, version int, hash string").coalesce(1).write.mode("append").json(self.folder)
         return len(known)
 
     def drifted(self, name: str, df: DataFrame) -> bool:

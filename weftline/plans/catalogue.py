@@ -626,6 +626,105 @@ def schema_drift(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(first, drifted)], "version int, drifted boolean")
 
 
+@query("schema_versions", "SELECT 2 AS version, true AS drifted, false AS same")
+def schema_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Versions outlive the registry that made them."""
+    folder, df = _scratch(spark, "schemas"), table(spark, d, "nation")
+    more = df.withColumn("more", F.lit(1))
+    first = checks.SchemaRegistry(spark, folder)
+    first.register("nation", df)
+    first.register("nation", more)
+    later = checks.SchemaRegistry(spark, folder)
+    return spark.createDataFrame([(later.register("nation", more), later.drifted("nation", df), later.drifted("nation", more))], "version int, drifted boolean, same boolean")
+
+
+# --- files written and read back, jobs as configured
+
+
+def _round_trip(kind: str, read_as: str | None = None):
+    def run_(spark: SparkSession, d: str) -> DataFrame:
+        at = _scratch(spark, f"files-{kind}")
+        files.write_file(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), at, kind)
+        return files.read_file(spark, at, read_as or kind).select("p_partkey", "p_name", F.col("p_retailprice").cast("double").alias("p_retailprice"))
+
+    return run_
+
+
+query("file_csv", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_retailprice FROM part")(_round_trip("csv"))
+for _kind, _read in (("json", "ndjson"), ("json_array", "json"), ("orc", "orc"), ("parquet", "parquet")):
+    query(f"file_{_kind}", "SELECT p_partkey, p_name, p_retailprice FROM part")(_round_trip(_kind, _read))
+
+
+@query("file_hl7", "SELECT CAST(c_custkey AS VARCHAR) AS control_id, 3 AS segments FROM customer WHERE c_custkey % 2 = 0")
+def file_hl7(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of many files, cut before each MSH."""
+    at = _scratch(spark, "files-hl7")
+    _messages(spark, d).filter("id % 2 = 0").select(F.regexp_replace("raw_message", "\r", "\n")).write.text(at)
+    got = files.read_file(spark, at, "hl7")
+    return got.select(hl7.field("raw_message", "MSH", 10).alias("control_id"), F.size(F.split("raw_message", "\r")).alias("segments"))
+
+
+@query("sql_parameters", "SELECT n_name FROM nation WHERE n_regionkey = 1 AND n_nationkey > 2")
+def sql_parameters(spark: SparkSession, d: str) -> DataFrame:
+    return Engine(spark).query(f"SELECT n_name FROM read_file('{d}/nation.parquet') WHERE n_regionkey = :r AND n_nationkey > :k", {"r": 1, "k": 2})
+
+
+@query("sql_row_limit", "SELECT 7 AS n, true AS truncated")
+def sql_row_limit(spark: SparkSession, d: str) -> DataFrame:
+    e = Engine(spark)
+    with e.using(max_rows=7):
+        rows = e.rows(f"SELECT n_name FROM read_file('{d}/nation.parquet')")
+    return spark.createDataFrame([(len(rows), rows.truncated)], "n int, truncated boolean")
+
+
+_JOB = """{"source": "IN", "destinations": [{"path": "OUT", "filter": "half > 100"}], "normalize": {"p_retailprice": "float64"}, "constants": {"tag": "t"}, "max_errors": 100000,
+    "mapping": {"id": "p_partkey", "half": "eval.{{p_retailprice / 2}}", "label": "consts.tag + '-' + p_partkey", "name": "p_name"}, "format": {"name": "trim()|upper()|suffix('!')"},
+    "rules": [{"field": "id", "kind": "regex", "pattern": "[0-8]$"}], "dedup_field": "id"}"""
+
+
+@query("job_from_config", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_retailprice / 2 AS half, 't-' || p_partkey AS label, upper(p_name) || '!' AS name FROM part WHERE p_partkey % 10 <> 9 AND p_retailprice / 2 > 100")
+def job_from_config(spark: SparkSession, d: str) -> DataFrame:
+    at = _scratch(spark, "job")
+    files.write_file(table(spark, d, "part"), f"{at}/in.csv", "csv")
+    run(spark, Job.from_config(_JOB.replace("IN", f"{at}/in.csv").replace("OUT", f"{at}/out")))
+    return spark.read.parquet(f"{at}/out")
+
+
+@query("job_summary", "SELECT 'good' AS job, count(*) FILTER (WHERE p_partkey % 10 <> 9) AS loaded, count(*) FILTER (WHERE p_partkey % 10 = 9) AS rejected, false AS failed FROM part UNION ALL SELECT 'failing', 0, count(*) FILTER (WHERE p_partkey % 10 = 9), true FROM part UNION ALL SELECT 'dry', count(*) FILTER (WHERE p_partkey % 10 <> 9), count(*) FILTER (WHERE p_partkey % 10 = 9), false FROM part")
+def job_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A job within its limit of rejects, one beyond it, which loads nothing, and a dry run."""
+    at, out = _scratch(spark, "summary"), []
+    for name, more in (("good", {"max_errors": 10**9}), ("failing", {"max_errors": 1}), ("dry", {"max_errors": 10**9, "dry_run": True})):
+        s = run(spark, Job([table(spark, d, "part")], destinations=[f"{at}/{name}"], rules=[checks.Rule("p_partkey", "regex", pattern="[0-8]$")], **more), f"{at}/{name}-dead")
+        out.append((name, s.loaded, s.rejected, s.failed))
+    return spark.createDataFrame(out, "job string, loaded long, rejected long, failed boolean")
+
+
+@query("etl_formatter_copy_set", "SELECT c_custkey, c_name AS a, 'fixed' AS b FROM customer")
+def etl_formatter_copy_set(spark: SparkSession, d: str) -> DataFrame:
+    return etl.format_fields(table(spark, d, "customer").withColumns({"a": F.lit("x"), "b": F.lit("y")}), {"a": "copy(c_name)", "b": "set('fixed')"})[0].select("c_custkey", "a", "b")
+
+
+@query("etl_lowercase_names", "SELECT n_nationkey, n_name FROM nation")
+def etl_lowercase_names(spark: SparkSession, d: str) -> DataFrame:
+    return etl.lowercase_names(table(spark, d, "nation").select(F.col("n_nationkey").alias("N_NationKey"), F.col("n_name").alias("N_NAME")))
+
+
+@query("fn_first_last_item", "SELECT p_partkey, string_split(p_name, ' ')[1] AS f, string_split(p_name, ' ')[-1] AS l FROM part")
+def fn_first_last_item(spark: SparkSession, d: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    return table(spark, d, "part").select("p_partkey", fn.first_item(words).alias("f"), fn.last_item(words).alias("l"))
+
+
+@query("stream_load_rejects", "SELECT 'good' AS at, count(*) AS n FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT 'dead', count(*) FROM events WHERE event_id % 5 = 0")
+def stream_load_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """What a stream loads and rejects, each batch once."""
+    at = _scratch(spark, "load")
+    events = _events(spark, d).select(F.when(F.col("event_id") % 5 == 0, "none").otherwise(F.col("event_id").cast("string")).alias("x"))
+    windows.load(events, lambda b: etl.normalize(b, {"x": "int"}), f"{at}/good", f"{at}/dead", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/good").agg(F.lit("good").alias("at"), F.count(F.lit(1)).alias("n")).union(spark.read.parquet(f"{at}/dead").agg(F.lit("dead"), F.count(F.lit(1))))
+
+
 # --- streams: what has arrived, against the same sums in batch
 
 
@@ -703,6 +802,57 @@ def access_service(spark: SparkSession, d: str) -> DataFrame:
     return e.query("SELECT * FROM read_service('crm.customer')")
 
 
+def _database(spark: SparkSession, d: str) -> Engine:
+    """An engine with an embedded database (of this process, so for local sessions) that holds nation."""
+    e = Engine(spark)
+    e.services.register_jdbc("db", f"jdbc:derby:memory:weftline{uuid.uuid4().hex};create=true", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    e.services.write(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "db.nation")
+    return e
+
+
+@query("jdbc_table", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def jdbc_table(spark: SparkSession, d: str) -> DataFrame:
+    """Written to a database, and read back with the filter pushed down."""
+    return _database(spark, d).query("SELECT n_nationkey, n_name FROM read_service('db.nation') WHERE n_regionkey = 2")
+
+
+@query("jdbc_query", "SELECT n_regionkey, CAST(count(*) AS INTEGER) AS n FROM nation GROUP BY n_regionkey")
+def jdbc_query(spark: SparkSession, d: str) -> DataFrame:
+    """A query that the database runs itself."""
+    return _database(spark, d).query('-- integration: db\nSELECT "n_regionkey", count(*) AS "n" FROM nation GROUP BY "n_regionkey"')
+
+
+@query("jdbc_overwrite", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 0")
+def jdbc_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    """The table emptied (not dropped) and filled again."""
+    e = _database(spark, d)
+    e.services.write(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").filter("n_regionkey <> 0"), "db.nation", "overwrite")
+    return e.query("SELECT * FROM read_service('db.nation')")
+
+
+@query(
+    "jdbc_merge_delete",
+    """SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'new' ELSE n_name END AS n_name FROM nation WHERE n_regionkey <> 3
+    UNION ALL SELECT 100 + n_nationkey, 'more' FROM nation WHERE n_regionkey = 1""",
+)
+def jdbc_merge_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Rows replaced, added and deleted by key in the database."""
+    e, n = _database(spark, d), table(spark, d, "nation")
+    some = n.filter("n_regionkey = 1")
+    e.services.merge(some.select("n_nationkey", F.lit("new").alias("n_name")).union(some.select(F.col("n_nationkey") + 100, F.lit("more"))), "db.nation", "n_nationkey")
+    e.services.delete(n.filter("n_regionkey = 3"), "db.nation", "n_nationkey")
+    return e.query("SELECT n_nationkey, n_name FROM read_service('db.nation')")
+
+
+@query("jdbc_key_value", "SELECT n_nationkey, 'n_name' AS key, n_name AS value, 'string' AS value_type FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', CAST(n_regionkey AS VARCHAR), 'int' FROM nation")
+def jdbc_key_value(spark: SparkSession, d: str) -> DataFrame:
+    """A table made for rows of key and value, and filled."""
+    e = _database(spark, d)
+    e.services.create_key_value("db.details", {"n_nationkey": "INTEGER"})
+    e.services.write(etl.key_value(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), extra=["n_nationkey"]), "db.details")
+    return e.query("SELECT * FROM read_service('db.details')")
+
+
 @query("service_tables", """SELECT 'nation' AS "table", 'n_nationkey' AS "column" UNION ALL SELECT 'region', 'r_regionkey' UNION ALL SELECT 'region', 'r_name'""")
 def service_tables(spark: SparkSession, d: str) -> DataFrame:
     e = Engine(spark)

@@ -7,9 +7,11 @@ import re
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import INPUT, EngineError
@@ -28,6 +30,7 @@ class Services:
         self.writers: dict[str, Callable[[DataFrame, str, str], None]] = {}
         self.rules: dict[str, Rules] = {}
         self.listed: dict[str, dict[str, DataFrame]] = {}
+        self.databases: dict[str, tuple[str, dict[str, str]]] = {}
 
     def register(self, name: str, reader: Callable[[str | None], DataFrame]) -> None:
         """reader: from a table's name (or null) to a DataFrame."""
@@ -43,6 +46,7 @@ class Services:
     def register_jdbc(self, name: str, url: str, **options: str) -> None:
         """Tables of a database; filters and columns are pushed down. Options such as partitionColumn deal out the read."""
         self.register(name, lambda table: self.spark.read.format("jdbc").options(url=url, dbtable=table, **options).load())
+        self.databases[name] = (url, options)
         self.writers[name] = lambda df, table, mode: df.write.format("jdbc").options(url=url, dbtable=table, truncate="true", **options).mode(mode).save()
         self.readers[f"{name}?"] = lambda query: self.spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
@@ -88,6 +92,66 @@ class Services:
             raise EngineError(INPUT, f"table {table!r} may not be written")
         self.writers[name](df, table, mode)
 
+    def execute(self, name: str, *statements: str) -> int:
+        """Run statements in a database, in one transaction; the rows that they change."""
+        if name not in self.databases:
+            raise EngineError(INPUT, f"service {name!r} is no database")
+        url, options = self.databases[name]
+        jvm = self.spark._jvm
+        if "driver" in options:
+            jvm.java.lang.Class.forName(options["driver"])
+        link = jvm.java.sql.DriverManager.getConnection(url, *(options[k] for k in ("user", "password") if k in options))
+        try:
+            link.setAutoCommit(False)
+            changed = sum(link.createStatement().executeUpdate(x) for x in statements)
+            link.commit()
+            return changed
+        finally:
+            link.rollback()
+            link.close()
+
+    def _staged(self, df: DataFrame, text: str, key: str, statement: Callable[[str, str, Callable[[str], str]], str]) -> int:
+        """Write df to a table of its own, run a statement over both tables, drop it again."""
+        name, _, table = text.partition(".")
+        if name not in self.databases:
+            raise EngineError(INPUT, f"service {name!r} is no database")
+        if not _TABLE.match(table) or (name in self.rules and not self.rules[name].table(table)):
+            raise EngineError(INPUT, f"table {table!r} may not be written")
+        sign = "`" if "mysql" in self.databases[name][0] else '"'
+        staged, quoted = f"staged_{uuid.uuid4().hex[:12]}", lambda c: sign + c.replace(sign, sign * 2) + sign
+        self.writers[name](df.filter(F.col(key).isNotNull()), staged, "overwrite")
+        try:
+            return self.execute(name, statement(table, staged, quoted))
+        finally:
+            self.execute(name, f"DROP TABLE {staged}")
+
+    def merge(self, df: DataFrame, text: str, key: str) -> int:
+        """Rows replaced or added by key in service.table, by the database's own MERGE; the rows that it changes. Of rows of one key the greatest counts, a null key none."""
+        rest = [c for c in df.columns if c != key]
+        one = df.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*") if rest else df.distinct()
+
+        def statement(table: str, staged: str, q: Callable[[str], str]) -> str:
+            update = f"WHEN MATCHED THEN UPDATE SET {', '.join(f'{q(c)} = s.{q(c)}' for c in rest)} " if rest else ""
+            every = [key, *rest]
+            return (
+                f"MERGE INTO {table} t USING {staged} s ON t.{q(key)} = s.{q(key)} {update}"
+                f"WHEN NOT MATCHED THEN INSERT ({', '.join(map(q, every))}) VALUES ({', '.join(f's.{q(c)}' for c in every)})"
+            )
+
+        return self._staged(one, text, key, statement)
+
+    def delete(self, keys: DataFrame, text: str, key: str) -> int:
+        """Delete the rows of service.table whose key is among the keys; how many they are."""
+        return self._staged(keys.select(key).distinct(), text, key, lambda table, staged, q: f"DELETE FROM {table} WHERE {q(key)} IN (SELECT {q(key)} FROM {staged})")
+
+    def create_key_value(self, text: str, extra: dict[str, str], key: str = "key", value: str = "value") -> None:
+        """A table for rows of ``etl.key_value``: the extra columns (name to SQL type), key, value, value_type."""
+        name, _, table = text.partition(".")
+        if not _TABLE.match(table):
+            raise EngineError(INPUT, f"{table!r} is no table name")
+        columns = extra | {key: "VARCHAR(255)", value: "VARCHAR(4000)", "value_type": "VARCHAR(32)"}
+        self.execute(name, f"CREATE TABLE {table} (" + ", ".join(f'"{c}" {kind}' for c, kind in columns.items()) + ")")
+
     def tables(self, name: str) -> DataFrame:
         """table, column, type of what a service's registered tables hold, as far as its rules allow."""
         if name not in self.listed:
