@@ -366,3 +366,37 @@ def test_page_rows(spark):
     df = spark.createDataFrame([(1, page)], "page_id int, html string")
     got = html.rows(df, "div.card", {"title": "h2", "to": "a@href", "id": "@id", "all": ""}).orderBy("position").collect()
     assert [tuple(r) for r in got] == [(1, 0, "A b", "/1", "x", "A bone"), (1, 1, None, None, None, "only")]
+
+
+def test_polled_stream(spark, tmp_path):
+    import http.server
+    import json
+    import threading
+    from urllib.parse import parse_qs, urlparse
+
+    from weftline.streaming import windows
+
+    items = [{"id": k} for k in range(5)]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen = int(parse_qs(urlparse(self.path).query)["offset"][0])
+            out = json.dumps(items[seen : seen + 3]).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(out)))
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    stream = windows.polled(spark, f"http://127.0.0.1:{server.server_port}/items", "id long")
+    for _ in range(2):  # what was read is not read again
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).start()
+        q.processAllAvailable()
+        q.stop()
+        items += [{"id": 5}] if len(items) == 5 else []
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(6))
+    server.shutdown()

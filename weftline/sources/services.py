@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..errors import INPUT, EngineError
 from ..operators.access import Rules, restrict
@@ -176,7 +176,11 @@ def _missing(name: str, table: str | None) -> DataFrame:
 
 
 class RestSource(DataSource):
-    """Rows of JSON objects of one or several comma-separated addresses, a partition each."""
+    """Rows of JSON objects of one or several comma-separated addresses, a partition each.
+
+    As a stream it polls one address, which takes the number of rows seen so far as the parameter ``offset_param``
+    (offset) and answers with those after it.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -188,6 +192,9 @@ class RestSource(DataSource):
     def reader(self, schema):
         return _RestReader(self.options, schema)
 
+    def simpleStreamReader(self, schema):
+        return _RestPoll(self.options, schema)
+
 
 class _Address(InputPartition):
     def __init__(self, url: str):
@@ -224,3 +231,23 @@ class _RestReader(DataSourceReader):
         for key in filter(None, self.data_path.split(".")):
             data = data[int(key)] if isinstance(data, list) else data[key]
         return data if isinstance(data, list) else [data]
+
+
+class _RestPoll(SimpleDataSourceStreamReader):
+    def __init__(self, options: dict, schema):
+        self.source, self.url, self.param = _RestReader(options, schema), options["url"], options.get("offset_param", "offset")
+
+    def initialOffset(self) -> dict:
+        return {"seen": 0}
+
+    def _after(self, seen: int) -> list[tuple]:
+        rows = self.source._rows(self.source._answer(f"{self.url}{'&' if '?' in self.url else '?'}{self.param}={seen}"))
+        return [tuple(row.get(f) for f in self.source.fields) for row in rows]
+
+    def read(self, start: dict):
+        rows = self._after(start["seen"])
+        return iter(rows), {"seen": start["seen"] + len(rows)}
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        """The rows of a batch that runs again."""
+        return iter(self._after(start["seen"])[: end["seen"] - start["seen"]])
