@@ -1,10 +1,9 @@
-"""Configured jobs as DataFrame plans, and their dependency order."""
+"""Configured jobs as DataFrame plans, and the layers of their dependencies (running them is an orchestrator's work)."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 
@@ -155,12 +154,3 @@ def layers(needs: dict[str, list[str]]) -> list[list[str]]:
         out.append(ready)
         order.done(*ready)
     return out
-
-
-def run_layers(needs: dict[str, list[str]], work: Callable[[str], object], at_once: int = 4) -> dict[str, object]:
-    """Run each layer's jobs side by side; a failing layer is the last."""
-    done: dict[str, object] = {}
-    with ThreadPoolExecutor(at_once) as pool:
-        for layer in layers(needs):
-            done |= dict(zip(layer, pool.map(work, layer)))
-    return done
