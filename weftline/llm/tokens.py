@@ -27,7 +27,7 @@ _SIGN = "\x01"
 #: Longer chunks are encoded each time, so that a cache entry has a bounded size.
 LONGEST_CACHED = 48
 #: Chunks in a generation of the cache, about 150 bytes each.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 700_000
 
 
 class ChunkEncoder:
