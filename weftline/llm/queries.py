@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, exact_topk, language, licences, matroska, mixing, near_dups, packing, pii, quality
+from . import binary_ids, exact_topk, hard_negatives, language, licences, matroska, mixing, near_dups, packing, pii, quality, resampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -123,3 +123,49 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels")), grades=3)
     return quality.score(docs, model, tail=2).withColumn("keep", F.col("tail_prob") >= quality.KEEP)
+
+
+_CRC = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS t),
+    d AS (SELECT 1 AS kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+    n AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT unnest(w) AS w FROM d UNION SELECT DISTINCT unnest(w) FROM b)),
+    k AS (SELECT w, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+        lambda c, x: xor(c >> 8, list_extract(t, xor(c & 255, x) + 1)), 4294967295), 4294967295) % 10000 AS bucket FROM n, crc)"""
+
+
+@query(
+    "op13_resampling",
+    f"""WITH {_CRC},
+    dw AS (SELECT doc_id, unnest(w) AS w FROM d), bw AS (SELECT unnest(w) AS w FROM b),
+    s AS (SELECT bucket, count(*) AS s FROM dw JOIN k USING (w) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM bw JOIN k USING (w) GROUP BY bucket),
+    tot AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS ss, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS tt),
+    g AS (SELECT s.bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (ss + 10000) / ((s + 1)::DOUBLE * (tt + 10000)))) AS gain FROM s LEFT JOIN t ON s.bucket = t.bucket, tot),
+    m AS (SELECT doc_id, floor(sum(gain) / count(*)) AS weight FROM dw JOIN k USING (w) JOIN g USING (bucket) GROUP BY doc_id),
+    r AS (SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+        FROM d LEFT JOIN m ON d.doc_id = m.doc_id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS pos, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM r)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND pos <= 10 * n // 100 THEN pos END AS rank FROM o""",
+)
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents of 20 words at least, drawn towards the benchmark's words."""
+    scored = resampling.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return resampling.drawn(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query(
+    "op12_hard_negatives",
+    """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same) WHERE k <= 5),
+    n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+        CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three hardest negatives below each of the five nearest of its label, for every row whose vec_id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), "vec_id % 50 = 0")
