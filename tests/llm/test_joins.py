@@ -1,0 +1,230 @@
+"""Parity-sketch join, hard negatives and importance resampling against brute force."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from weftline.llm import hard_negatives, parity_join, resampling
+from weftline.llm.common import spread_join
+
+EXTRA = "doc_id long, text string, rep string, keys int, row string, score string, rank string, bucket string, _part string"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "z", 1, "r", "s", "k", "b", "p") for i, t in rows], EXTRA)
+
+
+# --- 11
+
+
+def plain_set(text, k):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())
+
+
+def plain_classes(rows, k, percent):
+    """[(doc_id, n, component)] by comparing all rows with all."""
+    sets = [plain_set(t, k) for _, t in rows]
+    low = list(range(len(rows)))
+
+    def top(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if rows[i][0] is not None and rows[j][0] is not None and sets[i] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                low[top(i)] = top(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[top(i)] = min(least.get(top(i), doc), doc)
+    return sorted(((doc, len(s), least.get(top(i))) for i, ((doc, _), s) in enumerate(zip(rows, sets))), key=repr)
+
+
+def variants(rng, n):
+    """Texts near one another around the threshold, with shared passages, copies and odd ones."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    out = []
+    for g in range(n):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([3, 5, 8, 12, 30, 60, 150, 400]))]
+        for _ in range(rng.choice([1, 2, 3, 8])):
+            words = list(base)
+            for _ in range(rng.randrange(0, 1 + len(words) // 25)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.choice([0, 1])] = [f"e{rng.randrange(9000)}"]
+            if rng.random() < 0.3:
+                words += passage.split()
+            out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("percent,k,block", [(85, 4, 1024), (70, 2, 8), (95, 1, 1024)])
+def test_classes_against_all_pairs(spark, percent, k, block):
+    rng = random.Random(percent)
+    texts = variants(rng, 60)
+    # a group about one long passage: alike, but not enough
+    texts += [" ".join([f"p{i}" for i in range(60)] + [f"own{g}x{i}" for i in range(14)]) for g in range(40)]
+    rows = list(enumerate(texts)) + [(900, None), (901, ""), (902, " \t\n"), (903, "a b"), (904, "A  B"), (5, texts[9]), (905, "é É"), (905, "other words in a row"), (None, texts[3]), (906, "x " * 40_000)]
+    rows += [(907 + i, texts[0]) for i in range(30)]
+    got = parity_join.similarity_classes(table(spark, rows).repartition(5), k, percent, block)
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr)
+    assert found == plain_classes(rows, k, percent)
+
+
+def test_no_rows_give_no_classes(spark):
+    assert parity_join.similarity_classes(table(spark, [])).count() == 0
+    assert [tuple(r) for r in parity_join.similarity_classes(table(spark, [(1, None)])).collect()] == [(1, 0, 1, 1)]
+
+
+def test_linked_sets_share_a_key_and_pass_the_parity():
+    rng = np.random.default_rng(5)
+    with np.errstate(over="ignore"):
+        for percent in (85, 60):
+            at, linked = parity_join.Bands(percent), 0
+            for _ in range(1500):
+                a = int(rng.integers(1, 900))
+                one = np.unique(rng.integers(0, 2**64, a, dtype=np.uint64))
+                lose = rng.integers(0, 1 + len(one) * (100 - percent) // 100 + 1)
+                gain = rng.integers(0, 1 + max(0, len(one) * (100 - percent) // 100 - lose) + 1)
+                two = np.unique(np.concatenate([rng.permutation(one)[lose:], rng.integers(0, 2**64, gain, dtype=np.uint64)]))
+                common = len(np.intersect1d(one, two))
+                if not len(two) or 100 * common < percent * (len(one) + len(two) - common) or (len(one) == len(two) == common):
+                    continue
+                linked += 1
+                assert len(np.intersect1d(parity_join.keys_of(one, at), parity_join.keys_of(two, at)))
+                bits = parity_join.folded([parity_join.parity(one), parity_join.parity(two)])
+                assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(one) + len(two) - 2 * common
+                p, q = parity_join.tile_pairs(np.array([4, 2]), np.array([4, 2]), np.array([len(one), len(two)]), bits, np.array([True, False]), np.array([False, True]), percent)
+                assert (p.tolist(), q.tolist()) == ([2], [4])
+            assert linked > 300
+
+
+def test_unlike_sets_seldom_share_keys():
+    """Segments that are empty or nearly so make no keys: unlike sets of one size hardly meet."""
+    rng = np.random.default_rng(1)
+    with np.errstate(over="ignore"):
+        at = parity_join.Bands(85)
+        keys = [set(parity_join.keys_of(np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64)), at).tolist()) for _ in range(400)]
+    met = sum(bool(keys[i] & keys[j]) for i in range(400) for j in range(i))
+    assert met < 400 * 399 / 2 * 0.01
+
+
+def test_spread_join_equals_a_join(spark):
+    many = spark.createDataFrame([(i % 3 if i % 5 else 7, i) for i in range(500)] + [(None, 1), (8, 2)], "k int, v long")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c"), (9, "d")], "k int, x string")
+    for how in ("inner", "left"):
+        want = sorted(map(repr, many.join(one, "k", how).collect()))
+        assert sorted(map(repr, spread_join(many, one, "k", "v", how).select("k", "v", "x").collect())) == want
+
+
+# --- 12
+
+
+def plain_negatives(rows, every, positives=5, negatives=3, scale=256):
+    good = sorted({(i, str(l), tuple(math.floor(scale * x) for x in v)) for i, v, l in rows if i is not None and l is not None and v and all(x is not None and math.isfinite(x * scale) for x in v)})
+    hold = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    out = []
+    for i, l, v in good:
+        if i % every:
+            continue
+        scored = sorted((-hold(sum(a * b for a, b in zip(v, w))), j, m) for j, m, w in good if j != i and len(w) == len(v))
+        for s, j, m in [x for x in scored if x[2] == l][:positives]:
+            fit = [(n, -t) for t, n, m in scored if m != l and 50 * -s <= 100 * -t <= 95 * -s][:negatives]
+            out += [(i, j, k + 1, n, -s, t) for k, (n, t) in enumerate(fit)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("tile_rows,pivots", [(16384, 16), (64, 3), (40, 0)])
+def test_hard_negatives_against_all_pairs(spark, tile_rows, pivots):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) + (1.5 if d == i % 4 else 0) for d in range(6)], rng.randrange(4)) for i in range(260)]
+    rows += [(300 + i, [0.5] * 6, i % 2) for i in range(60)]  # one vector many times: ties
+    rows += [(400, None, 1), (401, [1.0] * 6, None), (402, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1), (403, [float("nan")] * 6, 1), (404, [float("inf")] * 6, 1), (405, [], 1), (None, [1.0] * 6, 1)]
+    rows += [(410, [1.0, 2.0], 1), (411, [1.0, 1.9], 1), (412, [1.0, 1.2], 2), (406, [0.0] * 6, 1), rows[10], rows[10]]
+    df = spark.createDataFrame([(i, v, l, "x", 1) for i, v, l in rows], "vec_id long, embedding array<double>, label int, row string, at int")
+    got = hard_negatives.mine(df, "vec_id % 10 = 0", tile_rows=tile_rows, pivots=pivots).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    want = plain_negatives(rows, 10)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 300
+
+
+def test_hard_negatives_of_great_vectors_and_of_no_rows(spark):
+    kind = "vec_id long, embedding array<double>, label int"
+    rows = [(i, [10.0 ** (i % 7), 1e12 * (i % 3), -(3.0**i)], i % 2) for i in range(30)] + [(30, [1e300, 1.0, 1.0], 0)]
+    got = hard_negatives.mine(spark.createDataFrame(rows, kind), "vec_id % 2 = 0")
+    assert sorted((r.anchor_id, r.positive_id, r["rank"], r.negative_id, r.positive_score, r.negative_score) for r in got.collect()) == plain_negatives(rows, 2)
+    assert hard_negatives.mine(spark.createDataFrame([], kind), "vec_id % 2 = 0").count() == 0
+
+
+def test_brackets_hold_and_spare_exact_checks():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 8)) * 900
+    c = np.floor(centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 8)) * 40)
+    norm2 = float((c**2).sum(1).max())
+    pivots = hard_negatives.chosen_pivots(c[:500], norm2)
+    dist = hard_negatives.distances(hard_negatives.raised(c, norm2), pivots)
+    survive = 0
+    for q in c[:40]:
+        low, high = hard_negatives.brackets(float(q @ q), norm2, hard_negatives.distances(np.append(q, 0.0)[None, :], pivots)[0], dist)
+        score = c @ q
+        assert (low <= score).all() and (score <= high).all()
+        survive += int((high >= hard_negatives.kth(low, 5)).sum())
+    assert survive < 40 * 3000 / 2
+
+
+# --- 13
+
+
+def plain_draw(rows, target, n=1, buckets=10_000, percent=10, least=20, seed="2024"):
+    def features(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return len(w), [zlib.crc32(" ".join(w[i : i + m]).encode()) % buckets for m in range(1, n + 1) for i in range(len(w) - m + 1)]
+
+    found = [(i, *features(t)) for i, t in rows]
+    s, t = Counter(b for x in found for b in x[2]), Counter(b for x in target for b in features(x)[1])
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets))))
+    out = []
+    for i, words, f in found:
+        weight = sum(map(gain, f)) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{i}".encode()).hexdigest()[:8], 16)
+        out.append([i, words, len(f), weight, None if i is None else weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), None])
+    enough = sorted((x for x in out if x[1] >= least and x[4] is not None), key=lambda x: (-x[4], x[0], x[1], x[2]))
+    for k, x in enumerate(enough[: percent * len(enough) // 100]):
+        x[5] = k + 1
+    return sorted(map(tuple, out), key=repr)
+
+
+@pytest.mark.parametrize("n,percent,buckets", [(1, 10, 10_000), (2, 35, 64), (3, 100, 500)])
+def test_resampling_against_plain_draw(spark, n, percent, buckets):
+    rng = random.Random(n)
+    text = lambda: " ".join(rng.choice(["Alpha", "beta", "gamma9", "ÄÖ", "x-y", "delta's", f"w{rng.randrange(50)}"]) for _ in range(rng.randrange(60)))
+    rows = [(i, text()) for i in range(200)] + [(900, None), (901, ""), (902, "!? -"), (None, "alpha " * 30), (903, "alpha beta " * 20_000), (-4, "beta " * 25)]
+    rows += [(905, "beta gamma " * 15)] * 40 + [(905, "gamma " * 21)]
+    target = ["beta gamma9 delta", None, "", "Beta w1 w2 w3"]
+    docs = table(spark, rows).repartition(4)
+    scored = resampling.scores(docs, spark.createDataFrame([(t,) for t in target], "text string"), n, buckets)
+    got = resampling.drawn(scored, percent).select("doc_id", "n_words", "n_features", "weight", "score", "rank")
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_draw(rows, target, n, buckets, percent)
+    assert resampling.resampled(docs, docs, percent, most=n, buckets=buckets).columns == docs.columns
+
+
+def test_resampling_of_few_or_no_rows(spark):
+    no_text = spark.createDataFrame([], "text string")
+    few = resampling.drawn(resampling.scores(table(spark, [(i, "a b c " * 9) for i in range(9)]), no_text))
+    assert few.count() == 9 and few.filter("rank is not null").count() == 0
+    assert resampling.drawn(resampling.scores(table(spark, []), no_text)).count() == 0
+
+
+def test_gains_are_one_literal(spark):
+    plan = resampling.drawn(resampling.scores(table(spark, [(1, "a b")]), table(spark, [(1, "b")]))).limit(1)
+    assert plan.count() == 1
+    weighed = spark.range(3).select(resampling.weight(resampling.literal(list(range(100))).cast("array<int>"), resampling.literal(list(range(100)))).alias("w"))
+    assert "split(" not in weighed._jdf.queryExecution().optimizedPlan().toString()

@@ -8,6 +8,11 @@ By the triangle inequality a distance d(q', x') lies between the greatest
 |d(q', p) - d(x', p)| and the least d(q', p) + d(x', p): each stored row gives a
 bracket [low, high] of its score without its vector being touched.
 
+Rows of one label that are near the same pivot form blocks, whose ranges of
+distances give brackets for all of their rows at once; blocks that no anchor of a
+few needs are left out whole. Where more than half of a shard's rows stay (vectors without any
+structure), the brackets of single rows are skipped: their exact scores cost less.
+
 Anchors are dealt into groups and rows into shards of bounded size, both by a
 hash; a task holds one (group, shard) tile. Per anchor it takes
 
@@ -45,18 +50,23 @@ PIVOTS = 16
 SAMPLE = 1024
 POSITIVES = 5
 NEGATIVES = 3
+#: Rows in a block of a shard.
+BLOCK = 128
+#: Anchors that are compared together.
+_TOGETHER = 32
 WINDOW = (50, 95)
 _LISTS = "anchor long, row long, at int, shard int, vec_id long, score long"
 _SCHEMA = pa.schema([("anchor", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("shard", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The integer inner products of rows c with q, held within 64 bits."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * len(q)
+    """The integer inner products of rows q with rows c, held within 64 bits: in floating point where every partial sum is exact there, else in Python's integers."""
+    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
     if bound < 2**53:
-        return (c @ q).astype(np.int64)
-    ints = [int(x) for x in q]
-    return np.array([min(max(sum(int(x) * y for x, y in zip(row, ints)), -(2**63)), 2**63 - 1) for row in c], np.int64)
+        kind = np.float32 if bound < 2**24 else np.float64
+        return (q.astype(kind) @ c.astype(kind).T).astype(np.int64)
+    a, b = ([[int(x) for x in row] for row in m] for m in (q, c))
+    return np.array([[min(max(sum(x * y for x, y in zip(u, v)), -(2**63)), 2**63 - 1) for v in b] for u in a], np.int64).reshape(len(q), len(c))
 
 
 def raised(x: np.ndarray, norm2: float) -> np.ndarray:
@@ -85,20 +95,54 @@ def chosen_pivots(sample: np.ndarray, norm2: float, most: int = PIVOTS) -> np.nd
     return points[at]
 
 
-def brackets(q2: float, norm2: float, to_q: np.ndarray, to_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Integers (low, high) as doubles around the scores of rows, from the distances of the anchor and of the rows to the pivots."""
-    n = len(to_rows)
-    if not len(to_q):
-        return np.full(n, -np.inf), np.full(n, np.inf)
-    least, most = np.zeros(n), np.full(n, np.inf)
-    for k, d in enumerate(to_q):
-        column = to_rows[:, k]
-        np.maximum(least, np.abs(column - d), out=least)
-        np.minimum(most, column + d, out=most)
+def bounds(q2: float, norm2: float, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Integers (low, high) as doubles around the scores at distances from least to most."""
     slack = 1e-9 * (q2 + norm2) + 1e-6  # far more than the rounding of distances
     return np.ceil((q2 + norm2 - most**2) / 2 - slack), np.floor((q2 + norm2 - least**2) / 2 + slack)
 
 
+def brackets(q2: float, norm2: float, to_q: np.ndarray, to_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high) of each row's score, from the distances of the anchor and of the rows to the pivots."""
+    if not len(to_q):
+        return np.full(len(to_rows), -np.inf), np.full(len(to_rows), np.inf)
+    return bounds(q2, norm2, np.abs(to_rows - to_q).max(1), (to_rows + to_q).min(1))
+
+
+class Blocks:
+    """Rows of a shard in an order by label, nearest pivot and distance to it, in blocks of one label with the range of their distances to each pivot."""
+
+    def __init__(self, labels: np.ndarray, dist: np.ndarray):
+        near = dist.argmin(1) if dist.shape[1] else np.zeros(len(dist), np.int64)
+        self.order = np.lexsort((dist.min(1) if dist.shape[1] else near, near, labels))
+        labels = labels[self.order]
+        new = np.flatnonzero(np.append(True, labels[1:] != labels[:-1])) if len(labels) else np.zeros(0, np.int64)
+        ends = np.append(new[1:], len(labels))
+        starts = [np.arange(a, b, BLOCK) for a, b in zip(new, ends)]
+        self.starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self.ends = np.append(self.starts[1:], len(labels))[: len(self.starts)]
+        self.labels = labels[self.starts]
+        self.dist = dist[self.order]
+        self.least = np.minimum.reduceat(self.dist, self.starts) if len(labels) and dist.shape[1] else np.zeros((len(self.starts), 0))
+        self.most = np.maximum.reduceat(self.dist, self.starts) if len(labels) and dist.shape[1] else self.least
+
+    def brackets(self, q2: float, norm2: float, to_q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(low, high) around the scores of all rows of each block."""
+        if not len(to_q):
+            return np.full(len(self.starts), -np.inf), np.full(len(self.starts), np.inf)
+        return bounds(q2, norm2, np.maximum(np.maximum(self.least - to_q, to_q - self.most).max(1), 0), (self.most + to_q).min(1))
+
+    def rows(self, which: np.ndarray) -> np.ndarray:
+        """Places in the order of the rows of some blocks."""
+        spans = [np.arange(self.starts[i], self.ends[i]) for i in which]
+        return np.concatenate(spans) if spans else np.zeros(0, np.int64)
+
+    def kth(self, low: np.ndarray, which: np.ndarray, k: int) -> float:
+        """A score that k rows of some blocks reach for certain, one of the anchor's own id set aside."""
+        turn = which[np.argsort(-low[which], kind="stable")]
+        full = np.flatnonzero(np.cumsum(self.ends[turn] - self.starts[turn]) > k)
+        return float(low[turn[full[0]]]) if len(full) else -np.inf
+
+
 def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best: the greatest score, then the smallest id."""
     if len(ids) > k:
@@ -175,37 +219,60 @@ def compared(both: DataFrame, chosen: dict[int, np.ndarray], norm2: float, scale
         dist = t["dist"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
         wanted = t["wanted"].combine_chunks()
         at = np.flatnonzero(~is_anchor)
-        c_ids, c_labels, c_codes, c_dist = ids[at], labels[at], codes[at], dist[at]
+        blocks = Blocks(labels[at], dist[at])
+        at = at[blocks.order]
+        c_ids, c_labels, c_codes, c_dist = ids[at], labels[at], codes[at], blocks.dist
         pivots = chosen.get(dim, np.zeros((0, dim + 1)))
-        of_label = {x: np.flatnonzero(c_labels == x) for x in np.unique(labels)} if part is None else {}
         out: list[tuple] = []
 
         def keep(a: int, place: int, rows: np.ndarray, score: np.ndarray) -> None:
             for i in best(c_ids[rows], score, k):
                 out.append((ids[a], nodes[a], place, shard, c_ids[rows[i]], score[i]))
 
-        for a in np.flatnonzero(is_anchor):
-            q = codes[a]
-            to_q = distances(np.append(q, 0.0)[None, :], pivots)[0]
-            q2 = float(q @ q)
-            if part is None:
-                rows = of_label[labels[a]]
-                rows = rows[c_ids[rows] != ids[a]]
-                low, high = brackets(q2, norm2, to_q, c_dist[rows])
-                rows = rows[high >= kth(low, k)]
-                keep(a, 0, rows, exact_scores(q, c_codes[rows]))
-                continue
-            rows = np.flatnonzero((c_labels != labels[a]) & (c_ids != ids[a]))
-            low, high = brackets(q2, norm2, to_q, c_dist[rows])
-            for place, score in ((w["at"], w["score"]) for w in wanted[a].as_py() or ()):
-                least, most = window(score, part)
-                if least > most:
+        anchors = np.flatnonzero(is_anchor)
+        if part is not None:
+            windows = [[(w["at"], *window(w["score"], part)) for w in x.as_py() or ()] for x in wanted.take(pa.array(anchors))]
+            windows = [[w for w in x if w[1] <= w[2]] for x in windows]
+        anchors = anchors[np.argsort(labels[anchors], kind="stable")] if part is None else anchors
+        to_pivots = distances(np.concatenate([codes[anchors], np.zeros((len(anchors), 1))], 1), pivots)
+        for start in range(0, len(anchors), _TOGETHER):
+            some = range(start, min(start + _TOGETHER, len(anchors)))
+            q = codes[anchors[some]]
+            q2 = np.einsum("ij,ij->i", q, q)
+            kept = np.zeros(len(blocks.starts), bool)  # blocks that any of these anchors needs
+            for i, n in enumerate(some):
+                low, high = blocks.brackets(q2[i], norm2, to_pivots[n])
+                same = blocks.labels == labels[anchors[n]]
+                if part is None:
+                    mine = np.flatnonzero(same)
+                    kept[mine[high[mine] >= blocks.kth(low, mine, k)]] = True
+                elif windows[n]:
+                    kept |= ~same & (high >= min(w[1] for w in windows[n])) & (low <= max(w[2] for w in windows[n]))
+            rows = blocks.rows(np.flatnonzero(kept))
+            if len(rows) < len(at) / 2 and len(rows):  # where most rows stay, their own brackets cost more than their scores
+                need = np.zeros(len(rows), bool)
+                for i, n in enumerate(some):
+                    low, high = brackets(q2[i], norm2, to_pivots[n], c_dist[rows])
+                    fit = (c_labels[rows] == labels[anchors[n]]) == (part is None)
+                    if part is None:
+                        other = fit & (c_ids[rows] != ids[anchors[n]])
+                        need |= other & (high >= kth(low[other], k))
+                    else:
+                        for _, least, most in windows[n]:
+                            sure = fit & (low >= least) & (high <= most) & (c_ids[rows] != ids[anchors[n]])
+                            need |= fit & (high >= max(least, kth(low[sure], k))) & (low <= most)
+                rows = rows[need]
+            found = exact_scores(q, c_codes[rows])
+            for i, n in enumerate(some):
+                a = anchors[n]
+                fit = ((c_labels[rows] == labels[a]) == (part is None)) & (c_ids[rows] != ids[a])
+                if part is None:
+                    keep(a, 0, rows[fit], found[i][fit])
                     continue
-                edge = max(least, kth(low[(low >= least) & (high <= most)], k))
-                near = rows[(high >= edge) & (low <= most)]
-                found = exact_scores(q, c_codes[near])
-                good = (found >= least) & (found <= most)
-                keep(a, place, near[good], found[good])
+                mine, score = rows[fit], found[i][fit]
+                for place, least, most in windows[n]:
+                    good = (score >= least) & (score <= most)
+                    keep(a, place, mine[good], score[good])
         columns = list(zip(*out)) if out else [()] * 6
         return pa.table([pa.array(np.array(c, f.type.to_pandas_dtype())) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, exact_topk, hard_negatives, language, licences, matroska, mixing, near_dups, packing, pii, quality, resampling
+from . import binary_ids, exact_topk, hard_negatives, language, licences, matroska, mixing, near_dups, packing, parity_join, pii, quality, resampling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -169,3 +169,20 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(rows.withColumn("label", label), "vec_id % 50 = 0")
+
+
+@query(
+    "op11_ngram_join",
+    r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+    n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s), t AS (SELECT doc_id, unnest(s) AS x FROM s),
+    c AS (SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS common FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT p, q FROM c JOIN n a ON p = a.doc_id JOIN n b ON q = b.doc_id WHERE 100 * common >= 85 * (a.n + b.n - common)),
+    e AS (SELECT p, q FROM l UNION ALL SELECT q, p FROM l),
+    r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.q, r.c FROM r JOIN e ON r.doc_id = e.p AND r.c < e.q)
+    SELECT n.doc_id, n.n AS n_shingles, min(c) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY 1, 2""",
+)
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document under links of four-word shingles at Jaccard 0.85."""
+    return parity_join.similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
