@@ -74,32 +74,26 @@ def sweep(spark: SparkSession, since: int = 0) -> None:
         delete(spark, _WRITTEN.pop())
 
 
-def dealt(many: DataFrame, by: str | list[str]) -> DataFrame:
-    """many with ``_part``, one of 64 by a hash of the columns ``by``."""
-    return many.withColumn("_part", F.pmod(F.xxhash64(*([by] if isinstance(by, str) else by), F.lit(11)), F.lit(64)).cast("int"))
+def part_of(*by: str) -> Column:
+    """One of 64 parts by a hash of columns."""
+    return F.pmod(F.xxhash64(*by, F.lit(11)), F.lit(64)).cast("int")
 
 
-def parts_held() -> Column:
-    """An aggregate over ``dealt`` rows: a bit for each part that holds any."""
-    return F.bit_or(F.expr("shiftleft(1L, _part)")).alias("_held")
-
-
-def spread(one: DataFrame) -> DataFrame:
-    """Rows with ``_held``, each copied to the parts that it names."""
+def copies_for(many: DataFrame, one: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """The rows of one (a row a key), each copied to those parts of its key that hold rows of many: a partial aggregate into a mask of 64 bits says which."""
+    held = many.groupBy(*keys).agg(F.bit_or(F.expr(f"shiftleft(1L, {part})")).alias("_held"))
     parts = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("_held", i) == 1)
-    return one.withColumn("_part", F.explode(parts)).drop("_held")
+    return one.join(held, keys).withColumn(part, F.explode(parts)).drop("_held")
 
 
 def spread_join(many: DataFrame, one: DataFrame, on: str | list[str], by: str | list[str], how: str = "inner") -> DataFrame:
     """many joined with one, which has a row a key, so that a key of any share of many's rows is not one task's work.
 
-    Rows of many are dealt by a hash of their columns ``by`` into 64 parts; a row of one
-    is copied to those parts of its key that hold rows. many is read twice.
+    Rows of many are dealt by a hash of their columns ``by`` into 64 parts of their key. many is read twice.
     """
     keys = [on] if isinstance(on, str) else on
-    rows = dealt(many, by)
-    copies = spread(one.join(rows.groupBy(*keys).agg(parts_held()), keys))
-    return rows.join(copies, [*keys, "_part"], how).drop("_part")
+    rows = many.withColumn("_part", part_of(*([by] if isinstance(by, str) else by)))
+    return rows.join(copies_for(rows, one, keys, "_part"), [*keys, "_part"], how).drop("_part")
 
 
 def slices(batch: pa.RecordBatch, text: int | pa.Array, most_bytes: int = 4 << 20, most_rows: int = 2048) -> Iterator[pa.RecordBatch]:

@@ -122,8 +122,7 @@ class Blocks:
         self.ends = np.append(self.starts[1:], len(labels))[: len(self.starts)]
         self.labels = labels[self.starts]
         self.dist = dist[self.order]
-        self.least = np.minimum.reduceat(self.dist, self.starts) if len(labels) and dist.shape[1] else np.zeros((len(self.starts), 0))
-        self.most = np.maximum.reduceat(self.dist, self.starts) if len(labels) and dist.shape[1] else self.least
+        self.least, self.most = (f.reduceat(self.dist, self.starts) if dist.size else np.zeros((len(self.starts), dist.shape[1])) for f in (np.minimum, np.maximum))
 
     def brackets(self, q2: float, norm2: float, to_q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(low, high) around the scores of all rows of each block."""
@@ -216,13 +215,13 @@ def compared(both: DataFrame, chosen: dict[int, np.ndarray], norm2: float, scale
         codes = quantised(t["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), dim), scale)
         ids, nodes = t["vec_id"].to_numpy(), t["row"].to_numpy()
         labels = t["label"].combine_chunks().dictionary_encode().indices.to_numpy()
-        dist = t["dist"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        pivots = chosen.get(dim, np.zeros((0, dim + 1)))
+        dist = t["dist"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), len(pivots))
         wanted = t["wanted"].combine_chunks()
         at = np.flatnonzero(~is_anchor)
         blocks = Blocks(labels[at], dist[at])
         at = at[blocks.order]
         c_ids, c_labels, c_codes, c_dist = ids[at], labels[at], codes[at], blocks.dist
-        pivots = chosen.get(dim, np.zeros((0, dim + 1)))
         out: list[tuple] = []
 
         def keep(a: int, place: int, rows: np.ndarray, score: np.ndarray) -> None:

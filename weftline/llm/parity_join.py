@@ -36,6 +36,7 @@ null; ties have no say; no rows give no rows; other columns are ignored, whateve
 
 from __future__ import annotations
 
+import zlib
 from hashlib import blake2b
 
 import numpy as np
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Kept, dealt, discard, parts_held, slices, spread, spread_join, worker_cache, written
+from .common import Kept, copies_for, discard, part_of, slices, spread_join, worker_cache, written
 
 WORDS = 4
 PERCENT = 85
@@ -178,7 +179,7 @@ def described(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
                     names = np.array([np.frombuffer(blake2b(x.tobytes(), digest_size=16).digest(), np.int64) for x in found]).reshape(-1, 2)
                     longs = pa.list_(pa.int64())
                     cols = [part.column(0), part.column(1), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, found), pa.int64()), pa.array([keys_of(x, at) for x in found], longs)]
-                    cols += [pa.array(map(parity, found), longs), pa.array([b" ".join(w) for w in words], pa.binary())]
+                    cols += [pa.array(map(parity, found), longs), pa.array([zlib.compress(b" ".join(w), 1) for w in words], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return written(src.mapInArrow(run, schema), "parity-sets")
@@ -225,14 +226,78 @@ def open_pairs(met: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
     return own.groupBy("key", "i", "j").applyInArrow(tile, "p long, q long").distinct()
 
 
+def meetings(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, rep of every member of a bucket of several; distinct pairs p, q of each bucket's anchor and its members). members: rep, key.
+
+    Members are ranged by key and then by rep, so a key of many members is several partitions' work, and read in order: the
+    first of a key is its anchor. A key may go on in the next partition: each partition tells its first and its last key, with their
+    anchors, and the anchors of one key are paired as well.
+    """
+    kind = "key long, rep long, anchor long, n long, edge boolean"
+    schema = pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("anchor", pa.int64()), ("n", pa.int64()), ("edge", pa.bool_())])
+
+    def rows(key, rep, anchor, n, edge):
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(rep, pa.int64()), pa.array(anchor, pa.int64()), pa.array(n, pa.int64()), pa.array(np.full(len(key), edge))], schema=schema)
+
+    def run(batches):
+        first = last = None  # the partition's first key with its anchor and size, and the one that is going on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, rep = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.flatnonzero(np.append(last is None or key[0] != last[0], key[1:] != key[:-1]))
+            if last and first is None and len(new):
+                first = last
+            size = np.diff(np.append(new, len(key)))
+            head = new[0] if len(new) else len(key)  # rows that go on with the last batch's key
+            if head:
+                own = rep[:head] if last[2] > 1 else np.append(last[1], rep[:head])
+                yield rows(np.full(len(own), last[0]), own, np.full(len(own), last[1]), np.zeros(len(own), np.int64), False)
+                last = (last[0], last[1], last[2] + int(head))
+                first = last if first and first[0] == last[0] else first
+            if len(new):
+                several = np.repeat(size > 1, size)
+                yield rows(key[head:][several], rep[head:][several], np.repeat(rep[new], size)[several], np.zeros(int(several.sum()), np.int64), False)
+                if first is None and len(new) > 1:
+                    first = (int(key[new[0]]), int(rep[new[0]]), int(size[0]))
+                last = (int(key[new[-1]]), int(rep[new[-1]]), int(size[-1]))
+        ends = [x for x in ((first, last) if first else (last,)) if x]
+        if ends:
+            yield rows([x[0] for x in ends], [x[1] for x in ends], [x[1] for x in ends], [x[2] for x in ends], True)
+
+    ordered = members.select("key", "rep").repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
+    found = written(ordered.mapInArrow(run, kind), "parity-met")
+    inner, edges = found.filter("not edge"), found.filter("edge")
+    cut = edges.groupBy("key").agg(F.min("rep").alias("whole"), F.count(F.lit(1)).alias("pieces")).filter("pieces > 1").drop("pieces")
+    cut = edges.join(cut, "key")  # two rows a partition at most
+    met = inner.select("key", "rep").unionByName(cut.filter("n = 1").select("key", "rep"))
+    pairs = inner.select("anchor", "rep").union(cut.select("whole", "rep")).filter("anchor <> rep").distinct()
+    return met, pairs.select(F.col("anchor").alias("p"), F.col("rep").alias("q"))
+
+
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and parities allow a link. sets: rep, n, bits."""
+    pairs = written(pairs, "parity-candidates")
+    one, two = (sets.select(F.col("rep").alias(e), F.col("n").alias(f"{e}_n"), F.col("bits").alias(f"{e}_bits")) for e in "pq")
+    both = spread_join(spread_join(pairs, one, "p", "q"), two, "q", "p").filter(100 * F.least("p_n", "q_n") >= percent * F.greatest("p_n", "q_n"))
+
+    def run(batches):
+        for b in batches:
+            a, c = (x.to_numpy(zero_copy_only=False) for x in (b.column(2), b.column(3)))
+            bits = [folded([x, y]) for x, y in zip(a, c)]
+            differ = np.array([int(np.bitwise_count(x[0] ^ x[1]).sum()) for x in bits], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["p", "q"]).filter(pa.array(differ * (100 + percent) <= b.column(4).to_numpy() * (100 - percent)))
+
+    return both.select("p", "q", "p_bits", "q_bits", (F.col("p_n") + F.col("q_n")).alias("total")).mapInArrow(run, "p long, q long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (p, q) that link, with their intersection; written. sets: rep, n, bits, words."""
-    pairs = written(pairs, "parity-pairs")
+    """The pairs (p, q) that link, with their intersection; written. sets: rep, words."""
+    pairs = written(pairs.withColumn("p_part", part_of("q")).withColumn("q_part", part_of("p")), "parity-pairs")
     wanted = pairs.select(F.explode(F.array("p", "q")).alias("rep")).distinct()
     sets = written(sets.join(wanted, "rep", "left_semi"), "parity-asked")
-    one, two = (sets.select(F.col("rep").alias(e), F.col("n").alias(f"{e}_n"), F.col("words").alias(f"{e}_words")) for e in "pq")
-    fits = 100 * F.least("p_n", "q_n") >= percent * F.greatest("p_n", "q_n")
-    both = spread_join(spread_join(pairs, one, "p", "q"), two, "q", "p").filter(fits)
+    one, two = (copies_for(pairs, sets.select(F.col("rep").alias(e), F.col("words").alias(f"{e}_words")), [e], f"{e}_part") for e in "pq")
+    both = pairs.join(two, ["q", "q_part"]).join(one, ["p", "p_part"])  # the parts are known from the pairs alone: no text is read to find them
 
     def run(batches):
         known: dict[bytes, np.ndarray] = {}  # a text has many pairs in a row
@@ -245,7 +310,7 @@ def verify(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame
                 if held > MOST_TOKENS:
                     known.clear()
                     held = 0
-                known[data] = tokens(data.split(), k)
+                known[data] = tokens(zlib.decompress(data).split(), k)
                 held += len(known[data]) + len(data) // 8
             return known[data]
 
@@ -298,14 +363,13 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     alone = found.filter(~takes_part).select("row", "doc_id", "n", F.col("row").alias("rep"), F.col("doc_id").alias("least"), F.lit(1).cast("long").alias("copies"))
     owner = written(spread_join(some, groups, ["a", "b"], "row").select(*alone.columns).unionByName(alone), "parity-owners")
     members = found.filter(takes_part).select("row", "keys").join(owner.filter("row <> rep").select("row"), "row", "left_anti")
-    members = dealt(members.select(F.col("row").alias("rep"), F.explode("keys").alias("key")), "rep")
-    buckets = members.groupBy("key").agg(F.min("rep").alias("anchor"), F.max("rep").alias("last"), parts_held()).filter("anchor <> last").drop("last")
-    met = written(members.join(spread(buckets), ["key", "_part"]).drop("_part"), "parity-met")
-    pairs = met.filter("rep <> anchor").select(F.col("anchor").alias("p"), F.col("rep").alias("q")).distinct()
-    sequences = found.select(F.col("row").alias("rep"), "n", "words")
+    met, pairs = meetings(members.select(F.col("row").alias("rep"), F.explode("keys").alias("key")))
+    sequences = found.select(F.col("row").alias("rep"), "words")
+    sketches = found.select(F.col("row").alias("rep"), "n", "bits")
+    pairs = plausible(pairs, sketches, percent)
     links = verify(pairs, sequences, k, percent)
     classes = components(links)
-    more = verify(open_pairs(met, classes, found.select(F.col("row").alias("rep"), "n", "bits"), percent, block), sequences, k, percent)
+    more = verify(open_pairs(met, classes, sketches, percent, block), sequences, k, percent)
     if not more.isEmpty():
         classes = components(more, classes)
     named = classes.join(owner.filter("row = rep").select(F.col("rep").alias("node"), "least"), "node")
