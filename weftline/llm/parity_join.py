@@ -5,12 +5,12 @@ sizes a and b link when 100 * intersection >= percent * union; then they differ
 in at most floor((a + b) * (100 - percent) / (100 + percent)) tokens.
 
 Sizes fall into bands that grow by ``RATIO``. Within a band all sketches have the
-same m segments of 64 bits: a token flips one bit of one segment, so two sketches
-differ in no more bits, and so in no more segments, than their sets differ in
+same m segments of 64 bits: a token is hashed into one segment by exclusive or, so two
+sketches differ in no more segments than their sets differ in
 tokens. With D the most that two sets of the band may differ in, m is D + 1 and
-half as many more. A set's key for a segment is the segment's whole value. Linked
-sets share at least m - D keys. Keys have one order for all sets, the most bits
-set first; a set gives its first D + 1 keys only. The first key that two linked
+a fifth as many more. A set's key for a segment is the segment's whole value. Linked
+sets share at least m - D keys. Keys have one order for all sets, those of the most
+tokens first (equal keys are of equal tokens); a set gives its first D + 1 keys only. The first key that two linked
 sets share is among those of both, else one of them would have D + 1 earlier keys
 that the other lacks. So no link is lost, and empty or nearly empty segments,
 which unlike sets share, make no keys. A set is in its own band, and in the next
@@ -51,10 +51,12 @@ WORDS = 4
 PERCENT = 85
 #: Growth of the bands of sizes.
 RATIO = 1.35
+#: One more segment for so many that are needed.
+SPARE = 5
 #: Members in a block of a bucket; a tile compares two blocks.
 BLOCK = 1024
 #: Longs of the least and the widest parity, powers of two.
-LEAST_PARITY, MOST_PARITY = 4, 512
+LEAST_PARITY, MOST_PARITY = 2, 512
 #: Hashes of words that a worker keeps, twice.
 MOST_WORDS = 150_000
 #: Tokens that a verifying task keeps.
@@ -124,12 +126,12 @@ class Bands:
         return [(b, most_different(2 * (self.lows[b + 1] - 1), self.percent)) for b in found]
 
 
-def segments(found: np.ndarray, m: int) -> np.ndarray:
-    """The m segments of a parity sketch."""
+def segments(found: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, number of tokens) of the m segments of a sketch: a segment is the exclusive or of its tokens' 64 random bits."""
+    at = (((found >> _U(32)) * _U(m)) >> _U(32)).astype(np.intp)
     out = np.zeros(m, np.uint64)
-    at = ((found >> _U(32)) * _U(m)) >> _U(32)
-    np.bitwise_xor.at(out, at.astype(np.intp), _U(1) << (found & _U(63)))
-    return out
+    np.bitwise_xor.at(out, at, mix(found ^ _ODD))
+    return out, np.bincount(at, minlength=m)
 
 
 def keys_of(found: np.ndarray, at: Bands) -> np.ndarray:
@@ -139,18 +141,18 @@ def keys_of(found: np.ndarray, at: Bands) -> np.ndarray:
         for band, most in at.of(len(found)):
             if not most:
                 continue
-            m = most + 1 + (most + 2) // 2
-            value = segments(found, m)
+            m = most + 1 + -(-(most + 1) // SPARE)
+            value, size = segments(found, m)
             key = mix(value + mix(np.arange(m, dtype=np.uint64) + _U(band << 32)))
-            order = np.lexsort((key, -np.bitwise_count(value).astype(np.int16)))
+            order = np.lexsort((key, -size))
             out.append(key[order[: most + 1]])
     return np.concatenate(out).view(np.int64)
 
 
 def parity(found: np.ndarray) -> np.ndarray:
-    """Longs with, for each residue of the tokens, whether an odd number of tokens has it; at least two bits a token."""
+    """Longs with, for each residue of the tokens, whether an odd number of tokens has it; at least a bit a token."""
     longs = LEAST_PARITY
-    while longs * 32 < len(found) and longs < MOST_PARITY:
+    while longs * 64 < len(found) and longs < MOST_PARITY:
         longs *= 2
     odd = np.bincount((found & _U(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
@@ -277,9 +279,9 @@ def meetings(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and parities allow a link. sets: rep, n, bits."""
-    pairs = written(pairs, "parity-candidates")
-    one, two = (sets.select(F.col("rep").alias(e), F.col("n").alias(f"{e}_n"), F.col("bits").alias(f"{e}_bits")) for e in "pq")
-    both = spread_join(spread_join(pairs, one, "p", "q"), two, "q", "p").filter(100 * F.least("p_n", "q_n") >= percent * F.greatest("p_n", "q_n"))
+    pairs = written(pairs.withColumn("p_part", part_of("q")).withColumn("q_part", part_of("p")), "parity-candidates")
+    one, two = (copies_for(pairs, sets.select(F.col("rep").alias(e), F.col("n").alias(f"{e}_n"), F.col("bits").alias(f"{e}_bits")), [e], f"{e}_part") for e in "pq")
+    both = pairs.join(two, ["q", "q_part"]).join(one, ["p", "p_part"]).filter(100 * F.least("p_n", "q_n") >= percent * F.greatest("p_n", "q_n"))
 
     def run(batches):
         for b in batches:
