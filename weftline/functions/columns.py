@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import INPUT, EngineError
+from .dialect import DATE_LAYOUTS
 
 __all__ = [
     "arith", "array_compare", "avg_numeric", "cast_to", "coalesce_text", "compare", "concat_text", "contains_all", "count_rows", "date_minus", "diff", "first_by_text",
@@ -33,8 +34,6 @@ CASTS = {
     "int": "int", "integer": "int", "int32": "int", "int64": "bigint", "bigint": "bigint", "float": "double", "float64": "double", "double": "double",
     "decimal": "double", "numeric": "double", "bool": "boolean", "boolean": "boolean", "string": "string", "text": "string", "varchar": "string",
 }
-#: The date layouts that year_of and month_of accept.
-DATE_LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy")
 
 
 def _col(c: C) -> Column:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import INPUT, EngineError
 
@@ -143,3 +144,111 @@ class SchemaRegistry:
 
     def drifted(self, name: str, df: DataFrame) -> bool:
         return bool(self.versions.get(name)) and self.versions[name][-1] != schema_hash(df)
+
+
+#: Types that hold every value of the types before them in a row; text holds every simple value.
+WIDER = (("tinyint", "smallint", "int", "bigint", "decimal(20,0)", "decimal(38,0)"), ("smallint", "float", "double"), ("int", "double"), ("date", "timestamp"))
+
+
+def widens(old: T.DataType, new: T.DataType) -> bool:
+    """Whether every value of a simple type is one of another."""
+    a, b = old.simpleString(), new.simpleString()
+    if isinstance(old, T.DecimalType) and isinstance(new, T.DecimalType):
+        return new.scale >= old.scale and new.precision - new.scale >= old.precision - old.scale
+    nested = (T.StructType, T.ArrayType, T.MapType, T.BinaryType, T.VariantType)
+    if isinstance(new, T.StringType):
+        return not isinstance(old, nested)
+    return any(a in row and b in row and row.index(a) < row.index(b) for row in WIDER)
+
+
+def changes(old: T.StructType, new: T.StructType) -> list[tuple[str, str, str | None, str | None]]:
+    """(path, change, old type, new type) by path through structs, array elements ([]) and map values ({}): added, removed, widened, narrowed (a wider type became one of
+    those that it holds), retyped, nullable and required."""
+    out: list[tuple[str, str, str | None, str | None]] = []
+
+    def of_types(path: str, a: T.DataType, b: T.DataType) -> None:
+        if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+            of_fields(f"{path}.", a, b)
+        elif isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+            of_types(f"{path}[]", a.elementType, b.elementType)
+        elif isinstance(a, T.MapType) and isinstance(b, T.MapType):
+            if a.keyType != b.keyType:
+                out.append((f"{path}{{}}", "retyped", a.keyType.simpleString(), b.keyType.simpleString()))
+            of_types(f"{path}{{}}", a.valueType, b.valueType)
+        elif a.simpleString() != b.simpleString():
+            out.append((path, "widened" if widens(a, b) else "narrowed" if widens(b, a) else "retyped", a.simpleString(), b.simpleString()))
+
+    def of_fields(prefix: str, a: T.StructType, b: T.StructType) -> None:
+        was, now = ({f.name: f for f in s} for s in (a, b))
+        for n in (*was, *(n for n in now if n not in was)):
+            path = prefix + n
+            if n not in now:
+                out.append((path, "removed", was[n].dataType.simpleString(), None))
+            elif n not in was:
+                out.append((path, "added", None, now[n].dataType.simpleString()))
+            else:
+                of_types(path, was[n].dataType, now[n].dataType)
+                if was[n].nullable != now[n].nullable:
+                    out.append((path, "nullable" if now[n].nullable else "required", *[now[n].dataType.simpleString()] * 2))
+
+    of_fields("", old, new)
+    return out
+
+
+def difference(old: DataFrame, new: DataFrame) -> DataFrame:
+    """path, change, old_type, new_type: how the second's schema differs from the first's."""
+    rows = changes(old.schema, new.schema)
+    return new.sparkSession.createDataFrame(rows, "path string, change string, old_type string, new_type string")
+
+
+def joint(a: T.DataType, b: T.DataType, path: str = "") -> T.DataType:
+    """The least type that holds the values of both without loss; an error where there is none."""
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        now = {f.name: f for f in b}
+        fields = [T.StructField(f.name, joint(f.dataType, now[f.name].dataType, f"{path}.{f.name}".strip(".")) if f.name in now else f.dataType) for f in a]
+        return T.StructType(fields + [T.StructField(f.name, f.dataType) for f in b if f.name not in a.names])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(joint(a.elementType, b.elementType, f"{path}[]"))
+    if isinstance(a, T.MapType) and isinstance(b, T.MapType) and a.keyType == b.keyType:
+        return T.MapType(a.keyType, joint(a.valueType, b.valueType, f"{path}{{}}"))
+    if a.simpleString() == b.simpleString() or widens(b, a):
+        return a
+    if widens(a, b):
+        return b
+    if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
+        scale = max(a.scale, b.scale)
+        whole = max(a.precision - a.scale, b.precision - b.scale)
+        if scale + whole <= 38:
+            return T.DecimalType(scale + whole, scale)
+    simple = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if isinstance(a, simple) and isinstance(b, simple):
+        return T.StringType()
+    raise EngineError(INPUT, f"{path}: {a.simpleString()} and {b.simpleString()} have no common type")
+
+
+def fitted(c: Column, old: T.DataType, new: T.DataType) -> Column:
+    """A value as a type of ``joint``; fields that it lacks are null."""
+    if old == new:
+        return c
+    if isinstance(new, T.StructType):
+        have = {f.name: f.dataType for f in old}
+        made = F.struct(*((fitted(c.getField(f.name), have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in new))
+        return F.when(c.isNotNull(), made)
+    if isinstance(new, T.ArrayType):
+        return F.transform(c, lambda x: fitted(x, old.elementType, new.elementType))
+    if isinstance(new, T.MapType):
+        return F.transform_values(c, lambda k, v: fitted(v, old.valueType, new.valueType))
+    return c.cast(new)
+
+
+def evolved(*frames: DataFrame) -> DataFrame:
+    """All rows of frames under one schema that holds them without loss: columns and fields of either (null where they lack), the wider types."""
+    kind = frames[0].schema
+    for f in frames[1:]:
+        kind = joint(kind, f.schema)
+    out = None
+    for f in frames:
+        have = {x.name: x.dataType for x in f.schema}
+        row = f.select(*((fitted(F.col(f"`{x.name}`"), have[x.name], x.dataType) if x.name in have else F.lit(None).cast(x.dataType)).alias(x.name) for x in kind))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -357,11 +357,21 @@ def letter_counts(letters: DataFrame) -> DataFrame:
     return letters.groupBy("step", "state").agg(F.count(F.lit(1)).alias("n"), F.max("attempts").alias("attempts"))
 
 
+def greatest_by_key(df: DataFrame, key: str) -> DataFrame:
+    """Of the rows of each key the greatest; those with a null key are left out. Maps and variants are compared as JSON text."""
+    rest = [c for c in df.columns if c != key]
+    df = df.filter(F.col(key).isNotNull())
+    if not rest:
+        return df.distinct()
+    plain = lambda f: any(x in f.dataType.simpleString() for x in ("map<", "variant"))
+    order = F.struct(*((F.to_json(F.struct(f"`{f.name}`")) if plain(f) else F.col(f"`{f.name}`")).alias(f"o{i}") for i, f in enumerate(df.schema) if f.name != key))
+    one = df.groupBy(key).agg(F.max_by(F.struct(*(f"`{c}`" for c in rest)), order).alias("_row"))
+    return one.select(key, "_row.*").select(*(f"`{c}`" for c in df.columns))
+
+
 def upsert(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """The target with rows replaced or added by key; of changes of one key the greatest row counts, and those with a null key are added."""
-    rest = [c for c in changes.columns if c != key]
-    one = changes.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*") if rest else changes.filter(F.col(key).isNotNull()).distinct()
-    one = one.select(*changes.columns).unionByName(changes.filter(F.col(key).isNull()))
+    one = greatest_by_key(changes, key).unionByName(changes.filter(F.col(key).isNull()))
     return target.join(one.select(key), key, "left_anti").unionByName(one, allowMissingColumns=True)
 
 

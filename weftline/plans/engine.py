@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from ..errors import CANCELED, EXECUTION, INPUT, PARSE, TIMEOUT, EngineError
 from ..functions import dialect
 from ..functions.registry import FunctionRegistry
+from ..operators.access import Rules, at_places, visible
 from ..sources.files import read_file
 from ..sources.services import Services
+from ..lineage import lineage
 
-#: A string (left as it is) or a source.
-_SOURCE = re.compile(r"""\bread_(\w+)\s*\(\s*'([^']*)'\s*\)|'(?:[^']|'')*'""")
+#: A source in a text whose quoted parts are marks.
+_SOURCE = re.compile(r"\bread_(\w+)\s*\(\s*\x02(\d+)\x03\s*\)")
 _DIRECTIVE = re.compile(r"^\s*--\s*integration\s*:\s*([\w-]+)\s*(?:\n|\\n)", re.I)
 
 #: The dialect's functions that Spark lacks or means otherwise, as SQL functions: name, parameters, type, body.
@@ -60,6 +62,7 @@ class Engine:
     def __init__(self, spark: SparkSession, limits: Limits = Limits()):
         self.spark, self.limits = spark, limits
         self.services, self.functions = Services(spark), FunctionRegistry(spark)
+        self.tables: Rules | None = None
         self.sources: dict[str, Callable[[str], DataFrame]] = {"file": lambda at: read_file(spark, at), "service": self.services.read}
         for name, parameters, kind, body in EXPRESSIONS:
             self.functions.register_expression(name, parameters, kind, body, override=True)
@@ -79,28 +82,68 @@ class Engine:
         finally:
             self.limits = before
 
+    def protect_tables(self, rules: Rules) -> None:
+        """Rules for the tables and views of the session's catalog that queries name."""
+        self.tables = rules
+
     def query(self, text: str, args: dict | list | None = None) -> DataFrame:
-        """The DataFrame of a query; parameters (:name or ?) are bound, not pasted."""
+        """The DataFrame of a query; parameters (:name or ?) are bound, not pasted.
+
+        Where access rules hold, they are checked on the analysed plan: columns of the result that are made of a
+        column that may not be read are left out (it may decide on rows), a table that may not be read is an error.
+        """
         if m := _DIRECTIVE.match(text):
             return self.services.query(m[1], text[m.end() :].strip())
         before = self.spark.conf.get("spark.sql.ansi.enabled")
+        views: dict[str, tuple[str, str]] = {}
         try:
             self.spark.conf.set("spark.sql.ansi.enabled", "false")  # as the query is analysed
-            return self.spark.sql(dialect.spark_sql(_SOURCE.sub(self._view, text)), args=args)
+            plain, parts = dialect.masked(text)
+            plain = dialect.unmasked(_SOURCE.sub(lambda x: self._view(x, parts, views), plain), parts)
+            return self._guarded(self.spark.sql(self._typed(plain, args), args=args), views)
         except ParseException as e:
             raise EngineError(PARSE, str(e)) from e
         except AnalysisException as e:
             raise EngineError(INPUT, str(e)) from e
         finally:
             self.spark.conf.set("spark.sql.ansi.enabled", before)
-
-    def _view(self, m: re.Match) -> str:
-        if not m[1]:
-            return m[0]
-        if m[1].lower() not in self.sources:
+            for view in views:  # the plan is analysed and needs them no more
+                self.spark.catalog.dropTempView(view)
+
+    def _typed(self, text: str, args: dict | list | None) -> str:
+        """The text as Spark SQL. Where calls go by the types of their arguments, a first analysis tells these; what it can't analyse is left to the second to report."""
+        asked = dialect.Types(asking=True)
+        asking = dialect.spark_sql(text, asked)
+        if not asked.met:
+            return asking
+        try:
+            known = dialect.told(self.spark.sql(asking, args=args)._jdf.queryExecution().analyzed())
+        except (AnalysisException, ParseException):
+            known = {}
+        return dialect.spark_sql(text, dialect.Types(known=known))
+
+    def _guarded(self, df: DataFrame, views: dict[str, tuple[str, str]]) -> DataFrame:
+        """The columns that may be shown, if any rules hold for what is read."""
+        ruled = {v: (table, self.services.rules[kind]) for v, (kind, table) in views.items() if kind in self.services.rules}
+        if not ruled and not self.tables:
+            return df
+
+        def known(name: str) -> str | None:
+            last = name.lower().rsplit(".", 1)[-1]
+            return last if last in ruled else None if last in views or not self.tables else name.lower().removeprefix("spark_catalog.")
+
+        return at_places(df, visible(lineage(df, known), lambda label: ruled.get(label) or (label, self.tables)))
+
+    def _view(self, m: re.Match, parts: list[str], views: dict[str, tuple[str, str]]) -> str:
+        """A view for a source, under a name of its own."""
+        kind, at = m[1].lower(), parts[int(m[2])][1:-1]
+        if kind not in self.sources:
             raise EngineError(INPUT, f"no source read_{m[1]}")
-        name = f"_source_{uuid.uuid5(uuid.NAMESPACE_URL, m[1].lower() + m[2]).hex}"
-        self.sources[m[1].lower()](m[2]).createOrReplaceTempView(name)
+        name = f"_source_{uuid.uuid4().hex}"
+        service, _, table = at.partition(".")
+        df = self.services.whole(at) if kind == "service" else self.sources[kind](at)
+        df.createOrReplaceTempView(name)
+        views[name] = (service, table) if kind == "service" else ("", "")
         return name
 
     def iterate(self, query: str | DataFrame, args: dict | list | None = None) -> Iterator[Row]:

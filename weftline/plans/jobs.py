@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from graphlib import CycleError, TopologicalSorter
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import INPUT, EngineError
+from ..errors import EXECUTION, INPUT, EngineError
 from ..operators import checks, etl, relational
 from ..sources.files import read_file, write_file
+from ..sources.storage import Store
 
 
 @dataclass
@@ -63,72 +66,197 @@ class Job:
 
 @dataclass
 class Summary:
+    """loaded: rows over all destinations (or of a dry run); steps: rows that left each step; rate: percent of rows rejected."""
+
     loaded: int
     rejected: int
     failed: bool
+    steps: dict[str, int] = field(default_factory=dict)
+    rate: float = 0.0
 
 
 def _frame(spark: SparkSession, source: DataFrame | str) -> DataFrame:
     return source if isinstance(source, DataFrame) else read_file(spark, source)
 
 
-def plan(spark: SparkSession, job: Job) -> tuple[DataFrame, DataFrame]:
-    """(rows to load, rejects) of a job; nothing runs yet."""
-    df = etl.multi_source(*(_frame(spark, s) for s in job.sources))
+def plan(spark: SparkSession, job: Job, after: Callable[[str, DataFrame], DataFrame] = lambda step, df: df) -> tuple[DataFrame, DataFrame]:
+    """(rows to load, rejects) of a job; nothing runs yet. after: what to do with the rows that leave each step, such as counting or keeping them."""
+    df = after("extract", etl.multi_source(*(_frame(spark, s) for s in job.sources)))
     dead: list[DataFrame] = []
     if job.normalize:
         df, lost = etl.normalize(df, job.normalize)
+        df = after("normalize", df)
         dead.append(lost)
     if job.mapping:
         df, lost = etl.map_with_lookups(df, job.mapping, job.constants, {k: _frame(spark, v) for k, v in job.lookups.items()})
+        df = after("mapping", df)
         dead.append(lost)
     if job.aggregate:
-        df = etl.aggregate(df, job.aggregate["group_by"], [tuple(m) for m in job.aggregate["measures"]])
+        df = after("aggregate", etl.aggregate(df, job.aggregate["group_by"], [tuple(m) for m in job.aggregate["measures"]]))
     if job.key_value:
-        df = etl.key_value(df, **job.key_value)
+        df = after("key_value", etl.key_value(df, **job.key_value))
     if job.filter:
-        df = etl.filter_rows(df, job.filter)
+        df = after("filter", etl.filter_rows(df, job.filter))
     if job.format:
         df, lost = etl.format_fields(df, job.format)
+        df = after("format", df)
         dead.append(lost)
     if job.rules:
         df, lost = checks.split_valid(df, job.rules)
+        df = after("checks", df)
         dead.append(etl.rejects(lost.drop("errors"), "checks", F.lit("a rule fails")))
     if job.dedup_field:
-        df = relational.first_per_key(df, [job.dedup_field], *(F.col(c) for c in df.columns)) if job.dedup_field in df.columns else df.distinct()
+        df = after("dedup", relational.first_per_key(df, [job.dedup_field], *(F.col(c) for c in df.columns)) if job.dedup_field in df.columns else df.distinct())
     none = spark.createDataFrame([], etl.REJECT)
     for d in dead:
         none = none.unionByName(d)
     return df, none
 
 
-def fan_out(good: DataFrame, job: Job) -> list[tuple[DataFrame, str, str, str]]:
+def fan_out(good: DataFrame | None, job: Job) -> list[tuple[DataFrame | None, str, str, str]]:
     """(rows, path, kind, mode) of each destination."""
     out = []
     for to in job.destinations:
         to = {"path": to} if isinstance(to, str) else to
+        if good is None:
+            out.append((None, to["path"], to.get("kind", job.kind), to.get("mode", job.mode)))
+            continue
         df = etl.filter_rows(good, to["filter"]) if to.get("filter") else good
         df = etl.map_fields(df, to["mapping"], job.constants) if to.get("mapping") else df
         out.append((df, to["path"], to.get("kind", job.kind), to.get("mode", job.mode)))
     return out
 
 
-def run(spark: SparkSession, job: Job, rejects_to: str | None = None) -> Summary:
-    """Load a job's rows into all its destinations.
+def run(spark: SparkSession, job: Job, rejects_to: str | None = None, state: str | None = None, run_id: str | None = None) -> Summary:
+    """Load a job's rows into all its destinations or into none.
+
+    1. What leaves each step is counted; what a step splits into rows and rejects is kept on the executors' disks, so the sources are
+       read once. Rows and rejects are written to the run's folder.
+    2. A job whose rejects reach max_errors fails: its rejects are published, its rows are not.
+    3. Each destination's rows are written beside it, where nothing reads them. If one fails, all are
+       deleted and the error is raised.
+    4. A manifest is written, whole or not at all. From then on the run is committed.
+    5. The files are moved into their destinations, a marker for each destination that is done.
 
-    The rejects are written (or counted) first: a job whose rejects reach max_errors fails and loads nothing. Rows
-    are counted as they are written; ``loaded`` is their sum over the destinations, or the rows of a dry run.
+    With a ``state`` folder and a ``run_id``, a run that was stopped goes on where it was: before 4 from what is written, after it with the
+    destinations that have no marker. A run that is done is not run again. Without them a run has a folder of its own, deleted at its end.
     """
-    good, dead = plan(spark, job)
+    store, own = Store(spark), state is None or run_id is None
+    run_id = run_id or uuid.uuid4().hex
+    first = job.destinations[0] if job.destinations else None
+    base = state or (first if isinstance(first, str) else first["path"] if first else rejects_to)
+    at = f"{state}/{run_id}" if state else _beside(base, f"{run_id}-run") if base else None
+    if not at:  # a dry run or a count
+        good, dead = plan(spark, job)
+        return _summary(good.count(), dead.count(), job, {})
+    manifest = store.get(f"{at}/manifest.json")
+    if manifest is None:
+        try:
+            manifest = _commit(spark, store, job, at, run_id, rejects_to)
+        except BaseException:
+            for _, path, _, _ in fan_out(None, job):
+                store.delete(_beside(path, run_id))
+            if own:
+                store.delete(at)
+            raise
+    for k, to in enumerate(manifest["destinations"]):
+        if not store.exists(f"{at}/done-{k}"):
+            _publish(store, to)
+            store.put(f"{at}/done-{k}", to["rows"])
+    if own:
+        store.delete(at)
+    s = manifest["summary"]
+    return Summary(s["loaded"], s["rejected"], s["failed"], s["steps"], s["rate"])
+
+
+def _commit(spark: SparkSession, store: Store, job: Job, at: str, run_id: str, rejects_to: str | None) -> dict:
+    """Everything up to the manifest."""
+    staged = store.get(f"{at}/staged.json")
+    if staged is None:
+        staged = _staged(spark, job, at)
+        store.put(f"{at}/staged.json", staged)
+    good, dead = spark.read.parquet(f"{at}/good"), spark.read.schema(etl.REJECT).parquet(f"{at}/dead")
+    summary = _summary(staged["good"], staged["dead"], job, staged["steps"])
+    tos, out = [], []
     if rejects_to:
-        rejected = _counted(dead, lambda df: write_file(df, rejects_to, "parquet", "append"))
-    else:
-        rejected = dead.count()
-    if rejected >= job.max_errors > 0:
-        return Summary(0, rejected, True)
-    if job.dry_run or not job.destinations:
-        return Summary(good.count(), rejected, False)
-    return Summary(sum(_counted(df, lambda df, to=to: write_file(df, *to)) for df, *to in fan_out(good, job)), rejected, False)
+        tos.append((dead, rejects_to, "parquet", "append"))
+    if not summary.failed and not job.dry_run:
+        tos += fan_out(good, job)
+    for df, path, kind, mode in tos:
+        beside = _beside(path, run_id)
+        store.delete(beside)  # of an earlier start
+        out.append({"path": path, "beside": beside, "mode": mode, "rows": _counted(df, lambda df, to=(beside, kind): write_file(df, *to))})
+    if out[bool(rejects_to) :]:
+        summary.loaded = sum(x["rows"] for x in out[bool(rejects_to) :])
+    manifest = {"run": run_id, "destinations": out, "summary": asdict(summary)}
+    store.put(f"{at}/manifest.json", manifest)
+    return manifest
+
+
+def _staged(spark: SparkSession, job: Job, at: str) -> dict:
+    """Write rows and rejects to the run's folder; rows that left each step."""
+    seen: dict[str, Observation] = {}
+    kept: list[DataFrame] = []
+    splits = {"extract": job.normalize or job.mapping, "normalize": job.mapping, "filter": job.format, "format": job.rules}
+
+    def after(step: str, df: DataFrame) -> DataFrame:
+        seen[step] = Observation()
+        df = df.observe(seen[step], F.count(F.lit(1)).alias("n"))
+        if splits.get(step):
+            df = df.persist(StorageLevel.DISK_ONLY)
+            kept.append(df)
+        return df
+
+    good, dead = plan(spark, job, after)
+    try:
+        n = _counted(good, lambda df: df.write.mode("overwrite").parquet(f"{at}/good"))
+        lost = _counted(dead, lambda df: df.write.mode("overwrite").parquet(f"{at}/dead"))
+    finally:
+        for df in kept:
+            df.unpersist()
+    return {"good": n, "dead": lost, "steps": {step: o.get["n"] for step, o in seen.items()}}
+
+
+def _publish(store: Store, to: dict) -> None:
+    """Move a destination's files to their place. May be begun again at any point: what was moved stays."""
+    path, beside = to["path"], to["beside"]
+    names = [n for n in store.names(beside) if not n.startswith(("_", "."))]
+    old = f"{beside}-old"
+    if to["mode"] == "overwrite" and not store.exists(f"{old}/_moved"):
+        store.make(old)
+        for n in store.names(path):
+            store.rename(f"{path}/{n}", f"{old}/{n}")
+        store.put(f"{old}/_moved", True)
+    store.make(path)
+    for n in names:
+        if not store.rename(f"{beside}/{n}", f"{path}/{n}"):
+            raise EngineError(EXECUTION, f"{path} takes no file {n}")
+    store.delete(beside)
+    store.delete(old)
+
+
+def _beside(path: str, run_id: str) -> str:
+    """A folder on a destination's file system that readers of its parent leave out."""
+    head, _, last = path.rstrip("/").rpartition("/")
+    return f"{head}/_{last}-{run_id}" if head else f"_{last}-{run_id}"
+
+
+def _summary(good: int, dead: int, job: Job, steps: dict[str, int]) -> Summary:
+    failed = dead >= job.max_errors > 0
+    return Summary(0 if failed else good, dead, failed, steps, round(100.0 * dead / (good + dead), 6) if good + dead else 0.0)
+
+
+def status(spark: SparkSession, state: str) -> DataFrame:
+    """run, phase (started, staged, committed, done), destinations, published, rows, rejected of each run in a state folder."""
+    store, rows = Store(spark), []
+    for run_id in store.names(state):
+        at = f"{state}/{run_id}"
+        found, staged = store.get(f"{at}/manifest.json"), store.get(f"{at}/staged.json")
+        done = sum(n.startswith("done-") for n in store.names(at))
+        of = len(found["destinations"]) if found else 0
+        phase = "staged" if staged and not found else "started" if not found else "done" if done == of else "committed"
+        rows.append((run_id, phase, of, done, found["summary"]["loaded"] if found else None, staged["dead"] if staged else None))
+    return spark.createDataFrame(rows, "run string, phase string, destinations int, published int, rows long, rejected long")
 
 
 def _counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:

@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import INPUT, EngineError
 
+#: Segments about the messages of a batch.
+_ENVELOPE = ("FHS", "BHS", "BTS", "FTS")
+_PIECES = pa.schema([("path", pa.string()), ("start", pa.int64()), ("turn", pa.int32()), ("opens", pa.bool_()), ("blank", pa.bool_()), ("text", pa.string())])
+
 
 def read_file(spark: SparkSession, path: str, kind: str | None = None, **options: str) -> DataFrame:
     """csv (header, all text), json (array of objects), ndjson, parquet, orc, text or hl7.
@@ -45,16 +49,59 @@ def regex_lines(lines: DataFrame, pattern: str, column: str = "value") -> DataFr
     return lines.filter(c.rlike(java)).select(*(F.regexp_extract(c, java, i + 1).alias(n) for i, n in enumerate(names)))
 
 
-def hl7_messages(spark: SparkSession, path: str, separator: str = "|") -> DataFrame:
-    """raw_message, source_path: one row per message of files, cut before each MSH segment; segments end in carriage returns.
+def hl7_messages(spark: SparkSession, path: str, blank_lines: bool = True) -> DataFrame:
+    """raw_message, source_path: one row per message of files; segments end in carriage returns.
 
-    "MSH" and its field separator serve as the line end, so large files are cut into many tasks' work. What stands
-    before a file's first message (a batch header) is left out; blank lines are, too.
+    A message begins at a line that starts with MSH (whatever its separator; MSH within a field is text) and, with
+    ``blank_lines``, after a blank line. Headers and trailers of batches are left out. Lines end in CR, LF or both. A large file is many tasks' work: each
+    task puts together the messages of its stretches of lines, in file order; only the first and
+    the last piece of a stretch (which may be parts of one message) are put together in a second step, by file.
     """
-    pieces = spark.read.text(path, lineSep=f"MSH{separator}").select("value", F.col("_metadata.file_path").alias("source_path"))
-    begins = F.col("value").rlike(r"^[^A-Za-z0-9\s]{1,5}" + re.escape(separator))  # the encoding characters
-    clean = F.regexp_replace(F.regexp_replace("value", r"\s*[\r\n]\s*", "\r"), r"\r*\s*$", "")
-    return pieces.filter(begins).select(F.concat(F.lit(f"MSH{separator}"), clean).alias("raw_message"), "source_path")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    kind = "path string, start long, turn int, opens boolean, blank boolean, text string"
+
+    def pieces(batches):
+        """Runs of lines that are of one message as far as their stretch tells. opens: begins a message for certain; blank: a blank line follows; turn 0 and -1: the stretch's ends."""
+        at, held, opens, turn, out = None, [], False, 0, []
+
+        def flush(blank: bool, last: bool) -> None:
+            nonlocal held, turn
+            if held or blank or last:
+                out.append((*at, -1 if last else turn, opens, blank, "\r".join(held)))
+            held, turn = [], turn + 1
+
+        for batch in batches:
+            for line, where, start in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (where, start) != at:
+                    if at:
+                        flush(False, True)
+                    at, opens, turn = (where, start), False, 0
+                if not line.strip() or line.startswith(_ENVELOPE):
+                    if blank_lines or line.strip():
+                        flush(True, False)
+                        opens = True
+                    continue
+                if line.startswith("MSH"):
+                    if held or not opens:
+                        flush(False, False)
+                    opens = True
+                held.append(line)
+            yield pa.RecordBatch.from_pylist([dict(zip(("path", "start", "turn", "opens", "blank", "text"), x)) for x in out], schema=_PIECES)
+            out = []
+        if at:
+            flush(False, True)
+            yield pa.RecordBatch.from_pylist([dict(zip(("path", "start", "turn", "opens", "blank", "text"), x)) for x in out], schema=_PIECES)
+
+    found = lines.mapInArrow(pieces, kind)
+    whole = found.filter("opens and turn > 0").filter("text <> ''").select(F.col("text").alias("raw_message"), F.col("path").alias("source_path"))
+    # of a stretch's ends: the first piece may go on with the message of the stretch before it
+    order = Window.partitionBy("path").orderBy("start", F.when(F.col("turn") < 0, 2**31 - 1).otherwise(F.col("turn")))
+    ends = found.filter("not opens or turn <= 0")
+    new = F.col("opens") | F.coalesce(F.lag("blank").over(order), F.lit(True))
+    ends = ends.withColumn("new", new.cast("int")).withColumn("message", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("start", F.when(F.col("turn") < 0, 2**31 - 1).otherwise(F.col("turn")).alias("turn"), "text")))
+    joined = ends.groupBy("path", "message").agg(F.array_join(F.filter(F.transform(parts, lambda p: p["text"]), lambda t: t != ""), "\r").alias("raw_message"))
+    return whole.unionByName(joined.filter("raw_message <> ''").select("raw_message", F.col("path").alias("source_path")))
 
 
 def write_file(df: DataFrame, path: str, kind: str, mode: str = "append", one_file: bool = False) -> None:

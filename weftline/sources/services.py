@@ -9,13 +9,19 @@ import urllib.error
 import urllib.request
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..errors import INPUT, EngineError
-from ..operators.access import Rules, restrict
+from ..lineage import Mentioned, lineage, mentioned
+from ..operators import etl
+from ..operators.access import Rules, at_places, check_statement, restrict, visible
+
+from . import jdbc
 
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_-]*$")
 _TABLE = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*$")
@@ -68,17 +74,22 @@ class Services:
         self.register(name, lambda table: self.spark.read.format("weftline_rest").schema(schema).options(url=at(table), **fixed).load())
 
     def read(self, text: str) -> DataFrame:
-        """service or service.table."""
+        """service or service.table, as far as rules allow."""
+        name, _, table = text.partition(".")
+        df = self.whole(text)
+        return restrict(df, table, self.rules[name]) if name in self.rules else df
+
+    def whole(self, text: str) -> DataFrame:
+        """service or service.table, for what checks the rules itself."""
         name, _, table = text.partition(".")
         if name not in self.readers:
             raise EngineError(INPUT, f"no service {name!r}")
         if table and not _TABLE.match(table):
             raise EngineError(INPUT, f"{table!r} is no table name")
-        df = self.readers[name](table or None)
-        return restrict(df, table, self.rules[name]) if name in self.rules else df
+        return self.readers[name](table or None)
 
     def protect(self, name: str, rules: Rules) -> None:
-        """From now on what is read of a service is what the rules allow; its own queries, whose tables can't be told, are refused."""
+        """From now on a service is read, written, queried and changed as the rules allow."""
         self.rules[name] = rules
 
     def write(self, df: DataFrame, text: str, mode: str = "append") -> None:
@@ -88,61 +99,148 @@ class Services:
             raise EngineError(INPUT, f"service {name!r} takes no rows")
         if not _TABLE.match(table):
             raise EngineError(INPUT, f"{table!r} is no table name")
-        if name in self.rules and not self.rules[name].table(table):
-            raise EngineError(INPUT, f"table {table!r} may not be written")
+        if name in self.rules:
+            self.rules[name].check_write(table, df.columns)
         self.writers[name](df, table, mode)
 
     def execute(self, name: str, *statements: str) -> int:
-        """Run statements in a database, in one transaction; the rows that they change."""
+        """Run statements in a database, in one transaction; the rows that they change.
+
+        Under rules each must be one that Spark's parser reads, so that its tables and columns can be told.
+        """
+        if name not in self.databases:
+            raise EngineError(INPUT, f"service {name!r} is no database")
+        if name in self.rules:
+            for x in statements:
+                check_statement(self._mentioned(x), self.rules[name])
+        return sum(self._execute(name, *statements))
+
+    def _mentioned(self, text: str) -> Mentioned:
+        try:
+            return mentioned(self._reading(), text)
+        except ParseException as e:
+            raise EngineError(INPUT, "under access rules only statements that Spark's parser reads are taken") from e
+
+    def _reading(self) -> SparkSession:
+        """A session of its own for the analysis of a database's text: its names in double quotes, its views apart from the user's."""
+        s = self.spark.newSession()
+        for k in ("spark.sql.ansi.enabled", "spark.sql.ansi.doubleQuotedIdentifiers"):
+            s.conf.set(k, "true")
+        return s
+
+    def _execute(self, name: str, *statements: str) -> list[int]:
+        """The rows that each statement changes, in one transaction."""
+        with self._connection(name) as link:
+            link.setAutoCommit(False)
+            try:
+                changed = [link.createStatement().executeUpdate(x) for x in statements]
+                link.commit()
+            except BaseException:
+                link.rollback()
+                raise
+        return changed
+
+    @contextmanager
+    def _connection(self, name: str):
         if name not in self.databases:
             raise EngineError(INPUT, f"service {name!r} is no database")
         url, options = self.databases[name]
-        jvm = self.spark._jvm
         if "driver" in options:
-            jvm.java.lang.Class.forName(options["driver"])
-        link = jvm.java.sql.DriverManager.getConnection(url, *(options[k] for k in ("user", "password") if k in options))
+            self.spark._jvm.java.lang.Class.forName(options["driver"])
+        link = self.spark._jvm.java.sql.DriverManager.getConnection(url, *(options[k] for k in ("user", "password") if k in options))
         try:
-            link.setAutoCommit(False)
-            changed = sum(link.createStatement().executeUpdate(x) for x in statements)
-            link.commit()
-            return changed
+            yield link
         finally:
-            link.rollback()
             link.close()
 
-    def _staged(self, df: DataFrame, text: str, key: str, statement: Callable[[str, str, Callable[[str], str]], str]) -> int:
-        """Write df to a table of its own, run a statement over both tables, drop it again."""
+    def _columns(self, name: str, table: str | None = None) -> list[tuple[str, str, str]]:
+        """(table, column, type) as the database's catalogue lists them, system tables left out."""
+        out, like = [], None
+        with self._connection(name) as link:
+            about = link.getMetaData()
+            if table:
+                like = table.rsplit(".", 1)[-1]
+                like = like.upper() if about.storesUpperCaseIdentifiers() else like.lower() if about.storesLowerCaseIdentifiers() else like
+            found = about.getColumns(link.getCatalog(), None, like, None)
+            while found.next():
+                schema = (found.getString("TABLE_SCHEM") or "").lower()
+                if schema not in ("sys", "information_schema", "pg_catalog", "sysibm"):
+                    out.append((found.getString("TABLE_NAME"), found.getString("COLUMN_NAME"), found.getString("TYPE_NAME")))
+        return out
+
+    def _staged(self, df: DataFrame, text: str, key: str, statements: Callable[[jdbc.Dialect, str, str], list[str]]) -> int:
+        """Write df to a table of its own, run statements over both tables in one transaction, drop it again; the rows that the last one changes."""
         name, _, table = text.partition(".")
         if name not in self.databases:
             raise EngineError(INPUT, f"service {name!r} is no database")
-        if not _TABLE.match(table) or (name in self.rules and not self.rules[name].table(table)):
-            raise EngineError(INPUT, f"table {table!r} may not be written")
-        sign = "`" if "mysql" in self.databases[name][0] else '"'
-        staged, quoted = f"staged_{uuid.uuid4().hex[:12]}", lambda c: sign + c.replace(sign, sign * 2) + sign
-        self.writers[name](df.filter(F.col(key).isNotNull()), staged, "overwrite")
+        if not _TABLE.match(table):
+            raise EngineError(INPUT, f"{table!r} is no table name")
+        if name in self.rules:
+            self.rules[name].check_write(table, df.columns)
+        staged = f"staged_{uuid.uuid4().hex[:12]}"
         try:
-            return self.execute(name, statement(table, staged, quoted))
+            self.writers[name](df.filter(F.col(key).isNotNull()), staged, "overwrite")
+            return self._execute(name, *statements(jdbc.dialect(self.databases[name][0]), table, staged))[-1]
         finally:
-            self.execute(name, f"DROP TABLE {staged}")
+            self._drop(name, staged)
 
-    def merge(self, df: DataFrame, text: str, key: str) -> int:
-        """Rows replaced or added by key in service.table, by the database's own MERGE; the rows that it changes. Of rows of one key the greatest counts, a null key none."""
-        rest = [c for c in df.columns if c != key]
-        one = df.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*") if rest else df.distinct()
+    def _drop(self, name: str, table: str) -> None:
+        """Drop a staged table if it came to be."""
+        if table.lower() in (t.lower() for t, _, _ in self._columns(name, table)):
+            self._execute(name, f"DROP TABLE {table}")
 
-        def statement(table: str, staged: str, q: Callable[[str], str]) -> str:
-            update = f"WHEN MATCHED THEN UPDATE SET {', '.join(f'{q(c)} = s.{q(c)}' for c in rest)} " if rest else ""
-            every = [key, *rest]
-            return (
-                f"MERGE INTO {table} t USING {staged} s ON t.{q(key)} = s.{q(key)} {update}"
-                f"WHEN NOT MATCHED THEN INSERT ({', '.join(map(q, every))}) VALUES ({', '.join(f's.{q(c)}' for c in every)})"
-            )
+    def merge(self, df: DataFrame, text: str, key: str) -> int:
+        """Rows replaced or added by key in service.table, by the upsert of the database's dialect; the rows that it changes. Of rows of one key the greatest counts, a null key none.
 
-        return self._staged(one, text, key, statement)
+        Where the dialect's upsert goes by a unique index (PostgreSQL, SQLite, MySQL), the table needs one on the key.
+        """
+        rest = [c for c in df.columns if c != key]
+        return self._staged(etl.greatest_by_key(df, key), text, key, lambda d, table, staged: [d.upsert(table, staged, key, rest)])
 
     def delete(self, keys: DataFrame, text: str, key: str) -> int:
         """Delete the rows of service.table whose key is among the keys; how many they are."""
-        return self._staged(keys.select(key).distinct(), text, key, lambda table, staged, q: f"DELETE FROM {table} WHERE {q(key)} IN (SELECT {q(key)} FROM {staged})")
+        return self._staged(keys.select(key).distinct(), text, key, lambda d, table, staged: [f"DELETE FROM {table} WHERE {d.quote(key)} IN (SELECT {d.quote(key)} FROM {staged})"])
+
+    def merge_once(self, df: DataFrame, text: str, key: str, stream: str, batch: int, ledger: str = "weftline_batches") -> bool:
+        """``merge`` for the batch of a stream, which has an effect only once however often it is run; whether it had one now.
+
+        The batch's number and its rows are committed in one transaction. A batch that runs again, after a failure at any
+        point, finds its number in the ledger (a table of stream and batch, made where it is missing) and changes nothing.
+        """
+        name = text.partition(".")[0]
+        if name not in self.databases:
+            raise EngineError(INPUT, f"service {name!r} is no database")
+        if name in self.rules:
+            self.rules[name].check_write(text.partition(".")[2], df.columns)
+        d = jdbc.dialect(self.databases[name][0])
+        if not self._columns(name, ledger):
+            self._execute(name, f"CREATE TABLE {ledger} (stream VARCHAR(200) NOT NULL, batch BIGINT NOT NULL, PRIMARY KEY (stream, batch))")
+        known = f"SELECT count(*) AS n FROM {ledger} WHERE stream = {d.literal(stream)} AND batch = {int(batch)}"
+        if self.readers[f"{name}?"](known).first()[0]:
+            return False
+        rest = [c for c in df.columns if c != key]
+        note = f"INSERT INTO {ledger} (stream, batch) VALUES ({d.literal(stream)}, {int(batch)})"  # of two that run at once the second fails here, whole
+        self._staged(etl.greatest_by_key(df, key), text, key, lambda d, table, staged: [note, d.upsert(table, staged, key, rest)])
+        return True
+
+    def read_in_parts(self, text: str, key: str, parts: int) -> DataFrame:
+        """service.table by disjoint ranges of a key with about equally many rows each, a task a range, however skewed its values are; nulls are in the first."""
+        name, _, table = text.partition(".")
+        if name not in self.databases:
+            raise EngineError(INPUT, f"service {name!r} is no database")
+        if not _TABLE.match(table):
+            raise EngineError(INPUT, f"{table!r} is no table name")
+        url, options = self.databases[name]
+        d, ask = jdbc.dialect(url), self.readers[f"{name}?"]
+        column = d.quote(key)
+        n = ask(f"SELECT count({column}) AS n FROM {table}").first()[0]
+        bounds: list = []
+        for k in range(1, parts if n else 1):  # one row each, by the key's index where there is one
+            value = ask(d.nth(table, column, n * k // parts)).first()[0]
+            if not bounds or value != bounds[-1]:
+                bounds.append(value)
+        df = self.spark.read.jdbc(url, table, predicates=d.ranges(column, bounds), properties=dict(options))
+        return restrict(df, table, self.rules[name]) if name in self.rules else df
 
     def create_key_value(self, text: str, extra: dict[str, str], key: str = "key", value: str = "value") -> None:
         """A table for rows of ``etl.key_value``: the extra columns (name to SQL type), key, value, value_type."""
@@ -150,25 +248,54 @@ class Services:
         if not _TABLE.match(table):
             raise EngineError(INPUT, f"{table!r} is no table name")
         columns = extra | {key: "VARCHAR(255)", value: "VARCHAR(4000)", "value_type": "VARCHAR(32)"}
-        self.execute(name, f"CREATE TABLE {table} (" + ", ".join(f'"{c}" {kind}' for c, kind in columns.items()) + ")")
+        if name in self.rules:
+            self.rules[name].check_write(table, columns)
+        quote = jdbc.dialect(self.databases[name][0]).quote if name in self.databases else str
+        self._execute(name, f"CREATE TABLE {table} (" + ", ".join(f"{quote(c)} {kind}" for c, kind in columns.items()) + ")")
 
     def tables(self, name: str) -> DataFrame:
-        """table, column, type of what a service's registered tables hold, as far as its rules allow."""
-        if name not in self.listed:
+        """table, column, type of what a service's registered tables or its database hold, as far as its rules allow."""
+        if name in self.listed:
+            found = [(t, f.name, f.dataType.simpleString()) for t, df in self.listed[name].items() for f in df.schema]
+        elif name in self.databases:
+            found = self._columns(name)
+        else:
             raise EngineError(INPUT, f"service {name!r} lists no tables")
-        rules, rows = self.rules.get(name, Rules()), []
-        for table, df in self.listed[name].items():
-            if rules.table(table):
-                rows += [(table, f.name, f.dataType.simpleString()) for f in df.schema if rules.column(table, f.name)]
-        return self.spark.createDataFrame(rows, "table string, column string, type string")
+        rules = self.rules.get(name, Rules())
+        return self.spark.createDataFrame([x for x in found if rules.table(x[0]) and rules.column(x[0], x[1])], "table string, column string, type string")
 
     def query(self, name: str, text: str) -> DataFrame:
-        """A database's own query."""
-        if name in self.rules:
-            raise EngineError(INPUT, f"service {name!r} has access rules and takes no queries of its own")
+        """A database's own query; under rules, what of its result may be shown."""
         if f"{name}?" not in self.readers:
             raise EngineError(INPUT, f"service {name!r} takes no queries")
-        return self.readers[f"{name}?"](text)
+        if name not in self.rules:
+            return self.readers[f"{name}?"](text)
+        places, width = self._shown(name, text)
+        df = self.readers[f"{name}?"](text)
+        if len(df.columns) != width:
+            raise EngineError(INPUT, "the query's columns can't be told")
+        return at_places(df, places)
+
+    def _shown(self, name: str, text: str) -> tuple[list[int], int]:
+        """The places of the columns of a database's query that may be shown, and how many it has: Spark analyses the text over the database's tables, and the database runs it."""
+        reading, rules = self._reading(), self.rules[name]
+        url, options = self.databases[name]
+        found = self._mentioned(text)
+        tables = {t: t.rsplit(".", 1)[-1].lower() for t, _, _ in found.relations}
+        if len(set(tables.values())) < len(tables):
+            raise EngineError(INPUT, "under access rules a query's tables must differ in their last names")
+        for t, last in tables.items():
+            if not rules.table(t):
+                raise EngineError(INPUT, f"table {t!r} may not be read")
+            reading.read.format("jdbc").options(url=url, dbtable=t, **options).load().createOrReplaceTempView(last)
+        for t, first, last in sorted(found.relations, key=lambda r: -r[1]):
+            text = f"{text[:first]}`{tables[t]}`{text[last + 1 :]}"
+        try:
+            df = reading.sql(text)
+        except (AnalysisException, ParseException) as e:
+            raise EngineError(INPUT, "under access rules only queries that Spark can analyse are taken") from e
+        names = {last: t for t, last in tables.items()}
+        return visible(lineage(df, lambda view: view.lower() if view.lower() in names else None), lambda label: (names[label], rules)), len(df.columns)
 
 
 def _missing(name: str, table: str | None) -> DataFrame:
