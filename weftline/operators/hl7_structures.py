@@ -196,10 +196,17 @@ def fields_of(line: str, signs: str) -> tuple[str, dict]:
     return name, out
 
 
-def xml_of(name: str, value) -> str:
+def xml_of(name: str, value, part: Part | None = None) -> str:
+    """A value as elements; segments and groups in capitals, fields as they are named."""
     if isinstance(value, list):
-        return "".join(xml_of(name, v) for v in value)
-    return f"<{name}>{''.join(xml_of(k, v) for k, v in value.items()) if isinstance(value, dict) else escape(value)}</{name}>"
+        return "".join(xml_of(name, v, part) for v in value)
+    if not isinstance(value, dict):
+        return f"<{name}>{escape(value)}</{name}>"
+    if part and part.parts:
+        inner = "".join(xml_of(p.name, value[p.name.lower()], p) for p in part.parts if p.name.lower() in value)
+    else:
+        inner = "".join(xml_of(k, v) for k, v in value.items())
+    return f"<{name}>{inner}</{name}>"
 
 
 def _signs(message: str) -> str:
@@ -233,11 +240,13 @@ def structured(messages: DataFrame, column: str = "raw_message", structures: dic
             for n, v in found:
                 every.setdefault(n.lower(), []).append(v)
             value, lost, missing = every, [], []
+            part = Part("message", parts=tuple(Part(n.upper()) for n in every))
         else:
-            text = texts[name]
-            part = known.setdefault(name, structure(texts.get(text, text)))
+            if name not in known:
+                known[name] = structure(texts.get(texts[name], texts[name]))
+            part = known[name]
             value, lost, missing = nested(found, part)
-        return name, json.dumps(value, ensure_ascii=False), xml_of(name or "HL7", {k.upper(): v for k, v in value.items()}), lost, missing
+        return name, json.dumps(value, ensure_ascii=False), xml_of(name or "HL7", value, part), lost, missing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Part] = {}

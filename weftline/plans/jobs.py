@@ -154,7 +154,7 @@ def run(spark: SparkSession, job: Job, rejects_to: str | None = None, state: str
         try:
             manifest = _commit(spark, store, job, at, run_id, rejects_to)
         except BaseException:
-            for _, path, _, _ in fan_out(None, job):
+            for path in [to[1] for to in fan_out(None, job)] + [rejects_to] * bool(rejects_to):
                 store.delete(_beside(path, run_id))
             if own:
                 store.delete(at)

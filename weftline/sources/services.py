@@ -14,9 +14,9 @@ from contextlib import contextmanager
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
-from ..errors import INPUT, EngineError
+from ..errors import EXECUTION, INPUT, EngineError
 from ..lineage import Mentioned, lineage, mentioned
 from ..operators import etl
 from ..operators.access import Rules, at_places, check_statement, restrict, visible
@@ -305,8 +305,11 @@ def _missing(name: str, table: str | None) -> DataFrame:
 class RestSource(DataSource):
     """Rows of JSON objects of one or several comma-separated addresses, a partition each.
 
-    As a stream it polls one address, which takes the number of rows seen so far as the parameter ``offset_param``
-    (offset) and answers with those after it.
+    As a stream each address is a queue: it takes the number of rows seen so far as the parameter ``offset_param``
+    (offset) and answers with those after it. With ``latest_path``, the answer's number of rows there are in all (asked for with
+    ``limit_param`` 0), the driver reads nothing but these numbers: executors fetch the rows of a batch, at most ``task_rows`` (10000) a task, and the
+    same ones again if the batch runs again. ``commit_url`` (with {queue} and {offset}) is called when a batch is done. Without
+    ``latest_path`` the driver itself polls one address, which is for small services.
     """
 
     @classmethod
@@ -319,6 +322,11 @@ class RestSource(DataSource):
     def reader(self, schema):
         return _RestReader(self.options, schema)
 
+    def streamReader(self, schema):
+        if "latest_path" not in self.options:
+            raise NotImplementedError("without latest_path the simple reader polls")
+        return _RestQueues(self.options, schema)
+
     def simpleStreamReader(self, schema):
         return _RestPoll(self.options, schema)
 
@@ -378,3 +386,52 @@ class _RestPoll(SimpleDataSourceStreamReader):
     def readBetweenOffsets(self, start: dict, end: dict):
         """The rows of a batch that runs again."""
         return iter(self._after(start["seen"])[: end["seen"] - start["seen"]])
+
+
+class _Range(InputPartition):
+    def __init__(self, url: str, start: int, end: int):
+        super().__init__((url, start, end))
+
+
+class _RestQueues(DataSourceStreamReader):
+    """Queues side by side: offsets by queue, ranges of rows as partitions."""
+
+    def __init__(self, options: dict, schema):
+        self.source = _RestReader(options, schema)
+        self.param, self.limit = options.get("offset_param", "offset"), options.get("limit_param", "limit")
+        self.latest_path, self.task_rows, self.commit_url = options["latest_path"], int(options.get("task_rows", "10000")), options.get("commit_url")
+
+    def _at(self, url: str, offset: int, limit: int):
+        return self.source._answer(f"{url}{'&' if '?' in url else '?'}{self.param}={offset}&{self.limit}={limit}")
+
+    def initialOffset(self) -> dict:
+        return {str(k): 0 for k in range(len(self.source.urls))}
+
+    def latestOffset(self) -> dict:
+        out = {}
+        for k, url in enumerate(self.source.urls):
+            data = self._at(url, 0, 0)
+            for key in self.latest_path.split("."):
+                data = data[key]
+            out[str(k)] = int(data)
+        return out
+
+    def partitions(self, start: dict, end: dict):
+        return [
+            _Range(url, at, min(at + self.task_rows, end[str(k)])) for k, url in enumerate(self.source.urls) for at in range(start.get(str(k), 0), end[str(k)], self.task_rows)
+        ]
+
+    def read(self, partition):
+        url, at, end = partition.value
+        while at < end:
+            rows = self.source._rows(self._at(url, at, end - at))[: end - at]
+            if not rows:
+                raise EngineError(EXECUTION, f"{url} no longer has its rows from {at} on")
+            for row in rows:
+                yield tuple(row.get(f) for f in self.source.fields)
+            at += len(rows)
+
+    def commit(self, end: dict) -> None:
+        if self.commit_url:
+            for k in end:
+                self.source._answer(self.commit_url.replace("{queue}", k).replace("{offset}", str(end[k])))
