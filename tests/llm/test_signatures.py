@@ -1,0 +1,42 @@
+"""License signatures that anyone would expect, and words that are none."""
+
+from weftline.llm import licences
+
+WANT = {
+    "SPDX-License-Identifier: (MIT OR Apache-2.0)":"apache,mit",
+    "license: MIT":"mit",
+    "License: Apache 2.0":"apache",
+    "GPLv3":"gpl",
+    "licensed under the GPL, version 2":"gpl",
+    "BSD-3-Clause":"bsd",
+    "Apache-2.0 OR MIT":"apache,mit",
+    "SPDX-License-Identifier: MIT OR Apache-2.0":"apache,mit",
+    
+"released under the Mozilla"+" "*90+"Public License":"mpl",
+    "under the Mozilla\n * Public License":"mpl",
+    "# Mozilla\n#  Public\n# License":"mpl",
+    '"license": "ISC"':"isc",
+    "license = 'LGPL-2.1+'":"lgpl",
+    "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0":"gpl",
+    "Harvard or MIT students":"",
+    "Er kam mit dem Hund":"",
+    "BSD-style license":"bsd",
+    "bsd license":"bsd",
+    "LGPL v2.1 or AGPLv3":"agpl,lgpl",
+    "(BSD-2-Clause AND (MIT OR Zlib))":"bsd,mit,zlib",
+    "all rights reserved":"proprietary",
+    "permits AND MIT0X":"",
+    "CC-BY-SA-4.0":"cc-by,cc-by-sa",
+    "released under the terms of the MIT":"mit",
+    "MIT License":"mit",
+    "open source in general":""}
+
+
+def test_signatures(spark):
+    df = spark.createDataFrame(list(enumerate(WANT)), "doc_id int, text string")
+    got = {r.doc_id: r.labels for r in licences.labelled(licences.scan(df)).collect()}
+    assert {t: got[i] for i, t in enumerate(WANT)} == WANT
+
+
+def test_no_filler_rules():
+    assert not any("wikipedia" in r[5] or "()" in r[5] for r in licences.rules())

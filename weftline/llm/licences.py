@@ -19,6 +19,8 @@ give no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,10 @@ _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
 BASE = {("gnu", "general", "public", "license"): "gpl", ("apache", "license"): "apache", ("cc", "by"): "cc-by", ("mit", "license"): "mit"}
 BASE_PATTERN = rf"(?i)(?<!{WORD})(?:" + "|".join(_GAP.join(words) for words in BASE) + rf")(?!{WORD})"
 
-_S = r"[\s ]{1,8}"
-_O = r"[\s -]{0,8}"
+_B = r"[\s\xA0]"
+#: Blanks of any number, line ends among them with the signs of a comment that goes on.
+_S = rf"(?:{_B}++(?:(?:[*#;!|>%]|//|--)++{_B}*+)*+)"
+_O = rf"(?:{_B}|-)*+"
 #: label: (keywords, one of which begins a word of any name, its name as a pattern, its SPDX id as a pattern, part of its address).
 FAMILIES: dict[str, tuple[str, str, str, str]] = {
     "gpl": ("gnu", rf"gnu{_S}(?:general{_S}public{_S}licen[sc]e|gpl)", r"gpl-[123]\.0(?:-only|-or-later|\+)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl"),
@@ -42,7 +46,7 @@ FAMILIES: dict[str, tuple[str, str, str, str]] = {
     "gfdl": ("documentation", rf"(?:gnu{_S})?free{_S}documentation{_S}licen[sc]e", r"gfdl-1\.[123](?:-only|-or-later)?", r"gnu\.org/licenses/fdl"),
     "apache": ("apache", rf"apache{_S}(?:software{_S})?licen[sc]e", r"apache-[12]\.[01]", r"apache\.org/licenses"),
     "mit": ("mit", rf"mit{_S}licen[sc]e|mit-style{_S}licen[sc]e", r"mit(?:-0)?", r"opensource\.org/licenses/mit"),
-    "bsd": ("bsd", rf"(?:[234]-clause{_S}|new{_S}|simplified{_S}|modified{_S})?bsd{_O}(?:[234]-clause{_S})?(?:-style{_S})?licen[sc]e", r"bsd-[1234]-clause", r"opensource\.org/licenses/bsd"),
+    "bsd": ("bsd", rf"(?:[234]-clause{_S}|new{_S}|simplified{_S}|modified{_S})?bsd{_O}(?:[234]-clause{_S})?(?:style{_S})?licen[sc]e", r"bsd-[1234]-clause", r"opensource\.org/licenses/bsd"),
     "0bsd": ("0bsd bsd", rf"(?:bsd{_S}zero{_S}clause|0bsd){_S}licen[sc]e", r"0bsd", r"opensource\.org/licenses/0bsd"),
     "mpl": ("mozilla", rf"mozilla{_S}public{_S}licen[sc]e", r"mpl-[12]\.[01]", r"mozilla\.org/mpl"),
     "epl": ("eclipse", rf"eclipse{_S}public{_S}licen[sc]e", r"epl-[12]\.0", r"eclipse\.org/legal/epl"),
@@ -86,13 +90,20 @@ FAMILIES: dict[str, tuple[str, str, str, str]] = {
     "json": ("json", rf"json{_S}licen[sc]e", r"json", r"json\.org/license"),
     "beerware": ("beer", rf"beer-?ware{_S}licen[sc]e", r"beerware", r"people\.freebsd\.org/~phk"),
     "public-domain": ("domain", rf"(?:in|into){_S}the{_S}public{_S}domain", r"(?:cc-pddc|licenseref-public-domain)", r"creativecommons\.org/licenses/publicdomain"),
-    "proprietary": ("rights", rf"all{_S}rights{_S}reserved", r"licenseref-proprietary", r"en\.wikipedia\.org/wiki/all_rights_reserved"),
+    "proprietary": ("rights", rf"all{_S}rights{_S}reserved", r"licenseref-proprietary", ""),
 }
 _TAIL = rf"(?:,?{_S}(?:version|v\.?){_O}[0-9]+(?:\.[0-9]+)*|{_S}[0-9]+(?:\.[0-9]+)+)"
-#: Forms in which each family is signed: (priority, confidence, pattern of name, id or address).
+#: Families that are called by a short name as well; with a version's number it stands for itself (GPLv3, LGPL-2.1+).
+BARE = {n: n for n in ("gpl", "lgpl", "agpl", "gfdl", "apache", "mit", "bsd", "mpl", "epl", "cddl", "isc", "zlib", "eupl", "wtfpl", "unlicense", "cc0", "ofl")}
+VERSIONED = ("gpl", "lgpl", "agpl", "mpl", "epl", "eupl")
+#: Forms in which each family is signed: (priority, confidence, pattern of name, id or address). An id is one after spdx-license-identifier, a
+#: further one of an expression (at most 16 blanks and brackets after its operator), and, where it has a hyphen, one by itself.
 FORMS = {
-    "id": (1, 1.0, rf"spdx-license-identifier:{_O}{{spdx}}"),
-    "grant": (2, 0.95, rf"(?:licen[sc]ed|released|distributed|published|available|provided|covered){_S}under{_S}(?:the{_S})?(?:terms{_S}of{_S})?(?:the{_S})?(?:{{name}}){_TAIL}?"),
+    "id": (1, 1.0, rf"spdx-license-identifier:{_B}*+\(*+{_B}*+(?:{{spdx}})(?![0-9A-Za-z.-])"),
+    "expression": (1, 1.0, r"(?<=(?-i:OR|AND|WITH)[\s\xA0(]{1,16})(?:{spdx})(?![0-9A-Za-z-])"),
+    "field": (1, 0.95, rf"licen[sc]e[\"'`]?{_B}*+[:=]{_B}*+[\"'`(\[]*+(?:the{_S})?(?:(?:{{spdx}})(?![0-9A-Za-z-])|(?:{{bare}})(?:{_O}v?[0-9]++(?:\.[0-9]++)*+)?\+?)"),
+    "grant": (2, 0.95, rf"(?:licen[sc]ed|released|distributed|published|available|provided|covered){_S}under{_S}(?:the{_S})?(?:terms{_S}of{_S})?(?:the{_S})?(?:{{name}}|{{bare}}(?:{_S}licen[sc]e)?){_TAIL}?"),
+    "short": (3, 0.9, r"{short}"),
     "version": (3, 0.9, rf"(?:{{name}}){_TAIL}"),
     "address": (4, 0.85, r"https?://(?:www\.)?{url}[0-9A-Za-z./_-]*"),
     "name": (5, 0.7, r"(?:{name})"),
@@ -188,13 +199,26 @@ RULES = "array<struct<priority:int,confidence:double,label:string,form:string,pa
 DETECTION = "struct<start:int,end:int,priority:int,label:string,form:string,confidence:double>"
 
 
+def _hyphen(spdx: str) -> bool:
+    """Whether an id has a hyphen outside its optional parts, so that it can't be another word."""
+    return "-" in re.sub(r"\(\?:[^)]*\)\??", "", spdx) and not spdx.startswith("(?:")
+
+
 def rules() -> list[tuple[int, float, str, str, str, str]]:
-    """(priority, confidence, label, form, keyword, pattern) of every rule: each family in each form, for each of its keywords."""
+    """(priority, confidence, label, form, keyword, pattern) of every rule: each family in each form that it has, for each of its keywords."""
     out = []
     for label, (keywords, name, spdx, url) in FAMILIES.items():
+        bare = BARE.get(label, "(?!)")
+        head = re.match(r"(?:\(\?:)?([0-9a-z]+)", spdx)[1]
+        heads = sorted({head, BARE.get(label, head)})
+        short = [f"(?:{spdx})"] * _hyphen(spdx) + [rf"{bare}{_O}v?[1-9](?:\.[0-9])?(?:\+|-or-later|-only)?"] * (label in VERSIONED)
         for form, (priority, confidence, pattern) in FORMS.items():
-            body = pattern.replace("{name}", name).replace("{spdx}", spdx).replace("{url}", url)
-            for word in {"id": "spdx", "address": "http"}.get(form, keywords).split():
+            if (form == "address" and not url) or (form == "short" and not short):
+                continue
+            body = pattern.replace("{short}", f"(?:{'|'.join(short)})(?![0-9A-Za-z-])")
+            body = body.replace("{name}", name).replace("{spdx}", spdx).replace("{url}", url).replace("{bare}", bare)
+            gates = {"id": ["spdx"], "address": ["http"], "short": heads, "expression": heads, "field": heads, "grant": sorted({*keywords.split(), BARE.get(label, keywords.split()[0])})}
+            for word in gates.get(form, keywords.split()):
                 out.append((priority, confidence, label, form, word, rf"(?i)(?<!{WORD})(?:{body})(?!{WORD})"))
     for label, wording in NOTICES:
         body = _GAP.join(rf"(?:{WORD}++{_GAP}){{0,11}}{WORD}++" if w == "..." else w for w in wording.split())
