@@ -74,7 +74,7 @@ text("filter_between", "SELECT p_partkey, p_size FROM {part} WHERE p_size BETWEE
 text("filter_in_list", "SELECT p_partkey, p_brand FROM {part} WHERE p_size IN (1, 7, 23)")
 text("filter_not_in", "SELECT p_partkey FROM {part} WHERE p_size NOT IN (1, 7, 23)")
 text("filter_like", "SELECT p_partkey, p_name FROM {part} WHERE p_name LIKE '%e%' AND p_name NOT LIKE 'a%'")
-text("filter_is_null", "SELECT c.c_custkey FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey WHERE o.o_orderkey IS NULL")
+text("filter_is_null", "SELECT c.c_custkey FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey AND o.o_orderkey % 7 = 0 WHERE o.o_orderkey IS NULL")
 
 
 @query("filter_ilike_prefix", "SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%re%'")
@@ -137,9 +137,9 @@ def join_theta(spark: SparkSession, d: str) -> DataFrame:
     return relational.band_join(table(spark, d, "part"), bands, "p_retailprice", "low", "high", 100.0).select("p_partkey", "low")
 
 
-@query("anti_not_in", "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49)")
+@query("anti_not_in", "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_orderkey % 997 = 0)")
 def anti_not_in(spark: SparkSession, d: str) -> DataFrame:
-    return relational.not_in(table(spark, d, "supplier"), "s_suppkey", table(spark, d, "lineitem").filter("l_quantity > 49").select("l_suppkey")).select("s_suppkey")
+    return relational.not_in(table(spark, d, "supplier"), "s_suppkey", table(spark, d, "lineitem").filter("l_orderkey % 997 = 0").select("l_suppkey")).select("s_suppkey")
 
 
 @query("lateral_unnest", "SELECT p_partkey, w AS word FROM part, unnest(string_split(p_name, ' ')) t(w)")
@@ -210,7 +210,7 @@ text("topk_customers", "SELECT c_custkey, round(sum(o_totalprice), 2) AS spent F
 text("union_all", "SELECT n_regionkey AS k FROM {nation} UNION ALL SELECT r_regionkey FROM {region}")
 text("union_distinct", "SELECT n_regionkey AS k FROM {nation} UNION SELECT r_regionkey FROM {region}")
 text("intersect", "SELECT c_nationkey AS k FROM {customer} WHERE c_acctbal < 0 INTERSECT SELECT s_nationkey FROM {supplier}")
-text("except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}")
+text("except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_orderkey % 7 = 0")
 text("set_chain", "SELECT n_nationkey AS k FROM {nation} UNION SELECT r_regionkey FROM {region} UNION SELECT s_nationkey + 100 FROM {supplier}")
 
 
@@ -278,7 +278,7 @@ text(
     "SELECT c_mktsegment, round(max(c_acctbal) - min(c_acctbal), 2) AS d, max(TRY_CAST(substr(c_name, 10, 9) AS DOUBLE)) AS m FROM {customer} GROUP BY c_mktsegment",
 )
 text("sql_to_date", "SELECT o_orderkey, TO_DATE(date_format(o_orderdate, 'dd/MM/yyyy'), 'DD/MM/YYYY') AS t, TO_DATE('none', 'YYYY-MM-DD') AS u FROM {orders}", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS t, CAST(NULL AS VARCHAR) AS u FROM {orders}")
-text("sql_first_last", "SELECT n_regionkey, FIRST(n_name) AS f, LAST(n_name) AS l FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, arg_min(n_name, CAST(n_nationkey AS VARCHAR) || ',') AS f, arg_max(n_name, CAST(n_nationkey AS VARCHAR) || ',') AS l FROM {nation} GROUP BY n_regionkey")
+text("sql_first_last", "SELECT n_regionkey, FIRST(n_name) AS f, LAST(n_name) AS l, FIRST(n_nationkey) AS k FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, arg_min(n_name, n_name || '\"') AS f, arg_max(n_name, n_name || '\"') AS l, arg_min(n_nationkey, n_name || '\"') AS k FROM {nation} GROUP BY n_regionkey")
 text("sql_text_functions", "SELECT c_custkey, COALESCE('', c_name) AS x, SUBSTR(c_name, 0, 3) AS y, LENGTH(c_name) AS n, DATEDIFF('2024-01-05', '2024-01-01') AS days FROM {customer}", "SELECT c_custkey, c_name AS x, '' AS y, CAST(strlen(c_name) AS INTEGER) AS n, 4 AS days FROM {customer}")
 
 
@@ -585,7 +585,14 @@ def _failing(rule: checks.Rule, name: str, key: str):
     return lambda spark, d: table(spark, d, name).filter(~checks.passes(rule)).select(key)
 
 
-query("dq_not_null", "SELECT doc_id FROM documents WHERE lang IS NULL OR lang = ''")(_failing(checks.Rule("lang", "not_null"), "documents", "doc_id"))
+@query("dq_not_null", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 2 OR lang IS NULL OR lang = ''")
+def dq_not_null(spark: SparkSession, d: str) -> DataFrame:
+    """Nulls, empty texts and others."""
+    docs = table(spark, d, "documents").withColumn("lang", F.when(F.col("doc_id") % 3 == 2, F.col("lang")).when(F.col("doc_id") % 3 == 1, ""))
+    return docs.filter(~checks.passes(checks.Rule("lang", "not_null"))).select("doc_id")
+
+
+
 query("dq_range", "SELECT p_partkey FROM part WHERE NOT p_retailprice BETWEEN 950 AND 1500")(_failing(checks.Rule("p_retailprice", "range", 950, 1500), "part", "p_partkey"))
 query("dq_regex", "SELECT c_custkey FROM customer WHERE NOT regexp_matches(c_name, '[02468]$')")(_failing(checks.Rule("c_name", "regex", pattern="[02468]$"), "customer", "c_custkey"))
 
@@ -655,13 +662,13 @@ for _kind, _read in (("json", "ndjson"), ("json_array", "json"), ("orc", "orc"),
     query(f"file_{_kind}", "SELECT p_partkey, p_name, p_retailprice FROM part")(_round_trip(_kind, _read))
 
 
-@query("file_hl7", "SELECT CAST(c_custkey AS VARCHAR) AS control_id, 3 AS segments FROM customer WHERE c_custkey % 2 = 0")
+@query("file_hl7", "SELECT CAST(c_custkey AS VARCHAR) AS control_id, 4 AS segments, c_custkey % 2 = 0 AS usual FROM customer")
 def file_hl7(spark: SparkSession, d: str) -> DataFrame:
-    """Messages of many files, cut before each MSH."""
+    """Messages of many files, of any separator, with MSH within a field."""
     at = _scratch(spark, "files-hl7")
-    _messages(spark, d).filter("id % 2 = 0").select(F.regexp_replace("raw_message", "\r", "\n")).write.text(at)
+    _messages(spark, d).select(F.regexp_replace(F.concat("raw_message", F.lit("\rNTE|1||see MSH|1 and MSH!2")), "\r", "\n")).write.text(at)
     got = files.read_file(spark, at, "hl7")
-    return got.select(hl7.field("raw_message", "MSH", 10).alias("control_id"), F.size(F.split("raw_message", "\r")).alias("segments"))
+    return got.select(hl7.field("raw_message", "MSH", 10).alias("control_id"), F.size(F.split("raw_message", "\r")).alias("segments"), F.col("raw_message").startswith("MSH|").alias("usual"))
 
 
 @query("sql_parameters", "SELECT n_name FROM nation WHERE n_regionkey = 1 AND n_nationkey > 2")
@@ -924,3 +931,6 @@ def dag_layers(spark: SparkSession, d: str) -> DataFrame:
 def win_top_per_group(spark: SparkSession, d: str) -> DataFrame:
     turn = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
     return table(spark, d, "customer").withColumn("r", F.row_number().over(turn)).filter("r <= 3").select("c_nationkey", "c_custkey")
+
+
+from . import catalogue_io  # noqa: E402, F401  (registers its queries)

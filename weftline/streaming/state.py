@@ -36,7 +36,7 @@ class _Once(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "known boolean", self.lives_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.seen.exists()
         for part in rows:
             if not known and len(part):
@@ -65,7 +65,7 @@ class _Retry(StatefulProcessor):
     def _out(self, part: pd.DataFrame, attempts: int, state: str) -> pd.DataFrame:
         return part.assign(attempts=attempts, state=state)
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
             good = self.step(part, 1).astype(bool)
             if good.any():
@@ -79,9 +79,9 @@ class _Retry(StatefulProcessor):
             self.letters.appendList([tuple(r) for r in lost[self.columns].itertuples(index=False, name=None)])
             if not self.tried.exists():
                 self.tried.update((1,))
-                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.wait_ms)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
 
-    def handleExpiredTimer(self, key, timers, info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         attempt = self.tried.get()[0] + 1
         part = pd.DataFrame([tuple(r) for r in self.letters.get()], columns=self.columns)
         good = self.step(part, attempt).astype(bool)
@@ -91,7 +91,7 @@ class _Retry(StatefulProcessor):
         if len(lost) and attempt < self.most:
             self.letters.put([tuple(r) for r in lost[self.columns].itertuples(index=False, name=None)])
             self.tried.update((attempt,))
-            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.wait_ms * 2 ** (attempt - 1))
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms * 2 ** (attempt - 1))
             return
         if len(lost):
             yield self._out(lost, attempt, "exhausted")
