@@ -69,10 +69,10 @@ def jdbc_tables(spark: SparkSession, d: str) -> DataFrame:
 def jdbc_batches_once(spark: SparkSession, d: str) -> DataFrame:
     """Each batch of a stream merged into a database twice, as after a failure; it counts once."""
     s = _database(spark, d).services
-    s.write(spark.createDataFrame([], "event_type string, n long").withColumn("event_type", F.col("event_type").cast("varchar(40)")), "db.totals")
+    s.execute("db", 'CREATE TABLE totals ("event_type" VARCHAR(40), "n" BIGINT)')
 
     def put(batch: DataFrame, number: int) -> None:
-        counts = batch.groupBy(F.col("event_type").cast("varchar(40)").alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
+        counts = batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
         for factor in (1, 100):  # a second time with other values: nothing of it may be seen
             s.merge_once(counts.withColumn("n", F.col("n") * factor), "db.totals", "event_type", "events", number)
 

@@ -31,6 +31,11 @@ class Dialect:
             return "'" + text.replace("'", "''") + "'"
         return str(value)
 
+    def like(self, staged: str, table: str, columns: list[str]) -> str:
+        """An empty table with some of another's columns."""
+        chosen = f"SELECT {', '.join(map(self.quote, columns))} FROM {table}"
+        return f"CREATE TABLE {staged} AS {chosen} WHERE 1 = 0" if self.limit else f"CREATE TABLE {staged} AS {chosen} WITH NO DATA"
+
     def upsert(self, table: str, staged: str, key: str, rest: list[str]) -> str:
         """Rows of a staged table, one a key, replaced or added in a table."""
         q = self.quote

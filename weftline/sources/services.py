@@ -179,8 +179,10 @@ class Services:
             self.rules[name].check_write(table, df.columns)
         staged = f"staged_{uuid.uuid4().hex[:12]}"
         try:
-            self.writers[name](df.filter(F.col(key).isNotNull()), staged, "overwrite")
-            return self._execute(name, *statements(jdbc.dialect(self.databases[name][0]), table, staged))[-1]
+            d = jdbc.dialect(self.databases[name][0])
+            self._execute(name, d.like(staged, table, df.columns))  # of the table's own types
+            self.writers[name](df.filter(F.col(key).isNotNull()), staged, "append")
+            return self._execute(name, *statements(d, table, staged))[-1]
         finally:
             self._drop(name, staged)
 
