@@ -82,3 +82,32 @@ def test_spans_of_many_matches(spark):
     assert got[2] == [] and got[3] == []
     df = spark.range(1).select(spans.distinct_sorted(F.expr("transform(array(3, 1, 3, 2, 1), x -> struct(x as x))")).alias("a"))
     assert [r.x for r in df.first().a] == [1, 2, 3]
+
+
+def test_runs_side_by_side_keep_their_own_tables(spark):
+    """What one run deletes at its end is its own, whatever another thread writes or discards meanwhile."""
+    import threading
+
+    inside, over, got = threading.Event(), threading.Event(), []
+
+    def other():
+        with common.work(spark):
+            mine = common.written(spark.range(7), "other")
+            inside.set()
+            over.wait(60)
+            got.append(mine.count())
+
+    t = threading.Thread(target=other)
+    before = common.written(spark.range(2), "before")
+    with common.work(spark) as at:
+        first = common.written(spark.range(3), "first")
+        t.start()
+        assert inside.wait(60)
+        common.discard(spark, before)
+        kept = common.written(spark.range(4), "kept")
+        assert first.count() == 3 and kept.count() == 4
+    fs = spark._jvm.org.apache.hadoop.fs.Path(at)
+    assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+    over.set()
+    t.join(60)
+    assert got == [7]

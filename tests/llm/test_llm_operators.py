@@ -474,7 +474,7 @@ def test_near_duplicates_that_no_anchor_links(spark):
 def test_further_links_join_classes(spark):
     classes = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "node long, class long")
     links = spark.createDataFrame([(2, 6), (7, 9), (2, 8)], "p long, q long")
-    got = sorted(tuple(r) for r in near_dups.joined_classes(classes, links).select("node", "class").collect())
+    got = sorted(tuple(r) for r in near_dups.components(links, classes).select("node", "class").collect())
     assert got == [(1, 1), (2, 1), (5, 1), (6, 1), (7, 7), (8, 1), (9, 7)]
 
 

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     later plans; a lost executor costs nothing that was written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+    path = f"{_WORK.get() or shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
 
 
-#: Tables that ``written`` has made and nothing has deleted, and the path of each of their DataFrames.
-_WRITTEN: list[str] = []
+#: The folder of the run that is under way in this thread, and the path of each written DataFrame.
+_WORK: ContextVar[str | None] = ContextVar("work", default=None)
 _PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
@@ -58,20 +59,22 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def discard(spark: SparkSession, table: DataFrame) -> None:
     """Delete a table that ``written`` returned; no DataFrame may read it any more."""
-    path = _PATHS.pop(table)
-    _WRITTEN.remove(path)
-    delete(spark, path)
+    delete(spark, _PATHS.pop(table))
 
 
-def mark() -> int:
-    """How many written tables there are now, for ``sweep``."""
-    return len(_WRITTEN)
+@contextmanager
+def work(spark: SparkSession):
+    """A folder for all that ``written`` writes within it (in this thread), deleted at its end: by then, results must be written elsewhere.
 
-
-def sweep(spark: SparkSession, since: int = 0) -> None:
-    """Delete what ``written`` has made since a mark: once results are written elsewhere, nothing reads it any more."""
-    while len(_WRITTEN) > since:
-        delete(spark, _WRITTEN.pop())
+    Runs side by side have folders of their own, so none deletes what another reads.
+    """
+    path = f"{shared_dir(spark)}/weftline-work-{uuid.uuid4().hex}"
+    before = _WORK.set(path)
+    try:
+        yield path
+    finally:
+        _WORK.reset(before)
+        delete(spark, path)
 
 
 def part_of(*by: str) -> Column:
@@ -81,9 +84,18 @@ def part_of(*by: str) -> Column:
 
 def copies_for(many: DataFrame, one: DataFrame, keys: list[str], part: str) -> DataFrame:
     """The rows of one (a row a key), each copied to those parts of its key that hold rows of many: a partial aggregate into a mask of 64 bits says which."""
-    held = many.groupBy(*keys).agg(F.bit_or(F.expr(f"shiftleft(1L, {part})")).alias("_held"))
+    return spread(one.join(many.groupBy(*keys).agg(held(part)), keys), part)
+
+
+def held(part: str = "_part") -> Column:
+    """An aggregate: a bit for each part that holds rows."""
+    return F.bit_or(F.expr(f"shiftleft(1L, {part})")).alias("_held")
+
+
+def spread(one: DataFrame, part: str = "_part") -> DataFrame:
+    """Rows with the bits of ``held``, each copied to the parts that they name."""
     parts = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("_held", i) == 1)
-    return one.join(held, keys).withColumn(part, F.explode(parts)).drop("_held")
+    return one.withColumn(part, F.explode(parts)).drop("_held")
 
 
 def spread_join(many: DataFrame, one: DataFrame, on: str | list[str], by: str | list[str], how: str = "inner") -> DataFrame:

@@ -57,7 +57,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Kept, discard, slices, worker_cache, written
+from .common import Kept, held, part_of, slices, spread, worker_cache, written
+from .parity_join import components
 
 WORDS = 5
 BANDS = 16
@@ -222,10 +223,11 @@ def _members(texts: DataFrame, bands: int, *more: str) -> DataFrame:
 
 def candidates(texts: DataFrame, bands: int = BANDS) -> DataFrame:
     """Distinct pairs (p, q), p < q, of each bucket's anchor with its members."""
-    members = _members(texts, bands)
+    members = _members(texts, bands).withColumn("_part", part_of("rep"))
     turn = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))
-    buckets = members.groupBy("band", "key").agg(F.min(turn).alias("anchor"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    met = members.join(buckets.select("band", "key", F.col("anchor.rep").alias("anchor")), ["band", "key"]).filter("rep <> anchor")
+    buckets = members.groupBy("band", "key").agg(F.min(turn).alias("anchor"), F.count(F.lit(1)).alias("size"), held()).filter("size > 1")
+    anchors = spread(buckets.select("band", "key", F.col("anchor.rep").alias("anchor"), "_held"))
+    met = members.join(anchors, ["band", "key", "_part"]).filter("rep <> anchor")
     return met.select(F.least("rep", "anchor").alias("p"), F.greatest("rep", "anchor").alias("q")).distinct()
 
 
@@ -257,10 +259,10 @@ def open_pairs(texts: DataFrame, classes: DataFrame, similarity: float, bands: i
     two blocks.
     """
     own = texts.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("class", "rep"))
-    members = _members(own, bands, "class")
-    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("lo"), F.max("class").alias("hi"))
-    buckets = buckets.filter("lo <> hi and size > 2").select("band", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))  # of two members one is the anchor
-    met = members.join(buckets, ["band", "key"]).select("band", "key", "rep", "class", "blocks")
+    members = _members(own, bands, "class").withColumn("_part", part_of("rep"))
+    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("class").alias("lo"), F.max("class").alias("hi"), held())
+    buckets = buckets.filter("lo <> hi and size > 2").select("band", "key", F.ceil(F.col("size") / block).cast("int").alias("blocks"), "_held")  # of two members one is the anchor
+    met = members.join(spread(buckets), ["band", "key", "_part"]).select("band", "key", "rep", "class", "blocks")
     met = met.join(texts.select("rep", "n", "bits", F.slice("keys", 1, bands).alias("keys")), "rep")
     met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     one = met.filter("blocks = 1").withColumn("other", F.lit(0))
@@ -312,38 +314,6 @@ def verify(pairs: DataFrame, sequences: DataFrame, k: int, similarity: float) ->
     return both.filter(fits).select("p", "q", "p_words", "q_words").mapInArrow(run, "p long, q long, similarity double")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, class: the least node of its connected component. Links p, q; each round's labels are written and the last round's deleted."""
-    spark = links.sparkSession
-    edges = written(links.select("p", "q").union(links.select("q", "p")).distinct(), "near-edges")
-    label = written(edges.groupBy(F.col("p").alias("node")).agg(F.least(F.min("q"), F.col("node")).alias("class")), "near-labels")
-    old = label
-    while True:
-        over = edges.join(label.select(F.col("node").alias("q"), F.col("class").alias("near")), "q").groupBy(F.col("p").alias("node")).agg(F.min("near").alias("near"))
-        lower = label.join(over, "node").select("node", F.col("class").alias("old"), F.least("class", "near").alias("low"))
-        jump = label.select(F.col("node").alias("low"), F.col("class").alias("lowest"))  # a label's own label is of the same component
-        new = written(lower.join(jump, "low").select("node", "old", F.least("low", "lowest").alias("class")), "near-labels")
-        label = new.select("node", "class")
-        done = new.filter("old <> class").isEmpty()
-        discard(spark, old)
-        old = new
-        if done:
-            discard(spark, edges)
-            return label
-
-
-def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """node, class once further links (p, q) join classes."""
-    ends = links.select("p", "q")
-    for end in ("p", "q"):
-        ends = ends.join(classes.select(F.col("node").alias(end), F.col("class").alias(f"{end}_class")), end, "left")
-    ends = ends.select(F.coalesce("p_class", "p").alias("p"), F.coalesce("q_class", "q").alias("q"))
-    over = components(ends.filter("p <> q").distinct()).select(F.col("node").alias("old"), F.col("class").alias("new"))
-    known = classes.select("node", F.col("class").alias("old"))
-    alone = over.select(F.col("old").alias("node"), "old")  # texts that had no class; a class's own name repeats and is dropped
-    return known.union(alone).distinct().join(over, "old", "left").select("node", F.coalesce("new", "old").alias("class"))
-
-
 def near_duplicates(
     docs: DataFrame, k: int = WORDS, bands: int = BANDS, minima: int = MINIMA, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -358,7 +328,7 @@ def near_duplicates(
     classes = components(links)
     more = written(verify(open_pairs(texts, classes, similarity, bands), sequences, k, similarity).select("p", "q"), "near-links")
     if not more.isEmpty():
-        classes = joined_classes(classes, more)
+        classes = components(more, classes)
     named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", "copies", F.coalesce("class", "rep").alias("class_id"), F.pmod(F.xxhash64("a"), F.lit(_SALTS)).alias("salt"))
     parts = named.groupBy("class_id", "salt").agg(F.sum("copies").alias("copies"))  # at most _SALTS rows for each class
     sizes = parts.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.collect_list("salt").alias("salts"))
