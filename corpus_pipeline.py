@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import mixing, near_dups, packing, pii, quality
-from weftline.llm.common import delete, mark, shared_dir, sweep
+from weftline.llm.common import delete, shared_dir, work
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,10 +81,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     at = f"{shared_dir(spark)}/weftline-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        before, path = mark(), f"{at}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path = f"{at}/{k}-{name}"
+        with work(spark):  # what the operator writes goes once its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        sweep(spark, before)
         if read:
             delete(spark, read)
         read = path
