@@ -10,7 +10,8 @@ shards are of one size. Tiles hold a fixed number of rows at any input size.
 Defined cases: a vector that is null or empty, or holds a null, a non-finite
 component or one that is not finite once scaled, takes no part; a score beyond 64
 bits is held at the nearest 64-bit number; only vectors of one length are compared; rows that
-repeat an id and a vector count once; rows of a query's own id are not its
+repeat an id and a vector count once, as a query and as a candidate; an id of several vectors is
+one query, whose list may hold a candidate once for each of them; rows of a query's own id are not its
 candidates; ties go to the smaller id; a null id takes no part; other columns
 are ignored; fewer than k candidates give a shorter list.
 """
