@@ -41,11 +41,6 @@ def test_query(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
-def test_query_without_sql(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() > 0
-
-
 def test_no_python_in_relational_plans(spark):
     for name in ("join_multiway", "agg_group", "lateral_unnest", "win_rank", "etl_normalize", "array_any"):
         plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

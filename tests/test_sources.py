@@ -217,6 +217,17 @@ def test_a_source_is_read_once(spark, tmp_path):
     assert seen.value == 10
 
 
+def test_steps_in_an_order_of_their_own_and_letters(spark, tmp_path):
+    df = spark.createDataFrame([(k, "x" if k < 3 else str(k)) for k in range(10)], "id int, v string")
+    steps = [{"filter": "id > 0"}, {"normalize": {"v": "int"}}, {"filter": "v < 8"}, {"mapping": {"n": "v"}}, {"rules": [{"field": "n", "kind": "range", "low": 4, "high": 9}]}]
+    job = jobs.Job([df], destinations=[f"{tmp_path}/a"], steps=steps, letters={"wait_s": 60, "most": 1})
+    s = jobs.run(spark, job, f"{tmp_path}/dead")
+    assert rows_of(spark, tmp_path / "a") == [4, 5, 6, 7] and s.steps == {"extract": 10, "filter": 9, "normalize": 7, "filter2": 5, "mapping": 5, "rules": 4}
+    assert Counter((r.step, r.state, r.attempts) for r in spark.read.parquet(f"{tmp_path}/dead").collect()) == {("normalize", "exhausted", 1): 2, ("checks", "exhausted", 1): 1}
+    with pytest.raises(EngineError):
+        jobs.run(spark, jobs.Job([df], steps=[{"no": 1}]))
+
+
 # --- databases
 
 
@@ -338,11 +349,22 @@ def test_queues_are_read_side_by_side_and_once(spark, tmp_path, serve):
         list(reader.read(parts[0]))
 
 
-# --- streams
+def test_pages_that_name_the_next_one(spark, serve):
+    tries = Counter()
 
+    def answer(method, path, headers, body):
+        tries[path] += 1
+        k = int(path.rsplit("=", 1)[-1]) if "=" in path else 0
+        if tries[path] == 1 and k == 1:
+            return 429, None, {"Retry-After": "0"}
+        return 200, {"items": [{"id": k}], "links": {"next": f"/items?page={k + 1}" if k < 4 else None}}, {}
+
+    e = Engine(spark)
+    e.services.register_rest("g", f"{serve(answer)}/items", "id long", "items", next_path="links.next")
+    assert sorted(r.id for r in e.query("SELECT id FROM read_service('g')").collect()) == [0, 1, 2, 3, 4]
 
-def _arrive(df, folder, k):
-    df.coalesce(1).write.mode("append").parquet(f"{folder}/{k}")
+
+# --- streams
 
 
 def test_a_stream_ends_when_too_many_rows_are_bad(spark, tmp_path):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from graphlib import CycleError, TopologicalSorter
@@ -23,7 +24,9 @@ class Job:
     """sources: files or DataFrames; steps run in the order normalize, mapping, aggregate, key_value, filter, format, checks, dedup.
 
     destinations: paths, or settings {path, kind, mode, filter, mapping} of each; every one is loaded, with the rows
-    that its filter leaves. lookups: name to file or DataFrame, for lookupIn in the mapping.
+    that its filter leaves. lookups: name to file or DataFrame, for lookupIn in the mapping. steps: instead of that order, a list of
+    {setting: value} in an order of its own, any of them as often as wanted. letters: rejects are written as dead letters (``etl.dead_letters``) with
+    these settings (wait_s, most).
     """
 
     sources: list
@@ -42,6 +45,8 @@ class Job:
     dedup_field: str | None = None
     max_errors: int = 10
     dry_run: bool = False
+    steps: list = field(default_factory=list)
+    letters: dict | None = None
 
     @staticmethod
     def from_config(text: str) -> Job:
@@ -79,38 +84,61 @@ def _frame(spark: SparkSession, source: DataFrame | str) -> DataFrame:
     return source if isinstance(source, DataFrame) else read_file(spark, source)
 
 
-def plan(spark: SparkSession, job: Job, after: Callable[[str, DataFrame], DataFrame] = lambda step, df: df) -> tuple[DataFrame, DataFrame]:
-    """(rows to load, rejects) of a job; nothing runs yet. after: what to do with the rows that leave each step, such as counting or keeping them."""
-    df = after("extract", etl.multi_source(*(_frame(spark, s) for s in job.sources)))
-    dead: list[DataFrame] = []
-    if job.normalize:
-        df, lost = etl.normalize(df, job.normalize)
-        df = after("normalize", df)
-        dead.append(lost)
-    if job.mapping:
-        df, lost = etl.map_with_lookups(df, job.mapping, job.constants, {k: _frame(spark, v) for k, v in job.lookups.items()})
-        df = after("mapping", df)
-        dead.append(lost)
-    if job.aggregate:
-        df = after("aggregate", etl.aggregate(df, job.aggregate["group_by"], [tuple(m) for m in job.aggregate["measures"]]))
-    if job.key_value:
-        df = after("key_value", etl.key_value(df, **job.key_value))
-    if job.filter:
-        df = after("filter", etl.filter_rows(df, job.filter))
-    if job.format:
-        df, lost = etl.format_fields(df, job.format)
-        df = after("format", df)
-        dead.append(lost)
-    if job.rules:
-        df, lost = checks.split_valid(df, job.rules)
-        df = after("checks", df)
-        dead.append(etl.rejects(lost.drop("errors"), "checks", F.lit("a rule fails")))
-    if job.dedup_field:
-        df = after("dedup", relational.first_per_key(df, [job.dedup_field], *(F.col(c) for c in df.columns)) if job.dedup_field in df.columns else df.distinct())
-    none = spark.createDataFrame([], etl.REJECT)
-    for d in dead:
-        none = none.unionByName(d)
-    return df, none
+#: Settings of a job in the order in which they are steps, unless it lists its own.
+ORDER = ("normalize", "mapping", "aggregate", "key_value", "filter", "format", "rules", "dedup_field")
+#: Steps that part rows from rejects.
+SPLITS = ("normalize", "mapping", "format", "rules")
+
+
+def steps_of(job: Job) -> list[tuple[str, object]]:
+    """(kind, settings) of a job's steps in order."""
+    if not job.steps:
+        return [(kind, getattr(job, kind)) for kind in ORDER if getattr(job, kind)]
+    out = []
+    for step in job.steps:
+        if len(step) != 1 or next(iter(step)) not in ORDER:
+            raise EngineError(INPUT, f"a step has one of {ORDER}, not {sorted(step)}")
+        kind, value = next(iter(step.items()))
+        out.append((kind, [r if isinstance(r, checks.Rule) else checks.Rule(**r) for r in value] if kind == "rules" else value))
+    return out
+
+
+def _step(spark: SparkSession, job: Job, kind: str, value, df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, rejects if the step has any) of a step."""
+    if kind == "normalize":
+        return etl.normalize(df, value)
+    if kind == "mapping":
+        return etl.map_with_lookups(df, value, job.constants, {k: _frame(spark, v) for k, v in job.lookups.items()})
+    if kind == "aggregate":
+        return etl.aggregate(df, value["group_by"], [tuple(m) for m in value["measures"]]), None
+    if kind == "key_value":
+        return etl.key_value(df, **value), None
+    if kind == "filter":
+        return etl.filter_rows(df, value), None
+    if kind == "format":
+        return etl.format_fields(df, value)
+    if kind == "rules":
+        good, lost = checks.split_valid(df, value)
+        return good, etl.rejects(lost.drop("errors"), "checks", F.lit("a rule fails"))
+    return (relational.first_per_key(df, [value], *(F.col(c) for c in df.columns)) if value in df.columns else df.distinct()), None
+
+
+def plan(spark: SparkSession, job: Job, after: Callable[[str, DataFrame, bool], DataFrame] = lambda step, df, splits: df) -> tuple[DataFrame, DataFrame]:
+    """(rows to load, rejects) of a job; nothing runs yet.
+
+    after: what to do with the rows that leave each step (its kind, with a number from the second of a kind on; whether the next step parts them),
+    such as counting or keeping them.
+    """
+    todo = steps_of(job)
+    splits = [kind in SPLITS for kind, _ in todo] + [False]
+    df = after("extract", etl.multi_source(*(_frame(spark, s) for s in job.sources)), splits[0])
+    dead, met = spark.createDataFrame([], etl.REJECT), Counter()
+    for i, (kind, value) in enumerate(todo):
+        df, lost = _step(spark, job, kind, value, df)
+        met[kind] += 1
+        df = after(kind if met[kind] == 1 else f"{kind}{met[kind]}", df, splits[i + 1])
+        dead = dead if lost is None else dead.unionByName(lost)
+    return df, dead
 
 
 def fan_out(good: DataFrame | None, job: Job) -> list[tuple[DataFrame | None, str, str, str]]:
@@ -179,7 +207,8 @@ def _commit(spark: SparkSession, store: Store, job: Job, at: str, run_id: str, r
     summary = _summary(staged["good"], staged["dead"], job, staged["steps"])
     tos, out = [], []
     if rejects_to:
-        tos.append((dead, rejects_to, "parquet", "append"))
+        letters = dead if job.letters is None else etl.dead_letters(dead, **job.letters)
+        tos.append((letters, rejects_to, "parquet", "append"))
     if not summary.failed and not job.dry_run:
         tos += fan_out(good, job)
     for df, path, kind, mode in tos:
@@ -197,12 +226,11 @@ def _staged(spark: SparkSession, job: Job, at: str) -> dict:
     """Write rows and rejects to the run's folder; rows that left each step."""
     seen: dict[str, Observation] = {}
     kept: list[DataFrame] = []
-    splits = {"extract": job.normalize or job.mapping, "normalize": job.mapping, "filter": job.format, "format": job.rules}
 
-    def after(step: str, df: DataFrame) -> DataFrame:
+    def after(step: str, df: DataFrame, splits: bool) -> DataFrame:
         seen[step] = Observation()
         df = df.observe(seen[step], F.count(F.lit(1)).alias("n"))
-        if splits.get(step):
+        if splits:
             df = df.persist(StorageLevel.DISK_ONLY)
             kept.append(df)
         return df

@@ -10,6 +10,7 @@ import urllib.request
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from urllib.parse import urljoin
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -57,15 +58,16 @@ class Services:
         self.readers[f"{name}?"] = lambda query: self.spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
     def register_rest(
-        self, name: str, url: str, schema: str, data_path: str = "", method: str = "GET", headers: dict[str, str] | None = None, body: str = "", retries: int = 2, pages: int = 1, page_param: str = "page",
+        self, name: str, url: str, schema: str, data_path: str = "", method: str = "GET", headers: dict[str, str] | None = None, body: str = "", retries: int = 2, pages: int = 1, page_param: str = "page", next_path: str = "",
     ) -> None:
-        """JSON objects of an answer, at the root or at a dotted path; ``pages`` numbered pages are read side by side.
+        """JSON objects of an answer, at the root or at a dotted path; ``pages`` numbered pages are read side by side, and where
+        each answer names the next page's address (at ``next_path``), pages are read one after the other however many there are.
 
         headers carry what the service asks for (Authorization: Bearer …); an answer of 429 or 5xx and a lost
-        connection are tried again. A GraphQL service is a POST whose body holds the query and whose path starts at data.
+        connection are tried again, after Retry-After if the service says so. A GraphQL service is a POST whose body holds the query and whose path starts at data.
         """
         self.spark.dataSource.register(RestSource)
-        fixed = {"data_path": data_path, "method": method, "headers": json.dumps(headers or {}), "body": body, "retries": str(retries)}
+        fixed = {"data_path": data_path, "method": method, "headers": json.dumps(headers or {}), "body": body, "retries": str(retries), "next_path": next_path}
 
         def at(table: str | None) -> str:
             whole = url + (f"/{table}" if table else "")
@@ -342,14 +344,25 @@ class _RestReader(DataSourceReader):
     def __init__(self, options: dict, schema):
         self.urls, self.data_path, self.fields = options["url"].split(","), options.get("data_path", ""), [f.name for f in schema.fields]
         self.method, self.headers, self.body = options.get("method", "GET"), json.loads(options.get("headers", "{}")), options.get("body", "")
-        self.retries = int(options.get("retries", "2"))
+        self.retries, self.next_path = int(options.get("retries", "2")), options.get("next_path", "")
 
     def partitions(self):
         return [_Address(u) for u in self.urls]
 
     def read(self, partition):
-        for row in self._rows(self._answer(partition.value)):
-            yield tuple(row.get(f) for f in self.fields)
+        url, seen = partition.value, set()
+        while url and url not in seen:  # a service whose pages go round is read once round
+            seen.add(url)
+            data = self._answer(url)
+            for row in self._rows(data):
+                yield tuple(row.get(f) for f in self.fields)
+            url = self._next(url, data) if self.next_path else None
+
+    def _next(self, url: str, data) -> str | None:
+        """The address of the next page, relative ones from this one's; None at the end."""
+        for key in self.next_path.split("."):
+            data = data.get(key) if isinstance(data, dict) else None
+        return urljoin(url, str(data)) if data else None
 
     def _answer(self, url: str):
         kind = {"Content-Type": "application/json"} if self.body else {}
@@ -359,10 +372,11 @@ class _RestReader(DataSourceReader):
                 with urllib.request.urlopen(request, timeout=30) as r:
                     return json.load(r)
             except urllib.error.URLError as e:
+                wait = e.headers.get("Retry-After", "") if isinstance(e, urllib.error.HTTPError) else ""
                 passing = not isinstance(e, urllib.error.HTTPError) or e.code == 429 or e.code >= 500
                 if not passing or turn == self.retries:
                     raise
-            time.sleep(0.2 * 2**turn)
+            time.sleep(min(float(wait), 300) if wait.isdigit() else 0.2 * 2**turn)
 
     def _rows(self, data) -> list[dict]:
         for key in filter(None, self.data_path.split(".")):
