@@ -55,7 +55,7 @@ def text(name: str, spark_sql: str, oracle: str | None = None) -> None:
 text("scan_file", "SELECT n_nationkey, n_name, n_regionkey FROM {nation}")
 text("project_alias", "SELECT p_partkey AS id, p_name AS label, p_retailprice * 2 AS twice FROM {part}")
 text("qualified_star", "SELECT r.* FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey")
-text("dual_constant", "SELECT 1 AS one, 'x' AS letter")
+text("dual_constant", "SELECT n_nationkey, 1 AS one, 'x' AS letter FROM {nation}")
 text("distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM {orders}")
 
 
@@ -261,7 +261,7 @@ text("derived_set_op", "SELECT t.k, count(*) AS n FROM (SELECT n_regionkey AS k
 
 # --- what the dialect spells its own way, in a query's text
 
-text("sql_dual", "SELECT 1 AS one, dual.dummy AS two FROM dual", "SELECT 1 AS one, 1 AS two")
+text("sql_dual", "SELECT n_nationkey, 1 AS one, (SELECT dual.dummy FROM dual) AS two FROM {nation}", "SELECT n_nationkey, 1 AS one, 1 AS two FROM {nation}")
 text("sql_limit_comma", "SELECT c_custkey FROM {customer} ORDER BY c_custkey LIMIT 5, 10", "SELECT c_custkey FROM {customer} ORDER BY c_custkey LIMIT 10 OFFSET 5")
 text("sql_like_i", "SELECT c_custkey FROM {customer} WHERE c_mktsegment LIKE 'i:build' OR c_name LIKE 'i:%7'", "SELECT c_custkey FROM {customer} WHERE c_mktsegment ILIKE '%build%' OR c_name ILIKE '%7'")
 text("sql_div_by_zero", "SELECT o_orderkey, o_totalprice / (o_orderkey % 2) AS x FROM {orders}", "SELECT o_orderkey, o_totalprice / nullif(o_orderkey % 2, 0) AS x FROM {orders}")
@@ -921,10 +921,16 @@ def hl7_repetitions(spark: SparkSession, d: str) -> DataFrame:
     return hl7.repetitions(_messages(spark, d), "PID", 3).select("id", "repetition", F.get("components", F.lit(0)).alias("value"), F.size("components").alias("parts"))
 
 
-@query("dag_layers", "SELECT CAST(layer AS INTEGER) AS layer, job FROM (VALUES (0, 'extract'), (1, 'audit'), (1, 'clean'), (2, 'join'), (3, 'load'), (3, 'report')) v(layer, job)")
+@query("dag_layers", "SELECT CAST(0 AS INTEGER) AS layer, r_name AS job FROM region UNION ALL SELECT 1, n_name FROM nation UNION ALL SELECT 2, 'of ' || r_name FROM region")
 def dag_layers(spark: SparkSession, d: str) -> DataFrame:
-    found = layers({"extract": [], "clean": ["extract"], "join": ["clean"], "report": ["join"], "audit": ["extract"], "load": ["join", "audit"]})
-    return spark.createDataFrame([(i, job) for i, layer in enumerate(found) for job in layer], "layer int, job string")
+    """Jobs in layers: each nation's needs its region's, and a summary for each region needs its nations'. The needs come from the tables."""
+    pairs = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    needs: dict[str, list[str]] = {}
+    for nation, region in pairs.collect():
+        needs.setdefault(region, [])
+        needs[nation] = [region]
+        needs.setdefault(f"of {region}", []).append(nation)
+    return spark.createDataFrame([(i, job) for i, layer in enumerate(layers(needs)) for job in layer], "layer int, job string")
 
 
 @query("win_top_per_group", "SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= 3")
