@@ -334,13 +334,18 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, class: the least node reachable by links p, q, from classes that are known.
 
     Each round a node takes the least class of its neighbours, and then that class's own class. Rounds are written.
+    With known classes, links become the few different pairs of classes first.
     """
     spark = links.sparkSession
-    edges = links.select("p", "q").union(links.select("q", "p"))
     if known is not None:
-        tree = known.filter("node <> class").select(F.col("node").alias("p"), F.col("class").alias("q"))
-        edges = edges.union(tree).union(tree.select("q", "p"))
-    edges = written(edges.distinct(), "parity-edges")
+        ends = links.select("p", "q")
+        for end in ("p", "q"):
+            ends = ends.join(known.select(F.col("node").alias(end), F.col("class").alias(f"{end}_class")), end, "left")
+        ends = ends.select(F.coalesce("p_class", "p").alias("p"), F.coalesce("q_class", "q").alias("q")).filter("p <> q")
+        over = components(ends.distinct()).select(F.col("node").alias("class"), F.col("class").alias("new"))
+        nodes = known.select("node", "class").union(over.select("class", "class")).distinct()  # texts that had no class are their own
+        return spread_join(nodes, over, "class", "node", "left").select("node", F.coalesce("new", "class").alias("class"))
+    edges = written(links.select("p", "q").union(links.select("q", "p")).distinct(), "parity-edges")
     old = written(edges.groupBy(F.col("p").alias("node")).agg(F.least(F.min("q"), F.col("node")).alias("class")), "parity-labels")
     while True:
         label = old.select("node", "class")
