@@ -29,6 +29,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt by columns to as many tasks as the session has shuffle partitions or cores: few bytes can be much work, and a small file is one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def query(name: str, sql: str | None = None):
     """Register a query built from operators, and its SQL if there is one."""
 
@@ -894,7 +900,7 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
         F.lit("^^^STATE||"), F.regexp_replace("c_name", "#", "^"), F.lit("||19800101|X\rPV1|1|I|W^1^2"),
     )
     own = F.translate(usual, "|^~&", "!*%+")
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, usual).otherwise(own).alias("raw_message"))
+    return dealt(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_name"), "c_custkey").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, usual).otherwise(own).alias("raw_message"))
 
 
 _SIGNS = "SELECT c_custkey AS id, c_custkey % 2 = 0 AS usual, c_custkey, c_nationkey, replace(c_name, '#', '^') AS name FROM customer"
