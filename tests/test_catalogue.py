@@ -2,12 +2,14 @@
 
 import datetime
 import decimal
+import json
 import math
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from weftline.operators import hl7_structures
 from weftline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +47,12 @@ def test_no_python_in_relational_plans(spark):
     for name in ("join_multiway", "agg_group", "lateral_unnest", "win_rank", "etl_normalize", "array_any"):
         plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "BatchEval" not in plan
+
+
+def test_hl7_work_is_dealt_out(spark):
+    """A small file is one task's rows, not one task's work, and the rows of an order meet in one exchange."""
+    assert catalogue._messages(spark, SF).rdd.getNumPartitions() >= 4
+    plan = catalogue.QUERIES["hl7_results"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("collect_list(") == plan.count("partial_collect_list(") + 1 <= 3
+    only = hl7_structures.structured(spark.createDataFrame([("MSH|^~\\&|A|B|||1||ACK|9|P\rMSA|AA|1",)], "raw_message string"), xml=False).first()
+    assert only.xml is None and json.loads(only.json)["msa"] == {"acknowledgment_code": "AA", "message_control_id": "1"}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access, checks, etl, hl7_structures
 from ..streaming import state, windows
-from .catalogue import _database, _events, _messages, _scratch, query, table
+from .catalogue import _database, _events, _messages, _scratch, dealt, query, table
 from .engine import Engine
 from .jobs import Job, run
 
@@ -85,7 +85,7 @@ def hl7_admissions(spark: SparkSession, d: str) -> DataFrame:
     """Admissions nested by their structure, with repetitions and named components, whatever a message's signs."""
     messages = _messages(spark, d).withColumn("raw_message", F.replace("raw_message", F.lit("\rPID"), F.concat(F.lit("\rEVN"), F.substring("raw_message", 4, 1), F.lit("A01\rPID"))))
     at = lambda p: F.get_json_object("json", p)
-    return hl7_structures.structured(messages).select(
+    return hl7_structures.structured(messages, xml=False).select(
         "id", "structure", at("$.pid.patient_id[0].id").alias("patient"), at("$.pid.patient_id[1].id").alias("second"), at("$.pv1.assigned_location.point_of_care").alias("ward"), F.array_join("missing", ",").alias("missing"),
     )
 
@@ -94,11 +94,13 @@ def hl7_admissions(spark: SparkSession, d: str) -> DataFrame:
 def hl7_results(spark: SparkSession, d: str) -> DataFrame:
     """Results: per order a group for each return flag, which holds its observations and their notes."""
     line = F.concat(F.lit("OBX|1|NM|Q^Quantity||"), F.col("l_quantity").cast("double").cast("string"), F.lit("|kg\rNTE|1||line "), F.col("l_linenumber"))
-    groups = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.array_join(F.collect_list(line), "\r").alias("lines"))
-    of_order = groups.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(F.collect_list(F.concat(F.lit("OBR|1|||"), "l_returnflag", F.lit("\r"), "lines")), "\r").alias("lines"))
-    messages = of_order.select("id", F.concat(F.lit("MSH|^~\\&|LAB|H|E|H|2024||ORU^R01|"), "id", F.lit("|P|2.5\rPID|1||"), "id", F.lit("\r"), "lines").alias("raw_message"))
+    rows = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_orderkey")  # an order's rows meet once, before any text is made
+    of_order = rows.groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("l_returnflag").alias("flag"), line.alias("line")))).alias("lines"))
+    begins = lambda x, i: (i == 0) | ~x["flag"].eqNullSafe(F.get("lines", i - 1)["flag"])
+    text = F.array_join(F.transform("lines", lambda x, i: F.when(begins(x, i), F.concat(F.lit("OBR|1|||"), x["flag"], F.lit("\r"), x["line"])).otherwise(x["line"])), "\r")
+    messages = of_order.select("id", F.concat(F.lit("MSH|^~\\&|LAB|H|E|H|2024||ORU^R01|"), "id", F.lit("|P|2.5\rPID|1||"), "id", F.lit("\r"), text).alias("raw_message"))
     kind = "struct<patient_result:array<struct<order_observation:array<struct<observation:array<struct<obx:struct<value:string>, nte:array<struct<comment:string>>>>>>>>>"
-    found = hl7_structures.structured(messages).select("id", F.from_json("json", kind)["patient_result"][0]["order_observation"].alias("o"))
+    found = hl7_structures.structured(messages, xml=False).select("id", F.from_json("json", kind)["patient_result"][0]["order_observation"].alias("o"))
     values = F.flatten(F.transform("o", lambda x: F.filter(x["observation"], lambda y: F.size(y["nte"]) == 1)))
     return found.select(
         "id", F.size(values).cast("long").alias("observations"), F.aggregate(values, F.lit(0.0), lambda acc, y: acc + y["obx"]["value"].cast("double")).alias("total"), F.size("o").alias("orders"),
