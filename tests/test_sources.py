@@ -423,3 +423,15 @@ def test_keys_are_forgotten_after_a_while(spark, tmp_path):
         spark.createDataFrame([(1, "d")], "k int, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         time.sleep(0.2)
         assert run() == want, lives
+
+
+def test_a_stream_of_timers_ends_whole_or_by_an_error(spark, tmp_path):
+    spark.range(8).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = windows.arriving(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    start = lambda name, rows: rows.writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/s-{name}").start()
+    written = lambda name: lambda: spark.read.schema("id long").parquet(f"{tmp_path}/{name}").count()
+    q = start("good", stream)
+    state.await_rows(q, written("good"), 8)
+    assert not q.isActive and written("good")() == 8
+    with pytest.raises(Exception, match="no such id"):
+        state.await_rows(start("bad", stream.select(F.when(F.col("id") < 7, F.col("id")).otherwise(F.raise_error(F.lit("no such id"))).alias("id"))), written("bad"), 8)

@@ -6,13 +6,16 @@ by the checkpoint, so a stream that starts again goes on where it was.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..errors import EXECUTION, EngineError
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,6 +32,30 @@ def rocksdb(spark: SparkSession):
         spark.conf.set(_PROVIDER, before)
 
 
+def await_rows(q: StreamingQuery, written: Callable[[], int], want: int) -> None:
+    """Stop a stream of timers, which has no end of its own, once its sink holds so many rows, however long that takes; a stream that fails or is stopped before is an error.
+
+    Rows are counted anew only after another batch.
+    """
+    seen = None
+    try:
+        while True:
+            active, last = q.isActive, q.lastProgress  # in this order: what a stream has done before its end is counted
+            if last and last["batchId"] != seen:
+                seen = last["batchId"]
+                if written() >= want:
+                    return
+            if not active:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    if q.exception():
+        raise q.exception()
+    if written() < want:
+        raise EngineError(EXECUTION, f"the stream ended before its {want} rows")
+
+
 class _Once(StatefulProcessor):
     def __init__(self, lives_ms: int):
         self.lives_ms = lives_ms
