@@ -319,8 +319,9 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, class_id, class_size, kept (whether it is its class's least doc_id) of every row; class_size counts rows."""
     found = signatures(docs, k, bands, minima, id_col, text_col)
-    texts = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    reps = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    texts = found.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies"))
+    texts = written(texts, "near-texts")  # grouped once: each later plan is smaller by this step
+    reps = texts.select("a", "b", "rep", "copies")
     repeated = found.groupBy("doc_id").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo <> hi").select("doc_id")  # ids of several texts
     own = found.select("doc_id", "a", "b").join(repeated, "doc_id", "left_semi").join(reps, ["a", "b"]).select(F.col("doc_id").alias("p"), F.col("rep").alias("q")).filter("p <> q")
     sequences = found.select(F.col("doc_id").alias("rep"), "n", "bits", "words")
