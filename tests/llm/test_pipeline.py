@@ -100,3 +100,28 @@ def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
     assert out.count() > 0
     left = [d for d, _, files in os.walk(tmp_path) if any(f.endswith(".parquet") for f in files)]
     assert len(left) == 1 and left[0].endswith("4-packing")
+
+
+def test_driver_gets_few_numbers(spark, monkeypatch):
+    """The fit sends and takes back the numbers of telling features only, not a vector of all places per round."""
+    from weftline.llm import quality
+
+    rows = [(i, ("good words stand here " if i % 2 else "bad words lie there ") + f"w{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(x) or send(x))
+    model = quality.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 2) as grade"), grades=2, rounds=3)
+    telling = np.flatnonzero(model.weights)
+    assert model.weights.shape == (quality.DIMS,) and 4 <= len(telling) < 100
+    rounds = [x for x in sent if isinstance(x, tuple)]
+    assert len(rounds) == 3 and all(np.size(part) < 200 for x in rounds for part in x)
+    score = {r.doc_id: r.tail_prob for r in quality.score(docs, model, tail=1).collect()}
+    assert all((score[i] > 0.5) == bool(i % 2) for i, _ in rows)
+
+
+def test_plan_of_classes_is_short(spark):
+    """What is left to run after the classes are found is a join, not the whole way to them."""
+    docs = spark.createDataFrame([(i, f"{'one two three four five six seven eight nine ' * 3}{'x' * (i % 3)}") for i in range(60)], "doc_id long, text string")
+    found = near_dups.near_duplicates(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
+    assert {(r.class_id, r.class_size) for r in found.collect()} == {(0, 60)}

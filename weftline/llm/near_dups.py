@@ -334,7 +334,8 @@ def near_duplicates(
     parts = named.groupBy("class_id", "salt").agg(F.sum("copies").alias("copies"))  # at most _SALTS rows for each class
     sizes = parts.groupBy("class_id").agg(F.sum("copies").alias("class_size"), F.collect_list("salt").alias("salts"))
     named = named.join(sizes.select("class_id", "class_size", F.explode("salts").alias("salt")), ["class_id", "salt"])
-    of_text = found.select("doc_id", "a", "b").join(named.select("a", "b", "class_id", "class_size"), ["a", "b"]).select("doc_id", "class_id", "class_size")
+    named = written(named.select("a", "b", "class_id", "class_size"), "near-classes")  # the rest of the plan is one join, whatever classes took
+    of_text = found.select("doc_id", "a", "b").join(named, ["a", "b"]).select("doc_id", "class_id", "class_size")
     rest = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return of_text.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 

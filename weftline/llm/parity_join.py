@@ -344,7 +344,7 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         ends = ends.select(F.coalesce("p_class", "p").alias("p"), F.coalesce("q_class", "q").alias("q")).filter("p <> q")
         over = components(ends.distinct()).select(F.col("node").alias("class"), F.col("class").alias("new"))
         nodes = known.select("node", "class").union(over.select("class", "class")).distinct()  # texts that had no class are their own
-        return spread_join(nodes, over, "class", "node", "left").select("node", F.coalesce("new", "class").alias("class"))
+        return written(spread_join(nodes, over, "class", "node", "left").select("node", F.coalesce("new", "class").alias("class")), "parity-classes")
     edges = written(links.select("p", "q").union(links.select("q", "p")).distinct(), "parity-edges")
     old = written(edges.groupBy(F.col("p").alias("node")).agg(F.least(F.min("q"), F.col("node")).alias("class")), "parity-labels")
     while True:

@@ -15,8 +15,8 @@ grade's share to the power of -1/2, between the corpus's proportions and equal o
 Only features whose share of texts differs between two grades by ``least_z``
 standard errors have a weight, so that the many rare words add no noise. Each
 round, the partitions of the sample run an epoch of AdaGrad from the same weights
-and their results are averaged (iterative parameter mixing): a vector of ``dims``
-per partition and round reaches the driver.
+and their results are averaged (iterative parameter mixing): the numbers of the
+features that have a weight, per partition and round, reach the driver.
 
 Defined cases: a null text is an empty one; ratings without a text and texts
 without a rating are not learned from; a null grade is no rating; without two
@@ -115,7 +115,6 @@ def fit(
 ) -> Model:
     """The model of texts (docs: id, text) rated 0 to grades - 1 (ratings: id, grade)."""
     t = np.linspace(-1.0, 1.0, grades - 1)
-    w, squares = np.zeros(dims), np.ones(dims)
     few = _sample(docs, ratings, per_grade, id_col, text_col, grade_col)
 
     def prepare(batches):
@@ -125,30 +124,25 @@ def fit(
 
     ready = few.select(F.col(text_col).alias("text"), "grade", "weight", "place").mapInArrow(prepare, "x array<int>, grade int, weight double, place long")
     ready = written(ready.repartition(parts, "place").sortWithinPartitions("place"), "quality-sample")
-    if ready.select("grade").distinct().count() < 2:
-        return Model(w, np.full(grades - 1, -60.0))
+    sizes = {r.grade: r.texts for r in ready.groupBy("grade").agg(F.count(F.lit(1)).alias("texts")).collect()}
+    if len(sizes) < 2:
+        return Model(np.zeros(dims, np.float32), np.full(grades - 1, -60.0))
     ready = ready.coalesce(parts)
-
-    def count(batches):
-        found = np.zeros((grades, dims + 1))  # the last place counts texts
-        for b in batches:
-            for x, y in zip(b.column(0), b.column(1).to_pylist()):
-                found[y, x.values.to_numpy()] += 1
-                found[y, dims] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["data"])
-
-    counts = sum(np.frombuffer(r.data).reshape(grades, dims + 1) for r in ready.select("x", "grade").mapInArrow(count, "data binary").collect())
-    telling = _telling(counts[:, :dims], counts[:, dims], least_z)
+    telling = _telling_places(ready, [sizes.get(k, 0) for k in range(grades)], least_z)
+    w, squares = np.zeros(len(telling)), np.ones(len(telling))  # no other place ever has a weight
+    number = np.full(dims, -1, np.int32)
+    number[telling] = np.arange(len(telling))
     sc = docs.sparkSession.sparkContext
+    numbers = sc.broadcast(number)
     for _ in range(rounds):
-        shared = sc.broadcast((w, squares, t, telling))
+        shared = sc.broadcast((w, squares, t))
 
         def run(batches, shared=shared):
-            own, own_squares, own_t = (x.copy() for x in shared.value[:3])
+            own, own_squares, own_t = (x.copy() for x in shared.value)
             docs = []
             for b in batches:
-                xs = (x.values.to_numpy() for x in b.column(0))
-                docs += [(x[shared.value[3][x]], y, z) for x, y, z in zip(xs, b.column(1).to_pylist(), b.column(2).to_pylist())]
+                xs = (numbers.value[x.values.to_numpy()] for x in b.column(0))
+                docs += [(x[x >= 0], y, z) for x, y, z in zip(xs, b.column(1).to_pylist(), b.column(2).to_pylist())]
             if docs:
                 epoch(own, own_squares, own_t, docs, rate)
                 data = np.concatenate([own - shared.value[0], own_squares - shared.value[1], own_t]).astype(np.float64)
@@ -157,11 +151,25 @@ def fit(
         found = ready.select("x", "grade", "weight").mapInArrow(run, "n long, data binary").collect()
         total = sum(x.n for x in found)
         moved = [(x.n / total, np.frombuffer(x.data)) for x in found]
-        w = w + sum(s * d[:dims] for s, d in moved)
-        squares = squares + sum(s * d[dims : 2 * dims] for s, d in moved)
-        t = sum(s * d[2 * dims :] for s, d in moved)
+        w, squares = (x + sum(s * d[k * len(telling) : (k + 1) * len(telling)] for s, d in moved) for k, x in enumerate((w, squares)))
+        t = sum(s * d[2 * len(telling) :] for s, d in moved)
         shared.unpersist()
-    return Model(w.astype(np.float32), t)
+    numbers.unpersist()
+    weights = np.zeros(dims, np.float32)
+    weights[telling] = w
+    return Model(weights, t)
+
+
+def _telling_places(rows: DataFrame, sizes: list[int], least_z: float) -> np.ndarray:
+    """The telling places of texts (x, grade), ascending. sizes: texts of each grade."""
+    counts = rows.select("grade", F.explode("x").alias("at")).groupBy("at").agg(*(F.count_if(F.col("grade") == k).alias(f"n{k}") for k in range(len(sizes))))
+
+    def run(batches):
+        for b in batches:
+            telling = _telling(np.array([c.to_numpy() for c in b.columns[1:]], np.float64), np.array(sizes, np.float64), least_z)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(telling))], names=["at"])
+
+    return np.array(sorted(r.at for r in counts.mapInArrow(run, "at int").collect()), np.int64)
 
 
 def _telling(counts: np.ndarray, sizes: np.ndarray, least_z: float) -> np.ndarray:
