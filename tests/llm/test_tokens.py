@@ -36,3 +36,31 @@ def test_chunks_give_the_ids_of_the_whole_text(kind):
     for text in ("", " ", "\n", "a  b", "a\n\nb", "a \n b", " a", "a ", "it's <|endoftext|> x", "x" * 5000, "\x00a \x00", "a\x00 b"):
         data = enc.encode([text])[0]
         assert list(struct.unpack(f"<{len(data) // 4}I", data)) == whole(kind, text), text
+
+
+def test_plain_words_need_no_sign_between(monkeypatch):
+    """Words of letters, with or without signs at their end, are cut after the tokens that end them; what this can't tell takes the longer way."""
+    enc = tokens.ChunkEncoder(public_tokenizers.path(PATHS[tokens.WORD_CHUNKS]), tokens.WORD_CHUNKS)
+    signed, seen = enc._encode_signed, []
+    monkeypatch.setattr(enc, "_encode_signed", lambda chunks: seen.append(sorted(chunks)) or signed(chunks))
+    text = "Straße, Ñandú! enchenbe.$$$ äbege### plain ab,`$_ x2 don't a.b \u0130x \xb5m \ufb01n \xd7 l's --"
+    data = enc.encode([text])[0]
+    assert list(struct.unpack(f"<{len(data) // 4}I", data)) == whole(tokens.WORD_CHUNKS, text)
+    assert seen == [sorted(["x2", "don't", "a.b", "\u0130x", "\xb5m", "\ufb01n", "\xd7", "l's", "--"])]
+    enc = tokens.ChunkEncoder(public_tokenizers.path(PATHS[tokens.WORD_CHUNKS]), tokens.WORD_CHUNKS)
+    enc.last[:] = False  # a vocabulary whose words end otherwise
+    assert enc._encode_plain(text.split()) == {}
+    assert enc.encode([text])[0] == data
+
+
+@pytest.mark.parametrize("kind", PATHS)
+def test_texts_are_looked_up_together(kind, monkeypatch):
+    """One call of the library for all new chunks of a stretch of texts; each text's ids stay its own."""
+    enc = tokens.ChunkEncoder(public_tokenizers.path(PATHS[kind]), kind)
+    texts = [f"word{chr(97 + i)} common wordy Straße{i} {'x' * 60}{i}\n\nend" for i in range(20)] + ["", "odd\x1ctext here", "common"]
+    calls, encode = [], enc._encode_chunks
+    monkeypatch.setattr(enc, "_encode_chunks", lambda chunks: calls.append(len(chunks)) or encode(chunks))
+    got = [list(struct.unpack(f"<{len(d) // 4}I", d)) for d in enc.encode(texts)]
+    assert got == [whole(kind, t) for t in texts] and len(calls) == 1
+    monkeypatch.setattr(tokens, "TOGETHER", 100)
+    assert [list(struct.unpack(f"<{len(d) // 4}I", d)) for d in enc.encode(texts)] == got

@@ -144,9 +144,9 @@ def write_segments(
 
         for b in (part for batch in batches for part in slices(batch, 1)):
             kind = b.schema.field(0).type
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode([text or "" for text in b.column(1).to_pylist()])):
                 names.append(doc_id)
-                parts.append(enc.encode([text or ""])[0] + end)
+                parts.append(ids + end)
                 size += len(parts[-1]) // 4
                 if size >= segment_ids:
                     yield segment()
