@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from weftline.errors import EngineError
 from weftline.operators import hl7_structures
 from weftline.plans import catalogue
 
@@ -56,3 +57,10 @@ def test_hl7_work_is_dealt_out(spark):
     assert plan.count("Exchange ") == 1 and plan.count("collect_list(") == plan.count("partial_collect_list(") + 1 <= 3
     only = hl7_structures.structured(spark.createDataFrame([("MSH|^~\\&|A|B|||1||ACK|9|P\rMSA|AA|1",)], "raw_message string"), xml=False).first()
     assert only.xml is None and json.loads(only.json)["msa"] == {"acknowledgment_code": "AA", "message_control_id": "1"}
+
+
+def test_a_job_beyond_its_limit_says_so(spark, monkeypatch):
+    """20 of the 200 parts are rejects: at that limit nothing is loaded, which is no missing path."""
+    monkeypatch.setattr(catalogue, "_JOB", catalogue._JOB.replace('"max_errors": 100000', '"max_errors": 20'))
+    with pytest.raises(EngineError, match="20 rejects reach its max_errors"):
+        catalogue.QUERIES["job_from_config"](spark, SF)
