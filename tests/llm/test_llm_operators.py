@@ -4,14 +4,16 @@ import hashlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftline.llm import binary_ids, exact_topk, language, licences, matroska, mixing, near_dups, packing, quality, queries
+from weftline.llm import binary_ids, exact_topk, language, licences, matroska, mixing, near_dups, packing, quality, queries, tokens
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (2, ""), (3, "x " * 30_000), (None, "no id"), (4, "same"), (5, "same"), (6, "é😀ß"), (7, " \n\t")]
@@ -88,6 +90,20 @@ def test_packing(spark, docs, odd, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_encodes_a_batch_of_texts_together(docs, monkeypatch):
+    """Chunks that the texts of a batch share are looked up once, not once for each text."""
+    rows = docs.select("doc_id", "text").limit(300).collect()
+    batch = pa.RecordBatch.from_arrays([pa.array([r.doc_id for r in rows]), pa.array([r.text for r in rows])], ["doc_id", "text"])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, kind: run)  # what a task runs
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    enc = tokens.ChunkEncoder(path := public_tokenizers.path("byte_bpe_50k.json"), tokens.BYTE_CHUNKS)
+    monkeypatch.setattr(tokens, "encoder", lambda *a: enc)
+    calls, encode = [], enc._encode_together
+    monkeypatch.setattr(enc, "_encode_together", lambda texts: calls.append(len(texts)) or encode(texts))
+    out = pa.Table.from_batches(packing.pack(docs, path, with_ids=False)(iter([batch])))
+    assert set(out["doc_id"].to_pylist()) == {r.doc_id for r in rows} and len([n for n in calls if n]) == 1
+
+
 def test_balance_prefers_the_cheapest_sequence():
     placed = packing.balance([6, 5, 4, 1], 8, 2, 1.0, 1.0)
     assert placed == [(0, 0, 6, 0), (1, 0, 5, 1), (2, 0, 3, 1), (2, 3, 1, 0), (3, 0, 1, 0)]

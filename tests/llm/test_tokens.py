@@ -64,3 +64,33 @@ def test_texts_are_looked_up_together(kind, monkeypatch):
     assert got == [whole(kind, t) for t in texts] and len(calls) == 1
     monkeypatch.setattr(tokens, "TOGETHER", 100)
     assert [list(struct.unpack(f"<{len(d) // 4}I", d)) for d in enc.encode(texts)] == got
+
+
+@pytest.mark.parametrize("kind", PATHS)
+def test_each_different_chunk_is_looked_up_once(kind, monkeypatch):
+    """However often the texts of a stretch repeat a chunk; new chunks go to the library in calls of bounded size."""
+
+    class Seen(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+    enc = tokens.ChunkEncoder(public_tokenizers.path(PATHS[kind]), kind)
+    enc.known = Seen()
+    texts = ["common words come\nagain, Straße \u00ad again", "common words", "a  b\tc common", "", "odd\x1cone"] * 20
+    monkeypatch.setattr(tokens, "_CALL", 2, raising=False)
+    for _ in range(2):
+        enc.known.asked = 0
+        assert [list(struct.unpack(f"<{len(d) // 4}I", d)) for d in enc.encode(texts)] == [whole(kind, t) for t in texts]
+        assert enc.known.asked <= 15
+
+
+def test_starts_of_lines_are_encoded_with_the_words(monkeypatch):
+    enc = tokens.ChunkEncoder(public_tokenizers.path(PATHS[tokens.BYTE_CHUNKS]), tokens.BYTE_CHUNKS)
+    alone, encode = [], enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda texts: alone.extend(texts) or encode(texts))
+    texts = ["first line\nsecond, line\n'third' line\n(4) 語 line\n\u0301x end", "other\n\ntext \n  x"]
+    assert [list(struct.unpack(f"<{len(d) // 4}I", d)) for d in enc.encode(texts)] == [whole(tokens.BYTE_CHUNKS, t) for t in texts]
+    assert "first" in alone and not {"\nsecond,", "\n'third'", "\n(4)", "\n\u0301x"} & set(alone)

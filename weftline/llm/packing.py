@@ -139,8 +139,8 @@ def pack(
         kind = None
         for b in (part for batch in batches for part in slices(batch, 1)):
             kind = b.schema.field(0).type
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                packer.add(doc_id, np.frombuffer(enc.encode([text or ""])[0] + end, dtype="<u4"))
+            for doc_id, data in zip(b.column(0).to_pylist(), enc.encode([text or "" for text in b.column(1).to_pylist()])):
+                packer.add(doc_id, np.frombuffer(data + end, dtype="<u4"))
                 if packer.held >= _YIELD_IDS:
                     yield table(packer.taken(), kind)
         if kind is not None:

@@ -10,8 +10,11 @@ from __future__ import annotations
 import os
 import re
 import struct
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import worker_cache
 
@@ -32,8 +35,10 @@ _SIGN = "\x01"
 LONGEST_CACHED = 48
 #: Chunks in a generation of the cache, about 150 bytes each.
 CACHE_ENTRIES = 700_000
+#: Chunks encoded in one call, about 1000 bytes each until it ends.
+_CALL = 1 << 14
 #: Characters of text whose chunks are looked up together.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 22
 
 
 class ChunkEncoder:
@@ -51,11 +56,13 @@ class ChunkEncoder:
         self.chunks = {BYTE_CHUNKS: self.byte_chunks, WORD_CHUNKS: str.split}[kind]
         self.plain = self.unmarked if kind == BYTE_CHUNKS else str
         self.sizes = self.sign_id = self.last = None
+        self.spaced = (lambda t: "\x00" + t.replace("\n", " \x00\n")) if kind == BYTE_CHUNKS else (lambda t: t.replace("\n", " "))
         if kind == BYTE_CHUNKS:
             by_id = sorted((k, len(t)) for t, k in self.tokenizer.get_vocab(with_added_tokens=False).items())
             self.sizes = np.zeros(by_id[-1][0] + 1, np.int64)
             self.sizes[[k for k, _ in by_id]] = [n for _, n in by_id]
-            self.joint, self.joined = (lambda c: c[0] != "\x00"), (lambda some: " " + " ".join(some))
+            self.joint = lambda c: c[0] != "\x00" or (c[1] == "\n" and not c[-1].isspace())
+            self.joined = "".join
         else:
             self.sign_id = self.tokenizer.encode(_SIGN, add_special_tokens=False).ids[0]
             self.joint, self.joined = (lambda c: _SIGN not in c), (lambda some: f" {_SIGN} ".join(some) + f" {_SIGN}")
@@ -117,9 +124,11 @@ class ChunkEncoder:
         joint = [c for c in chunks if self.joint(c)]
         if len(joint) < 4:
             return self._encode([self.plain(c) for c in chunks])
-        ids = np.array(self.tokenizer.encode_batch_fast([self.joined(joint)], add_special_tokens=False)[0].ids, "<u4")
+        plain = list(map(self.plain, joint))
+        ids = np.array(self.tokenizer.encode_batch_fast([self.joined(plain)], add_special_tokens=False)[0].ids, "<u4")
         if self.sizes is not None:  # a token's bytes are those of its text
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([1 + len(c.encode()) for c in joint])) + 1
+            sizes = pc.binary_length(pa.array(plain, pa.large_string()))
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes)) + 1
             starts = np.concatenate([[0], ends[:-1]])
         else:  # the sign between chunks has an id of its own
             ends = np.flatnonzero(ids == self.sign_id)
@@ -144,23 +153,50 @@ class ChunkEncoder:
         return out + self._encode_together(some)
 
     def _encode_together(self, texts: list[str]) -> list[bytes]:
-        """Chunks that are missed in any of the texts are encoded in one call, whose start costs as much as many chunks."""
-        chunks = [None if _ODD.search(text) else self.chunks(text) for text in texts]
-        ids = [None if c is None else list(map(self.known.get, c)) for c in chunks]
-        missed = {c for some, got in zip(chunks, ids) if got and None in got for c, x in zip(some, got) if x is None}
+        """Texts with single blanks and line feeds between words are cut by Arrow; each different chunk of all texts is looked up once."""
+        out = [b""] * len(texts)
+        even, other = [], []
+        for k, text in enumerate(texts):
+            if _even(text):
+                even.append(k)
+            elif _ODD.search(text):
+                out[k] = self._encode([text])[0]
+            else:
+                other.append(k)
+        cut = pc.split_pattern(pa.array([self.spaced(texts[k]) for k in even], pa.large_string()), " ")
+        chunks = [self.chunks(texts[k]) for k in other]
+        every = pa.concat_arrays([cut.flatten(), pa.array(chain(*chunks), pa.large_string())]).dictionary_encode()
+        if not len(every):
+            return out
+        ids = pa.array(self._ids(every.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(every.indices)
+        _, offsets, data = ids.buffers()
+        counts = np.concatenate([pc.list_value_length(cut), [len(c) for c in chunks]])
+        ends = np.frombuffer(offsets, np.int64)[np.cumsum(counts, dtype=np.int64)].tolist()
+        for k, start, end in zip(even + other, [0, *ends], ends):
+            out[k] = data[start:end].to_pybytes()
+        return out
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks; many of those that are missed are encoded in one call, whose start costs as much as many chunks."""
+        got = list(map(self.known.get, chunks))
+        missed = [c for c, x in zip(chunks, got) if x is None]
         found = {c: self.older[c] for c in missed if c in self.older}
-        if new := list(missed.difference(found)):
-            found.update(zip(new, self._encode_chunks(new)))
-        self.known.update((c, x) for c, x in found.items() if len(c) <= LONGEST_CACHED)
+        new = [c for c in missed if c not in found]
+        for some in (new[k : k + _CALL] for k in range(0, len(new), _CALL)):
+            found.update(zip(some, self._encode_chunks(some)))
+        self.known.update(found)
+        for c in [c for c in missed if len(c) > LONGEST_CACHED]:
+            del self.known[c]
         if len(self.known) > self.most:  # a full generation becomes the older one; what is used of it comes back
             self.known, self.older = {}, self.known
-        out = []
-        for text, some, got in zip(texts, chunks, ids):
-            if got is None:
-                out += self._encode([text])
-            else:
-                out.append(b"".join([found[c] if x is None else x for c, x in zip(some, got)] if None in got else got))
-        return out
+        return [found[c] if x is None else x for c, x in zip(chunks, got)]
+
+
+def _even(text: str) -> bool:
+    """Whether single blanks and line feeds, and no other white space, stand between words only. Any other white space and the mark are unprintable."""
+    if not text or text[0].isspace() or text[-1].isspace() or any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
+        return False
+    return text.replace("\n", "").isprintable() or not (_ODD.search(text) or _OTHER.search(text))
 
 
 def encoder(path: str, chunks: str) -> ChunkEncoder:
